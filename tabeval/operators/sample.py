@@ -33,10 +33,11 @@ def hash_uniform(*parts: Column) -> Column:
 
 
 def split_stratified(df: DataFrame, y: str = "y", row_id: str = "row_id", test_size: float = 0.2,
-                     seed: int = 42, out: str = "split") -> DataFrame:
+                     seed: int = 42, out: str = "split", within: Sequence[str] = ()) -> DataFrame:
     """Per-class test share: the first round(n_c * test_size) rows of each class
-    in hash order are 'test', the rest 'train'."""
-    r = hash_rank(df, [y], row_id, seed, rank_col="_rank", size_col="_size")
+    in hash order are 'test', the rest 'train' (``within``: split each of these
+    groups separately, e.g. one split per outcome)."""
+    r = hash_rank(df, [*within, y], row_id, seed, rank_col="_rank", size_col="_size")
     is_test = F.col("_rank") <= F.round(F.col("_size") * F.lit(float(test_size)))
     return r.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_rank", "_size")
 

@@ -37,10 +37,10 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.col(f.name).cast("double")
+            c = F.col(f"`{f.name}`").cast("double")
             out.append(F.when(F.isnan(c), F.lit(None).cast("double"))
                        .when(c.isin(float("inf"), float("-inf")), c)
                        .otherwise(F.round(c * scale, 0) / scale).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

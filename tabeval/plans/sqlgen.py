@@ -89,3 +89,31 @@ def rates_sql(tpr: str = "tpr", fpr: str = "fpr", P: str = "CAST(P AS DOUBLE)",
 
 def r6(expr: str, alias: str) -> str:
     return f"round({expr}, 6) AS {alias}"
+
+
+def evaluate_sql(src: str, group: list[str]) -> str:
+    """CTEs ending in ``res``: per group AUC, DeLong CI, Youden cutoff and the
+    rates/counts at it (the plain-SQL twin of ``operators.evaluate.evaluate``)."""
+    g = gsel(group)
+    r = rates_sql()
+    using = ", ".join(group)
+    firsts = ", ".join(f"FIRST({k} ORDER BY youden DESC, threshold DESC) AS {k}"
+                       for k in ("tpr", "tnr", "fpr", "fnr", "ppv", "npv", "f1", "dor", "tp", "fp"))
+    return f"""{score_groups_sql(src, group)},
+{roc_sql(group)},
+c AS (SELECT {g}threshold, tp, fp, P, N, {', '.join(f'{r[k]} AS {k}' for k in ('tpr', 'tnr', 'fpr', 'fnr', 'ppv', 'npv', 'f1', 'dor', 'youden'))} FROM roc),
+best AS (SELECT {g}MAX(P) AS P, MAX(N) AS N, FIRST(threshold ORDER BY youden DESC, threshold DESC) AS cutoff, {firsts}
+         FROM c {gby(group)}),
+comp AS (SELECT {g}pos, neg, (CAST(N AS DOUBLE) - fp + neg / 2.0) / N AS v01, (tp - pos / 2.0) / P AS v10,
+           CAST(P AS DOUBLE) AS Pd, CAST(N AS DOUBLE) AS Nd FROM sg),
+dl0 AS (SELECT {g}SUM(pos * v01) / MAX(Pd) AS auc,
+          (SUM(pos * v01 * v01) - MAX(Pd) * POWER(SUM(pos * v01) / MAX(Pd), 2)) / (MAX(Pd) - 1) / MAX(Pd)
+          + (SUM(neg * v10 * v10) - MAX(Nd) * POWER(SUM(neg * v10) / MAX(Nd), 2)) / (MAX(Nd) - 1) / MAX(Nd) AS var
+        FROM comp {gby(group)}),
+dl AS (SELECT {g}auc, greatest(var, 0) AS var FROM dl0),
+res AS (SELECT {g}dl.auc, CASE WHEN dl.var > 0 THEN dl.auc - {Z} * sqrt(dl.var) END AS auc_cilow,
+          CASE WHEN dl.var > 0 THEN least(dl.auc + {Z} * sqrt(dl.var), 1.0) END AS auc_cihigh,
+          best.cutoff, best.tpr, best.tnr, best.fpr, best.fnr, best.ppv, best.npv, best.P, best.N,
+          best.tp AS TP, best.fp AS FP, best.N - best.fp AS TN, best.P - best.tp AS FN,
+          CAST(best.tp AS DOUBLE) / NULLIF(best.tp + best.fp, 0) AS prec, CAST(best.tp AS DOUBLE) / NULLIF(best.P, 0) AS rec
+        FROM best JOIN dl USING ({using}))"""

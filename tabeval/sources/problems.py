@@ -72,12 +72,33 @@ ORDERS_SQL = """ord AS (
   FROM orders)"""
 
 
-def orders_folds_predictions(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
-    """Orders with a deterministic fold id (o_orderkey mod k) as a cross-validation
-    style predictions table: every fold is one curve."""
-    return orders_problem(spark, d).withColumn("fold", (F.col("row_id") % k).cast("int"))
+def wide_lineitem(spark: SparkSession, d: str) -> DataFrame:
+    """Mixed-type table with injected NULL, +inf and a textual missing marker
+    (the driver tables have none; the injection is identical in the SQL)."""
+    li = read_table(spark, d, "lineitem")
+    return li.select(
+        F.when(F.col("l_quantity") != 7, F.col("l_quantity")).alias("qty"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("disc"),
+        F.when(F.col("l_linenumber") == 3, F.lit(float("inf"))).otherwise(F.col("l_tax")).alias("tax"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_linestatus").alias("status"),
+        F.when((F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 5), F.lit("None"))
+        .otherwise(F.col("l_returnflag")).alias("flag"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y_ret"),
+        (F.col("l_linestatus") == "O").cast("int").alias("y_open"))
+
+
+WIDE_SQL = """wide AS (
+  SELECT NULLIF(l_quantity, 7) AS qty, l_extendedprice AS price, l_discount AS disc,
+    CASE WHEN l_linenumber = 3 THEN CAST('inf' AS DOUBLE) ELSE l_tax END AS tax, l_linenumber AS line,
+    l_linestatus AS status, CASE WHEN l_returnflag = 'N' AND l_linenumber = 5 THEN 'None' ELSE l_returnflag END AS flag,
+    CAST(l_returnflag = 'R' AS INTEGER) AS y_ret, CAST(l_linestatus = 'O' AS INTEGER) AS y_open
+  FROM lineitem)"""
 
+WIDE_INPUTS = ["qty", "price", "disc", "tax", "line", "status", "flag"]
+WIDE_OUTCOMES = ["y_ret", "y_open"]
 
-def orders_folds_sql(k: int = 5) -> str:
-    return ORDERS_SQL + f""",
-ordf AS (SELECT *, CAST(row_id % {k} AS INTEGER) AS fold FROM ord)"""
+#: experiment plans over the wide table: disc is ignored by e2, so it is not an input
+WIDE_ROLES = [("e1", c, 1) for c in WIDE_INPUTS] + [("e1", o, 2) for o in WIDE_OUTCOMES] \
+    + [("e2", c, 0 if c == "disc" else 1) for c in WIDE_INPUTS] + [("e2", o, 2) for o in WIDE_OUTCOMES]
