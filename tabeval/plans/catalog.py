@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_curves, q_eval, q_prep, q_results, q_sample, q_select  # noqa: F401
+from . import q_curves, q_eval, q_models, q_prep, q_results, q_sample, q_select  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 
