@@ -18,20 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import t_ppf
 from . import evaluate as ev
-from .ordered import prefix_sum
+from .ordered import attach, prefix_sum
 
 _div = F.try_divide
 
 
-def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a per-group summary (one row per group, so bounded by the number of
-    groups) onto ``df``; with no group keys the summary is one row."""
-    keys = list(keys)
-    if keys:
-        return df.join(F.broadcast(small), keys)
-    return df.withColumn("_k", F.lit(1)).join(F.broadcast(small.withColumn("_k", F.lit(1))), "_k").drop("_k")
-
-
 def grid_step(n_points: int) -> float:
     """numpy.linspace(0, 1, n) step: point i is ``i * step``, the last is 1.0."""
     return 1.0 / (n_points - 1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import two_sided_p
 from ..functions.scalar import wilson_high, wilson_low
 from ..functions.stats import Z_975
-from .ordered import prefix_sum
+from .ordered import group_totals, prefix_sum
 
 INF = float("inf")
 
@@ -49,13 +49,17 @@ def score_groups(df: DataFrame, group: Sequence[str] = (), y: str = "y", score:
          .agg(F.sum(F.col(y).cast("long")).alias("pos"),
               F.sum(1 - F.col(y).cast("long")).alias("neg")))
     run = prefix_sum(g, group, ["score"], ["pos", "neg"], descending=True, prefix="cum_", totals_prefix="tot_")
-    return run.select(*group, "score", "pos", "neg",
-                      F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-                      F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N"))
+    sg = run.select(*group, "score", "pos", "neg",
+                    F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
+                    F.col("tot_pos").alias("P"), F.col("tot_neg").alias("N"))
+    sg._tabeval_totals = run._tabeval_totals
+    sg._tabeval_totals_map = {"P": "tot_pos", "N": "tot_neg"}
+    return sg
 
 
 def _group_totals(sg: DataFrame, group: Sequence[str]) -> DataFrame:
-    return sg.groupBy(*group).agg(F.first("P").alias("P"), F.first("N").alias("N"))
+    """(group, P, N) from the small totals table kept with the score groups."""
+    return group_totals(sg, group, ["P", "N"])
 
 
 def roc_points(sg: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -8,12 +8,16 @@ Exact kNN by a projection window:
    are lower bounds of distances;
 2. rank reference points by (u.x, id) with the distributed ``prefix_sum`` and
    place every query in that order (number of references before it);
-3. each unresolved query takes the references of ranks [pos-w, pos+w+1]
-   through an equi-join on rank (offsets exploded per query: 2w+2 rows, never
-   all pairs), keeps the k closest, and is *resolved* when the projection gap to
-   both window edges is >= its k-th distance (or the window reached the end):
-   nothing outside can then be closer;
-4. unresolved queries retry with a 4x wider window.
+3. each unresolved query is compared with the references of ranks
+   [pos-w, pos+w+1] only. Queries are grouped in blocks of consecutive positions
+   and references in chunks of consecutive ranks; each (block, chunk) pair that
+   some window spans becomes one ``applyInPandas`` task computing a NumPy
+   distance matrix restricted to each query's window, so vectors are shipped
+   once per block, not once per pair, and no group exceeds
+   QUERY_BLOCK + REF_CHUNK rows. A query is *resolved* when the projection gap
+   to both window edges is >= its k-th distance (or the window reached the
+   end): nothing outside can then be closer;
+4. unresolved queries retry with an 8x wider window.
 
 The returned distances are the exact k smallest; among references at exactly
 the k-th distance the ones nearest in (u.x, id) order are kept. A block of
@@ -56,6 +60,47 @@ def principal_direction(refs: DataFrame, vec: str) -> list[float]:
     return [float(x) / norm for x in pc] if norm > 0 else [1.0] + [0.0] * (len(pc) - 1)
 
 
+#: queries per block and reference ranks per chunk: one (block, chunk) group is
+#: one task holding at most QUERY_BLOCK + REF_CHUNK vectors
+QUERY_BLOCK = 512
+REF_CHUNK = 4096
+
+
+def _block_topk_fn(k: int, metric: str, exclude_self: bool):
+    import numpy as np
+    import pandas as pd
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = pdf[pdf["_side"] == 0]
+        r = pdf[pdf["_side"] == 1]
+        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                              "distance": pd.Series([], dtype="float64")})
+        if q.empty or r.empty:
+            return empty
+        qv = np.stack(q["v"].to_numpy()).astype(float)
+        rv = np.stack(r["v"].to_numpy()).astype(float)
+        if metric == "euclidean":
+            d = np.sqrt(((qv[:, None, :] - rv[None, :, :]) ** 2).sum(-1))
+        else:
+            d = np.abs(qv[:, None, :] - rv[None, :, :]).sum(-1)
+        rank = r["rank"].to_numpy()
+        lo = q["lo"].to_numpy()[:, None]
+        hi = q["hi"].to_numpy()[:, None]
+        valid = (rank[None, :] >= lo) & (rank[None, :] <= hi)  # each query's own window only
+        qids = q["id"].to_numpy()
+        rids = r["id"].to_numpy()
+        if exclude_self:
+            valid &= qids[:, None] != rids[None, :]
+        d = np.where(valid, d, np.inf)
+        kk = min(k, d.shape[1])
+        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
+        rows_q = np.repeat(qids, idx.shape[1])
+        sel = d[np.arange(len(q))[:, None], idx].ravel()
+        out = pd.DataFrame({"qid": rows_q, "rid": rids[idx.ravel()], "distance": sel})
+        return out[np.isfinite(out["distance"])]
+    return fn
+
+
 def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
              exclude_self: bool = False, metric: str = "euclidean", w0: int | None = None,
              max_rounds: int = 40) -> DataFrame:
@@ -63,74 +108,78 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
 
     ``exclude_self`` drops the pair qid == rid (self-join on one table).
     ``metric`` 'euclidean' or 'manhattan' (projection gaps bound both).
+    Ids must be integers.
     """
-    dist = euclid if metric == "euclidean" else manhattan
-    q = queries.select(F.col(qid).alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
-    r = refs.select(F.col(rid).alias("rid"), F.col(vec).cast("array<double>").alias("rv"))
+    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
+    r = refs.select(F.col(rid).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("rv"))
     u = principal_direction(r.withColumnRenamed("rv", "_vec"), "_vec")
     r = r.withColumn("t", _dot_expr("rv", u))
     q = q.withColumn("t", _dot_expr("qv", u))
     # ranks of references along u, and each query's position among them
     ranked = prefix_sum(r.withColumn("_one", F.lit(1).cast("long")), [], ["t", "rid"], ["_one"], prefix="_r",
                         totals_prefix="_n")
-    ranked = ranked.select("rid", "rv", "t", F.col("_r_one").alias("rank"), F.col("_n_one").alias("n_refs"))
-    marks = r.select("t", F.lit(0).alias("_kind"), F.col("rid").cast("string").alias("_id"),
-                     F.lit(1).cast("long").alias("_isref")) \
-        .unionByName(q.select("t", F.lit(1).alias("_kind"), F.col("qid").cast("string").alias("_id"),
-                              F.lit(0).cast("long").alias("_isref")))
+    ranked = ranked.select("rid", "rv", "t", F.col("_r_one").alias("rank"), F.col("_n_one").alias("n_refs")) \
+        .checkpoint(eager=True)
+    marks = r.select("t", F.lit(0).alias("_kind"), F.col("rid").alias("_id"), F.lit(1).cast("long").alias("_isref")) \
+        .unionByName(q.select("t", F.lit(1).alias("_kind"), F.col("qid").alias("_id"), F.lit(0).cast("long").alias("_isref")))
     pos = prefix_sum(marks, [], ["t", "_kind", "_id"], ["_isref"], prefix="_p", totals_prefix="_nr") \
-        .where(F.col("_kind") == 1).select(F.col("_id").alias("_qid_s"), F.col("_p_isref").alias("pos"),
+        .where(F.col("_kind") == 1).select(F.col("_id").alias("qid"), F.col("_p_isref").alias("pos"),
                                            F.col("_nr_isref").alias("n_refs"))
-    qpos = q.withColumn("_qid_s", F.col("qid").cast("string")).join(pos, "_qid_s").drop("_qid_s")
-    qpos = qpos.checkpoint(eager=True)
-    by_rank = ranked.select("rank", "rid", "rv", F.col("t").alias("rt"))
+    qpos = q.join(pos, "qid").checkpoint(eager=True)
+    by_rank_t = ranked.select("rank", F.col("t").alias("rt"))
+    refs_chunked = ranked.select(F.col("rid").alias("id"), F.col("rv").alias("v"), "rank",
+                                 F.floor(F.col("rank") / REF_CHUNK).alias("chunk"))
 
-    w = int(w0 or max(2 * k, 16))
+    schema = "qid long, rid long, distance double"
+    fn = _block_topk_fn(k, metric, exclude_self)
+    # a block already compares QUERY_BLOCK queries with ~QUERY_BLOCK refs, so a
+    # first window of a few hundred costs little and saves rounds
+    w = int(w0 or max(4 * k, 256))
     done = None
     pending = qpos
     for _ in range(max_rounds):
-        lo = F.greatest(F.col("pos") - w, F.lit(1))
-        hi = F.least(F.col("pos") + w + 1, F.col("n_refs"))
-        window_rows = pending.withColumn("rank", F.explode(F.sequence(lo, hi))).join(by_rank, "rank")
-        cand = window_rows.where(F.col("qid") != F.col("rid")) if exclude_self else window_rows
-        cand = cand.withColumn("distance", dist(F.col("qv"), F.col("rv")))
-        top = _top_k(cand, k)
-        # k-th distance and window-edge projection gaps
-        stat = window_rows.groupBy("qid").agg(
-            F.first("t").alias("tq"), F.first("pos").alias("pos"), F.first("n_refs").alias("n_refs"),
-            F.min(F.when(F.col("rank") == F.greatest(F.col("pos") - w, F.lit(1)), F.col("rt"))).alias("t_lo"),
-            F.min(F.when(F.col("rank") == F.least(F.col("pos") + w + 1, F.col("n_refs")), F.col("rt"))).alias("t_hi"))
+        win = pending.select("qid", "qv", "t", "pos", "n_refs",
+                             F.greatest(F.col("pos") - w, F.lit(1)).alias("lo"),
+                             F.least(F.col("pos") + w + 1, F.col("n_refs")).alias("hi"),
+                             F.floor((F.col("pos") - 1) / QUERY_BLOCK).alias("qblock"))
+        # (block, chunk) pairs each block needs: a table of #blocks x #chunks rows
+        need = win.groupBy("qblock").agg(F.min("lo").alias("blo"), F.max("hi").alias("bhi")) \
+            .select("qblock", F.explode(F.sequence(F.floor(F.col("blo") / REF_CHUNK),
+                                                   F.floor(F.col("bhi") / REF_CHUNK))).alias("chunk"))
+        qside = win.join(need, "qblock").select("qblock", "chunk", F.lit(0).alias("_side"), F.col("qid").alias("id"),
+                                                F.col("qv").alias("v"), F.lit(0).cast("long").alias("rank"), "lo", "hi")
+        rside = refs_chunked.join(need, "chunk").select("qblock", "chunk", F.lit(1).alias("_side"), "id", "v", "rank",
+                                                        F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+        partial = qside.unionByName(rside).groupBy("qblock", "chunk").applyInPandas(fn, schema)
+        top = _top_k(partial, k)
+        # k-th distance and the projection gaps to both window edges
+        edges = win.join(by_rank_t.withColumnRenamed("rank", "lo").withColumnRenamed("rt", "t_lo"), "lo") \
+            .join(by_rank_t.withColumnRenamed("rank", "hi").withColumnRenamed("rt", "t_hi"), "hi") \
+            .select("qid", "pos", "n_refs", F.col("t").alias("tq"), "t_lo", "t_hi")
         kth = top.groupBy("qid").agg(F.max("distance").alias("dk"), F.count(F.lit(1)).alias("nk"))
-        st = stat.join(kth, "qid", "left")
+        st = edges.join(kth, "qid", "left")
         left_ok = (F.col("pos") - w <= 1) | (F.col("tq") - F.col("t_lo") >= F.col("dk"))
         right_ok = (F.col("pos") + w + 1 >= F.col("n_refs")) | (F.col("t_hi") - F.col("tq") >= F.col("dk"))
         whole = (F.col("pos") - w <= 1) & (F.col("pos") + w + 1 >= F.col("n_refs"))
         ok = whole | ((F.col("nk") >= k) & left_ok & right_ok)
         st = st.select("qid", ok.alias("ok")).checkpoint(eager=True)
-        res = top.join(st.where("ok").select("qid"), "qid").select("qid", "rid", "distance", "nn_rank")
+        res = top.join(st.where("ok").select("qid"), "qid").select("qid", "rid", "distance", "nn_rank") \
+            .checkpoint(eager=True)
         done = res if done is None else done.unionByName(res)
-        pending = pending.join(st.where(~F.col("ok")).select("qid"), "qid")
+        pending = pending.join(st.where(~F.col("ok")).select("qid"), "qid").checkpoint(eager=True)
         # unresolved queries: a scalar count steers the loop
         if pending.limit(1).count() == 0:
             break
-        w *= 4
+        w *= 8
     return done.select(F.col("qid").alias(qid) if qid != "qid" else "qid",
                        F.col("rid").alias(rid) if rid != "rid" else "rid", "distance", "nn_rank")
 
 
-#: ranks per block in the two-stage top-k (bounds every window group)
-TOPK_BLOCK = 4096
-
-
 def _top_k(cand: DataFrame, k: int) -> DataFrame:
-    """k smallest (distance, rid) per query in two stages: first inside blocks
-    of TOPK_BLOCK consecutive ranks, then over the block winners, so no window
-    group exceeds max(TOPK_BLOCK, k * blocks)."""
-    wb = Window.partitionBy("qid", "_blk").orderBy("distance", "rid")
-    first = cand.withColumn("_blk", F.floor(F.col("rank") / TOPK_BLOCK)) \
-        .withColumn("_r", F.row_number().over(wb)).where(F.col("_r") <= k)
+    """k smallest (distance, rid) per query over the per-chunk winners (each
+    chunk contributed at most k rows per query)."""
     wq = Window.partitionBy("qid").orderBy("distance", "rid")
-    return first.withColumn("nn_rank", F.row_number().over(wq)).where(F.col("nn_rank") <= k).drop("_blk", "_r")
+    return cand.withColumn("nn_rank", F.row_number().over(wq)).where(F.col("nn_rank") <= k)
 
 
 # ------------------------------------------------------------------ kNN model

@@ -13,9 +13,10 @@ holds a third of the rows. ``prefix_sum`` instead:
    window over that small table;
 4. adds the offset to a window that is local to each (partition, group) slice.
 
-The offset table is joined without a hint: AQE sees its real size at run time
-and broadcasts it when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``,
-otherwise it falls back to a shuffle join.
+The offset table is checkpointed and counted; it is broadcast only when its
+row count is under ``BROADCAST_ROW_LIMIT`` and joined by a shuffle-hash join
+otherwise. The large side is never a broadcast candidate (a checkpointed table
+carries weak size estimates, so the planner is not left to guess).
 
 Callers pass rows that are unique on (group, order) — e.g. pre-aggregated score
 groups — or add a tiebreak column to ``order``.
@@ -32,13 +33,41 @@ from ..session import ensure_checkpoint_dir
 
 PID = "_pid"
 
+#: largest small side (rows) joined by broadcast; beyond it a shuffle-hash join
+BROADCAST_ROW_LIMIT = 1_000_000
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                 limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Join a small side whose size is data-dependent (per-group summaries,
+    offset tables): it is checkpointed (reliable, small), counted, and
+    broadcast only when the count is under ``limit_rows``; otherwise a
+    shuffle-hash join builds on it. The big side is never broadcast."""
+    small = small.checkpoint(eager=True)
+    n = small.count()
+    side = F.broadcast(small) if n <= limit_rows else small.hint("shuffle_hash")
+    if isinstance(on, Column):
+        return big.join(side, on, how)
+    return big.join(side, list(on), how)
+
+
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach a per-group summary (one row per group) to ``df`` on the group
+    keys; with no keys the summary is one row, joined on a constant."""
+    keys = list(keys)
+    if keys:
+        return join_checked(df, small, keys)
+    return join_checked(df.withColumn("_k", F.lit(1)), small.withColumn("_k", F.lit(1)), ["_k"]).drop("_k")
+
+
+def group_totals(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per-group totals kept by ``prefix_sum`` (a small table), or an aggregate
+    of ``df`` when it did not come from ``prefix_sum``."""
+    t = getattr(df, "_tabeval_totals", None)
+    names = getattr(df, "_tabeval_totals_map", {})
+    if t is not None and all(c in names for c in cols):
+        return t.select(*group, *[F.col(names[c]).alias(c) for c in cols])
+    return df.groupBy(*group).agg(*[F.max(c).alias(c) for c in cols])
 
 
 def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
@@ -71,18 +100,33 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
     off_cols = [F.coalesce(F.sum(f"_slice_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums]
     if totals_prefix is not None:
         off_cols += [F.sum(f"_slice_{c}").over(whole).alias(f"{totals_prefix}{c}") for c in sums]
-    offsets = slices.select(PID, *group, *off_cols)
+    # at most #partitions + #groups rows: frozen, counted, then broadcast or hash-joined
+    offsets = slices.select(PID, *group, *off_cols).checkpoint(eager=True)
+    n_off = offsets.count()
 
     local = Window.partitionBy(PID, *group).orderBy(*_order_cols(order, descending)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = frozen.select("*", *[F.sum(c).over(local).alias(f"_loc_{c}") for c in sums])
 
-    joined = running.join(offsets, _null_safe_on(running, offsets, [PID, *group]), "inner")
-    out_cols = [running[c] for c in frozen.columns if c != PID]
+    keys = [PID, *group]
+    renamed = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
+                             *[c for c in offsets.columns if c not in keys])
+    side = F.broadcast(renamed) if n_off <= BROADCAST_ROW_LIMIT else renamed.hint("shuffle_hash")
+    cond = None
+    for i, k in enumerate(keys):
+        c = F.col(k).eqNullSafe(F.col(f"_o{i}"))
+        cond = c if cond is None else cond & c
+    joined = running.join(side, cond, "inner")
+    out_cols = [F.col(c) for c in frozen.columns if c != PID]
     out_cols += [(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sums]
     if totals_prefix is not None:
-        out_cols += [offsets[f"{totals_prefix}{c}"] for c in sums]
-    return joined.select(*out_cols)
+        out_cols += [F.col(f"{totals_prefix}{c}") for c in sums]
+    out = joined.select(*out_cols)
+    if totals_prefix is not None:
+        # per-group totals straight from the small offsets table
+        out._tabeval_totals = offsets.select(*group, *[f"{totals_prefix}{c}" for c in sums]).distinct()
+        out._tabeval_totals_map = {f"{totals_prefix}{c}": f"{totals_prefix}{c}" for c in sums}
+    return out
 
 
 def hash_key(seed: int | str, *cols: str) -> Column:

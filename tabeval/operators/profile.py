@@ -125,6 +125,6 @@ def truncate_to_smallest(long: DataFrame, key: str, row: str = "i", col: str = "
     count among them."""
     dims = long.groupBy(key).agg((F.max(row) + 1).alias("_r"), (F.max(col) + 1).alias("_c"))
     lim = dims.agg(F.min("_r").alias("_mr"), F.min("_c").alias("_mc"))
-    from .curves import attach
+    from .ordered import attach
     return attach(long, lim, []).where((F.col(row) < F.col("_mr")) & (F.col(col) < F.col("_mc"))) \
         .drop("_mr", "_mc")
