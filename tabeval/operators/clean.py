@@ -57,17 +57,19 @@ class Kinds:
 
 
 def column_kind_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, dtype, n_unique) where n_unique counts NULL as one value, in one pass."""
+    """(column, dtype, n_unique) where n_unique counts NULL as one value:
+    one stacked distinct plus one null-flag aggregate (no per-column Expand)."""
+    from .profile import distinct_counts
     cols = list(cols)
-    aggs = []
-    for c in cols:
-        aggs.append((F.countDistinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c))
-    row = df.agg(*aggs) if aggs else None
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in cols)
-    out = row.select(F.expr(f"stack({len(cols)}, {stack}) as (column, n_unique)"))
+    nulls = df.agg(*[F.max(F.col(c).isNull().cast("long")).alias(c) for c in cols])
+    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
+    has_null = nulls.select(F.expr(f"stack({len(cols)}, {stack}) as (column, has_null)"))
     types = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in cols],
                                             "column string, dtype string")
-    return out.join(F.broadcast(types), "column")
+    # all three tables hold one row per column
+    out = types.join(F.broadcast(has_null), "column").join(F.broadcast(distinct_counts(df, cols)), "column", "left")
+    return out.select("column", "dtype", (F.coalesce("n_unique", F.lit(0).cast("long")) + F.col("has_null"))
+                      .alias("n_unique"))
 
 
 def infer_column_kinds(df: DataFrame, cols: Sequence[str], unique_value_threshold: int = 10) -> DataFrame:

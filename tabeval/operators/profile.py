@@ -16,9 +16,28 @@ from pyspark.sql import functions as F
 from .clean import correlation_pairs, is_numeric
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, n_unique) with NULL excluded, for many columns in ONE shuffle:
+    the columns are stacked to (column, numeric value, text value) and made
+    distinct together, instead of one Expand copy of the table per column."""
+    cols = list(cols)
+    parts = []
+    for c in cols:
+        if is_numeric(df, c):
+            parts.append(f"'{c}', CAST(`{c}` AS DOUBLE), CAST(NULL AS STRING)")
+        else:
+            parts.append(f"'{c}', CAST(NULL AS DOUBLE), CAST(`{c}` AS STRING)")
+    long = df.select(F.expr(f"stack({len(cols)}, {', '.join(parts)}) as (column, dv, sv)")) \
+        .where(F.col("dv").isNotNull() | F.col("sv").isNotNull())
+    return long.distinct().groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
+
+
 def profile_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: dtype, missing count and %, distinct (NULL excluded), and for
-    numeric columns mean / sample std / min / max (NaN ignored)."""
+    numeric columns mean / sample std / min / max (NaN ignored).
+
+    Two jobs: one single-pass aggregate for the moments (map-side partial
+    aggregation, a p-row result) and one stacked distinct for the counts."""
     cols = list(cols)
     n = F.count(F.lit(1))
     aggs = [n.alias("_n")]
@@ -27,7 +46,6 @@ def profile_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         num = is_numeric(df, c)
         miss = x.isNull() | (F.isnan(x) if num else F.lit(False))
         aggs.append(F.sum(miss.cast("long")).alias(f"m{i}"))
-        aggs.append(F.countDistinct(x).alias(f"u{i}"))
         if num:
             v = F.when(~F.isnan(x.cast("double")), x.cast("double"))
             aggs += [exact_mean(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
@@ -38,11 +56,13 @@ def profile_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         dt = df.schema[c].dataType.simpleString()
         num = is_numeric(df, c)
         stats = f"a{i}, s{i}, lo{i}, hi{i}" if num else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
-        parts.append(f"'{c}', '{dt}', CAST(m{i} AS BIGINT), CAST(u{i} AS BIGINT), {stats}")
+        parts.append(f"'{c}', '{dt}', CAST(m{i} AS BIGINT), {stats}")
     st = row.select("_n", F.expr(f"stack({len(cols)}, {', '.join(parts)}) as "
-                                 "(column, dtype, missing, n_unique, mean, std, min, max)"))
+                                 "(column, dtype, missing, mean, std, min, max)"))
+    # both sides hold one row per profiled column
+    st = st.join(F.broadcast(distinct_counts(df, cols)), "column", "left")
     return st.select("column", "dtype", "missing", (F.col("missing") / F.col("_n") * 100.0).alias("missing_pct"),
-                     "n_unique", "mean", "std", "min", "max")
+                     F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "mean", "std", "min", "max")
 
 
 def experiment_prevalence(df: DataFrame, roles: DataFrame) -> DataFrame:
