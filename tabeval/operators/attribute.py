@@ -125,8 +125,8 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     preds = scored.select("_feature", F.col(y).alias("y"), vector_to_array("probability")[1].alias("score"))
     aucs = ev.auc_table(ev.score_groups(preds, ["_feature"]), ["_feature"])
     b = aucs.where(F.col("_feature") == "__baseline__").select(F.col("auc").alias("baseline_auc"))
-    imp = aucs.where(F.col("_feature") != "__baseline__").withColumn("_k", F.lit(1)) \
-        .join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    from .ordered import attach
+    imp = attach(aucs.where(F.col("_feature") != "__baseline__"), b, [])
     imp = imp.select(F.col("_feature").alias("feature"), (F.col("baseline_auc") - F.col("auc")).alias("importance"),
                      "baseline_auc")
     return imp.orderBy(F.abs("importance").desc(), "feature").limit(top)

@@ -53,11 +53,16 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach a per-group summary (one row per group) to ``df`` on the group
-    keys; with no keys the summary is one row, joined on a constant."""
+    keys. With no keys the summary is a single aggregate row: it is read once
+    and added as typed literals (no join, so no nested-loop plan)."""
     keys = list(keys)
     if keys:
         return join_checked(df, small, keys)
-    return join_checked(df.withColumn("_k", F.lit(1)), small.withColumn("_k", F.lit(1)), ["_k"]).drop("_k")
+    rows = small.limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected a one-row summary, got {len(rows)} rows")
+    row = rows[0]
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in small.schema.fields])
 
 
 def group_totals(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> DataFrame:

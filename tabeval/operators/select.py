@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clean import correlation_pairs
+from .ordered import attach
 
 
 def _class_moments(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
@@ -86,7 +87,7 @@ def select_percentile(scores: DataFrame, features: Sequence[str], percentile: fl
     idx = _order_index(scores.sparkSession, features)
     s = scores.join(F.broadcast(idx), "feature")
     thr = s.agg(F.percentile(F.col("score"), (100.0 - percentile) / 100.0).alias("thr"))
-    s = s.withColumn("_k", F.lit(1)).join(F.broadcast(thr.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    s = attach(s, thr, [])
     max_feats = int(p * percentile / 100)
     above = F.col("score") > F.col("thr")
     w_all = Window.partitionBy()  # p rows
