@@ -117,22 +117,33 @@ def low_variance_report(df: DataFrame, cols: Sequence[str], threshold: float, ke
     return rep.withColumn("dropped", (drop & ~F.col("column").isin(*keep)) if keep else drop)
 
 
+#: aggregate expressions per job for wide tables (keeps generated code small)
+AGG_CHUNK = 200
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation for i < j in one aggregate: (a, b, i, j, r)."""
+    """Pairwise-complete Pearson correlation for every i < j: (a, b, i, j, r).
+
+    One aggregate job per ``AGG_CHUNK`` pairs (p(p-1)/2 expressions for a wide
+    table would not compile into one stage); each job is a single pass with
+    map-side partial aggregation, and the chunk results are unioned."""
     cols = list(cols)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
+    pairs = [(a, cols[j], i, j) for i, a in enumerate(cols) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
+    out = None
+    for start in range(0, len(pairs), AGG_CHUNK):
+        chunk = pairs[start:start + AGG_CHUNK]
+        aggs = []
+        for a, b, i, j in chunk:
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
             aggs.append(F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double")))
                         .alias(f"{i}_{j}"))
-            pairs.append((a, b, i, j))
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
-    row = df.agg(*aggs)
-    stack = ", ".join(f"'{a}', '{b}', {i}, {j}, `{i}_{j}`" for a, b, i, j in pairs)
-    return row.select(F.expr(f"stack({len(pairs)}, {stack}) as (a, b, i, j, r)"))
+        row = df.agg(*aggs)
+        stack = ", ".join(f"'{a}', '{b}', {i}, {j}, `{i}_{j}`" for a, b, i, j in chunk)
+        part = row.select(F.expr(f"stack({len(chunk)}, {stack}) as (a, b, i, j, r)"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def correlated_report(df: DataFrame, cols: Sequence[str], threshold: float, keep: Sequence[str] = ()) -> DataFrame:

@@ -65,6 +65,24 @@ def _finite(c: str):
 
 
 # --------------------------------------------------------------------- impute
+def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict:
+    """Mode of every column (smallest value among ties), all columns in one
+    stacked (column, value) count: {column: mode}."""
+    cols = list(cols)
+    num = [c for c in cols if isinstance(df.schema[c].dataType, (T.NumericType,))]
+    out = {}
+    for group, cast in ((num, "DOUBLE"), ([c for c in cols if c not in num], "STRING")):
+        if not group:
+            continue
+        stack = ", ".join(f"'{c}', CAST(`{c}` AS {cast})" for c in group)
+        long = df.select(F.expr(f"stack({len(group)}, {stack}) as (column, value)")).where(F.col("value").isNotNull())
+        vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        for r in vc.groupBy("column").agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("m")).collect():
+            out[r["column"]] = r["m"]
+    return {c: out.get(c) for c in cols}
+
+
+
 @dataclass
 class Imputer:
     strategy: str = "mean"
@@ -80,11 +98,7 @@ class Imputer:
             q = _quantile_dict(df, cols, [0.5])
             self.values = {c: q.get((c, 0.5)) for c in cols}
         elif self.strategy == "most_frequent":
-            self.values = {}
-            for c in cols:  # one small aggregate per column: (value, count) table
-                vc = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("cnt"))
-                r = vc.agg(F.min_by(c, F.struct(-F.col("cnt"), F.col(c))).alias("m")).first()
-                self.values[c] = r["m"]
+            self.values = most_frequent(df, cols)
         elif self.strategy == "constant":
             self.values = {c: self.fill_value for c in cols}
         else:
