@@ -289,3 +289,13 @@ def bootstrap_auc_ci(df: DataFrame, group: Sequence[str], row_id: str, y: str =
     q = aucs.groupBy(*group).agg(F.percentile("auc", [0.025, 0.975]).alias("_q"),
                                  F.count("auc").alias("n_boot"))
     return q.select(*group, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "n_boot")
+
+
+def flip_low_auc_folds(preds: DataFrame, group: Sequence[str], fold: str = "fold", y: str = "y",
+                       score: str = "score") -> DataFrame:
+    """Parity option (Q8): a fold whose AUC is below 0.5 gets ``1 - score``
+    before averaging, as the reference's averaged-ROC routine does."""
+    fg = list(group) + [fold]
+    aucs = ev.auc_table(ev.score_groups(preds, fg, y, score), fg).select(*fg, (F.col("auc") < 0.5).alias("_flip"))
+    j = attach(preds, aucs, fg)
+    return j.withColumn(score, F.when(F.col("_flip"), 1.0 - F.col(score)).otherwise(F.col(score))).drop("_flip")

@@ -76,6 +76,27 @@ def roc_points(sg: DataFrame, group: Sequence[str] = ()) -> DataFrame:
                       _div(F.col("fp").cast("double"), F.col("N")).alias("fpr"))
 
 
+def drop_collinear(sg: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Parity option (Q11): keep only ROC vertices where the curve bends, as the
+    reference's ROC library does by default. An interior vertex i is dropped
+    when the second differences of fp and tp are both 0, i.e. when the next
+    score group has the same (pos, neg) counts; the last vertex always stays.
+    The next group is found by its ordinal (distributed running count), an
+    equi-join on (group, ordinal + 1)."""
+    group = list(group)
+    ords = prefix_sum(sg.withColumn("_one", F.lit(1).cast("long")), group, ["score"], ["_one"], descending=True,
+                      prefix="_o")
+    cur = ords.drop("_one").withColumnRenamed("_o_one", "_ord")
+    nxt = ords.select(*group, (F.col("_o_one") - 1).alias("_ord"), F.col("pos").alias("_npos"),
+                      F.col("neg").alias("_nneg"))
+    j = cur.join(nxt, [*group, "_ord"], "left")
+    keep = F.col("_npos").isNull() | (F.col("_ord") == 1) | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg"))
+    out = j.where(keep).drop("_ord", "_npos", "_nneg")
+    out._tabeval_totals = getattr(sg, "_tabeval_totals", None)
+    out._tabeval_totals_map = getattr(sg, "_tabeval_totals_map", {})
+    return out
+
+
 def _rates(tpr: Column, fpr: Column, P: Column, N: Column, z: float) -> dict[str, Column]:
     fnr = 1.0 - tpr
     tnr = 1.0 - fpr

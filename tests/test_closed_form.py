@@ -101,3 +101,28 @@ def test_rank_sum_and_normal_tail(spark):
 def test_t_quantile():
     assert t_ppf(0.975, 5) == pytest.approx(2.570581835636314, rel=1e-10)
     assert t_ppf(0.975, 10) == pytest.approx(2.2281388519649385, rel=1e-10)
+
+
+def test_drop_collinear_matches_second_difference(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 200)
+    s = rng.integers(0, 40, 200).astype(float)
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, score double")
+    sg = ev.score_groups(df)
+    kept = sorted(r["score"] for r in ev.drop_collinear(sg).collect())
+    # reference rule on the descending distinct-score curve: keep ends and bends
+    order = np.sort(np.unique(s))[::-1]
+    tps = np.cumsum([((s == v) & (y == 1)).sum() for v in order])
+    fps = np.cumsum([((s == v) & (y == 0)).sum() for v in order])
+    keep = np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True]
+    assert kept == sorted(order[keep].tolist())
+
+
+def test_flip_low_auc_folds(spark):
+    from tabeval.operators.curves import flip_low_auc_folds
+    rows = [(0, 1, .9), (0, 0, .1), (0, 1, .8), (0, 0, .2), (1, 1, .1), (1, 0, .9), (1, 1, .2), (1, 0, .8)]
+    df = spark.createDataFrame(rows, "fold int, y int, score double")
+    out = flip_low_auc_folds(df, [], "fold")
+    aucs = {r["fold"]: r["auc"] for r in ev.auc_table(ev.score_groups(out, ["fold"]), ["fold"]).collect()}
+    assert aucs == {0: 1.0, 1: 1.0}
