@@ -28,7 +28,7 @@ def orders_features(spark, d):
                     (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y_urgent"),
                     F.col("o_totalprice").alias("price"),
                     F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double").alias("odays"),
-                    F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"))
+                    F.substring("o_orderpriority", 1, 1).cast("double").alias("prio"), "o_orderpriority")
 
 
 def _metrics(preds, group):
@@ -141,25 +141,41 @@ def q_train_whole(spark, d):
 
 @register("train_test")
 def q_train_test(spark, d):
-    preds = md.train_test(orders_features(spark, d), FEATS, "y", "row_id", "rf", {"n_estimators": 20, "max_depth": 5},
-                          md.Prep(impute="mean"))
-    return _metrics(preds, ["split"])
+    """The reference's train/test flow per outcome: stratified split, then on the
+    training part impute -> scale -> undersample -> select (ANOVA F, 2 of 3)
+    -> fit, for two learners; the result table of train and test metrics."""
+    from ..operators import results as rs
+    from ..operators import workflow as wf
+    opts = wf.Options(impute="mean", scaling="StandardScaler", rebalance="RandomUnderSampler",
+                      feature_selection="SelectKBest-f_classif", n_features=2, min_positives=10)
+    preds = wf.train_test_flow(orders_features(spark, d), FEATS, ["y", "y_urgent"], "row_id",
+                               {"lr": {}, "rf": {"n_estimators": 20, "max_depth": 5}}, opts)
+    return rounded(rs.results_table(preds))
 
 
 @register("split_provided_test")
 def q_provided_test(spark, d):
+    """Fit the table-level preparation (one-hot, rows, inf, outliers) and the
+    model on one table, apply both to another table."""
+    from ..operators import workflow as wf
     df = orders_features(spark, d)
     train, test = df.where(F.col("odays") < 1096), df.where(F.col("odays") >= 1096)
-    m = md.fit(train, FEATS, "y", "lr", {}, md.Prep(impute="mean", scaling="StandardScaler"))
-    preds = md.score(m, train, [F.lit("train").alias("split"), "y"]).unionByName(
-        md.score(m, test, [F.lit("test").alias("split"), "y"]))
+    opts = wf.Options(impute="mean", scaling="MinMaxScaler", outliers="log", outliers_n=300000.0)
+    tp = wf.TablePrep(["price", "odays"], ["o_orderpriority"], opts)
+    tr = tp.fit_transform(train)
+    te = tp.transform(test)
+    fm = wf.FoldModel(tp.inputs, "y", "lr", {}, opts).fit(tr, "row_id")
+    preds = fm.score(tr, [F.lit("train").alias("split"), "y"]).unionByName(fm.score(te, [F.lit("test").alias("split"), "y"]))
     return _metrics(preds, ["split"])
 
 
 @register("cross_validate")
 def q_cross_validate(spark, d):
-    oof = md.cross_validate(orders_features(spark, d), FEATS, "y", "row_id", "lr", {},
-                            md.Prep(impute="median", scaling="MinMaxScaler", normalize=False), k=3, n_repeats=1)
+    """Stratified 3-fold CV; each fold imputes (median), scales (min-max),
+    oversamples the minority class and fits on its own training rows."""
+    from ..operators import workflow as wf
+    opts = wf.Options(impute="median", scaling="MinMaxScaler", rebalance="RandomOverSampler")
+    oof = wf.cross_validate_flow(orders_features(spark, d), FEATS, "y", "row_id", "lr", {}, opts, k=3, n_repeats=1)
     return _metrics(oof, ["repeat", "fold", "split"])
 
 
