@@ -269,25 +269,51 @@ def _macro_auc(sg: DataFrame, group: Sequence[str], cls: str, classes: Sequence[
 
 
 # ------------------------------------------------------------------ bootstrap
+#: cells with more rows than this draw Poisson(count) by a normal approximation
+POISSON_EXACT_MAX = 64
+
+
+def _poisson_count(count: Column, key: Column, seed: int) -> Column:
+    """Poisson(count) draw, hash-seeded by ``key``: count 1 -> inverse CDF; up to
+    POISSON_EXACT_MAX -> sum of count Poisson(1) draws; above -> Box-Muller
+    normal approximation round(c + sqrt(c) z), floored at 0."""
+    from .sample import hash_uniform, poisson1
+    one = poisson1(hash_uniform(F.lit(f"{seed}:p:"), key))
+    many = F.aggregate(F.sequence(F.lit(1), F.least(count, F.lit(POISSON_EXACT_MAX)).cast("int")), F.lit(0),
+                       lambda acc, i: acc + poisson1(hash_uniform(F.lit(f"{seed}:p:"), key, F.lit(":"), i)))
+    u1 = hash_uniform(F.lit(f"{seed}:n1:"), key) + F.lit(1e-18)
+    u2 = hash_uniform(F.lit(f"{seed}:n2:"), key)
+    z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
+    approx = F.greatest(F.round(count + F.sqrt(count.cast("double")) * z), F.lit(0.0)).cast("long")
+    return F.when(count == 1, one.cast("long")).when(count <= POISSON_EXACT_MAX, many.cast("long")).otherwise(approx)
+
+
 def bootstrap_auc_ci(df: DataFrame, group: Sequence[str], row_id: str, y: str = "y", score: str = "score",
                      n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Poisson-bootstrap AUC percentiles (2.5, 97.5) per group.
 
-    Each replicate is a weighted table; its AUC comes from weighted score groups
-    and the same distributed running sums as the point estimate.
-    """
-    from .sample import bootstrap_weights
+    Rows are first collapsed to (group, score, label) cells; replicate b gives a
+    cell of c rows the weight Poisson(c) (the sum of c Poisson(1) row weights),
+    so tied scores cost one cell, not c rows, per replicate. Each replicate's
+    AUC comes from weighted score groups and the distributed running sums.
+    ``row_id`` is accepted for API symmetry; cells replace rows."""
     group = list(group)
-    w = bootstrap_weights(ev.clean_predictions(df, y, score), row_id, n_boot, seed)
-    g = w.groupBy(*group, "replicate", F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.col("weight") * F.col(y)).alias("pos"), F.sum(F.col("weight") * (1 - F.col(y))).alias("neg"))
+    cells = ev.clean_predictions(df, y, score).groupBy(*group, F.col(score).cast("double").alias("score"),
+                                                       F.col(y).cast("int").alias("_y")) \
+        .agg(F.count(F.lit(1)).alias("_c"))
+    rep = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    key = F.concat_ws(":", *[F.col(g).cast("string") for g in group], F.col("score").cast("string"),
+                      F.col("_y").cast("string"), F.col("replicate").cast("string"))
+    w = rep.withColumn("weight", _poisson_count(F.col("_c"), key, seed)).where(F.col("weight") > 0)
+    g = w.groupBy(*group, "replicate", "score").agg(
+        F.sum(F.col("weight") * F.col("_y")).alias("pos"), F.sum(F.col("weight") * (1 - F.col("_y"))).alias("neg"))
     run = prefix_sum(g, group + ["replicate"], ["score"], ["pos", "neg"], descending=True, prefix="c_",
                      totals_prefix="t_")
     v01 = _div(F.col("t_neg") - F.col("c_neg") + F.col("neg") / 2.0, F.col("t_neg").cast("double"))
     aucs = run.groupBy(*group, "replicate").agg(
         _div(F.sum(F.col("pos") * v01), F.first("t_pos").cast("double")).alias("auc"))
-    q = aucs.groupBy(*group).agg(F.percentile("auc", [0.025, 0.975]).alias("_q"),
-                                 F.count("auc").alias("n_boot"))
+    q = aucs.where(F.col("auc").isNotNull()).groupBy(*group).agg(
+        F.percentile("auc", [0.025, 0.975]).alias("_q"), F.count("auc").alias("n_boot"))
     return q.select(*group, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "n_boot")
 
 

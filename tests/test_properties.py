@@ -114,3 +114,16 @@ def test_confusion_cells_sum_to_n(spark):
     per = {r["outcome"]: r["s"] for r in cm.groupBy("outcome").agg(F.sum("count").alias("s")).collect()}
     n = {r["outcome"]: r["count"] for r in p.groupBy("outcome").count().collect()}
     assert per == n
+
+
+def test_bootstrap_ci_brackets_auc(spark):
+    from tabeval.operators.curves import bootstrap_auc_ci
+    from tabeval.sources.problems import lineitem_predictions
+    p = lineitem_predictions(spark, SF).where("algorithm = 'qty'")  # 50 distinct scores: heavy ties
+    g = ["outcome"]
+    ci = {r["outcome"]: r for r in bootstrap_auc_ci(p, g, "row_id", n_boot=200, seed=3).collect()}
+    auc = {r["outcome"]: r["auc"] for r in ev.auc_table(ev.score_groups(p, g), g).collect()}
+    for o, a in auc.items():
+        assert ci[o]["n_boot"] == 200
+        assert ci[o]["ci_low"] < a < ci[o]["ci_high"]
+        assert ci[o]["ci_high"] - ci[o]["ci_low"] < 0.2
