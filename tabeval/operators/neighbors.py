@@ -34,7 +34,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import prefix_sum
+from .ordered import freeze, prefix_sum
 from .sample import hash_int, hash_uniform
 
 
@@ -118,14 +118,14 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
     # ranks of references along u, and each query's position among them
     ranked = prefix_sum(r.withColumn("_one", F.lit(1).cast("long")), [], ["t", "rid"], ["_one"], prefix="_r",
                         totals_prefix="_n")
-    ranked = ranked.select("rid", "rv", "t", F.col("_r_one").alias("rank"), F.col("_n_one").alias("n_refs")) \
-        .checkpoint(eager=True)
+    ranked = freeze(ranked.select("rid", "rv", "t", F.col("_r_one").alias("rank"), F.col("_n_one").alias("n_refs")),
+                    "knn-ranked")
     marks = r.select("t", F.lit(0).alias("_kind"), F.col("rid").alias("_id"), F.lit(1).cast("long").alias("_isref")) \
         .unionByName(q.select("t", F.lit(1).alias("_kind"), F.col("qid").alias("_id"), F.lit(0).cast("long").alias("_isref")))
     pos = prefix_sum(marks, [], ["t", "_kind", "_id"], ["_isref"], prefix="_p", totals_prefix="_nr") \
         .where(F.col("_kind") == 1).select(F.col("_id").alias("qid"), F.col("_p_isref").alias("pos"),
                                            F.col("_nr_isref").alias("n_refs"))
-    qpos = q.join(pos, "qid").checkpoint(eager=True)
+    qpos = freeze(q.join(pos, "qid"), "knn-queries")
     by_rank_t = ranked.select("rank", F.col("t").alias("rt"))
     refs_chunked = ranked.select(F.col("rid").alias("id"), F.col("rv").alias("v"), "rank",
                                  F.floor(F.col("rank") / REF_CHUNK).alias("chunk"))
@@ -162,11 +162,11 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
         right_ok = (F.col("pos") + w + 1 >= F.col("n_refs")) | (F.col("t_hi") - F.col("tq") >= F.col("dk"))
         whole = (F.col("pos") - w <= 1) & (F.col("pos") + w + 1 >= F.col("n_refs"))
         ok = whole | ((F.col("nk") >= k) & left_ok & right_ok)
-        st = st.select("qid", ok.alias("ok")).checkpoint(eager=True)
+        st = st.select("qid", ok.alias("ok")).checkpoint(eager=True)  # narrow
         res = top.join(st.where("ok").select("qid"), "qid").select("qid", "rid", "distance", "nn_rank") \
-            .checkpoint(eager=True)
+            .checkpoint(eager=True)  # narrow
         done = res if done is None else done.unionByName(res)
-        pending = pending.join(st.where(~F.col("ok")).select("qid"), "qid").checkpoint(eager=True)
+        pending = freeze(pending.join(st.where(~F.col("ok")).select("qid"), "qid"), "knn-pending")
         # unresolved queries: a scalar count steers the loop
         if pending.limit(1).count() == 0:
             break

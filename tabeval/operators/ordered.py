@@ -6,8 +6,9 @@ holds a third of the rows. ``prefix_sum`` instead:
 
 1. range-partitions on (group, order) — Spark samples the keys and splits even
    one huge group over many partitions;
-2. tags each row with its partition id and checkpoints (reliable, to
-   ``spark.checkpoint.dir``) so the sampled ranges are frozen and lineage is cut;
+2. tags each row with its partition id and writes the table under
+   ``spark.checkpoint.dir`` (``freeze``) so the sampled ranges are fixed, lineage
+   is cut, and a lost executor cannot change them;
 3. sums each (partition, group) slice — a table of at most
    ``#partitions + #groups`` rows — and turns those into per-slice offsets with a
    window over that small table;
@@ -24,6 +25,7 @@ groups — or add a tiebreak column to ``order``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,6 +35,20 @@ from ..session import ensure_checkpoint_dir
 
 PID = "_pid"
 
+
+def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet under the session's shared
+    checkpoint folder and reading it back: one job, deterministic contents that
+    survive executor loss, column pruning and real size statistics downstream.
+    Column names are stored positionally (any name survives the round trip)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tabeval-{name}-{uuid.uuid4().hex}"
+    names = df.columns
+    df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
 #: largest small side (rows) joined by broadcast; beyond it a shuffle-hash join
 BROADCAST_ROW_LIMIT = 1_000_000
 
@@ -43,7 +59,7 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
     offset tables): it is checkpointed (reliable, small), counted, and
     broadcast only when the count is under ``limit_rows``; otherwise a
     shuffle-hash join builds on it. The big side is never broadcast."""
-    small = small.checkpoint(eager=True)
+    small = small.checkpoint(eager=True)  # small: a reliable checkpoint is cheapest
     n = small.count()
     side = F.broadcast(small) if n <= limit_rows else small.hint("shuffle_hash")
     if isinstance(on, Column):
@@ -85,7 +101,7 @@ def range_frozen(df: DataFrame, group: Sequence[str], order: Sequence[str], desc
     ensure_checkpoint_dir(df.sparkSession)
     keys = [F.col(g).asc_nulls_first() for g in group] + _order_cols(order, descending)
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    return ranged.withColumn(PID, F.spark_partition_id()).checkpoint(eager=True)
+    return freeze(ranged.withColumn(PID, F.spark_partition_id()), "ranged")
 
 
 def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str],
@@ -106,7 +122,7 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
     if totals_prefix is not None:
         off_cols += [F.sum(f"_slice_{c}").over(whole).alias(f"{totals_prefix}{c}") for c in sums]
     # at most #partitions + #groups rows: frozen, counted, then broadcast or hash-joined
-    offsets = slices.select(PID, *group, *off_cols).checkpoint(eager=True)
+    offsets = slices.select(PID, *group, *off_cols).checkpoint(eager=True)  # small table
     n_off = offsets.count()
 
     local = Window.partitionBy(PID, *group).orderBy(*_order_cols(order, descending)) \

@@ -29,6 +29,7 @@ from . import models as md
 from . import neighbors as nb
 from . import sample as sp
 from . import select as sl
+from .ordered import freeze
 
 
 @dataclass
@@ -251,7 +252,7 @@ def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id:
     base = df.where(F.col(y).isNotNull())
     out = None
     for r in range(n_repeats):
-        folds = sp.kfold_stratified(base, y, row_id, k, options.seed + r, out="_fold").checkpoint(eager=True)
+        folds = freeze(sp.kfold_stratified(base, y, row_id, k, options.seed + r, out="_fold"), "folds")
         for f in range(k):
             fm = FoldModel(list(features), y, alg, params, options).fit(folds.where(F.col("_fold") != f), row_id)
             p = fm.score(folds, [F.lit(r).alias("repeat"), F.lit(f).alias("fold"),
