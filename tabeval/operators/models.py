@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
+from .ordered import freeze
 from .sample import kfold_stratified, split_stratified
 
 LABEL = "_label"
@@ -213,7 +214,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], y: str, row_id: str,
     out = None
     base = df.where(F.col(y).isNotNull())
     for r in range(n_repeats):
-        folds = kfold_stratified(base, y, row_id, k, seed + r, out="_fold").persist()
+        folds = freeze(kfold_stratified(base, y, row_id, k, seed + r, out="_fold"), "folds")
         for f in range(k):
             train = folds.where(F.col("_fold") != f)
             model = fit(train, features, y, alg, params, prep)
@@ -283,7 +284,7 @@ def select_rfecv(df: DataFrame, features: Sequence[str], y: str, row_id: str, mi
     with the smallest |coefficient| (scaled logistic regression) each step; the
     selected set is the best mean fold AUC with at least ``min_features``.
     Returns (n_features, features, mean_auc, selected)."""
-    folds = kfold_stratified(df.where(F.col(y).isNotNull()), y, row_id, k, seed, out="_fold").persist()
+    folds = freeze(kfold_stratified(df.where(F.col(y).isNotNull()), y, row_id, k, seed, out="_fold"), "folds")
     prep = Prep(impute="mean", scaling="StandardScaler")
     cur = list(features)
     rows = []

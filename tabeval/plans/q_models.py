@@ -359,7 +359,20 @@ def q_shap_mean(spark, d):
     return rounded(at.shap_mean_table(_shap_values(spark, d), ["algorithm", "outcome"], list(_LIN_W)))
 
 
-@register("shap_rank")
+def _shap_rank_sql() -> str:
+    parts = []
+    for alg, w in (("lin_a", _LIN_W), ("lin_b", {k: v for k, v in _LIN_W.items() if k != "l_tax"})):
+        for f in w:
+            parts.append(f"SELECT '{alg}' AS algorithm, 'returned' AS outcome, '{f}' AS feature, "
+                         f"AVG(abs({w[f]!r} * (CAST({f} AS DOUBLE) - (SELECT AVG(CAST({f} AS DOUBLE)) FROM lineitem)))) AS mean_abs FROM lineitem")
+    return f"""WITH m AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY algorithm, outcome ORDER BY mean_abs DESC, feature) AS rank FROM m),
+u AS (SELECT feature, COUNT(DISTINCT algorithm || '|' || outcome) AS n_models FROM m WHERE mean_abs IS NOT NULL GROUP BY feature)
+SELECT r.feature, r.algorithm, r.outcome, round(r.mean_abs, 6) AS mean_abs, CAST(r.rank AS INTEGER) AS rank,
+  CAST(u.n_models AS BIGINT) AS n_models FROM r JOIN u ON r.feature = u.feature WHERE r.rank <= 3"""
+
+
+@register("shap_rank", _shap_rank_sql())
 def q_shap_rank(spark, d):
     v = _shap_values(spark, d)
     mean_long = v.groupBy("algorithm", "outcome", "feature").agg(F.avg(F.abs("shap_value")).alias("mean_abs"))

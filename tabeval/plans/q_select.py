@@ -71,6 +71,26 @@ def q_variance(spark, d):
     return rounded(sl.select_variance(_li(spark, d), FEATS, 0.0), 3)
 
 
-@register("select_mrmr")
+def _mrmr_sql(k: int = 3) -> str:
+    """Greedy MRMR unrolled for k steps: relevance F, redundancy mean |corr|
+    with the features already chosen (floor 0.001), ties to the earlier feature."""
+    corr = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(CORR({a}, {b})) AS r FROM li"
+                              for i, a in enumerate(FEATS) for b in FEATS[i + 1:])
+    steps = [f"s1 AS (SELECT feature, idx, score FROM fs ORDER BY score DESC, idx LIMIT 1)"]
+    for n in range(2, k + 1):
+        prev = " UNION ALL ".join(f"SELECT feature FROM s{m}" for m in range(1, n))
+        steps.append(f"""s{n} AS (SELECT fs.feature, fs.idx, fs.score FROM fs
+  WHERE fs.feature NOT IN ({prev})
+  ORDER BY fs.score / greatest((SELECT AVG(coalesce(cp.r, 0)) FROM ({prev}) ch
+                                LEFT JOIN cpair cp ON cp.a = fs.feature AND cp.b = ch.feature), 0.001) DESC, fs.idx LIMIT 1)""")
+    out = " UNION ALL ".join(f"SELECT feature, {n} AS rank, score FROM s{n}" for n in range(1, k + 1))
+    return f"""WITH {_F_SQL},
+cp0 AS ({corr}),
+cpair AS (SELECT a, b, r FROM cp0 UNION ALL SELECT b, a, r FROM cp0),
+{', '.join(steps)}
+SELECT feature, CAST(rank AS INTEGER) AS rank, round(score, 6) AS f_score FROM ({out})"""
+
+
+@register("select_mrmr", _mrmr_sql(3))
 def q_mrmr(spark, d):
     return rounded(sl.select_mrmr(_li(spark, d), FEATS, "y", 3))
