@@ -12,7 +12,7 @@ from ..operators import sample as sp
 from ..sources.io import read_table
 from ..sources.problems import DOC_PRED_SQL, ORDERS_SQL, doc_predictions, orders_problem
 from .registry import register, rounded
-from .sqlgen import Z, div, score_groups_sql
+from .sqlgen import Z, score_groups_sql
 
 K = 5
 SEED = 42

@@ -12,7 +12,7 @@ from ..sources.io import read_table
 from ..sources.problems import (DOC_PRED_SQL, LINEITEM_PRED_SQL, ORDERS_SQL, doc_predictions,
                                 lineitem_predictions, orders_problem)
 from .registry import register, rounded
-from .sqlgen import Z, div, gsel, r6, rates_sql, roc_sql, score_groups_sql, wilson_sql
+from .sqlgen import Z, div, r6, rates_sql, roc_sql, score_groups_sql, wilson_sql
 
 LG = ["algorithm", "outcome"]
 DG = ["outcome"]

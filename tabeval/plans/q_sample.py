@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sample as sp
 from ..sources.io import read_table
 from ..sources.problems import ORDERS_SQL, orders_problem
-from .registry import register, rounded
+from .registry import register
 
 SEED = 42
 
