@@ -257,7 +257,7 @@ def q_replace_inf(spark, d):
 
 
 @register("log_large_values", f"""WITH {WIDE_SQL}
-SELECT price, CASE WHEN price > 50000 THEN ln(price) ELSE price END AS price_log FROM wide""")
+SELECT price, round(CASE WHEN price > 50000 THEN ln(price) ELSE price END, 6) AS price_log FROM wide""")
 def q_log_large(spark, d):
     w = wide_lineitem(spark, d)
     return rounded(w.select("price", fs.log_large_values("price", 50000.0).alias("price_log")))
