@@ -187,7 +187,7 @@ tot AS (SELECT outcome, CAST(SUM(y) AS DOUBLE) AS P, CAST(SUM(1 - y) AS DOUBLE)
 cnt AS (SELECT dp.outcome, th.i, th.t, SUM(CASE WHEN dp.prob > th.t AND y = 1 THEN 1 ELSE 0 END) AS TP,
           SUM(CASE WHEN dp.prob > th.t AND y = 0 THEN 1 ELSE 0 END) AS FP FROM dp, th GROUP BY dp.outcome, th.i, th.t)
 SELECT c.outcome, round(c.t, 6) AS threshold,
-  round({'TP / (P + N) - FP / (P + N) * (t / (1 - t))' if col == 'model' else ('P / (P + N) - N / (P + N) * (t / (1 - t))' if col == 'all' else '0.0')}, 6) AS net_benefit_{col}
+  round({'TP / (P + N) - FP / (P + N) * (t / (1 - t))' if col == 'model' else ('P / (P + N) - N / (P + N) * (t / (1 - t))' if col == 'all' else 'CAST(0.0 AS DOUBLE)')}, 6) AS net_benefit_{col}
 FROM cnt c JOIN tot ON c.outcome = tot.outcome"""
 
 
