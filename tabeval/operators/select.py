@@ -119,26 +119,28 @@ MRMR_FLOOR = 0.001
 
 def select_mrmr(df: DataFrame, features: Sequence[str], y: str, k: int) -> DataFrame:
     """Greedy MRMR: first the max-F feature, then repeatedly the feature with the
-    largest F / mean |corr(feature, chosen)|. Two aggregates give the F table
-    (p rows) and the pair table (p(p-1)/2 rows); the greedy loop runs on those."""
+    largest F / mean |corr(feature, chosen)| (floor ``MRMR_FLOOR``); ties go to
+    the earlier feature. The F table and the |corr| pair table stay in Spark
+    (frozen once); each of the k steps is one small aggregate that returns a
+    single feature name, so nothing of size p^2 passes through the driver."""
+    from .ordered import freeze
     features = list(features)
-    f = {r["feature"]: (r["score"] if r["score"] is not None else 0.0)
-         for r in f_scores(df, features, y).collect()}
-    corr = {}
-    for r in correlation_pairs(df, features).collect():
-        v = abs(r["r"]) if r["r"] is not None else 0.0
-        corr[(r["a"], r["b"])] = corr[(r["b"], r["a"])] = v
+    idx = _order_index(df.sparkSession, features)
+    fs = freeze(f_scores(df, features, y).join(F.broadcast(idx), "feature")
+                .withColumn("score", F.coalesce("score", F.lit(0.0))), "mrmr-f")
+    pairs = correlation_pairs(df, features).select("a", "b", F.coalesce(F.abs("r"), F.lit(0.0)).alias("r"))
+    pairs = freeze(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")), "mrmr-corr")
     chosen: list[str] = []
-    left = list(features)
-    while left and len(chosen) < k:
-        def score(c):
-            if not chosen:
-                return f[c]
-            red = sum(corr.get((c, s), 0.0) for s in chosen) / len(chosen)
-            return f[c] / max(red, MRMR_FLOOR)
-        best = max(left, key=lambda c: (score(c), -features.index(c)))
+    for _ in range(min(k, len(features))):
+        cand = fs.where(~F.col("feature").isin(*chosen)) if chosen else fs
+        if chosen:
+            red = pairs.where(F.col("b").isin(*chosen)).groupBy("a").agg((F.sum("r") / len(chosen)).alias("red"))
+            cand = cand.join(red, cand["feature"] == red["a"], "left") \
+                .withColumn("crit", F.col("score") / F.greatest(F.coalesce("red", F.lit(0.0)), F.lit(MRMR_FLOOR)))
+        else:
+            cand = cand.withColumn("crit", F.col("score"))
+        best = cand.agg(F.max_by("feature", F.struct(F.col("crit"), -F.col("idx"))).alias("f")).first()["f"]
         chosen.append(best)
-        left.remove(best)
-    spark = df.sparkSession
-    return spark.createDataFrame([(c, i + 1, float(f[c])) for i, c in enumerate(chosen)],
-                                 "feature string, rank int, f_score double")
+    return fs.where(F.col("feature").isin(*chosen)).select(
+        "feature", F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col("feature")).cast("int").alias("rank"),
+        F.col("score").alias("f_score"))

@@ -126,3 +126,17 @@ def test_flip_low_auc_folds(spark):
     out = flip_low_auc_folds(df, [], "fold")
     aucs = {r["fold"]: r["auc"] for r in ev.auc_table(ev.score_groups(out, ["fold"]), ["fold"]).collect()}
     assert aucs == {0: 1.0, 1: 1.0}
+
+
+def test_normal_tail_sql_matches_erfc(spark):
+    from tabeval.functions.normal import log_sf_nonneg, normal_sf, two_sided_p
+    xs = [-8.0, -3.5, -1.0, 0.0, 0.3, 1.959963984540054, 2.99, 3.0, 5.5, 12.0, 40.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", normal_sf("x").alias("q"), two_sided_p("x").alias("p")).collect()
+    for r in got:
+        want = 0.5 * math.erfc(r["x"] / math.sqrt(2))
+        assert r["q"] == pytest.approx(want, rel=1e-11, abs=1e-16)
+        assert r["p"] == pytest.approx(math.erfc(abs(r["x"]) / math.sqrt(2)), rel=1e-11, abs=1e-16)
+    big = spark.createDataFrame([(50.0,)], "x double").select(log_sf_nonneg("x").alias("l")).first()["l"]
+    # ln Q(50) = -1250 - ln(50 sqrt(2 pi)) - ln(1 + 1/50^2 ...) ~ -1254.831
+    assert big == pytest.approx(-1250 - math.log(50 * math.sqrt(2 * math.pi)) - math.log1p(-1 / 2500 + 3 / 50 ** 4), rel=1e-9)
