@@ -243,19 +243,22 @@ def adasyn(df: DataFrame, id_col: str, vec: str, y: str, minority: int | str, n_
     """ADASYN: each minority row gets a share of the ``n_new`` samples
     proportional to the fraction of majority rows among its k nearest
     neighbours in the whole table; neighbours for interpolation are minority.
-    Per-row counts: floor of the share, remainders to the largest fractions."""
+    Per-row counts: floor of the share, remainders to the largest fractions,
+    all in integer arithmetic (no float-summation-order effects)."""
     allp = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"),
                      (F.col(y) == F.lit(minority)).alias("is_min"))
     mino = allp.where("is_min").select("id", "v")
     nn_all = knn_topk(mino.select(F.col("id").alias("qid"), F.col("v").alias("vec")),
                       allp.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True)
+    # exact integer shares: m_i = majority rows among the k neighbours,
+    # g_i = m_i * n_new / sum(m), floor and remainder in integers
     ratio = nn_all.join(allp.select(F.col("id").alias("rid"), "is_min"), "rid").groupBy("qid").agg(
-        F.avg((~F.col("is_min")).cast("double")).alias("r"))
-    tot = ratio.agg(F.sum("r").alias("R")).first()["R"] or 0.0
+        F.sum((~F.col("is_min")).cast("long")).alias("m"))
+    tot = ratio.agg(F.sum("m").alias("M")).first()["M"] or 0
     if tot == 0:
         return df.sparkSession.createDataFrame([], "synth_id bigint, base_id bigint, nb_id bigint, u double, vec array<double>")
-    share = ratio.withColumn("g", F.col("r") / F.lit(tot) * F.lit(float(n_new)))
-    share = share.withColumn("gi", F.floor("g").cast("long")).withColumn("frac", F.col("g") - F.col("gi"))
+    share = ratio.withColumn("gi", F.expr(f"(m * {int(n_new)}) div {int(tot)}").cast("long")) \
+        .withColumn("frac", F.pmod(F.col("m") * F.lit(n_new), F.lit(tot)))
     rem = n_new - int(share.agg(F.sum("gi")).first()[0] or 0)
     # remainders to the largest fractions (ties by id): ranked with the distributed prefix sum
     fr = prefix_sum(share.withColumn("_one", F.lit(1).cast("long")).withColumn("_nf", -F.col("frac")),

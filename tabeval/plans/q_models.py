@@ -301,7 +301,35 @@ def q_smote(spark, d):
     return rounded(s.select("synth_id", "base_id", "nb_id", "u", F.col("vec")[0].alias("x0"), F.col("vec")[1].alias("x1")))
 
 
-@register("adasyn")
+def _adasyn_sql() -> str:
+    h = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
+    return f"""WITH e AS (SELECT vec_id AS id, embedding, CAST(label = 0 AS INTEGER) AS y FROM embeddings),
+mino AS (SELECT id, embedding FROM e WHERE y = 1),
+nn AS (SELECT (SELECT COUNT(*) FROM e WHERE y = 0) - (SELECT COUNT(*) FROM mino) AS n_new),
+pa AS (SELECT a.id AS qid, b.id AS rid, b.y AS ry, {_DIST} AS distance FROM mino a JOIN e b ON a.id <> b.id),
+na AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY distance, rid) AS r FROM pa),
+ratio AS (SELECT qid, SUM(CASE WHEN ry = 0 THEN 1 ELSE 0 END) AS m FROM na WHERE r <= 5 GROUP BY qid),
+tot AS (SELECT SUM(m) AS mt FROM ratio),
+share AS (SELECT qid, (m * (SELECT n_new FROM nn)) // (SELECT mt FROM tot) AS gi,
+                 (m * (SELECT n_new FROM nn)) % (SELECT mt FROM tot) AS frac FROM ratio),
+rm AS (SELECT (SELECT n_new FROM nn) - SUM(gi) AS rem FROM share),
+sr AS (SELECT *, ROW_NUMBER() OVER (ORDER BY frac DESC, qid) AS fr FROM share),
+cnts AS (SELECT qid, gi + CASE WHEN fr <= (SELECT rem FROM rm) THEN 1 ELSE 0 END AS cnt FROM sr),
+c2 AS (SELECT qid, cnt, SUM(cnt) OVER (ORDER BY qid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+       FROM cnts WHERE cnt > 0),
+jobs AS (SELECT qid AS base_id, UNNEST(range(CAST(cum - cnt AS BIGINT), CAST(cum AS BIGINT))) AS synth_id FROM c2),
+pm AS (SELECT a.id AS qid, b.id AS rid, {_DIST} AS distance FROM mino a JOIN mino b ON a.id <> b.id),
+nm AS (SELECT qid, rid, ROW_NUMBER() OVER (PARTITION BY qid ORDER BY distance, rid) AS nn_rank FROM pm),
+nm5 AS (SELECT * FROM nm WHERE nn_rank <= 5),
+nk AS (SELECT qid, COUNT(*) AS nk FROM nm5 GROUP BY qid),
+jn AS (SELECT jobs.*, ({h("'42:nb:' || CAST(jobs.synth_id AS VARCHAR)")} % nk.nk) + 1 AS nn_rank
+       FROM jobs JOIN nk ON jobs.base_id = nk.qid),
+jp AS (SELECT jn.synth_id, jn.base_id, nm5.rid AS nb_id FROM jn JOIN nm5 ON jn.base_id = nm5.qid AND jn.nn_rank = nm5.nn_rank)
+SELECT CAST(synth_id AS BIGINT) AS synth_id, base_id, nb_id,
+  round(CAST({h("'42:u:' || CAST(synth_id AS VARCHAR)")} AS DOUBLE) / 1152921504606846976.0, 6) AS u FROM jp"""
+
+
+@register("adasyn", _adasyn_sql())
 def q_adasyn(spark, d):
     e = _emb(spark, d)
     tg = sp.sampling_targets(e, "y", "over", "auto").where(F.col("y") == 1).first()
