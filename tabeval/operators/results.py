@@ -110,3 +110,20 @@ def fold_split_metrics(preds: DataFrame, fold: str, k: int, cutoff: float, y: st
     cc = rt.classification_rates(rt.confusion_counts(ex, g, y, "pred"))
     acc = rt.accuracy(ex, g, y, "pred").select(*g, "accuracy")
     return auc.join(acc, g).join(cc.select(*g, "tpr", "tnr"), g)
+
+
+def cv_metric_average(per_fold: DataFrame, group: Sequence[str], metrics: Sequence[str],
+                      override: DataFrame | None = None) -> DataFrame:
+    """Mean of each metric over folds (finite values only; NULL if none),
+    per group (e.g. algorithm, outcome, split), with the number of folds.
+    ``override`` (group keys + auc, auc_cilow, auc_cihigh, e.g. from the
+    averaged ROC) replaces the averaged AUC and adds its CI."""
+    from .profile import finite_mean
+    group = list(group)
+    avg = per_fold.groupBy(*group).agg(*[finite_mean(m).alias(m) for m in metrics],
+                                       F.count(F.lit(1)).cast("long").alias("n_folds"))
+    if override is None:
+        return avg
+    o = override.select(*group, F.col("auc").alias("_auc_o"), F.col("auc_cilow"), F.col("auc_cihigh"))
+    j = avg.join(o, group, "left")
+    return j.withColumn("auc", F.coalesce("_auc_o", "auc")).drop("_auc_o")

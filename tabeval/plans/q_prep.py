@@ -503,10 +503,9 @@ FROM a JOIN c ON a.k = c.k AND a.split = c.split GROUP BY a.split"""
 
 @register("cv_metric_average", _CVA_SQL)
 def q_cv_avg(spark, d):
-    from ..operators.results import fold_split_metrics
+    from ..operators.results import cv_metric_average, fold_split_metrics
     m = fold_split_metrics(cv_predictions(spark, d), "fold", 5, CV_CUT)
-    return rounded(m.groupBy("split").agg(*[pf.finite_mean(c).alias(c) for c in ("auc", "accuracy", "tpr", "tnr")],
-                                          F.count(F.lit(1)).cast("long").alias("n_folds")))
+    return rounded(cv_metric_average(m, ["split"], ["auc", "accuracy", "tpr", "tnr"]))
 
 
 def _fold_pr_long(spark, d):

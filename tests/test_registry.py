@@ -44,3 +44,13 @@ def test_compare_results_no_duplicate_pairs(spark):
     total = rs.compare_results(rs.compare_results(None, t), t)
     assert total.count() == 1
     assert total.first()["Upper_CI_Gap"] == pytest.approx(0.1)
+
+
+def test_cv_average_override(spark):
+    per = spark.createDataFrame([("test", 0, 0.6, float("inf")), ("test", 1, 0.8, 0.5)],
+                                "split string, fold int, auc double, dor double")
+    plain = rs.cv_metric_average(per, ["split"], ["auc", "dor"]).first()
+    assert plain["auc"] == pytest.approx(0.7) and plain["dor"] == pytest.approx(0.5) and plain["n_folds"] == 2
+    ov = spark.createDataFrame([("test", 0.72, 0.6, 0.84)], "split string, auc double, auc_cilow double, auc_cihigh double")
+    r = rs.cv_metric_average(per, ["split"], ["auc"], ov).first()
+    assert r["auc"] == 0.72 and r["auc_cilow"] == 0.6
