@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -55,3 +56,21 @@ def test_evaluate_matches_bruteforce(spark, rows):
                 assert r["auc_cilow"] == pytest.approx(auc - Z_975 * math.sqrt(var), abs=1e-9)
         assert r["cutoff_youden"] == cut
         assert r["TP"] + r["FN"] == sum(ys) and r["FP"] + r["TN"] == len(ys) - sum(ys)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1, 6), st.integers(1, 4), st.integers(30, 160), st.integers(0, 2 ** 31 - 1))
+def test_knn_exact_random(spark, dim, k, n, seed):
+    from tabeval.operators import neighbors as nb
+    rng = np.random.default_rng(seed)
+    pts = np.round(rng.normal(size=(n, dim)), 1)        # rounding creates exact duplicates and ties
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(pts)], "id long, vec array<double>")
+    nn = nb.knn_topk(df.select(F.col("id").alias("qid"), "vec"), df.select(F.col("id").alias("rid"), "vec"), k,
+                     exclude_self=True, w0=2)
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r["qid"], []).append(r["distance"])
+    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for q in range(n):
+        assert sorted(got[q]) == pytest.approx(sorted(np.sort(d[q])[:k]), abs=1e-9)
