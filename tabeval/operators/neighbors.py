@@ -103,11 +103,14 @@ def _block_topk_fn(k: int, metric: str, exclude_self: bool):
 
 def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
              exclude_self: bool = False, metric: str = "euclidean", w0: int | None = None,
-             max_rounds: int = 40) -> DataFrame:
+             max_rounds: int = 40, queries_are_refs: bool = False) -> DataFrame:
     """Exact k nearest references of every query: (qid, rid, distance, nn_rank).
 
     ``exclude_self`` drops the pair qid == rid (self-join on one table).
     ``metric`` 'euclidean' or 'manhattan' (projection gaps bound both).
+    ``queries_are_refs``: the queries are the reference rows themselves, so a
+    query's position is its own rank (one running count fewer). Correctness
+    never depends on the position: the exactness test uses the window edges.
     Ids must be integers.
     """
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
@@ -120,11 +123,15 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
                         totals_prefix="_n")
     ranked = freeze(ranked.select("rid", "rv", "t", F.col("_r_one").alias("rank"), F.col("_n_one").alias("n_refs")),
                     "knn-ranked")
-    marks = r.select("t", F.lit(0).alias("_kind"), F.col("rid").alias("_id"), F.lit(1).cast("long").alias("_isref")) \
-        .unionByName(q.select("t", F.lit(1).alias("_kind"), F.col("qid").alias("_id"), F.lit(0).cast("long").alias("_isref")))
-    pos = prefix_sum(marks, [], ["t", "_kind", "_id"], ["_isref"], prefix="_p", totals_prefix="_nr") \
-        .where(F.col("_kind") == 1).select(F.col("_id").alias("qid"), F.col("_p_isref").alias("pos"),
-                                           F.col("_nr_isref").alias("n_refs"))
+    if queries_are_refs:
+        pos = ranked.select(F.col("rid").alias("qid"), F.col("rank").alias("pos"), "n_refs")
+    else:
+        marks = r.select("t", F.lit(0).alias("_kind"), F.col("rid").alias("_id"), F.lit(1).cast("long").alias("_isref")) \
+            .unionByName(q.select("t", F.lit(1).alias("_kind"), F.col("qid").alias("_id"),
+                                  F.lit(0).cast("long").alias("_isref")))
+        pos = prefix_sum(marks, [], ["t", "_kind", "_id"], ["_isref"], prefix="_p", totals_prefix="_nr") \
+            .where(F.col("_kind") == 1).select(F.col("_id").alias("qid"), F.col("_p_isref").alias("pos"),
+                                               F.col("_nr_isref").alias("n_refs"))
     qpos = freeze(q.join(pos, "qid"), "knn-queries")
     by_rank_t = ranked.select("rank", F.col("t").alias("rt"))
     refs_chunked = ranked.select(F.col("rid").alias("id"), F.col("rv").alias("v"), "rank",
@@ -132,9 +139,10 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
 
     schema = "qid long, rid long, distance double"
     fn = _block_topk_fn(k, metric, exclude_self)
-    # a block already compares QUERY_BLOCK queries with ~QUERY_BLOCK refs, so a
-    # first window of a few hundred costs little and saves rounds
-    w = int(w0 or max(4 * k, 256))
+    # a (block, chunk) task holds up to REF_CHUNK references anyway, so a first
+    # window of half a chunk per side costs about the same as a narrow one and
+    # saves whole rounds (each round is a few shuffles and small jobs)
+    w = int(w0 or max(4 * k, REF_CHUNK // 2))
     done = None
     pending = qpos
     for _ in range(max_rounds):
@@ -162,14 +170,16 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
         right_ok = (F.col("pos") + w + 1 >= F.col("n_refs")) | (F.col("t_hi") - F.col("tq") >= F.col("dk"))
         whole = (F.col("pos") - w <= 1) & (F.col("pos") + w + 1 >= F.col("n_refs"))
         ok = whole | ((F.col("nk") >= k) & left_ok & right_ok)
-        st = st.select("qid", ok.alias("ok")).checkpoint(eager=True)  # narrow
-        res = top.join(st.where("ok").select("qid"), "qid").select("qid", "rid", "distance", "nn_rank") \
-            .checkpoint(eager=True)  # narrow
+        # one narrow table per round: the round's top-k rows with their query's status
+        rnd = top.join(st.select("qid", ok.alias("ok")), "qid") \
+            .select("qid", "rid", "distance", "nn_rank", "ok").checkpoint(eager=True)
+        res = rnd.where("ok").drop("ok")
         done = res if done is None else done.unionByName(res)
-        pending = freeze(pending.join(st.where(~F.col("ok")).select("qid"), "qid"), "knn-pending")
+        open_ids = rnd.where(~F.col("ok")).select("qid").distinct()
         # unresolved queries: a scalar count steers the loop
-        if pending.limit(1).count() == 0:
+        if open_ids.limit(1).count() == 0:
             break
+        pending = qpos.join(open_ids, "qid")
         w *= 8
     return done.select(F.col("qid").alias(qid) if qid != "qid" else "qid",
                        F.col("rid").alias(rid) if rid != "rid" else "rid", "distance", "nn_rank")
@@ -209,7 +219,8 @@ def smote(df: DataFrame, id_col: str, vec: str, y: str, minority: int | str, n_n
     (hash) and u ~ U[0, 1) (hash). Returns (synth_id, base_id, nb_id, u, vec, y)."""
     mino = df.where(F.col(y) == F.lit(minority)).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
     nn = knn_topk(mino.select(F.col("id").alias("qid"), F.col("v").alias("vec")),
-                  mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True)
+                  mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True,
+                  queries_are_refs=True)
     ranked = prefix_sum(mino.withColumn("_one", F.lit(1).cast("long")), [], ["id"], ["_one"], prefix="_r",
                         totals_prefix="_n").select("id", "v", F.col("_r_one").alias("brank"), F.col("_n_one").alias("m"))
     return _synthesize(ranked, nn, n_new, k, seed, y, minority)
@@ -269,7 +280,8 @@ def adasyn(df: DataFrame, id_col: str, vec: str, y: str, minority: int | str, n_
     per_base = cum.select(F.col("qid").alias("base_id"),
                           F.explode(F.sequence(F.col("_c_cnt") - F.col("cnt"), F.col("_c_cnt") - 1)).alias("synth_id"))
     nn_min = knn_topk(mino.select(F.col("id").alias("qid"), F.col("v").alias("vec")),
-                      mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True)
+                      mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True,
+                      queries_are_refs=True)
     ranked = prefix_sum(mino.withColumn("_one", F.lit(1).cast("long")), [], ["id"], ["_one"], prefix="_r",
                         totals_prefix="_n").select("id", "v", F.col("_r_one").alias("brank"), F.col("_n_one").alias("m"))
     return _synthesize(ranked, nn_min, n_new, k, seed, y, minority, per_base=per_base)

@@ -245,7 +245,7 @@ SELECT qid, rid, round(distance, 6) AS distance, CAST(nn_rank AS INTEGER) AS nn_
 def q_knn(spark, d):
     e = _emb(spark, d)
     nn = nb.knn_topk(e.select(F.col("vec_id").alias("qid"), "vec"), e.select(F.col("vec_id").alias("rid"), "vec"), 5,
-                     exclude_self=True)
+                     exclude_self=True, queries_are_refs=True)
     return rounded(nn.withColumn("nn_rank", F.col("nn_rank").cast("int")))
 
 
