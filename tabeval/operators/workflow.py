@@ -94,6 +94,24 @@ class TablePrep:
             df = self.quantiles.transform(df)
         return df
 
+    def to_dict(self) -> dict:
+        return {"numeric": self.numeric, "categorical": self.categorical, "options": self.options.__dict__,
+                "inputs": self.inputs,
+                "categories": None if self.encoder is None else self.encoder.categories,
+                "quantiles": None if self.quantiles is None else {"references": self.quantiles.references,
+                                                                  "quantiles": self.quantiles.quantiles}}
+
+    @staticmethod
+    def from_dict(d: dict) -> "TablePrep":
+        tp = TablePrep(d["numeric"], d["categorical"], Options(**d["options"]), inputs=d["inputs"])
+        if d["categories"] is not None:
+            tp.encoder = en.OneHot(categories=d["categories"])
+        if d["quantiles"] is not None:
+            q = en.QuantileNormal(quantiles=d["quantiles"]["quantiles"])
+            q.references = d["quantiles"]["references"]
+            tp.quantiles = q
+        return tp
+
     def _rows(self, df: DataFrame) -> DataFrame:
         o = self.options
         if o.cut_missing_rows:
@@ -260,3 +278,42 @@ def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id:
                                  row_id, F.col(y).alias("y")])
             out = p if out is None else out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ bundles
+def save_bundle(path: str, prep: TablePrep, models: dict[tuple[str, str], "FoldModel"]) -> None:
+    """Everything needed to score new data: the table-level preparation and one
+    fitted training-part flow per (algorithm, outcome)."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    keys = []
+    for i, ((alg, outcome), fm) in enumerate(sorted(models.items())):
+        fm.save(f"{path}/model-{i}")
+        keys.append((alg, outcome, i))
+    meta = {"prep": prep.to_dict(), "models": keys}
+    spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1) \
+        .write.mode("overwrite").json(f"{path}/bundle")
+
+
+def score_bundle(path: str, df: DataFrame, row_id: str, outcomes_present: bool = True) -> DataFrame:
+    """Re-apply a saved bundle to a new table: encoder -> rows -> inf ->
+    outliers -> coerce -> quantile -> impute -> scale -> normalise -> model,
+    for every saved (algorithm, outcome); outcomes without positives in the
+    new table are skipped (nothing to evaluate). Returns a predictions table
+    (algorithm, outcome, row_id, y, score, pred)."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    meta = json.loads(spark.read.json(f"{path}/bundle").first()["meta"])
+    prep = TablePrep.from_dict(meta["prep"])
+    data = prep.transform(df)
+    out = None
+    for alg, outcome, i in meta["models"]:
+        if outcomes_present and outcome in data.columns:
+            if data.where(F.col(outcome) == 1).limit(1).count() == 0:
+                continue
+        fm = FoldModel.load(f"{path}/model-{i}")
+        keep = [F.lit(alg).alias("algorithm"), F.lit(outcome).alias("outcome"), row_id,
+                F.col(outcome).alias("y") if outcome in data.columns else F.lit(None).cast("int").alias("y")]
+        p = fm.score(data, keep)
+        out = p if out is None else out.unionByName(p)
+    return out

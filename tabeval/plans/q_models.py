@@ -193,13 +193,21 @@ def q_save_load(spark, d):
 
 @register("score_saved")
 def q_score_saved(spark, d):
+    """Train on orders before 1998 (table preparation + per-outcome training
+    flow for two learners), save the bundle under the checkpoint folder, reload
+    it and score the later orders; evaluate the scored predictions."""
+    from ..operators import workflow as wf
     df = orders_features(spark, d)
-    train = df.where(F.col("odays") < 1096)
-    m = md.fit(train, FEATS, "y", "gbt", {"n_estimators": 10}, md.Prep(impute="mean"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-model-{uuid.uuid4().hex}"
-    md.save_model(m, path)
-    scored = md.score_saved(path, df.where(F.col("odays") >= 1096), ["row_id", "y"])
-    return _metrics(scored, [])
+    train, later = df.where(F.col("odays") < 1096), df.where(F.col("odays") >= 1096)
+    opts = wf.Options(impute="mean", scaling="StandardScaler", outliers="log", outliers_n=300000.0)
+    tp = wf.TablePrep(["price", "odays"], ["o_orderpriority"], opts)
+    tr = tp.fit_transform(train)
+    models = {(alg, o): wf.FoldModel(tp.inputs, o, alg, params, opts).fit(tr, "row_id")
+              for alg, params in (("lr", {}), ("gbt", {"n_estimators": 10})) for o in ("y", "y_urgent")}
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-bundle-{uuid.uuid4().hex}"
+    wf.save_bundle(path, tp, models)
+    scored = wf.score_bundle(path, later, "row_id")
+    return _metrics(scored, ["algorithm", "outcome"])
 
 
 @register("auto_select")

@@ -38,3 +38,18 @@ def test_train_test_flow_excludes_rare_outcomes(spark):
     assert {r["outcome"] for r in preds.select("outcome").distinct().collect()} == {"y"}
     res = ev.evaluate(preds, ["outcome", "split"]).collect()
     assert len(res) == 2
+
+
+def test_bundle_round_trip_with_quantile_and_one_hot(spark, tmp_path):
+    df = orders_features(spark, SF)
+    opts = wf.Options(impute="mean", scaling="MinMaxScaler", quantile=True)
+    tp = wf.TablePrep(["price", "odays"], ["o_orderpriority"], opts)
+    tr = tp.fit_transform(df)
+    assert any(c.startswith("o_orderpriority_") for c in tp.inputs)
+    fm = wf.FoldModel(tp.inputs, "y", "lr", {}, opts).fit(tr, "row_id")
+    direct = {r["row_id"]: r["score"] for r in fm.score(tp.transform(df), ["row_id"]).collect()}
+    path = str(tmp_path / "bundle")
+    wf.save_bundle(path, tp, {("lr", "y"): fm})
+    got = {r["row_id"]: r["score"] for r in wf.score_bundle(path, df, "row_id").collect()}
+    assert got.keys() == direct.keys()
+    assert all(abs(got[k] - direct[k]) < 1e-12 for k in got)
