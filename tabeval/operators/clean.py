@@ -100,9 +100,9 @@ def sparse_column_report(df: DataFrame, cols: Sequence[str], min_share: float, k
     ``min_share`` (the stated fraction, Q1), unless the column is kept."""
     cols = list(cols)
     n = F.count(F.lit(1))
-    row = df.agg(*[(F.count(F.col(c)) / n).alias(c) for c in cols])
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    rep = row.select(F.expr(f"stack({len(cols)}, {stack}) as (column, non_null_share)"))
+    vals = agg_chunked(df, [(F.count(F.col(c)) / n).alias(c) for c in cols])
+    rep = df.sparkSession.createDataFrame([(c, None if vals[c] is None else float(vals[c])) for c in cols],
+                                          "column string, non_null_share double")
     return rep.withColumn("dropped", (F.col("non_null_share") < min_share) & ~F.col("column").isin(*keep)
                           if keep else F.col("non_null_share") < min_share)
 
@@ -110,9 +110,8 @@ def sparse_column_report(df: DataFrame, cols: Sequence[str], min_share: float, k
 def low_variance_report(df: DataFrame, cols: Sequence[str], threshold: float, keep: Sequence[str] = ()) -> DataFrame:
     """(column, std_pop, dropped): population std (NULL ignored) below threshold."""
     cols = list(cols)
-    row = df.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols])
-    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
-    rep = row.select(F.expr(f"stack({len(cols)}, {stack}) as (column, std_pop)"))
+    vals = agg_chunked(df, [F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols])
+    rep = df.sparkSession.createDataFrame([(c, vals[c]) for c in cols], "column string, std_pop double")
     drop = F.col("std_pop") < threshold
     return rep.withColumn("dropped", (drop & ~F.col("column").isin(*keep)) if keep else drop)
 
@@ -121,6 +120,18 @@ def low_variance_report(df: DataFrame, cols: Sequence[str], threshold: float, ke
 AGG_CHUNK = 200
 
 
+def agg_chunked(df: DataFrame, exprs: Sequence[Column], chunk: int = AGG_CHUNK) -> dict:
+    """Evaluate many named aggregate expressions as a few one-row aggregate
+    jobs of at most ``chunk`` expressions (one pass each, map-side partial
+    aggregation): {alias: value}. The result is one number per expression."""
+    out: dict = {}
+    exprs = list(exprs)
+    for start in range(0, len(exprs), chunk):
+        row = df.agg(*exprs[start:start + chunk]).first()
+        out.update(row.asDict())
+    return out
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation for every i < j: (a, b, i, j, r).
 

@@ -36,32 +36,36 @@ def profile_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: dtype, missing count and %, distinct (NULL excluded), and for
     numeric columns mean / sample std / min / max (NaN ignored).
 
-    Two jobs: one single-pass aggregate for the moments (map-side partial
-    aggregation, a p-row result) and one stacked distinct for the counts."""
+    The moments are one-pass aggregates (chunks of ``AGG_CHUNK`` expressions
+    for wide tables) whose p-row result is assembled into a table; distinct
+    counts are one stacked distinct."""
+    from .clean import agg_chunked
     cols = list(cols)
-    n = F.count(F.lit(1))
-    aggs = [n.alias("_n")]
+    exprs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         x = F.col(c)
         num = is_numeric(df, c)
         miss = x.isNull() | (F.isnan(x) if num else F.lit(False))
-        aggs.append(F.sum(miss.cast("long")).alias(f"m{i}"))
+        exprs.append(F.sum(miss.cast("long")).alias(f"m{i}"))
         if num:
             v = F.when(~F.isnan(x.cast("double")), x.cast("double"))
-            aggs += [exact_mean(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                     F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    row = df.agg(*aggs)
-    parts = []
+            exprs += [exact_mean(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
+                      F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    vals = agg_chunked(df, exprs)
+    n = vals["_n"]
+    rows = []
     for i, c in enumerate(cols):
-        dt = df.schema[c].dataType.simpleString()
         num = is_numeric(df, c)
-        stats = f"a{i}, s{i}, lo{i}, hi{i}" if num else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
-        parts.append(f"'{c}', '{dt}', CAST(m{i} AS BIGINT), {stats}")
-    st = row.select("_n", F.expr(f"stack({len(cols)}, {', '.join(parts)}) as "
-                                 "(column, dtype, missing, mean, std, min, max)"))
+        miss = int(vals[f"m{i}"] or 0)
+        stats = [vals[f"a{i}"], vals[f"s{i}"], vals[f"lo{i}"], vals[f"hi{i}"]] if num else [None] * 4
+        rows.append((c, df.schema[c].dataType.simpleString(), miss, (miss / n * 100.0) if n else None,
+                     *[None if v is None else float(v) for v in stats]))
+    st = df.sparkSession.createDataFrame(
+        rows, "column string, dtype string, missing bigint, missing_pct double, mean double, std double, "
+              "min double, max double")
     # both sides hold one row per profiled column
     st = st.join(F.broadcast(distinct_counts(df, cols)), "column", "left")
-    return st.select("column", "dtype", "missing", (F.col("missing") / F.col("_n") * 100.0).alias("missing_pct"),
+    return st.select("column", "dtype", "missing", "missing_pct",
                      F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "mean", "std", "min", "max")
 
 
