@@ -61,9 +61,8 @@ def column_kind_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     one stacked distinct plus one null-flag aggregate (no per-column Expand)."""
     from .profile import distinct_counts
     cols = list(cols)
-    nulls = df.agg(*[F.max(F.col(c).isNull().cast("long")).alias(c) for c in cols])
-    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
-    has_null = nulls.select(F.expr(f"stack({len(cols)}, {stack}) as (column, has_null)"))
+    nulls = agg_chunked(df, [F.max(F.col(c).isNull().cast("long")).alias(c) for c in cols])
+    has_null = df.sparkSession.createDataFrame([(c, int(nulls[c] or 0)) for c in cols], "column string, has_null bigint")
     types = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in cols],
                                             "column string, dtype string")
     # all three tables hold one row per column

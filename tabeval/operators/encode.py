@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import norm_ppf_vec
+from .clean import agg_chunked
 from .ordered import prefix_sum
 
 # ------------------------------------------------------------- exact quantile
@@ -92,7 +93,7 @@ class Imputer:
     def fit(self, df: DataFrame, cols: Sequence[str]) -> "Imputer":
         cols = list(cols)
         if self.strategy == "mean":
-            row = df.agg(*[F.avg(_finite(c)).alias(c) for c in cols]).first()
+            row = agg_chunked(df, [F.avg(_finite(c)).alias(c) for c in cols])
             self.values = {c: row[c] for c in cols}
         elif self.strategy == "median":
             q = _quantile_dict(df, cols, [0.5])
@@ -131,12 +132,12 @@ class Scaler:
         cols = list(cols)
         m = self.method
         if m == "StandardScaler":
-            row = df.agg(*[F.avg(_finite(c)).alias(f"m_{c}") for c in cols],
-                         *[F.stddev_pop(_finite(c)).alias(f"s_{c}") for c in cols]).first()
+            row = agg_chunked(df, [*[F.avg(_finite(c)).alias(f"m_{c}") for c in cols],
+                                   *[F.stddev_pop(_finite(c)).alias(f"s_{c}") for c in cols]])
             self.params = {c: (row[f"m_{c}"], _nz(row[f"s_{c}"])) for c in cols}
         elif m == "MinMaxScaler":
-            row = df.agg(*[F.min(_finite(c)).alias(f"lo_{c}") for c in cols],
-                         *[F.max(_finite(c)).alias(f"hi_{c}") for c in cols]).first()
+            row = agg_chunked(df, [*[F.min(_finite(c)).alias(f"lo_{c}") for c in cols],
+                                   *[F.max(_finite(c)).alias(f"hi_{c}") for c in cols]])
             self.params = {c: (row[f"lo_{c}"], _nz(None if row[f"hi_{c}"] is None else row[f"hi_{c}"] - row[f"lo_{c}"]))
                            for c in cols}
         elif m == "RobustScaler":
@@ -144,7 +145,7 @@ class Scaler:
             self.params = {c: (q.get((c, 0.5)), _nz(None if q.get((c, 0.75)) is None
                                                      else q[(c, 0.75)] - q[(c, 0.25)])) for c in cols}
         elif m == "MaxAbsScaler":
-            row = df.agg(*[F.max(F.abs(_finite(c))).alias(c) for c in cols]).first()
+            row = agg_chunked(df, [F.max(F.abs(_finite(c))).alias(c) for c in cols])
             self.params = {c: (0.0, _nz(row[c])) for c in cols}
         else:
             raise ValueError(f"unknown scaler {m}")
@@ -234,7 +235,8 @@ class QuantileNormal:
         n = df.count()
         k = max(2, min(self.n_quantiles, n))
         self.references = [i / (k - 1) for i in range(k)]
-        row = df.agg(*[F.percentile_approx(_finite(c), self.references, self.accuracy).alias(c) for c in cols]).first()
+        row = agg_chunked(df, [F.percentile_approx(_finite(c), self.references, self.accuracy).alias(c) for c in cols],
+                          chunk=20)
         self.quantiles = {c: [float(v) for v in row[c]] if row[c] is not None else None for c in cols}
         return self
 
