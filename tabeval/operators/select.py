@@ -25,17 +25,28 @@ from .clean import correlation_pairs
 from .ordered import attach
 
 
+#: features per grouped aggregate (two sums each) for wide tables
+FEATURE_CHUNK = 100
+
+
 def _class_moments(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
-    """Long table (feature, class, n, s, ss) from one grouped aggregate."""
+    """Long table (class, n, feature, s, ss): per class count, sum and sum of
+    squares of every feature; one grouped aggregate per FEATURE_CHUNK features
+    (map-side partial aggregation, a classes x features result)."""
     features = list(features)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, f in enumerate(features):
-        x = F.col(f).cast("double")
-        aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-    per = df.groupBy(F.col(y).alias("class")).agg(*aggs)
-    stack = ", ".join(f"'{f}', s{i}, q{i}" for i, f in enumerate(features))
-    return per.select("class", F.col("_n").cast("double").alias("n"),
-                      F.expr(f"stack({len(features)}, {stack}) as (feature, s, ss)"))
+    out = None
+    for start in range(0, len(features), FEATURE_CHUNK):
+        chunk = features[start:start + FEATURE_CHUNK]
+        aggs = [F.count(F.lit(1)).alias("_n")]
+        for i, f in enumerate(chunk):
+            x = F.col(f).cast("double")
+            aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
+        per = df.groupBy(F.col(y).alias("class")).agg(*aggs)
+        stack = ", ".join(f"'{f}', s{i}, q{i}" for i, f in enumerate(chunk))
+        part = per.select("class", F.col("_n").cast("double").alias("n"),
+                          F.expr(f"stack({len(chunk)}, {stack}) as (feature, s, ss)"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def f_scores(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
