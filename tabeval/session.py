@@ -58,3 +58,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(d)
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/ABFS) for this cluster")
+
+
+def drop_frozen(spark: SparkSession) -> int:
+    """Housekeeping for callers: delete the ``tabeval-*`` tables this package
+    froze under the session's checkpoint folder (Hadoop FileSystem API, so it
+    works on HDFS/S3/ABFS). Call it only after every result that may still read
+    them has been written. Returns the number of folders removed."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir()
+    if not base:
+        return 0
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    removed = 0
+    for st in fs.listStatus(path):
+        if st.getPath().getName().startswith("tabeval-"):
+            fs.delete(st.getPath(), True)
+            removed += 1
+    return removed
