@@ -59,3 +59,18 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) == 2 and set(df.columns) >= {"outcome", "auc", "auc_cilow", "auc_cihigh", "cutoff_youden"}
+
+
+def test_drop_frozen_removes_only_own_tables(spark, tmp_path):
+    from tabeval.operators.ordered import freeze
+    from tabeval.session import drop_frozen
+    sc = spark.sparkContext
+    before = sc.getCheckpointDir()
+    try:
+        sc.setCheckpointDir(str(tmp_path / "ck"))
+        f = freeze(spark.range(10), "t")
+        assert f.count() == 10
+        assert drop_frozen(spark) == 1
+    finally:
+        if before:
+            sc.setCheckpointDir(before)
