@@ -39,7 +39,8 @@ def results_table(preds: DataFrame, outcome: str = "outcome", algorithm: str = "
     """One row per (outcome, algorithm): test metrics, train AUROC/CI/counts and
     ``Train vs. Test AUROC change%``; train and test evaluated in one job."""
     g = [outcome, algorithm, split]
-    rec = metric_record(ev.evaluate(preds, g, y, score), g)
+    # one row per (outcome, algorithm, split): computed once, read by both sides
+    rec = metric_record(ev.evaluate(preds, g, y, score), g).checkpoint(eager=True)
     test = rec.where(F.col(split) == "test").drop(split) \
         .withColumnRenamed(outcome, "Outcome").withColumnRenamed(algorithm, "Algorithm")
     tr = rec.where(F.col(split) == "train").select(
