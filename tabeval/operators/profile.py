@@ -51,6 +51,21 @@ def profile_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             v = F.when(~F.isnan(x.cast("double")), x.cast("double"))
             exprs += [exact_mean(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
                       F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
+    from .clean import AGG_CHUNK
+    if len(exprs) <= AGG_CHUNK:
+        # one lazy plan: the moments aggregate and the stacked distinct run in the same job
+        row = df.agg(*exprs)
+        parts = []
+        for i, c in enumerate(cols):
+            dt = df.schema[c].dataType.simpleString()
+            stats = (f"a{i}, s{i}, lo{i}, hi{i}" if is_numeric(df, c)
+                     else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)")
+            parts.append(f"'{c}', '{dt}', CAST(m{i} AS BIGINT), {stats}")
+        st = row.select("_n", F.expr(f"stack({len(cols)}, {', '.join(parts)}) as "
+                                     "(column, dtype, missing, mean, std, min, max)"))
+        st = st.join(F.broadcast(distinct_counts(df, cols)), "column", "left")
+        return st.select("column", "dtype", "missing", (F.col("missing") / F.col("_n") * 100.0).alias("missing_pct"),
+                         F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "mean", "std", "min", "max")
     vals = agg_chunked(df, exprs)
     n = vals["_n"]
     rows = []

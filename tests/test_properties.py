@@ -127,3 +127,19 @@ def test_bootstrap_ci_brackets_auc(spark):
         assert ci[o]["n_boot"] == 200
         assert ci[o]["ci_low"] < a < ci[o]["ci_high"]
         assert ci[o]["ci_high"] - ci[o]["ci_low"] < 0.2
+
+
+def test_wide_profile_chunked_equals_single_plan(spark, monkeypatch):
+    from tabeval.operators import clean as cl
+    from tabeval.operators import profile as pf
+    from tabeval.sources.problems import WIDE_INPUTS, wide_lineitem
+    w = wide_lineitem(spark, SF)
+    one = {r["column"]: tuple(r) for r in pf.profile_columns(w, WIDE_INPUTS).collect()}
+    monkeypatch.setattr(cl, "AGG_CHUNK", 4)
+    many = {r["column"]: tuple(r) for r in pf.profile_columns(w, WIDE_INPUTS).collect()}
+    rep = {r["column"]: r["std_pop"] for r in cl.low_variance_report(w, ["qty", "price", "disc"], 0.2).collect()}
+    assert one.keys() == many.keys()
+    for c in one:
+        for a, b in zip(one[c], many[c]):
+            assert a == b or (isinstance(a, float) and b == pytest.approx(a, rel=1e-12))
+    assert set(rep) == {"qty", "price", "disc"}
