@@ -45,8 +45,9 @@ def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tabeval-{name}-{uuid.uuid4().hex}"
     names = df.columns
-    df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).write.mode("overwrite").parquet(path)
-    back = spark.read.parquet(path)
+    positional = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    positional.write.mode("overwrite").parquet(path)
+    back = spark.read.schema(positional.schema).parquet(path)  # known schema: no footer inference
     return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 #: largest small side (rows) joined by broadcast; beyond it a shuffle-hash join
