@@ -60,18 +60,18 @@ def q_sink_results(spark, d):
 
 # ------------------------------------------------------------------ roles
 _ROLES_VALUES = ", ".join(f"('{e}', '{c}', {r})" for e, c, r in WIDE_ROLES)
-_ROLE_SQL = f"""WITH roles(experiment, col, role) AS (VALUES {_ROLES_VALUES})
-SELECT col AS "column", CASE WHEN MIN(role) = 1 AND MAX(role) = 1 THEN 'input' ELSE 'outcome' END AS kind
-FROM roles GROUP BY col HAVING (MIN(role) = 1 AND MAX(role) = 1) OR (MIN(role) = 2 AND MAX(role) = 2)"""
+_ROLE_SQL = f"""WITH {WIDE_SQL}
+SELECT qty, price, tax, line, status, flag, y_ret, y_open FROM wide"""
 
 
 @register("role_project", _ROLE_SQL)
 def q_role_project(spark, d):
+    """Resolve the experiment roles (a column is an input only if every plan
+    marks it 1, an outcome only if every plan marks it 2) and project the
+    table onto inputs then outcomes."""
     wide = wide_lineitem(spark, d)
-    roles = cl.role_table(spark, WIDE_ROLES)
-    res = cl.resolve_roles(roles)
-    present = spark.createDataFrame([(c,) for c in wide.columns], "column string")
-    return res.join(present, "column", "left_semi")
+    ins, outs = cl.role_lists(cl.role_table(spark, WIDE_ROLES), wide.columns)
+    return rounded(wide.select(*ins, *outs))
 
 
 _INPUTS = [c for c in WIDE_INPUTS if c != "disc"]  # e2 ignores disc
