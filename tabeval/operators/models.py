@@ -28,8 +28,8 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer as MLImputer
 from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler, Normalizer, RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
@@ -241,30 +241,34 @@ def score_saved(path: str, df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def auto_select(df: DataFrame, features: Sequence[str], y: str, algorithms: Sequence[str],
                 grids: dict[str, dict] | None = None, holdout: float = 0.2, prep: Prep | None = None,
-                seed: int = 42):
-    """Per learner a TrainValidationSplit over its grid; a leaderboard of the
-    validation AUC (rank 1 = best) and the best refit model."""
+                seed: int = 42, row_id: str = "row_id"):
+    """Per learner and grid combination: fit on the training part of a
+    hash-stratified holdout split, score the holdout; all candidates'
+    holdout predictions are evaluated in ONE grouped job. Returns (leaderboard
+    (algorithm, params, score_val, rank) with rank 1 = best, best model refit
+    on all rows)."""
     spark = df.sparkSession
-    rows, best = [], (None, -math.inf, None)
-    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    data = with_label(df.where(F.col(y).isNotNull()), y)
+    data = df.where(F.col(y).isNotNull())
+    s = freeze(split_stratified(data, y, row_id, holdout, seed), "holdout")
+    train, hold = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
+    preds, cands = None, []
     for alg in algorithms:
-        combos = param_grid((grids or {}).get(alg, {}))
-        pipes = [make_pipeline(features, alg, c, prep) for c in combos]
-        est = pipes[0]
-        maps = ParamGridBuilder().addGrid(est.stages, [p.getStages() for p in pipes]).build()
-        tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=maps, evaluator=evaluator,
-                                   trainRatio=1.0 - holdout, seed=seed)
-        m = tvs.fit(data)
-        i = max(range(len(m.validationMetrics)), key=lambda j: (m.validationMetrics[j], -j))
-        rows.append((alg, float(m.validationMetrics[i]), json.dumps(combos[i], default=str)))
-        if m.validationMetrics[i] > best[1]:
-            best = (alg, m.validationMetrics[i], m.bestModel)
-    board = spark.createDataFrame(rows, "algorithm string, score_val double, params string")
-    order = sorted(rows, key=lambda r: (-r[1], r[0]))
-    board = board.join(spark.createDataFrame([(r[0], i + 1) for i, r in enumerate(order)], "algorithm string, rank int"),
-                       "algorithm")
-    return board, best[2]
+        for i, combo in enumerate(param_grid((grids or {}).get(alg, {}))):
+            m = fit(train, features, y, alg, combo, prep)
+            p = score(m, hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), F.col(y).alias("y")])
+            preds = p if preds is None else preds.unionByName(p)
+            cands.append((alg, i, json.dumps(combo, default=str)))
+    aucs = ev.auc_table(ev.score_groups(preds, ["algorithm", "combo"]), ["algorithm", "combo"])
+    meta = spark.createDataFrame(cands, "algorithm string, combo int, params string")
+    per_alg = aucs.join(meta, ["algorithm", "combo"])
+    w = Window.partitionBy("algorithm").orderBy(F.col("auc").desc_nulls_last(), F.col("combo"))
+    best_per_alg = per_alg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "combo")
+    board = best_per_alg.select("algorithm", "params", F.col("auc").alias("score_val"))
+    wr = Window.orderBy(F.col("score_val").desc_nulls_last(), F.col("algorithm"))  # one row per learner
+    board = board.withColumn("rank", F.row_number().over(wr)).checkpoint(eager=True)
+    top = board.where(F.col("rank") == 1).first()
+    best = fit(data, features, y, top["algorithm"], json.loads(top["params"]), prep) if top else None
+    return board, best
 
 
 def stack_oof(oof: DataFrame, row_id: str = "row_id", algorithm: str = "algorithm") -> DataFrame:
