@@ -298,8 +298,42 @@ def q_all_experiment_roc(spark, d):
     return rounded(roc.join(F.broadcast(st), "experiment"))
 
 
-# ----------------------------------------------------------- bootstrap (PROP)
-@register("bootstrap_auc_ci")
+# ------------------------------------------------------------------ bootstrap
+def _bootstrap_sql(n_boot: int = 1000, seed: int = 42) -> str:
+    import math
+    cdf, acc = [], 0.0
+    for k in range(12):
+        acc += math.exp(-1.0) / math.factorial(k)
+        cdf.append(acc)
+
+    def p1(u: str) -> str:
+        return "(CASE " + " ".join(f"WHEN {u} < {'%.17e' % c} THEN {k}" for k, c in enumerate(cdf)) + " ELSE 12 END)"
+
+    def uni(x: str) -> str:
+        return f"(CAST(('0x' || substr(md5({x}), 1, 15))::BIGINT AS DOUBLE) / 1152921504606846976.0)"
+    return f"""WITH {DOC_PRED_SQL},
+cells AS (SELECT outcome, CAST(score AS DOUBLE) AS score, y AS _y, COUNT(*) AS c FROM doc_pred
+          WHERE y IS NOT NULL AND score IS NOT NULL GROUP BY outcome, CAST(score AS DOUBLE), y),
+rep AS (SELECT cells.*, CAST(r AS BIGINT) AS replicate FROM cells, range({n_boot}) t(r)),
+k AS (SELECT *, concat_ws(':', outcome, CAST(score AS VARCHAR), CAST(_y AS VARCHAR), CAST(replicate AS VARCHAR)) AS key FROM rep),
+ex AS (SELECT k.*, UNNEST(CASE WHEN c = 1 OR c > 64 THEN [0] ELSE range(1, c + 1) END) AS i FROM k),
+draws AS (SELECT outcome, replicate, score, _y, c, CASE
+    WHEN c = 1 THEN {p1(uni(f"'{seed}:p:' || key"))}
+    WHEN c <= 64 THEN {p1(uni(f"'{seed}:p:' || key || ':' || CAST(i AS VARCHAR)"))}
+    ELSE greatest(round(c + sqrt(c) * sqrt(-2.0 * ln({uni(f"'{seed}:n1:' || key")} + 1e-18))
+                        * cos(2.0 * 3.141592653589793 * {uni(f"'{seed}:n2:' || key")})), 0) END AS d FROM ex),
+w AS (SELECT outcome, replicate, score, _y, SUM(d) AS weight FROM draws GROUP BY outcome, replicate, score, _y),
+g AS (SELECT outcome, replicate, score, SUM(weight * _y) AS pos, SUM(weight * (1 - _y)) AS neg FROM w
+      WHERE weight > 0 GROUP BY outcome, replicate, score),
+run AS (SELECT *, SUM(neg) OVER (PARTITION BY outcome, replicate ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cneg,
+          SUM(neg) OVER (PARTITION BY outcome, replicate) AS tneg, SUM(pos) OVER (PARTITION BY outcome, replicate) AS tpos FROM g),
+a AS (SELECT outcome, replicate, SUM(pos * (tneg - cneg + neg / 2.0) / NULLIF(tneg, 0)) / NULLIF(MAX(tpos), 0) AS auc
+      FROM run GROUP BY outcome, replicate)
+SELECT outcome, round(quantile_cont(auc, 0.025), 6) AS ci_low, round(quantile_cont(auc, 0.975), 6) AS ci_high,
+  CAST(COUNT(auc) AS BIGINT) AS n_boot FROM a WHERE auc IS NOT NULL GROUP BY outcome"""
+
+
+@register("bootstrap_auc_ci", _bootstrap_sql())
 def q_bootstrap(spark, d):
     p = doc_predictions(spark, d)
     return rounded(cv.bootstrap_auc_ci(p, ["outcome"], "doc_id", n_boot=1000, seed=SEED))
