@@ -211,31 +211,41 @@ def q_excluded(spark, d):
     return cl.outcome_positives(_doc_outcomes(spark, d), _DOC_OUT, 10).where(~F.col("kept")).drop("kept")
 
 
-_SAMEF_SQL = """SELECT 'disc' AS "column", 'test' AS missing_in UNION ALL SELECT 'batch', 'train'"""
+# The set checks run after data-driven column removal, as in the reference's
+# preparation pages: the training table loses the columns its report drops,
+# the test table keeps them.
+def _sparse_dropped_sql(select: str) -> str:
+    return f"""WITH {WIDE_TOK_SQL},
+rep AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, CAST(COUNT({c}) AS DOUBLE) / COUNT(*) < 0.99 AS dropped FROM wide" for c in WIDE_INPUTS)})
+{select}"""
 
 
-@register("check_same_features", _SAMEF_SQL)
-def q_same_features(spark, d):
-    train = wide_lineitem(spark, d)
-    test = train.drop("disc").withColumn("batch", F.lit(1))
-    return cl.column_set_diff(train, test)
+def _train_after_sparse_drop(spark, d):
+    wide = cl.clean_categoricals(wide_lineitem(spark, d), ["status", "flag"])
+    return wide, cl.apply_report(wide, cl.sparse_column_report(wide, WIDE_INPUTS, 0.99))
 
 
-_REQ = ["o_orderkey", "o_totalprice", "o_shippriority", "o_comment"]
+@register("check_same_features",
+          _sparse_dropped_sql("""SELECT col AS "column", 'train' AS missing_in FROM rep WHERE dropped"""))
+def q_same_features(spark, d):
+    test, train = _train_after_sparse_drop(spark, d)
+    return cl.column_set_diff(train, test)
 
 
-@register("check_required_columns", """SELECT 'o_shippriority' AS "column" UNION ALL SELECT 'o_comment'""")
+@register("check_required_columns", _sparse_dropped_sql("""SELECT col AS "column" FROM rep WHERE dropped"""))
 def q_required(spark, d):
-    return cl.missing_required(io.read_table(spark, d, "orders"), _REQ)
+    _, train = _train_after_sparse_drop(spark, d)
+    return cl.missing_required(train, WIDE_INPUTS)
 
 
-@register("set_diff_columns", """SELECT 'disc' AS "column" """)
+@register("set_diff_columns", f"""WITH {WIDE_SQL},
+rep AS ({' UNION ALL '.join(f"SELECT '{c}' AS col, STDDEV_POP({c}) < 0.2 AS dropped FROM wide" for c in _NUM)})
+SELECT col AS "column" FROM rep WHERE dropped""")
 def q_set_diff(spark, d):
-    train = wide_lineitem(spark, d)
-    after = cl.drop_columns(train, ["disc"])
-    spark_ = train.sparkSession
-    a = spark_.createDataFrame([(c,) for c in train.columns], "column string")
-    b = spark_.createDataFrame([(c,) for c in after.columns], "column string")
+    before = wide_lineitem(spark, d)
+    after = cl.apply_report(before, cl.low_variance_report(before, _NUM, 0.2))
+    a = spark.createDataFrame([(c,) for c in before.columns], "column string")
+    b = spark.createDataFrame([(c,) for c in after.columns], "column string")
     return a.exceptAll(b)
 
 
