@@ -152,7 +152,10 @@ class FoldModel:
             df = self.scaler.transform(df)
         if o.normalize:
             df = en.normalize_rows(df, feats)
-        df = self._rebalance(df, feats, row_id)
+        if o.rebalance:
+            # the rebalanced part is read by selection and by every learner pass:
+            # written once instead of re-running the sampling (and kNN) each time
+            df = freeze(self._rebalance(df, feats, row_id), "train-part")
         self.selected = self._select(df, feats)
         self.model = Pipeline(stages=[
             VectorAssembler(inputCols=self.selected, outputCol=md.FEATURES, handleInvalid="keep"),
