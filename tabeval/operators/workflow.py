@@ -248,39 +248,61 @@ def outcomes_with_positives(df: DataFrame, outcomes: Sequence[str], min_positive
     return [o for o in outcomes if o in kept], rep.where(~F.col("kept"))
 
 
+def _run_bounded(tasks, parallelism: int):
+    """Run independent fit tasks from a bounded thread pool (Spark schedules
+    the jobs of several threads concurrently); results keep the task order."""
+    from concurrent.futures import ThreadPoolExecutor
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(lambda t: t(), tasks))
+
+
+def _union(frames):
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
 def train_test_flow(df: DataFrame, features: Sequence[str], outcomes: Sequence[str], row_id: str,
-                    algorithms: dict[str, dict], options: Options) -> DataFrame:
+                    algorithms: dict[str, dict], options: Options, parallelism: int = 4) -> DataFrame:
     """Per outcome with enough positives: stratified split, per-part fit of the
     full training-part flow, train and test predictions of every algorithm:
-    (outcome, algorithm, split, row_id, y, score, pred) — feed ``results_table``."""
+    (outcome, algorithm, split, row_id, y, score, pred) — feed ``results_table``.
+    The (outcome x algorithm) fits run from a bounded thread pool."""
     kept, _ = outcomes_with_positives(df, outcomes, options.min_positives)
-    out = None
-    for o in kept:
-        s = sp.split_stratified(df.where(F.col(o).isNotNull()), o, row_id, options.test_size, options.seed)
-        train = s.where(F.col("split") == "train")
-        for alg, params in algorithms.items():
-            fm = FoldModel(list(features), o, alg, params, options).fit(train, row_id)
-            p = fm.score(s, [F.lit(o).alias("outcome"), F.lit(alg).alias("algorithm"), "split", row_id,
-                             F.col(o).alias("y")])
-            out = p if out is None else out.unionByName(p)
-    return out
+    splits = {o: freeze(sp.split_stratified(df.where(F.col(o).isNotNull()), o, row_id, options.test_size,
+                                            options.seed), "split") for o in kept}
+
+    def task(o, alg, params):
+        def run():
+            s = splits[o]
+            fm = FoldModel(list(features), o, alg, params, options).fit(s.where(F.col("split") == "train"), row_id)
+            return fm.score(s, [F.lit(o).alias("outcome"), F.lit(alg).alias("algorithm"), "split", row_id,
+                                F.col(o).alias("y")])
+        return run
+    return _union(_run_bounded([task(o, a, p) for o in kept for a, p in algorithms.items()], parallelism))
 
 
 def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict,
-                        options: Options, k: int = 5, n_repeats: int = 1) -> DataFrame:
+                        options: Options, k: int = 5, n_repeats: int = 1, parallelism: int = 4) -> DataFrame:
     """Repeated stratified k-fold; every fold fits the full training-part flow
-    on its training rows: (repeat, fold, split, row_id, y, score, pred)."""
+    on its training rows: (repeat, fold, split, row_id, y, score, pred). The
+    k x repeats fits run from a bounded thread pool."""
     base = df.where(F.col(y).isNotNull())
-    out = None
-    for r in range(n_repeats):
-        folds = freeze(sp.kfold_stratified(base, y, row_id, k, options.seed + r, out="_fold"), "folds")
-        for f in range(k):
-            fm = FoldModel(list(features), y, alg, params, options).fit(folds.where(F.col("_fold") != f), row_id)
-            p = fm.score(folds, [F.lit(r).alias("repeat"), F.lit(f).alias("fold"),
+    folds = {r: freeze(sp.kfold_stratified(base, y, row_id, k, options.seed + r, out="_fold"), "folds")
+             for r in range(n_repeats)}
+
+    def task(r, f):
+        def run():
+            fr = folds[r]
+            fm = FoldModel(list(features), y, alg, params, options).fit(fr.where(F.col("_fold") != f), row_id)
+            return fm.score(fr, [F.lit(r).alias("repeat"), F.lit(f).alias("fold"),
                                  F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train")).alias("split"),
                                  row_id, F.col(y).alias("y")])
-            out = p if out is None else out.unionByName(p)
-    return out
+        return run
+    return _union(_run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)], parallelism))
 
 
 # ------------------------------------------------------------------ bundles
