@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
+from .concurrency import run_bounded, union_all
 from .ordered import freeze
 from .sample import kfold_stratified, split_stratified
 
@@ -211,19 +212,19 @@ def cross_validate(df: DataFrame, features: Sequence[str], y: str, row_id: str,
     """Repeated stratified k-fold with per-fold preprocessing; out-of-fold
     predictions for the test part and in-fold predictions for the train part:
     (repeat, fold, split, row_id, y, score, pred)."""
-    out = None
     base = df.where(F.col(y).isNotNull())
-    for r in range(n_repeats):
-        folds = freeze(kfold_stratified(base, y, row_id, k, seed + r, out="_fold"), "folds")
-        for f in range(k):
-            train = folds.where(F.col("_fold") != f)
-            model = fit(train, features, y, alg, params, prep)
-            scored = score(model, folds, [row_id, F.col(y).alias("y"), "_fold"]) \
+    folds = {r: freeze(kfold_stratified(base, y, row_id, k, seed + r, out="_fold"), "folds") for r in range(n_repeats)}
+
+    def task(r, f):
+        def run():
+            fr = folds[r]
+            model = fit(fr.where(F.col("_fold") != f), features, y, alg, params, prep)
+            return score(model, fr, [row_id, F.col(y).alias("y"), "_fold"]) \
                 .select(F.lit(r).alias("repeat"), F.lit(f).alias("fold"),
                         F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train")).alias("split"),
                         row_id, "y", "score", "pred")
-            out = scored if out is None else out.unionByName(scored)
-    return out
+        return run
+    return union_all(run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)]))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -251,13 +252,15 @@ def auto_select(df: DataFrame, features: Sequence[str], y: str, algorithms: Sequ
     data = df.where(F.col(y).isNotNull())
     s = freeze(split_stratified(data, y, row_id, holdout, seed), "holdout")
     train, hold = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    preds, cands = None, []
-    for alg in algorithms:
-        for i, combo in enumerate(param_grid((grids or {}).get(alg, {}))):
+    cands = [(alg, i, combo) for alg in algorithms for i, combo in enumerate(param_grid((grids or {}).get(alg, {})))]
+
+    def task(alg, i, combo):
+        def run():
             m = fit(train, features, y, alg, combo, prep)
-            p = score(m, hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), F.col(y).alias("y")])
-            preds = p if preds is None else preds.unionByName(p)
-            cands.append((alg, i, json.dumps(combo, default=str)))
+            return score(m, hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), F.col(y).alias("y")])
+        return run
+    preds = union_all(run_bounded([task(*c) for c in cands]))
+    cands = [(alg, i, json.dumps(combo, default=str)) for alg, i, combo in cands]
     aucs = ev.auc_table(ev.score_groups(preds, ["algorithm", "combo"]), ["algorithm", "combo"])
     meta = spark.createDataFrame(cands, "algorithm string, combo int, params string")
     per_alg = aucs.join(meta, ["algorithm", "combo"])

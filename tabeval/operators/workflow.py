@@ -29,6 +29,7 @@ from . import models as md
 from . import neighbors as nb
 from . import sample as sp
 from . import select as sl
+from .concurrency import run_bounded, union_all
 from .ordered import freeze
 
 
@@ -248,23 +249,6 @@ def outcomes_with_positives(df: DataFrame, outcomes: Sequence[str], min_positive
     return [o for o in outcomes if o in kept], rep.where(~F.col("kept"))
 
 
-def _run_bounded(tasks, parallelism: int):
-    """Run independent fit tasks from a bounded thread pool (Spark schedules
-    the jobs of several threads concurrently); results keep the task order."""
-    from concurrent.futures import ThreadPoolExecutor
-    if parallelism <= 1 or len(tasks) <= 1:
-        return [t() for t in tasks]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        return list(pool.map(lambda t: t(), tasks))
-
-
-def _union(frames):
-    out = None
-    for f in frames:
-        out = f if out is None else out.unionByName(f)
-    return out
-
-
 def train_test_flow(df: DataFrame, features: Sequence[str], outcomes: Sequence[str], row_id: str,
                     algorithms: dict[str, dict], options: Options, parallelism: int = 4) -> DataFrame:
     """Per outcome with enough positives: stratified split, per-part fit of the
@@ -282,7 +266,7 @@ def train_test_flow(df: DataFrame, features: Sequence[str], outcomes: Sequence[s
             return fm.score(s, [F.lit(o).alias("outcome"), F.lit(alg).alias("algorithm"), "split", row_id,
                                 F.col(o).alias("y")])
         return run
-    return _union(_run_bounded([task(o, a, p) for o in kept for a, p in algorithms.items()], parallelism))
+    return union_all(run_bounded([task(o, a, p) for o in kept for a, p in algorithms.items()], parallelism))
 
 
 def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict,
@@ -302,7 +286,7 @@ def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id:
                                  F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train")).alias("split"),
                                  row_id, F.col(y).alias("y")])
         return run
-    return _union(_run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)], parallelism))
+    return union_all(run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)], parallelism))
 
 
 # ------------------------------------------------------------------ bundles
