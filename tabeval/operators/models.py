@@ -296,11 +296,12 @@ def select_rfecv(df: DataFrame, features: Sequence[str], y: str, row_id: str, mi
     cur = list(features)
     rows = []
     while len(cur) >= min_features:
-        preds = None
-        for f in range(k):
-            m = fit(folds.where(F.col("_fold") != f), cur, y, "lr", {}, prep)
-            s = score(m, folds.where(F.col("_fold") == f), [F.col(y).alias("y")]).withColumn("fold", F.lit(f))
-            preds = s if preds is None else preds.unionByName(s)
+        def task(f, feats=tuple(cur)):
+            def run():
+                m = fit(folds.where(F.col("_fold") != f), list(feats), y, "lr", {}, prep)
+                return score(m, folds.where(F.col("_fold") == f), [F.col(y).alias("y")]).withColumn("fold", F.lit(f))
+            return run
+        preds = union_all(run_bounded([task(f) for f in range(k)]))
         aucs = ev.auc_table(ev.score_groups(preds, ["fold"]), ["fold"]).agg(F.avg("auc")).first()[0]
         rows.append((len(cur), json.dumps(cur), float(aucs)))
         if len(cur) == min_features:
