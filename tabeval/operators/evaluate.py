@@ -165,6 +165,8 @@ def evaluate(df: DataFrame, group: Sequence[str] = (), y: str = "y", score: str
     def when_real(c: Column) -> Column:
         return F.when(real, c).otherwise(F.lit(0.0))
 
+    # DeLong components lie in [0, 1]: sums of squares centred at 0.5 keep the
+    # one-pass (weighted) sample variance numerically stable
     aggs = [
         F.first("P").alias("P"), F.first("N").alias("N"),
         F.sum(when_real(F.col("pos") * v01)).alias("_s01"),
@@ -176,6 +178,8 @@ def evaluate(df: DataFrame, group: Sequence[str] = (), y: str = "y", score: str
         F.sum(F.when(has_prev, dx * (r["ppv_low"] + pr["ppv_low"]) / 2.0).otherwise(0.0)).alias("auprc_cilow"),
         F.sum(F.when(has_prev, dx * (r["ppv_high"] + pr["ppv_high"]) / 2.0).otherwise(0.0)).alias("auprc_cihigh"),
     ]
+    # argmax over (criterion, threshold): on equal criteria the highest threshold
+    # wins, i.e. the first index of the descending curve (+inf point included)
     for name in ("mcc", "youden", "f1", "ji"):
         aggs.append(F.max_by("threshold", F.struct(_crit(name), F.col("threshold"))).alias(f"cutoff_{name}"))
     aggs.append(F.max_by(at_cut, F.struct(_crit(index), F.col("threshold"))).alias("_at"))
