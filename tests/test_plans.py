@@ -74,3 +74,13 @@ def test_drop_frozen_removes_only_own_tables(spark, tmp_path):
     finally:
         if before:
             sc.setCheckpointDir(before)
+
+
+@pytest.mark.parametrize("name", ["threshold_table", "metrics_at_cutoff", "auc_delong_compare", "averaged_roc",
+                                  "net_benefit_model", "kfold_stratified", "oversample", "profile_columns",
+                                  "select_kbest_f", "results_table", "bootstrap_auc_ci"])
+def test_evaluation_stays_in_the_jvm(spark, name):
+    """No Python evaluation nodes: every per-row expression is codegen-able SQL."""
+    p = plan_text(E.queries()[name](spark, SF))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in p, (name, node)
