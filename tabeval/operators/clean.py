@@ -61,8 +61,7 @@ def column_kind_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     one stacked distinct plus one null-flag aggregate (no per-column Expand)."""
     from .profile import distinct_counts
     cols = list(cols)
-    nulls = agg_chunked(df, [F.max(F.col(c).isNull().cast("long")).alias(c) for c in cols])
-    has_null = df.sparkSession.createDataFrame([(c, int(nulls[c] or 0)) for c in cols], "column string, has_null bigint")
+    has_null = stacked_aggregate(df, [(c, F.max(F.col(c).isNull().cast("long"))) for c in cols], "BIGINT", "has_null")
     types = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in cols],
                                             "column string, dtype string")
     # all three tables hold one row per column
@@ -99,9 +98,7 @@ def sparse_column_report(df: DataFrame, cols: Sequence[str], min_share: float, k
     ``min_share`` (the stated fraction, Q1), unless the column is kept."""
     cols = list(cols)
     n = F.count(F.lit(1))
-    vals = agg_chunked(df, [(F.count(F.col(c)) / n).alias(c) for c in cols])
-    rep = df.sparkSession.createDataFrame([(c, None if vals[c] is None else float(vals[c])) for c in cols],
-                                          "column string, non_null_share double")
+    rep = stacked_aggregate(df, [(c, F.count(F.col(c)) / n) for c in cols], "DOUBLE", "non_null_share")
     return rep.withColumn("dropped", (F.col("non_null_share") < min_share) & ~F.col("column").isin(*keep)
                           if keep else F.col("non_null_share") < min_share)
 
@@ -109,8 +106,7 @@ def sparse_column_report(df: DataFrame, cols: Sequence[str], min_share: float, k
 def low_variance_report(df: DataFrame, cols: Sequence[str], threshold: float, keep: Sequence[str] = ()) -> DataFrame:
     """(column, std_pop, dropped): population std (NULL ignored) below threshold."""
     cols = list(cols)
-    vals = agg_chunked(df, [F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols])
-    rep = df.sparkSession.createDataFrame([(c, vals[c]) for c in cols], "column string, std_pop double")
+    rep = stacked_aggregate(df, [(c, F.stddev_pop(F.col(c).cast("double"))) for c in cols], "DOUBLE", "std_pop")
     drop = F.col("std_pop") < threshold
     return rep.withColumn("dropped", (drop & ~F.col("column").isin(*keep)) if keep else drop)
 
@@ -119,6 +115,21 @@ def low_variance_report(df: DataFrame, cols: Sequence[str], threshold: float, ke
 AGG_CHUNK = 200
 
 
+def stacked_aggregate(df: DataFrame, named: Sequence[tuple[str, Column]], value_type: str,
+                      out_name: str) -> DataFrame:
+    """(column, value) rows of one aggregate expression per column. Up to
+    ``AGG_CHUNK`` expressions stay one lazy plan (aggregate + stack); wider
+    tables run one job per chunk and assemble the p-row result."""
+    named = list(named)
+    exprs = [e.alias(f"_{i}") for i, (_, e) in enumerate(named)]
+    if len(named) <= AGG_CHUNK:
+        stack = ", ".join(f"'{c}', CAST(`_{i}` AS {value_type})" for i, (c, _) in enumerate(named))
+        return df.agg(*exprs).select(F.expr(f"stack({len(named)}, {stack}) as (column, {out_name})"))
+    vals = agg_chunked(df, exprs)
+    return df.sparkSession.createDataFrame([(c, vals[f"_{i}"]) for i, (c, _) in enumerate(named)],
+                                           f"column string, {out_name} {value_type.lower()}")
+
+
 def agg_chunked(df: DataFrame, exprs: Sequence[Column], chunk: int = AGG_CHUNK) -> dict:
     """Evaluate many named aggregate expressions as a few one-row aggregate
     jobs of at most ``chunk`` expressions (one pass each, map-side partial
