@@ -51,3 +51,65 @@ def test_calibration_bins_match_searchsorted(spark):
         assert got[int(b)][0] == pytest.approx(y[m].mean(), abs=1e-12)
         assert got[int(b)][1] == pytest.approx(p[m].mean(), abs=1e-12)
     assert set(got) == {int(b) for b in np.unique(ids)}
+
+
+def test_delong_compare_matches_bruteforce(spark):
+    import math
+    from tabeval.operators import rates as rt
+    rng = np.random.default_rng(21)
+    n = 240
+    y = rng.integers(0, 2, n)
+    s1 = np.round(rng.normal(y * 0.8, 1.0), 1)
+    s2 = np.round(rng.normal(y * 0.3, 1.0), 1)
+    df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(y, s1, s2)], "y int, s1 double, s2 double")
+    got = rt.delong_compare(df, [], "y", "s1", "s2").first()
+
+    def comps(s):
+        pos, neg = s[y == 1], s[y == 0]
+        v01 = np.array([((neg < q).sum() + 0.5 * (neg == q).sum()) / len(neg) for q in pos])
+        v10 = np.array([((pos > q).sum() + 0.5 * (pos == q).sum()) / len(pos) for q in neg])
+        return v01, v10
+    a01, a10 = comps(s1)
+    b01, b10 = comps(s2)
+    P, N = (y == 1).sum(), (y == 0).sum()
+    cov = np.cov(np.vstack([a01, b01])) / P + np.cov(np.vstack([a10, b10])) / N
+    z = abs(a01.mean() - b01.mean()) / math.sqrt(cov[0, 0] + cov[1, 1] - 2 * cov[0, 1])
+    log10_p = math.log10(2) + math.log(0.5 * math.erfc(z / math.sqrt(2))) / math.log(10)
+    assert got["auc_1"] == pytest.approx(a01.mean(), abs=1e-12)
+    assert got["auc_2"] == pytest.approx(b01.mean(), abs=1e-12)
+    assert got["z"] == pytest.approx(z, rel=1e-9)
+    assert got["log10_p"] == pytest.approx(log10_p, rel=1e-9)
+
+
+def test_averaged_roc_summary_matches_numpy(spark):
+    from tabeval.functions.stats import t_ppf
+    rng = np.random.default_rng(4)
+    rows, k = [], 4
+    for f in range(k):
+        y = rng.integers(0, 2, 120)
+        s = np.round(rng.normal(y * (0.5 + 0.2 * f), 1.0), 2)
+        rows += [(f, int(a), float(b)) for a, b in zip(y, s)]
+    df = spark.createDataFrame(rows, "fold int, y int, score double")
+    res = cv.averaged_roc(ev.score_groups(df, ["fold"]), [], "fold", 100, n_curves=k).orderBy("grid_index").collect()
+    grid = np.linspace(0, 1, 100)
+    tprs, aucs = [], []
+    for f in range(k):
+        yy = np.array([r[1] for r in rows if r[0] == f])
+        ss = np.array([r[2] for r in rows if r[0] == f])
+        order = np.sort(np.unique(ss))[::-1]
+        tps = np.r_[0, np.cumsum([((ss == v) & (yy == 1)).sum() for v in order])]
+        fps = np.r_[0, np.cumsum([((ss == v) & (yy == 0)).sum() for v in order])]
+        fpr, tpr = fps / fps[-1], tps / tps[-1]
+        it = np.interp(grid, fpr, tpr)
+        it[0] = 0.0
+        tprs.append(it)
+        aucs.append(np.trapezoid(tpr, fpr))
+    mean = np.mean(tprs, axis=0)
+    mean[-1] = 1.0
+    mean_auc = np.trapezoid(mean, grid)
+    t = t_ppf(0.975, k)
+    se_auc = np.std(aucs) / np.sqrt(k)
+    assert [r["mean_tpr"] for r in res] == pytest.approx(mean.tolist(), abs=1e-12)
+    assert res[0]["mean_auc"] == pytest.approx(mean_auc, abs=1e-12)
+    assert res[0]["auc_cilow"] == pytest.approx(max(mean_auc - t * se_auc, 0.0), abs=1e-12)
+    assert res[0]["auc_cihigh"] == pytest.approx(min(mean_auc + t * se_auc, 1.0), abs=1e-12)
