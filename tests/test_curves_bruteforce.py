@@ -113,3 +113,41 @@ def test_averaged_roc_summary_matches_numpy(spark):
     assert res[0]["mean_auc"] == pytest.approx(mean_auc, abs=1e-12)
     assert res[0]["auc_cilow"] == pytest.approx(max(mean_auc - t * se_auc, 0.0), abs=1e-12)
     assert res[0]["auc_cihigh"] == pytest.approx(min(mean_auc + t * se_auc, 1.0), abs=1e-12)
+
+
+def _roc(yy, ss):
+    order = np.sort(np.unique(ss))[::-1]
+    tps = np.r_[0, np.cumsum([((ss == v) & (yy == 1)).sum() for v in order])]
+    fps = np.r_[0, np.cumsum([((ss == v) & (yy == 0)).sum() for v in order])]
+    return fps / fps[-1], tps / tps[-1], tps, fps
+
+
+def test_multiclass_macro_and_micro(spark):
+    rng = np.random.default_rng(13)
+    n = 180
+    lab = rng.choice(["A", "B", "C"], n)
+    sc = {c: np.round(rng.normal((lab == c) * 0.7, 1.0), 1) for c in "ABC"}
+    df = spark.createDataFrame([(str(l), float(sc["A"][i]), float(sc["B"][i]), float(sc["C"][i])) for i, l in enumerate(lab)],
+                               "lab string, sa double, sb double, sc double")
+    got = {r["curve"]: r["auc"] for r in cv.roc_multiclass(df, [], "lab", {"A": "sa", "B": "sb", "C": "sc"}).collect()}
+    curves = {c: _roc((lab == c).astype(int), sc[c])[:2] for c in "ABC"}
+    all_fpr = np.unique(np.concatenate([curves[c][0] for c in "ABC"]))
+    mean_tpr = np.mean([np.interp(all_fpr, *curves[c]) for c in "ABC"], axis=0)
+    assert got["macro"] == pytest.approx(np.trapezoid(mean_tpr, all_fpr), abs=1e-12)
+    yy = np.concatenate([(lab == c).astype(int) for c in "ABC"])
+    ss = np.concatenate([sc[c] for c in "ABC"])
+    fpr, tpr = _roc(yy, ss)[:2]
+    assert got["micro"] == pytest.approx(np.trapezoid(tpr, fpr), abs=1e-12)
+    for c in "ABC":
+        assert got[c] == pytest.approx(np.trapezoid(curves[c][1], curves[c][0]), abs=1e-12)
+
+
+def test_pr_auc_trapezoid(spark):
+    from tabeval.operators import rates as rt
+    y, p, df = data(spark, seed=17)
+    sg = ev.score_groups(df.withColumnRenamed("prob", "score"))
+    got = rt.pr_auc(sg, []).first()["pr_auc"]
+    _, _, tps, fps = _roc(y, p)
+    precision = np.r_[1.0, tps[1:] / (tps[1:] + fps[1:])]
+    recall = tps / tps[-1]
+    assert got == pytest.approx(np.trapezoid(precision, recall), abs=1e-12)
