@@ -49,3 +49,35 @@ def test_ratio_targets(spark):
     assert under == {1: 30, 0: 60}        # majority cut to int(30 / 0.5)
     auto_u = {r["y"]: r["target"] for r in sp.sampling_targets(df, "y", "under", "auto").collect()}
     assert auto_u == {1: 30, 0: 30}
+
+
+def test_knn_classifier_distance_weights(spark):
+    from tabeval.operators import neighbors as nb
+    rng = np.random.default_rng(6)
+    tr = rng.normal(size=(80, 2))
+    ytr = (tr[:, 0] + rng.normal(0, 0.5, 80) > 0).astype(int)
+    te = rng.normal(size=(20, 2))
+    train = spark.createDataFrame([(i, [float(a), float(b)], int(c)) for i, ((a, b), c) in enumerate(zip(tr, ytr))],
+                                  "id long, vec array<double>, y int")
+    test = spark.createDataFrame([(1000 + i, [float(a), float(b)], 0) for i, (a, b) in enumerate(te)],
+                                 "id long, vec array<double>, y int")
+    got = {r["id"]: r["score"] for r in nb.knn_classifier(train, test, k=5, weights="distance").collect()}
+    for i, q in enumerate(te):
+        d = np.sqrt(((tr - q) ** 2).sum(1))
+        idx = np.argsort(d, kind="stable")[:5]
+        w = 1.0 / d[idx]
+        assert got[1000 + i] == pytest.approx((w * ytr[idx]).sum() / w.sum(), abs=1e-12)
+
+
+def test_repeated_folds(spark):
+    df = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "row_id long, y int")
+    f = sp.kfold_repeated(df, "y", "row_id", 3, 2, 42).collect()
+    for rep in (0, 1):
+        rows = [r for r in f if r["repeat"] == rep]
+        assert sorted(r["row_id"] for r in rows) == list(range(90))
+        for cls in (0, 1):
+            sizes = [sum(1 for r in rows if r["y"] == cls and r["fold"] == k) for k in range(3)]
+            assert max(sizes) - min(sizes) <= 1
+    a = {r["row_id"]: r["fold"] for r in f if r["repeat"] == 0}
+    b = {r["row_id"]: r["fold"] for r in f if r["repeat"] == 1}
+    assert a != b  # a different seed per repeat
