@@ -151,3 +151,17 @@ def test_pr_auc_trapezoid(spark):
     precision = np.r_[1.0, tps[1:] / (tps[1:] + fps[1:])]
     recall = tps / tps[-1]
     assert got == pytest.approx(np.trapezoid(precision, recall), abs=1e-12)
+
+
+def test_net_benefit_interp_matches_direct_counts(spark):
+    y, p, df = data(spark, seed=23)
+    n_pts = 20000
+    got = cv.net_benefit_interp(df, [], "y", "prob", n_pts).orderBy("threshold").collect()
+    grid = np.linspace(0, 1 - 1 / n_pts, n_pts)
+    n = len(y)
+    for j in list(range(0, n_pts, 997)) + [n_pts - 1]:
+        t = grid[j]
+        tp = int(((p >= t) & (y == 1)).sum())
+        fp = int(((p >= t) & (y == 0)).sum())
+        assert got[j]["threshold"] == pytest.approx(t, abs=1e-12)
+        assert got[j]["net_benefit"] == pytest.approx(tp / n - fp / n * (t / (1 - t)), abs=1e-9)
