@@ -53,3 +53,17 @@ def test_bundle_round_trip_with_quantile_and_one_hot(spark, tmp_path):
     got = {r["row_id"]: r["score"] for r in wf.score_bundle(path, df, "row_id").collect()}
     assert got.keys() == direct.keys()
     assert all(abs(got[k] - direct[k]) < 1e-12 for k in got)
+
+
+def test_selection_and_adasyn_paths(spark):
+    df = orders_features(spark, SF)
+    for sel, n in (("SelectPercentile-f_classif", 2), ("VarianceThreshold", 2), ("MRMR", 2), ("SelectKBest-chi2", 1)):
+        opts = wf.Options(impute="mean", scaling="MinMaxScaler", feature_selection=sel, n_features=n, percentile=50.0)
+        fm = wf.FoldModel(FEATS, "y", "lr", {}, opts).fit(df, "row_id")
+        assert 1 <= len(fm.selected) <= len(FEATS), sel
+        if sel in ("MRMR", "SelectKBest-chi2"):
+            assert len(fm.selected) == n, sel
+    fm = wf.FoldModel(FEATS, "y", "lr", {}, wf.Options(impute="mean", rebalance="ADASYN", k_neighbors=3))
+    bal = fm._rebalance(df, FEATS, "row_id")
+    counts = sorted(r["count"] for r in bal.groupBy("y").count().collect())
+    assert counts[0] == counts[1]
