@@ -54,3 +54,17 @@ def test_cv_average_override(spark):
     ov = spark.createDataFrame([("test", 0.72, 0.6, 0.84)], "split string, auc double, auc_cilow double, auc_cihigh double")
     r = rs.cv_metric_average(per, ["split"], ["auc"], ov).first()
     assert r["auc"] == 0.72 and r["auc_cilow"] == 0.6
+
+
+def test_sort_registry_missing_time_last_both_ways(spark):
+    import datetime as dt
+    m = spark.createDataFrame([("b", dt.datetime(2024, 1, 2)), ("a", None), ("c", dt.datetime(2024, 1, 1))],
+                              "exp_name string, time_created timestamp")
+    newest = [r["exp_name"] for r in rg.sort_registry(m, "newest").collect()]
+    oldest = [r["exp_name"] for r in rg.sort_registry(m, "oldest").collect()]
+    alpha = [r["exp_name"] for r in rg.sort_registry(m, "alphabetical").collect()]
+    assert newest == ["b", "c", "a"] and oldest == ["c", "b", "a"] and alpha == ["a", "b", "c"]
+    lst = rg.list_experiments(models(spark), spark.createDataFrame([("a", "t1"), ("a", "t2")],
+                                                                   "exp_name string, test_set string"), "a", "Native")
+    row = lst.first()
+    assert row["exp_name"] == "a" and row["n_results"] == 2 and row["n_algorithms"] == 1
