@@ -50,3 +50,27 @@ def test_median_with_even_count(spark):
     assert en.Imputer("median").fit(df, ["x"]).values["x"] == pytest.approx(2.0)
     df2 = df.union(spark.createDataFrame([(4.0,)], "x double"))
     assert en.Imputer("median").fit(df2, ["x"]).values["x"] == pytest.approx(3.0)
+
+
+def test_binarize_outcome_rules(spark):
+    from tabeval.operators import clean as cl
+    train = spark.createDataFrame([("yes",), ("no",), ("no",), (None,)], "o string")
+    out = {r["o"]: r["y"] for r in cl.binarize_outcome(train, "o", out="y").collect()}
+    assert out == {"no": 0, "yes": 1, None: 0}          # mode fill, smaller value -> 0
+    m = cl.outcome_mapping(train, "o").first()
+    test = spark.createDataFrame([("yes",), (None,)], "o string")
+    mapped = [r["y"] for r in cl.binarize_outcome(test, "o", {"zero": m["zero"], "one": m["one"], "mode": m["mode"]},
+                                                  out="y").collect()]
+    assert sorted(mapped) == [0, 1]                      # the train mapping is reused
+    three = spark.createDataFrame([("a",), ("b",), ("c",)], "o string")
+    with pytest.raises(ValueError):
+        cl.binarize_outcome(three, "o")
+
+
+def test_drop_sparse_rows_threshold(spark):
+    from tabeval.operators import clean as cl
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0), (None, 2.0, 3.0, 4.0), (None, None, 3.0, 4.0)],
+                               "a double, b double, c double, d double")
+    # threshold 0.75 of 4 inputs -> at least 3 non-missing
+    assert cl.drop_sparse_rows(df, ["a", "b", "c", "d"], 0.75).count() == 2
+    assert cl.drop_sparse_rows(df, ["a", "b", "c", "d"], 1.0).count() == 1
