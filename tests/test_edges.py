@@ -74,3 +74,13 @@ def test_drop_sparse_rows_threshold(spark):
     # threshold 0.75 of 4 inputs -> at least 3 non-missing
     assert cl.drop_sparse_rows(df, ["a", "b", "c", "d"], 0.75).count() == 2
     assert cl.drop_sparse_rows(df, ["a", "b", "c", "d"], 1.0).count() == 1
+
+
+def test_apply_coding_first_bin_and_one_hot_cap(spark):
+    from tabeval.functions.scalar import apply_coding
+    df = spark.createDataFrame([("x",), ("y",), ("z",)], "v string")
+    got = {r["v"]: r["c"] for r in df.select("v", apply_coding("v", [["x", "y"], ["y", "z"]], [1, 2]).alias("c")).collect()}
+    assert got == {"x": 1, "y": 1, "z": 2}               # the first bin containing the value wins
+    wide = spark.range(50).select(F.col("id").cast("string").alias("c"))
+    with pytest.raises(ValueError):
+        en.OneHot(max_categories=10).fit(wide, ["c"])
