@@ -49,3 +49,41 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 def id_remainder(key: Column, parts: int) -> Column:
     """crc32 of the key's text, modulo ``parts``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def add_by_text(df: DataFrame, text: str, fields: str, make) -> DataFrame:
+    """Replace column ``text`` by columns computed from it in Arrow batches.
+
+    ``make()`` runs once per task and returns a function from a list of texts (None for null) to one
+    Arrow-convertible list or array per field of ``fields``. Other columns pass through untouched.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    small_batches(df.sparkSession)
+    added = _parse_datatype_string(fields)
+    kept = [f for f in df.schema.fields if f.name != text]
+    schema = StructType(kept + list(added.fields))
+    types = [f.type for f in to_arrow_schema(added)]
+    names, at = schema.names, df.columns.index(text)
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            new = work(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [c for i, c in enumerate(batch.columns) if i != at]
+                + [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, types, strict=True)], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
+def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (never more than 1.5 times that), picked by a hash of ``key``:
+    the same rows on every run and partitioning. Only for fitting a model."""
+    n = df.count()
+    if n <= rows:
+        return df
+    share = int(rows / n * 1_000_000_000)
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000_000)) < share).limit(rows + rows // 2)

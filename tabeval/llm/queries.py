@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, warc
-from .common import table
+from . import langid, sharding, toxicity, warc
+from .common import id_remainder, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4) == 2
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~held))
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5) == 0
+    model = langid.train(docs, ~held)
+    return langid.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +33,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_warc": op6_warc, "op7_sharding": op7_sharding}
+    return {"op2_toxicity": op2_toxicity, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
