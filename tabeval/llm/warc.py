@@ -177,8 +177,10 @@ def read_records(index: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")]).astype(
             {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * READ_BYTES)))
     stretch = F.floor(F.col("offset") / (4 * READ_BYTES))
-    return (index.select("folder", "archive", "offset", "length").repartition("archive", stretch)
+    return (index.select("folder", "archive", "offset", "length").repartition(tasks, "archive", stretch)
             .sortWithinPartitions("archive", "offset").mapInPandas(read, RECORD_SCHEMA))
 
 
