@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, sharding, toxicity, warc
+from . import langid, page_text, pieces, sharding, toxicity, warc
 from .common import id_remainder, table
 
 
+#: the public model whose vocabulary op1 encodes with
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, pieces.Vocabulary.load(PIECES))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 4) == 2
     model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), ~held))
@@ -18,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), page_text.train())
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 5) == 0
     model = langid.train(docs, ~held)
@@ -33,7 +46,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_sharding": op7_sharding}
+    return {"op1_sentencepiece": op1_sentencepiece, "op4_html": op4_html, "op2_toxicity": op2_toxicity, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
