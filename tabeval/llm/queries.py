@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, page_text, pieces, pii, sharding, toxicity, warc
+from . import decontaminate, langid, ngram_join, page_text, pieces, pii, sharding, toxicity, warc
 from .common import id_remainder, table
 
 
@@ -49,6 +49,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,7 +87,7 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_sentencepiece": op1_sentencepiece, "op3_pii": op3_pii, "op4_html": op4_html, "op2_toxicity": op2_toxicity, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_sharding": op7_sharding,
-            "op10_decontaminate": op10_decontaminate}
+            "op8_ngram_join": op8_ngram_join, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
