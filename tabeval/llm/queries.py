@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ngram_join, page_text, pieces, pii, sharding, toxicity, warc
+from . import decontaminate, embed_join, langid, ngram_join, page_text, pieces, pii, sharding, toxicity, warc
 from .common import id_remainder, table
 
 
@@ -53,6 +53,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_embed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.join(table(spark, sf_dir, "embeddings"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,7 +91,8 @@ FROM doc LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_sentencepiece": op1_sentencepiece, "op3_pii": op3_pii, "op4_html": op4_html, "op2_toxicity": op2_toxicity, "op5_langid": op5_langid, "op6_warc": op6_warc, "op7_sharding": op7_sharding,
-            "op8_ngram_join": op8_ngram_join, "op10_decontaminate": op10_decontaminate}
+            "op8_ngram_join": op8_ngram_join, "op9_embed_join": op9_embed_join,
+            "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
