@@ -1,8 +1,65 @@
-"""A corpus pipeline of the operators in ``tabeval.llm``."""
+"""A corpus pipeline of the operators in ``tabeval.llm``: language, near copies, benchmark passages,
+personal data, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a DataFrame;
+between stages the rows are written as Parquet and read again. All stages but the last return the
+columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabeval.llm import decontaminate, langid, ngram_join, pieces, pii
+from tabeval.llm.common import freeze, table
+from tabeval.llm.queries import PIECES
+
+#: the stages work on texts; SQL can express neither the language model nor the segmentation
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that no language's classifier accepts: null texts, texts without a letter, and
+    texts with a margin under -0.2 for every language. Where lang is null it becomes the language found.
+    Without any labelled text only texts without a letter are rejected."""
+    model = langid.train(docs, F.lit(True))
+    if not model.classes:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    named = langid.predict(docs.withColumn("_read", F.col("text")), model, "_read")
+    kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.ACCEPT))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the benchmark's passages out of the texts; a document of which no word is left goes."""
+    cut = decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+    return cut.where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and generalises or removes the terms that disclose it."""
+    return pii.sanitise(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids; n_chars is that of the final text."""
+    texts = docs.withColumn("n_chars", F.length("text")).withColumn("_read", F.col("text"))
+    return pieces.encode(texts, pieces.Vocabulary.load(PIECES), "_read")
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_passages", benchmark_passages),
+          ("personal_data", personal_data), ("tokens", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = freeze(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

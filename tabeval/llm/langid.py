@@ -27,6 +27,8 @@ RIDGE = 1e-2
 #: documents and characters whose presence matrix is held at once
 GROUP_ROWS, GROUP_CHARS = 128, 1 << 20
 UNKNOWN = "und"
+#: a lower score means that every language's classifier clearly refuses the text (a margin under -0.2)
+ACCEPT = 0.4
 _IS_LETTER = None
 
 

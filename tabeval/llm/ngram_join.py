@@ -46,7 +46,7 @@ LETTER = _R.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 LETTER[32] = 0
 PLACE = _R.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 TURN = _R.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-PROBE = _R.integers(0, BITS, (BITS, 4096)).astype(np.int64)
+PROBE = _R.integers(0, BITS, (BITS, 256)).astype(np.int16)
 
 
 def repeats() -> int:
@@ -369,7 +369,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the near copies: of each group that links connect, the document with the smallest
-    key stays (of repeated rows with that key and equal words, one). Documents without a key stay."""
-    found = join(docs, key, text)
-    gone = found.where(F.col("class_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti").select(docs.columns)
+    key stays; repeated rows (equal key and text) become one. Documents without a key stay."""
+    found = freeze(join(docs, key, text), "join")
+    gone = found.where(F.col("class_id") < F.col(key)).select(F.col(key).alias("_key")).distinct()
+    kept = docs.join(_bounded(gone), docs[key] == F.col("_key"), "left_anti")
+    again = freeze(found.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"), "again")
+    if not again.count():
+        return kept.select(docs.columns)
+    once = kept.join(_bounded(again), kept[key] == F.col("_key")).select(docs.columns)
+    rest = kept.join(_bounded(again), kept[key] == F.col("_key"), "left_anti").select(docs.columns)
+    return rest.union(once.dropDuplicates([key, text]))
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    """A table of keys, marked for broadcast if it is small."""
+    keys = freeze(keys, "keys")
+    return F.broadcast(keys) if keys.count() * PATH_BYTES <= BROADCAST_BYTES else keys

@@ -37,7 +37,7 @@ GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 #: a term must be seen with an entity in this many different texts: one text is no estimate
 MIN_TEXTS = 2
 #: candidate terms are broadcast up to this many bytes, joined by a shuffle beyond it
-BROADCAST_BYTES, TERM_BYTES = 16 << 20, 64
+BROADCAST_BYTES, TERM_BYTES, PLACE_BYTES = 16 << 20, 64, 512
 
 SPAN = "struct<start:int,end:int,value:string>"
 
@@ -202,6 +202,8 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     cuts = [cut(f"_{k}", lambda s, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS]
     cuts.append(cut("_terms", lambda s: F.when(s["action"] == "remove", "").otherwise("[TERM]")))
     places = freeze(places.select(F.col("_text").alias("_key"), F.sort_array(F.concat(*cuts)).alias("_cuts")), "pii-cuts")
+    if places.count() * PLACE_BYTES <= BROADCAST_BYTES:
+        places = F.broadcast(places)
     content, at = F.col(f"`{text}`"), F.lit(0).cast("int")
 
     def step(done: Column, s: Column) -> Column:
