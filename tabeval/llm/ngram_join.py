@@ -206,7 +206,8 @@ def close(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     n, m = a["n"][i], a["n"][j]
     low, high = np.minimum(n, m), np.maximum(n, m)
     fit = np.flatnonzero(low * LEVEL_BOTTOM >= high * LEVEL_TOP)
-    differ = sum(np.bitwise_count(a[s][i[fit]] ^ a[s][j[fit]]).astype(np.int32) for s in ("s0", "s1", "s2", "s3"))
+    # unsigned: bitwise_count takes the absolute value of signed numbers
+    differ = sum(np.bitwise_count((a[s][i[fit]] ^ a[s][j[fit]]).view(np.uint64)).astype(np.int32) for s in ("s0", "s1", "s2", "s3"))
     return fit[differ <= np.where(low[fit] <= SMALL_SET, MOST_BITS_SMALL, MOST_BITS)]
 
 
