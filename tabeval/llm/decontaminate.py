@@ -28,7 +28,7 @@ WINDOW = 10
 #: bytes of benchmark texts searched at once; a larger benchmark takes a pass for each such block
 BLOCK_BYTES = 4 << 20
 #: a shard ends after so many bytes of text
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: every so many positions a suffix position is kept
 SAMPLE = 8
 #: A-Z become lower case; other ASCII that is no digit or letter ends a word
@@ -167,9 +167,11 @@ def long_runs(ids: np.ndarray, least: int) -> np.ndarray:
 def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
     """Per text: how many words it has, merged spans (first word, word after the last) and the items."""
     get = phrases.vocabulary.get
-    tokens = [words(t) for t in texts]
-    sizes = [len(w) for w in tokens]
-    parts = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in tokens]
+    parts = []
+    for t in texts:  # one text's words at a time: as Python objects they are many times the text
+        w = words(t)
+        parts.append(np.fromiter(map(get, w, repeat(0)), np.int32, len(w)))
+    sizes = [len(p) for p in parts]
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
     zero = np.zeros(1, np.int32)
