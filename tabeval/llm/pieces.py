@@ -27,7 +27,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
 #: words remembered by a task; longer ones are segmented anew
-MEMORY, MEMORY_CHARS = 500_000, 64
+MEMORY, MEMORY_CHARS = 200_000, 48
 
 
 @dataclass

@@ -31,7 +31,7 @@ BATCH, RATE = 64, 0.1
 #: least epochs and least steps of the two phases (a small sample takes more epochs)
 SPREAD, WORST = (3, 150), (10, 350)
 #: words whose score a task remembers
-MEMORY = 1_000_000
+MEMORY = 300_000
 THRESHOLD = 0.3
 
 
