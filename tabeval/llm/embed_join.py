@@ -21,6 +21,8 @@ COSINE = 0.93
 BLOCK_DIMS, GRID_DIMS = 8, 2
 #: vectors in one block of a grid cell
 CELL_ROWS = 1024
+#: copies of vectors that one task compares
+COPIES_A_TASK = 100_000
 #: pairs checked at once
 PAIRS = 1 << 16
 #: slack of candidate tests, over any rounding; the check that follows is exact
@@ -153,9 +155,11 @@ def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     alike = rows.where("label is not null").groupBy("label", "vector").agg(
         F.min("row").alias("node"), F.count("*").alias("weight"), F.min("key").alias("least"))
     kinds = freeze(alike, "kinds")
-    dealt = graph.in_block_pairs(freeze(deal(kinds, cosine), "dealt"), "cell", "node", F.lit(1), 1 << 60, CELL_ROWS)
+    copies = freeze(deal(kinds, cosine), "dealt")
+    tasks = graph.tasks_for(copies.count(), COPIES_A_TASK)
+    dealt = graph.in_block_pairs(copies, "cell", "node", F.lit(1), 1 << 60, CELL_ROWS)
     found = freeze(graph.found_in_groups(dealt, ["cell", "_i", "_j"], ["node", "weight", "label", "dims", "block", "home", "_mine", "vector"],
-                                         make_check(cosine)), "links")
+                                         make_check(cosine), tasks), "links")
     top = graph.components(found.where("b is not null").select("a", "b"))
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     # without the vectors from here on

@@ -112,8 +112,9 @@ def in_block_pairs(rows: DataFrame, group: str, node: str, weight: str, most: in
             .drop("_blocks", "_other"))
 
 
-def tasks_for(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def tasks_for(rows: int, per_task: int) -> int:
+    """Tasks for so many rows; grows with them, and small steps don't write dozens of tiny files."""
+    return max(1, -(-rows // per_task))
 
 
 def table_of(a: np.ndarray, b: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
@@ -126,10 +127,10 @@ NO_NODE = np.iinfo(np.int64).min
 LINK_SCHEMA = "a long, b long, links long"
 
 
-def found_in_groups(dealt: DataFrame, keys: list[str], columns: list[str], work: Callable) -> DataFrame:
+def found_in_groups(dealt: DataFrame, keys: list[str], columns: list[str], work: Callable, tasks: int) -> DataFrame:
     """Run ``work(table, forest) -> (nodes, links)`` over each group of rows with equal ``keys``; it adds
     links to the forest and returns link counts. Result: LINK_SCHEMA."""
-    ordered = dealt.select(*keys, *columns).repartition(tasks_for(dealt), *keys).sortWithinPartitions(*keys)
+    ordered = dealt.select(*keys, *columns).repartition(tasks, *keys).sortWithinPartitions(*keys)
     n = len(keys)
 
     def run(batches):

@@ -40,6 +40,8 @@ COLUMNS = 4096
 #: what is left to split is broadcast up to this size, joined by a shuffle beyond it
 BROADCAST_BYTES, PATH_BYTES = 24 << 20, 24
 PIECE_BYTES = 1 << 20
+#: rows of buckets and sets of proposals that one task compares
+PATHS_A_TASK, SETS_A_TASK = 150_000, 2_000
 
 _R = np.random.default_rng(20240501)
 LETTER = _R.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -215,13 +217,13 @@ def close(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 BUCKET_SCHEMA = "a long, b long, split boolean"
 
 
-def compare_buckets(rows: DataFrame, last: bool) -> DataFrame:
+def compare_buckets(rows: DataFrame, last: bool, tasks: int) -> DataFrame:
     """Brute force in small buckets (all buckets, if ``last``); larger buckets' rows come back to be split."""
     fields = ["path", "node", "n", "s0", "s1", "s2", "s3"]
     extra = ["_i", "_j", "_mine"] if last else []
     keys = ["path", *extra[:2]]
     columns = [*keys, *[f for f in fields if f not in keys], *extra[2:]]
-    ordered = rows.select(columns).repartition(graph.tasks_for(rows), *keys).sortWithinPartitions(*keys)
+    ordered = rows.select(columns).repartition(tasks, *keys).sortWithinPartitions(*keys)
 
     def run(batches):
         forest = graph.Forest()
@@ -262,12 +264,12 @@ def propose(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links between sets that may be similar, a star for each group that a task found."""
     signs = nodes.select("node", "n", "s0", "s1", "s2", "s3")
     rows = nodes.select(F.explode("paths").alias("path"), "node", "n", "s0", "s1", "s2", "s3")
-    links = None
+    links, waiting = None, nodes.count() * 2 * repeats()  # a set follows under two paths in each run
     for depth in range(1, DEPTH + 1):
         last = depth == DEPTH
         if last:
             rows = graph.in_block_pairs(freeze(rows, "paths"), "path", "node", "n", 1 << 60, 4096)
-        found = freeze(compare_buckets(rows, last), "buckets")
+        found = freeze(compare_buckets(rows, last, graph.tasks_for(waiting, PATHS_A_TASK)), "buckets")
         fresh = found.where("not split").select("a", "b")
         links = fresh if links is None else links.union(fresh)
         if last:
@@ -352,10 +354,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # equal sets need no check; the rest of each component is compared in full
     members = freeze(proposed.join(kinds.select("node", "weight"), "node"), "members")
     whole = sets.select(F.col("row").alias("node"), "n", "shingles")
-    few = members.count() * 2 * PATH_BYTES <= BROADCAST_BYTES
+    many = members.count()
+    few = many * 2 * PATH_BYTES <= BROADCAST_BYTES
     rows = whole.join(F.broadcast(members) if few else members, "node")
     dealt = graph.in_block_pairs(freeze(rows, "members"), "component", "node", "n", BLOCK_SHINGLES, BLOCK_SETS)
-    found = freeze(graph.found_in_groups(dealt, ["component", "_i", "_j"], ["node", "weight", "_mine", "shingles"], exact), "links")
+    found = freeze(graph.found_in_groups(dealt, ["component", "_i", "_j"], ["node", "weight", "_mine", "shingles"], exact,
+                                         graph.tasks_for(many, SETS_A_TASK)), "links")
     top = graph.components(found.where("b is not null").select("a", "b"))
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     placed = kinds.join(top, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
