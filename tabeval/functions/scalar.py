@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import named
 from .stats import Z_975
 
 # Textual tokens the reference treats as missing in categorical columns.
@@ -14,7 +15,7 @@ MISSING_TOKENS = ["nan", "NaN", "None", "NONE", "<NA>", "null", ""]
 
 
 def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return named(x) if isinstance(x, str) else x
 
 
 def wilson_bounds(r, n, z: float = Z_975) -> tuple[Column, Column]:
@@ -61,7 +62,7 @@ def log_large_values(c, limit: float) -> Column:
 
 def coerce_numeric(c) -> Column:
     """Anything not parseable as a number -> NULL."""
-    return F.expr(f"try_cast(`{c}` as double)") if isinstance(c, str) else c.try_cast("double")
+    return _c(c).try_cast("double")
 
 
 def apply_coding(c, bins: Sequence[Sequence], codes: Sequence) -> Column:

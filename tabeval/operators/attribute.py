@@ -1,73 +1,63 @@
 """Attribution.
 
 ``shapley_sampled``: permutation-sampling Shapley values of a model's output
-(predicted label by default, as in the reference). Each explained row gets a
-hash-seeded feature permutation; the forward and the reversed permutation are
-walked prefix by prefix (antithetic pair, 2(p+1) evaluations per background
-row). Masked features take the value of a background row. All masked inputs of
-all rows are scored in ONE ``PipelineModel.transform``; contributions are
-differences of consecutive prefix means (a lag over p+1 rows), so the values
-plus the base value add up to the model output (efficiency).
-
-The background is a bounded sample (``n_background`` rows, like a masker's
-sample) embedded as literal rows and exploded — no join against the data.
+(predicted label by default, as in the reference). Each explained row is paired with
+hash-picked rows of the whole background table, each with a hash-seeded feature
+permutation; the permutation and its reverse are walked prefix by prefix (antithetic
+pair, 2(p+1) evaluations per pair). Masked features take the value of the paired
+background row. All masked inputs of all rows are scored at once; contributions are
+differences of consecutive outputs (a lag over p+1 rows), so the values plus the base
+value add up to the model output (efficiency).
+
+Any background row may be picked: rows are numbered by a distributed running count and
+met by an equi-join on the number, so work grows with the explained rows only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import inline_rows, named
 from . import evaluate as ev
 from .ordered import hash_rank
 from .sample import hash_int
+from .workflow import FoldModel
 
 
-def background_rows(df: DataFrame, features: Sequence[str], row_id: str, n: int, seed: int = 42) -> list[dict]:
-    """First n rows in hash order (bounded by ``n``)."""
-    r = hash_rank(df, [], row_id, seed, rank_col="_r", size_col=None).where(F.col("_r") <= n)
-    return [row.asDict() for row in r.select(*features).collect()]
-
-
-def shapley_sampled(model: PipelineModel, rows: DataFrame, features: Sequence[str], row_id: str,
-                    background: list[dict], output: str = "prediction", seed: int = 42) -> DataFrame:
-    """(row_id, feature, shap_value) plus a 'base' value per row in column ``base``."""
+def shapley_sampled(model: FoldModel, rows: DataFrame, features: Sequence[str], row_id: str, background: DataFrame,
+                    output: str = "prediction", n_permutations: int = 10, seed: int = 42) -> DataFrame:
+    """(row_id, feature, shap_value) plus a 'base' value per row in column ``base``. ``background`` has
+    the features and ``row_id``."""
     features = list(features)
     p = len(features)
-    # hash-seeded permutation of feature indices per row
-    keyed = F.array(*[F.struct(hash_int(F.lit(f"{seed}:"), F.col(row_id).cast("string"), F.lit(f":{i}")).alias("h"),
-                               F.lit(i).alias("i")) for i in range(p)])
+    numbered = prefix_rank(background.select(named(row_id).alias("_bid"), *[named(f).cast("double").alias(f"_b{i}") for i, f in enumerate(features)]),
+                           "_bid").drop("_bid")
+    n = background.count()
+    if not n:
+        raise ValueError("the background table is empty")
+    x = rows.select(named(row_id).alias("_rid"), *[named(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]) \
+        .withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    rid, m = F.col("_rid").cast("string"), F.col("_m").cast("string")
+    keyed = F.array(*[F.struct(hash_int(F.lit(f"{seed}:"), rid, F.lit(":"), m, F.lit(f":{i}")).alias("h"), F.lit(i).alias("i")) for i in range(p)])
     perm = F.transform(F.array_sort(keyed), lambda s: s["i"])
-    x = rows.select(F.col(row_id).alias("_rid"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
-                    perm.alias("_perm_f"))
-    x = x.withColumn("_perm_r", F.reverse("_perm_f"))
-    bg = F.array(*[F.struct(F.lit(b_i).alias("b"), *[F.lit(float(b[f]) if b[f] is not None else None)
-                                                     .cast("double").alias(f"v{i}") for i, f in enumerate(features)])
-                   for b_i, b in enumerate(background)])
-    ex = x.withColumn("_dir", F.explode(F.array(F.lit(0), F.lit(1)))) \
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p)))) \
-        .withColumn("_bg", F.explode(bg))
-    perm_d = F.when(F.col("_dir") == 0, F.col("_perm_f")).otherwise(F.col("_perm_r"))
-    prefix = F.slice(perm_d, 1, F.col("_j")) if p else F.array()
-    masked = [F.when(F.array_contains(F.when(F.col("_j") > 0, prefix).otherwise(F.array().cast("array<int>")), F.lit(i)),
-                     F.col(f"_x{i}")).otherwise(F.col("_bg")[f"v{i}"]).alias(f) for i, f in enumerate(features)]
-    inputs = ex.select("_rid", "_dir", "_j", perm_d.alias("_perm"), *masked)
-    scored = model.transform(inputs)
-    out_col = F.col(output) if output == "prediction" else vector_to_array(output)[1]
-    fvals = scored.groupBy("_rid", "_dir", "_j").agg(F.avg(out_col.cast("double")).alias("_f"),
-                                                    F.first("_perm").alias("_perm"))
-    w = Window.partitionBy("_rid", "_dir").orderBy("_j")  # p + 1 rows
-    steps = fvals.withColumn("_prev", F.lag("_f").over(w)).where(F.col("_j") > 0) \
-        .withColumn("_fi", F.element_at(F.col("_perm"), F.col("_j")))
+    x = x.withColumn("_perm", perm).withColumn("_pos", F.pmod(hash_int(F.lit(f"{seed}:background:"), rid, F.lit(":"), m), F.lit(n)) + 1)
+    # place of every feature in the permutation, from 1
+    x = x.withColumn("_place", F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.array_position(F.col("_perm"), i).cast("int")))
+    ex = x.join(numbered, "_pos").withColumn("_dir", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    place = lambda i: F.when(F.col("_dir") == 0, F.col("_place")[i]).otherwise(p + 1 - F.col("_place")[i])
+    masked = [F.when(place(i) <= F.col("_j"), F.col(f"_x{i}")).otherwise(F.col(f"_b{i}")).alias(f) for i, f in enumerate(features)]
+    moved = F.when(F.col("_dir") == 0, F.col("_j")).otherwise(p + 1 - F.col("_j"))  # place of the feature that step j adds
+    inputs = ex.select("_rid", "_m", "_dir", "_j", F.when(F.col("_j") > 0, F.element_at("_perm", moved.cast("int"))).alias("_fi"), *masked)
+    scored = model.score(inputs, ["_rid", "_m", "_dir", "_j", "_fi"])
+    scored = scored.withColumn("_f", F.col("pred").cast("double") if output == "prediction" else F.col("score"))
+    w = Window.partitionBy("_rid", "_m", "_dir").orderBy("_j")  # p + 1 rows
     names = F.array(*[F.lit(f) for f in features])
-    contrib = steps.select("_rid", F.element_at(names, F.col("_fi") + 1).alias("feature"),
-                           (F.col("_f") - F.col("_prev")).alias("_c"))
-    phi = contrib.groupBy("_rid", "feature").agg(F.avg("_c").alias("shap_value"))
-    base = fvals.where(F.col("_j") == 0).groupBy("_rid").agg(F.avg("_f").alias("base"))
+    steps = scored.withColumn("_c", F.col("_f") - F.lag("_f").over(w)).where(F.col("_j") > 0)
+    phi = steps.groupBy("_rid", F.element_at(names, F.col("_fi") + 1).alias("feature")).agg(F.avg("_c").alias("shap_value"))
+    base = scored.where(F.col("_j") == 0).groupBy("_rid").agg(F.avg("_f").alias("base"))
     return phi.join(base, "_rid").withColumnRenamed("_rid", row_id)
 
 
@@ -75,10 +65,10 @@ def linear_shap(df: DataFrame, weights: dict[str, float], row_id: str) -> DataFr
     """Exact Shapley values of a linear score sum(w_f x_f) against the data mean
     (independent features): w_f (x_f - mean_f). (row_id, feature, shap_value)."""
     feats = list(weights)
-    means = df.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in feats]).first()
-    stack = ", ".join(f"'{f}', CAST({weights[f]!r} AS DOUBLE) * (CAST(`{f}` AS DOUBLE) - CAST({means[f]!r} AS DOUBLE))"
-                      for f in feats)
-    return df.select(F.col(row_id), F.expr(f"stack({len(feats)}, {stack}) as (feature, shap_value)"))
+    means = df.agg(*[F.avg(named(f).cast("double")).alias(f"_{i}") for i, f in enumerate(feats)]).first()
+    rows = [{"feature": F.lit(f), "shap_value": F.lit(float(weights[f])) * (named(f).cast("double") - F.lit(means[f"_{i}"]))}
+            for i, f in enumerate(feats)]
+    return inline_rows(df, rows, [row_id])
 
 
 def shap_mean_table(values: DataFrame, keys: Sequence[str] = ("algorithm", "outcome"),
@@ -101,35 +91,25 @@ def shap_rank(mean_long: DataFrame, keys: Sequence[str], top: int = 10) -> DataF
     return mean_long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).join(used, "feature")
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], row_id: str, y: str,
-                           seed: int = 42, top: int = 10) -> DataFrame:
-    """AUC drop when one feature is shuffled (a hash-rank permutation of that
-    column over all rows, via an equi-join on rank); (feature, importance) for
-    the ``top`` largest |drop|, plus the baseline AUC."""
+def permutation_importance(model: FoldModel, df: DataFrame, features: Sequence[str], row_id: str, y: str, seed: int = 42) -> DataFrame:
+    """AUC drop when one feature is shuffled (a hash-rank permutation of that column over all rows):
+    (feature, importance, baseline_auc) of every feature. One equi-join on rank brings every row its
+    donor row; each feature then takes the donor's value in its own copy of the row."""
     features = list(features)
-    base = df.select(row_id, y, *features)
-    ranked = hash_rank(base, [], row_id, seed, rank_col="_r", size_col="_n")
-    by_pos = prefix_rank(base, row_id)
-    outs = []
-    for f in features:
-        # row at position i (row_id order) takes f from the row whose hash rank is i
-        donor = ranked.select(F.col("_r").alias("_pos"), F.col(f).alias("_donor"))
-        shuffled = by_pos.join(donor, "_pos").withColumn(f, F.col("_donor")).drop("_donor", "_pos") \
-            .withColumn("_feature", F.lit(f))
-        outs.append(shuffled)
-    allp = outs[0]
-    for o in outs[1:]:
-        allp = allp.unionByName(o)
-    baseline = base.withColumn("_feature", F.lit("__baseline__"))
-    scored = model.transform(allp.unionByName(baseline).withColumn("_label", F.col(y).cast("double")))
-    preds = scored.select("_feature", F.col(y).alias("y"), vector_to_array("probability")[1].alias("score"))
+    base = df.select(named(row_id).alias("_rid"), named(y).alias("_y"), *[named(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    donors = hash_rank(base.drop("_y"), [], "_rid", seed, rank_col="_pos", size_col=None).select(
+        "_pos", *[F.col(f"_x{i}").alias(f"_d{i}") for i in range(len(features))])
+    # row at position i (row_id order) takes the feature from the row whose hash rank is i
+    paired = prefix_rank(base, "_rid").join(donors, "_pos").withColumn("_feature", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    rows = paired.select("_feature", "_y", *[F.when(F.col("_feature") == i, F.col(f"_d{i}")).otherwise(F.col(f"_x{i}")).alias(f)
+                                             for i, f in enumerate(features)])
+    preds = model.score(rows, ["_feature", F.col("_y").alias("y")])
     aucs = ev.auc_table(ev.score_groups(preds, ["_feature"]), ["_feature"])
-    b = aucs.where(F.col("_feature") == "__baseline__").select(F.col("auc").alias("baseline_auc"))
     from .ordered import attach
-    imp = attach(aucs.where(F.col("_feature") != "__baseline__"), b, [])
-    imp = imp.select(F.col("_feature").alias("feature"), (F.col("baseline_auc") - F.col("auc")).alias("importance"),
-                     "baseline_auc")
-    return imp.orderBy(F.abs("importance").desc(), "feature").limit(top)
+    b = aucs.where(F.col("_feature") == -1).select(F.col("auc").alias("baseline_auc"))
+    imp = attach(aucs.where(F.col("_feature") >= 0), b, [])
+    return imp.select(F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_feature") + 1).alias("feature"),
+                      (F.col("baseline_auc") - F.col("auc")).alias("importance"), "baseline_auc")
 
 
 def prefix_rank(df: DataFrame, row_id: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import aggregate_rows, named, quoted, unpivot
 from ..functions.scalar import normalize_missing_tokens
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -46,7 +47,7 @@ def role_lists(roles: DataFrame, columns: Sequence[str]) -> tuple[list[str], lis
 
 
 def split_xy(df: DataFrame, inputs: Sequence[str], outcomes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return df.select(*inputs), df.select(*outcomes)
+    return df.select(*map(named, inputs)), df.select(*map(named, outcomes))
 
 
 # ---------------------------------------------------------------------- kinds
@@ -61,7 +62,7 @@ def column_kind_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     one stacked distinct plus one null-flag aggregate (no per-column Expand)."""
     from .profile import distinct_counts
     cols = list(cols)
-    has_null = stacked_aggregate(df, [(c, F.max(F.col(c).isNull().cast("long"))) for c in cols], "BIGINT", "has_null")
+    has_null = stacked_aggregate(df, [(c, F.max(named(c).isNull().cast("long"))) for c in cols], "has_null")
     types = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in cols],
                                             "column string, dtype string")
     # all three tables hold one row per column
@@ -98,7 +99,7 @@ def sparse_column_report(df: DataFrame, cols: Sequence[str], min_share: float, k
     ``min_share`` (the stated fraction, Q1), unless the column is kept."""
     cols = list(cols)
     n = F.count(F.lit(1))
-    rep = stacked_aggregate(df, [(c, F.count(F.col(c)) / n) for c in cols], "DOUBLE", "non_null_share")
+    rep = stacked_aggregate(df, [(c, F.count(named(c)) / n) for c in cols], "non_null_share")
     return rep.withColumn("dropped", (F.col("non_null_share") < min_share) & ~F.col("column").isin(*keep)
                           if keep else F.col("non_null_share") < min_share)
 
@@ -106,28 +107,18 @@ def sparse_column_report(df: DataFrame, cols: Sequence[str], min_share: float, k
 def low_variance_report(df: DataFrame, cols: Sequence[str], threshold: float, keep: Sequence[str] = ()) -> DataFrame:
     """(column, std_pop, dropped): population std (NULL ignored) below threshold."""
     cols = list(cols)
-    rep = stacked_aggregate(df, [(c, F.stddev_pop(F.col(c).cast("double"))) for c in cols], "DOUBLE", "std_pop")
+    rep = stacked_aggregate(df, [(c, F.stddev_pop(named(c).cast("double"))) for c in cols], "std_pop")
     drop = F.col("std_pop") < threshold
     return rep.withColumn("dropped", (drop & ~F.col("column").isin(*keep)) if keep else drop)
 
 
-#: aggregate expressions per job for wide tables (keeps generated code small)
-AGG_CHUNK = 200
+def stacked_aggregate(df: DataFrame, entries: Sequence[tuple[str, Column]], out_name: str) -> DataFrame:
+    """(column, value) rows of one aggregate expression per column: one lazy plan for any width."""
+    return aggregate_rows(df, [({"column": F.lit(c)}, {out_name: e}) for c, e in entries])
 
 
-def stacked_aggregate(df: DataFrame, named: Sequence[tuple[str, Column]], value_type: str,
-                      out_name: str) -> DataFrame:
-    """(column, value) rows of one aggregate expression per column. Up to
-    ``AGG_CHUNK`` expressions stay one lazy plan (aggregate + stack); wider
-    tables run one job per chunk and assemble the p-row result."""
-    named = list(named)
-    exprs = [e.alias(f"_{i}") for i, (_, e) in enumerate(named)]
-    if len(named) <= AGG_CHUNK:
-        stack = ", ".join(f"'{c}', CAST(`_{i}` AS {value_type})" for i, (c, _) in enumerate(named))
-        return df.agg(*exprs).select(F.expr(f"stack({len(named)}, {stack}) as (column, {out_name})"))
-    vals = agg_chunked(df, exprs)
-    return df.sparkSession.createDataFrame([(c, vals[f"_{i}"]) for i, (c, _) in enumerate(named)],
-                                           f"column string, {out_name} {value_type.lower()}")
+#: aggregate expressions per job of a fit (keeps generated code small)
+AGG_CHUNK = 200
 
 
 def agg_chunked(df: DataFrame, exprs: Sequence[Column], chunk: int = AGG_CHUNK) -> dict:
@@ -142,29 +133,62 @@ def agg_chunked(df: DataFrame, exprs: Sequence[Column], chunk: int = AGG_CHUNK)
     return out
 
 
+#: columns in one block of the matrix of products
+GRAM_COLUMNS = 256
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlation for every i < j: (a, b, i, j, r).
+    """Pairwise-complete Pearson correlation for every i < j: (a, b, i, j, r); NULL and NaN are missing.
 
-    One aggregate job per ``AGG_CHUNK`` pairs (p(p-1)/2 expressions for a wide
-    table would not compile into one stage); each job is a single pass with
-    map-side partial aggregation, and the chunk results are unioned."""
+    One scan for any number of columns: each task sums masked Gram blocks (count, sums, products) of
+    its rows, centred at a common origin so that large offsets don't cancel; blocks are then added by
+    (i, j). NULL where either side doesn't vary.
+    """
+    import numpy as np
     cols = list(cols)
-    pairs = [(a, cols[j], i, j) for i, a in enumerate(cols) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
-    out = None
-    for start in range(0, len(pairs), AGG_CHUNK):
-        chunk = pairs[start:start + AGG_CHUNK]
-        aggs = []
-        for a, b, i, j in chunk:
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs.append(F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double")))
-                        .alias(f"{i}_{j}"))
-        row = df.agg(*aggs)
-        stack = ", ".join(f"'{a}', '{b}', {i}, {j}, `{i}_{j}`" for a, b, i, j in chunk)
-        part = row.select(F.expr(f"stack({len(chunk)}, {stack}) as (a, b, i, j, r)"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    p = len(cols)
+    spark = df.sparkSession
+    if p < 2:
+        return spark.createDataFrame([], "a string, b string, i int, j int, r double")
+    x = df.select(*[named(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # an origin near each column's values: any will do, the mean is best
+    middle = agg_chunked(x, [F.avg(_finite_value(F.col(f"c{i}"))).alias(f"c{i}") for i in range(p)])
+    origin = np.array([middle[f"c{i}"] if middle[f"c{i}"] is not None else 0.0 for i in range(p)])
+
+    def gram(batches):
+        import pandas as pd
+        total: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            v = batch.to_numpy(dtype=float, na_value=np.nan)
+            here = ~np.isnan(v)
+            v = np.where(here, v - origin, 0.0)
+            m = here.astype(float)
+            for a in range(0, p, GRAM_COLUMNS):
+                for b in range(a, p, GRAM_COLUMNS):
+                    va, vb, ma, mb = v[:, a:a + GRAM_COLUMNS], v[:, b:b + GRAM_COLUMNS], m[:, a:a + GRAM_COLUMNS], m[:, b:b + GRAM_COLUMNS]
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        parts = [ma.T @ mb, va.T @ mb, ma.T @ vb, (va * va).T @ mb, ma.T @ (vb * vb), va.T @ vb]
+                    total[a, b] = parts if (a, b) not in total else [t + q for t, q in zip(total[a, b], parts, strict=True)]
+        for (a, b), parts in total.items():
+            i, j = (k.ravel() for k in np.meshgrid(np.arange(a, a + parts[0].shape[0]), np.arange(b, b + parts[0].shape[1]), indexing="ij"))
+            up = i < j
+            yield pd.DataFrame({"i": i[up], "j": j[up], **{f: q.ravel()[up] for f, q in zip(("n", "sa", "sb", "qa", "qb", "ab"), parts, strict=True)}})
+
+    sums = x.mapInPandas(gram, "i int, j int, n double, sa double, sb double, qa double, qb double, ab double") \
+        .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")])
+    cov = F.col("ab") - F.try_divide(F.col("sa") * F.col("sb"), F.col("n"))
+    va = F.col("qa") - F.try_divide(F.col("sa") * F.col("sa"), F.col("n"))
+    vb = F.col("qb") - F.try_divide(F.col("sb") * F.col("sb"), F.col("n"))
+    # what rounding leaves of a constant column is no variance
+    varies = (va > F.col("qa") * 1e-14) & (vb > F.col("qb") * 1e-14)
+    r = F.when(varies, cov / F.sqrt(va * vb))
+    r = F.when(F.isnan(r), F.lit(None)).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "i", "j", r.alias("r"))
+
+
+def _finite_value(x: Column) -> Column:
+    return F.when(~F.isnan(x) & ~x.isin(float("inf"), float("-inf")), x)
 
 
 def correlated_report(df: DataFrame, cols: Sequence[str], threshold: float, keep: Sequence[str] = ()) -> DataFrame:
@@ -189,14 +213,14 @@ def drop_sparse_rows(df: DataFrame, inputs: Sequence[str], threshold: float = 0.
     """Keep rows with at least int(threshold * len(inputs)) non-missing inputs
     (NaN counts as missing, as in pandas)."""
     k = int(threshold * len(inputs))
-    return df.dropna(thresh=k, subset=list(inputs)) if k > 0 else df
+    return df.dropna(thresh=k, subset=[quoted(c) for c in inputs]) if k > 0 else df
 
 
 def filter_outlier_rows(df: DataFrame, numeric: Sequence[str], limit: float) -> DataFrame:
     """Drop rows where any numeric column exceeds ``limit`` (NULL never does)."""
     cond = None
     for c in numeric:
-        over = F.coalesce(F.col(c) > limit, F.lit(False))
+        over = F.coalesce(named(c) > limit, F.lit(False))
         cond = over if cond is None else (cond | over)
     return df.where(~cond) if cond is not None else df
 
@@ -204,8 +228,7 @@ def filter_outlier_rows(df: DataFrame, numeric: Sequence[str], limit: float) ->
 def outcome_positives(df: DataFrame, outcomes: Sequence[str], min_positives: int = 10) -> DataFrame:
     """(outcome, positives, kept): keep outcomes with >= min_positives ones."""
     outcomes = list(outcomes)
-    stack = ", ".join(f"'{o}', CAST(`{o}` AS BIGINT)" for o in outcomes)
-    long = df.select(F.expr(f"stack({len(outcomes)}, {stack}) as (outcome, y)"))
+    long = unpivot(df, outcomes, "bigint", "outcome", "y")
     a = long.groupBy("outcome").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).cast("long").alias("positives"))
     return a.withColumn("kept", F.col("positives") >= min_positives)
 
@@ -232,10 +255,9 @@ def missing_required(df: DataFrame, required: Sequence[str]) -> DataFrame:
 def outcome_mapping(df: DataFrame, outcome: str) -> DataFrame:
     """Fit the two-value 0/1 map of an outcome: mode (smallest on ties) for
     missing values, smaller value -> 0, larger -> 1 (Q9: order-free)."""
-    vc = df.where(F.col(outcome).isNotNull()).groupBy(outcome).agg(F.count(F.lit(1)).alias("cnt"))
-    return vc.agg(F.min(outcome).alias("zero"), F.max(outcome).alias("one"),
-                  F.countDistinct(outcome).alias("n_values"),
-                  F.min_by(outcome, F.struct(-F.col("cnt"), F.col(outcome))).alias("mode"))
+    vc = df.where(named(outcome).isNotNull()).groupBy(named(outcome).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
+    return vc.agg(F.min("v").alias("zero"), F.max("v").alias("one"), F.count("v").alias("n_values"),
+                  F.min_by("v", F.struct(-F.col("cnt"), F.col("v"))).alias("mode"))
 
 
 def binarize_outcome(df: DataFrame, outcome: str, mapping: dict | None = None, out: str | None = None) -> DataFrame:
@@ -245,14 +267,14 @@ def binarize_outcome(df: DataFrame, outcome: str, mapping: dict | None = None, o
         if m["n_values"] != 2:
             raise ValueError(f"outcome {outcome} has {m['n_values']} distinct values, expected 2")
         mapping = {"zero": m["zero"], "one": m["one"], "mode": m["mode"]}
-    filled = F.coalesce(F.col(outcome), F.lit(mapping["mode"]))
+    filled = F.coalesce(named(outcome), F.lit(mapping["mode"]))
     coded = F.when(filled == F.lit(mapping["one"]), F.lit(1)).when(filled == F.lit(mapping["zero"]), F.lit(0))
     return df.withColumn(out or outcome, coded.cast("int"))
 
 
 def clean_categoricals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Categoricals as strings with the textual missing markers turned into NULL."""
-    return df.select(*[normalize_missing_tokens(F.col(c).cast("string")).alias(c) if c in set(cols) else F.col(c)
+    return df.select(*[normalize_missing_tokens(named(c).cast("string")).alias(c) if c in set(cols) else named(c)
                        for c in df.columns])
 
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import inline_rows, named
 from ..functions.stats import t_ppf
 from . import evaluate as ev
 from .ordered import attach, prefix_sum
@@ -219,8 +220,8 @@ def roc_multiclass(df: DataFrame, group: Sequence[str], label: str, class_scores
     """
     group = list(group)
     classes = list(class_scores)
-    stack = ", ".join(f"'{c}', CAST(`{label}` = '{c}' AS INT), CAST(`{s}` AS DOUBLE)" for c, s in class_scores.items())
-    ovr = df.select(*group, F.expr(f"stack({len(classes)}, {stack}) as (curve, y, score)"))
+    ovr = inline_rows(df, [{"curve": F.lit(c), "y": (named(label) == F.lit(c)).cast("int"), "score": named(s).cast("double")}
+                           for c, s in class_scores.items()], group)
     sg = ev.score_groups(ovr, group + ["curve"])
     per_class = ev.auc_table(sg, group + ["curve"])
     micro = ev.auc_table(ev.score_groups(ovr, group), group).withColumn("curve", F.lit("micro"))
@@ -269,23 +270,21 @@ def _macro_auc(sg: DataFrame, group: Sequence[str], cls: str, classes: Sequence[
 
 
 # ------------------------------------------------------------------ bootstrap
-#: cells with more rows than this draw Poisson(count) by a normal approximation
-POISSON_EXACT_MAX = 64
+#: rows of a cell whose weights are drawn at once: Poisson(c) is the sum of one Poisson(BLOCK) draw per
+#: full BLOCK rows and one Poisson(1) draw per row of the rest, exact for every c
+POISSON_BLOCK = 64
 
 
 def _poisson_count(count: Column, key: Column, seed: int) -> Column:
-    """Poisson(count) draw, hash-seeded by ``key``: count 1 -> inverse CDF; up to
-    POISSON_EXACT_MAX -> sum of count Poisson(1) draws; above -> Box-Muller
-    normal approximation round(c + sqrt(c) z), floored at 0."""
-    from .sample import hash_uniform, poisson1
-    one = poisson1(hash_uniform(F.lit(f"{seed}:p:"), key))
-    many = F.aggregate(F.sequence(F.lit(1), F.least(count, F.lit(POISSON_EXACT_MAX)).cast("int")), F.lit(0),
-                       lambda acc, i: acc + poisson1(hash_uniform(F.lit(f"{seed}:p:"), key, F.lit(":"), i)))
-    u1 = hash_uniform(F.lit(f"{seed}:n1:"), key) + F.lit(1e-18)
-    u2 = hash_uniform(F.lit(f"{seed}:n2:"), key)
-    z = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * 3.141592653589793 * u2)
-    approx = F.greatest(F.round(count + F.sqrt(count.cast("double")) * z), F.lit(0.0)).cast("long")
-    return F.when(count == 1, one.cast("long")).when(count <= POISSON_EXACT_MAX, many.cast("long")).otherwise(approx)
+    """Poisson(count) draw, hash-seeded by ``key``."""
+    from .sample import hash_uniform, poisson
+
+    def draws(n: Column, tag: str, mean: float) -> Column:
+        some = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0), lambda acc, i: acc + poisson(
+            hash_uniform(F.lit(f"{seed}:{tag}:"), key, F.lit(":"), i), mean))
+        return F.when(n > 0, some).otherwise(0)
+    return (draws(F.floor(count / POISSON_BLOCK).cast("long"), "b", float(POISSON_BLOCK))
+            + draws((count % POISSON_BLOCK).cast("long"), "p", 1.0)).cast("long")
 
 
 def bootstrap_auc_ci(df: DataFrame, group: Sequence[str], row_id: str, y: str = "y", score: str = "score",

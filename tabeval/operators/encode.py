@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import named, unpivot
 from ..functions.stats import norm_ppf_vec
 from .clean import agg_chunked
 from .ordered import prefix_sum
@@ -35,11 +36,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     no column is ever gathered into one task.
     """
     cols, probs = list(cols), [float(p) for p in probs]
-    stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.select(F.expr(f"stack({len(cols)}, {stack}) as (column, value)")) \
-        .where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    run = prefix_sum(counts, ["column"], ["value"], ["cnt"], prefix="cum_", totals_prefix="tot_")
+    run = _value_ranks(df, cols)
     run = run.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
     h = (F.col("tot_cnt") - 1).cast("double") * F.col("prob")
     lo = F.floor(h)
@@ -56,12 +53,42 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return agg.select("column", "prob", (F.col("v_lo") + (v_hi - F.col("v_lo")) * F.col("frac")).alias("value"))
 
 
+def _value_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, cnt, cum_cnt, tot_cnt): every distinct value's count and the ranks it holds."""
+    long = unpivot(df, cols, "double").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
+    return prefix_sum(counts, ["column"], ["value"], ["cnt"], prefix="cum_", totals_prefix="tot_")
+
+
+def even_quantiles(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
+    """The k evenly spaced quantiles of each column, exact: (column, i, value), i = 0..k-1.
+
+    One scan and one running count for all columns; a value is copied only for the quantiles whose
+    ranks it holds, so k rows per column come out, whatever the number of rows.
+    """
+    run = _value_ranks(df, cols).withColumn("_start", F.expr("cum_cnt - cnt"))
+    # rank of quantile i: (n - 1) * i / (k - 1), in whole numbers; it lies in [lo, lo + 1]
+    n1 = "greatest(tot_cnt - 1, 1)"
+
+    def first(rank: str) -> str:  # least i whose rank is at least this
+        return f"greatest((({rank}) * {k - 1} + {n1} - 1) div {n1}, 0)"
+    run = run.withColumn("_a", F.expr(first("_start - 1"))).withColumn("_b", F.expr(
+        f"if(tot_cnt = 1 or cum_cnt = tot_cnt, {k - 1}, least({first('cum_cnt')} - 1, {k - 1}))"))
+    hit = run.where("_a <= _b").withColumn("i", F.explode(F.sequence(F.col("_a"), F.col("_b"))))
+    lo = F.expr(f"((tot_cnt - 1) * i) div {k - 1}")
+    frac = F.expr(f"((tot_cnt - 1) * i) % {k - 1}") / float(k - 1)
+    holds = lambda r: (F.col("_start") <= r) & (r < F.col("cum_cnt"))
+    agg = hit.groupBy("column", "i").agg(F.max(F.when(holds(lo), F.col("value"))).alias("v_lo"),
+                                         F.max(F.when(holds(lo + 1), F.col("value"))).alias("v_hi"), F.max(frac).alias("frac"))
+    return agg.select("column", F.col("i").cast("int").alias("i"), (F.col("v_lo") + (F.coalesce("v_hi", "v_lo") - F.col("v_lo")) * F.col("frac")).alias("value"))
+
+
 def _quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
     return {(r["column"], r["prob"]): r["value"] for r in exact_quantiles(df, cols, probs).collect()}
 
 
 def _finite(c: str):
-    x = F.col(c).cast("double")
+    x = named(c).cast("double")
     return F.when(F.isnan(x) | x.isin(float("inf"), float("-inf")), F.lit(None).cast("double")).otherwise(x)
 
 
@@ -69,21 +96,19 @@ def _finite(c: str):
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict:
     """Mode of every column (smallest value among ties), all columns in one
     stacked (column, value) count: {column: mode}."""
-    cols = list(cols)
-    num = [c for c in cols if isinstance(df.schema[c].dataType, (T.NumericType,))]
+    def family(c: str) -> str:  # whole numbers stay whole, decimals exact
+        kind = df.schema[c].dataType
+        return ("bigint" if isinstance(kind, T.IntegralType) else kind.simpleString() if isinstance(kind, T.DecimalType)
+                else "double" if isinstance(kind, T.FractionalType) else "string")
     out = {}
-    for group, cast in ((num, "DOUBLE"), ([c for c in cols if c not in num], "STRING")):
-        if not group:
-            continue
-        stack = ", ".join(f"'{c}', CAST(`{c}` AS {cast})" for c in group)
-        long = df.select(F.expr(f"stack({len(group)}, {stack}) as (column, value)")).where(F.col("value").isNotNull())
+    for kind in sorted({family(c) for c in cols}):
+        long = unpivot(df, [c for c in cols if family(c) == kind], kind).where(F.col("value").isNotNull())
         vc = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
         for r in vc.groupBy("column").agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("m")).collect():
             out[r["column"]] = r["m"]
     return {c: out.get(c) for c in cols}
 
 
-
 @dataclass
 class Imputer:
     strategy: str = "mean"
@@ -93,8 +118,8 @@ class Imputer:
     def fit(self, df: DataFrame, cols: Sequence[str]) -> "Imputer":
         cols = list(cols)
         if self.strategy == "mean":
-            row = agg_chunked(df, [F.avg(_finite(c)).alias(c) for c in cols])
-            self.values = {c: row[c] for c in cols}
+            row = _numbers(df, [F.avg(_finite(c)) for c in cols])
+            self.values = dict(zip(cols, row, strict=True))
         elif self.strategy == "median":
             q = _quantile_dict(df, cols, [0.5])
             self.values = {c: q.get((c, 0.5)) for c in cols}
@@ -110,12 +135,12 @@ class Imputer:
         out = []
         for c in df.columns:
             if c in self.values and self.values[c] is not None:
-                x = F.col(c)
+                x = named(c)
                 if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
                     x = F.when(F.isnan(x), F.lit(None)).otherwise(x)
                 out.append(F.coalesce(x, F.lit(self.values[c])).alias(c))
             else:
-                out.append(F.col(c))
+                out.append(named(c))
         return df.select(*out)
 
 
@@ -132,21 +157,18 @@ class Scaler:
         cols = list(cols)
         m = self.method
         if m == "StandardScaler":
-            row = agg_chunked(df, [*[F.avg(_finite(c)).alias(f"m_{c}") for c in cols],
-                                   *[F.stddev_pop(_finite(c)).alias(f"s_{c}") for c in cols]])
-            self.params = {c: (row[f"m_{c}"], _nz(row[f"s_{c}"])) for c in cols}
+            row = _numbers(df, [f(_finite(c)) for c in cols for f in (F.avg, F.stddev_pop)])
+            self.params = {c: (m, _nz(s)) for c, m, s in zip(cols, row[::2], row[1::2], strict=True)}
         elif m == "MinMaxScaler":
-            row = agg_chunked(df, [*[F.min(_finite(c)).alias(f"lo_{c}") for c in cols],
-                                   *[F.max(_finite(c)).alias(f"hi_{c}") for c in cols]])
-            self.params = {c: (row[f"lo_{c}"], _nz(None if row[f"hi_{c}"] is None else row[f"hi_{c}"] - row[f"lo_{c}"]))
-                           for c in cols}
+            row = _numbers(df, [f(_finite(c)) for c in cols for f in (F.min, F.max)])
+            self.params = {c: (lo, _nz(None if hi is None else hi - lo)) for c, lo, hi in zip(cols, row[::2], row[1::2], strict=True)}
         elif m == "RobustScaler":
             q = _quantile_dict(df, cols, [0.25, 0.5, 0.75])
             self.params = {c: (q.get((c, 0.5)), _nz(None if q.get((c, 0.75)) is None
                                                      else q[(c, 0.75)] - q[(c, 0.25)])) for c in cols}
         elif m == "MaxAbsScaler":
-            row = agg_chunked(df, [F.max(F.abs(_finite(c))).alias(c) for c in cols])
-            self.params = {c: (0.0, _nz(row[c])) for c in cols}
+            row = _numbers(df, [F.max(F.abs(_finite(c))) for c in cols])
+            self.params = {c: (0.0, _nz(v)) for c, v in zip(cols, row, strict=True)}
         else:
             raise ValueError(f"unknown scaler {m}")
         return self
@@ -156,12 +178,18 @@ class Scaler:
         for c in df.columns:
             if c in self.params and self.params[c][0] is not None:
                 center, scale = self.params[c]
-                out.append(((F.col(c).cast("double") - F.lit(float(center))) / F.lit(float(scale))).alias(c))
+                out.append(((named(c).cast("double") - F.lit(float(center))) / F.lit(float(scale))).alias(c))
             else:
-                out.append(F.col(c))
+                out.append(named(c))
         return df.select(*out)
 
 
+def _numbers(df: DataFrame, aggs: Sequence) -> list:
+    """The values of aggregates, in their order: a fitted model's numbers."""
+    row = agg_chunked(df, [a.alias(f"_{i}") for i, a in enumerate(aggs)])
+    return [row[f"_{i}"] for i in range(len(aggs))]
+
+
 def _nz(v):
     """Zero (or missing) spread -> 1, as the scikit-learn scalers do."""
     if v is None:
@@ -172,47 +200,61 @@ def _nz(v):
 def normalize_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Scale each row of ``cols`` to unit L2 norm; an all-zero row is unchanged."""
     cols = list(cols)
-    norm = F.sqrt(sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) ** 2 for c in cols))
+    norm = F.sqrt(sum(F.coalesce(named(c).cast("double"), F.lit(0.0)) ** 2 for c in cols))
     safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return df.select(*[(F.col(c).cast("double") / safe).alias(c) if c in set(cols) else F.col(c) for c in df.columns])
+    return df.select(*[(named(c).cast("double") / safe).alias(c) if c in set(cols) else named(c) for c in df.columns])
 
 
 # ------------------------------------------------------------------- one hot
+def category_name(column: str, value: str | None) -> str:
+    """Name of a category's column. NULL is ``column_nan``; the text "nan" is quoted to differ from it."""
+    return f"{column}_nan" if value is None else f"{column}_'{value}'" if value.strip("'") == "nan" else f"{column}_{value}"
+
+
 @dataclass
 class OneHot:
-    max_categories: int = 1000
     categories: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> "OneHot":
-        """Sorted distinct values per column (NULL is its own, last, category).
-        The category list is the model; its size is checked against ``max_categories``."""
+        """Sorted distinct values per column (NULL is its own, last, category), without a limit on
+        their number. The category list is the model; ``transform`` makes a column of each category,
+        ``to_vector`` one sparse vector per row, the form for columns of many categories."""
         cols = list(cols)
-        stack = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
-        long = df.select(F.expr(f"stack({len(cols)}, {stack}) as (column, value)")).distinct()
-        counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        too_many = {c: n for c, n in counts.items() if n > self.max_categories}
-        if too_many:
-            raise ValueError(f"cardinality above {self.max_categories}: {too_many}")
-        vals: dict[str, list] = {c: [] for c in cols}
-        for r in long.collect():
-            vals[r["column"]].append(r["value"])
-        self.categories = {c: sorted([v for v in vals[c] if v is not None]) + ([None] if None in vals[c] else [])
-                           for c in cols}
+        found = unpivot(df, cols, "string").distinct().groupBy("column").agg(
+            F.array_sort(F.collect_list("value")).alias("values"), F.max(F.col("value").isNull()).alias("has_null")).collect()
+        by = {r["column"]: [*r["values"], *([None] if r["has_null"] else [])] for r in found}  # the model: its categories
+        self.categories = {c: by.get(c, []) for c in cols}
         return self
 
     def names(self) -> list[str]:
-        return [f"{c}_{'nan' if v is None else v}" for c, vs in self.categories.items() for v in vs]
+        return [category_name(c, v) for c, vs in self.categories.items() for v in vs]
 
     def transform(self, df: DataFrame, drop_original: bool = True) -> DataFrame:
         enc = []
         for c, vs in self.categories.items():
-            x = F.col(c).cast("string")
+            x = named(c).cast("string")
             for v in vs:
                 hit = x.isNull() if v is None else (x == F.lit(v))
-                enc.append(F.coalesce(hit, F.lit(False)).cast("double").alias(f"{c}_{'nan' if v is None else v}"))
-        keep = [F.col(c) for c in df.columns if not (drop_original and c in self.categories)]
+                enc.append(F.coalesce(hit, F.lit(False)).cast("double").alias(category_name(c, v)))
+        keep = [named(c) for c in df.columns if not (drop_original and c in self.categories)]
         return df.select(*keep, *enc)
 
+    def to_vector(self, df: DataFrame, out: str = "onehot") -> DataFrame:
+        """Add one sparse vector over all categories, in ``names()`` order (unseen values: no entry)."""
+        from pyspark.ml.functions import array_to_vector  # noqa: F401  (registers vector types)
+        from pyspark.ml.linalg import SparseVector, VectorUDT
+        size, at, base = len(self.names()), {}, 0
+        for c, vs in self.categories.items():
+            at[c] = {v: base + k for k, v in enumerate(vs)}
+            base += len(vs)
+        columns = list(at)
+
+        @F.udf(VectorUDT())
+        def vector(row):
+            hits = sorted(at[c][row[i]] for i, c in enumerate(columns) if row[i] in at[c])
+            return SparseVector(size, hits, [1.0] * len(hits))
+        return df.withColumn(out, vector(F.array(*[named(c).cast("string") for c in columns])))
+
 
 # --------------------------------------------------------- quantile transform
 BOUNDS_THRESHOLD = 1e-7
@@ -222,12 +264,11 @@ BOUNDS_THRESHOLD = 1e-7
 class QuantileNormal:
     """Map each numeric column through its empirical CDF to a standard normal.
 
-    Fit: ``n_quantiles`` reference quantiles per column (``percentile_approx``,
-    rank error 1/accuracy). Apply: Arrow pandas UDF doing the two-sided
-    ``np.interp`` onto [0, 1] and the inverse normal, clipped like the reference.
+    Fit: ``n_quantiles`` evenly spaced exact quantiles per column (running counts, one
+    scan). Apply: Arrow pandas UDF doing the two-sided ``np.interp`` onto [0, 1] and the
+    inverse normal, clipped like the reference.
     """
     n_quantiles: int = 1000
-    accuracy: int = 100000
     quantiles: dict = field(default_factory=dict)
 
     def fit(self, df: DataFrame, cols: Sequence[str]) -> "QuantileNormal":
@@ -235,9 +276,11 @@ class QuantileNormal:
         n = df.count()
         k = max(2, min(self.n_quantiles, n))
         self.references = [i / (k - 1) for i in range(k)]
-        row = agg_chunked(df, [F.percentile_approx(_finite(c), self.references, self.accuracy).alias(c) for c in cols],
-                          chunk=20)
-        self.quantiles = {c: [float(v) for v in row[c]] if row[c] is not None else None for c in cols}
+        clean = df.select(*[_finite(c).alias(c) for c in cols])
+        got: dict[str, list] = {}
+        for r in even_quantiles(clean, cols, k).orderBy("column", "i").collect():  # the model: k numbers a column
+            got.setdefault(r["column"], []).append(float(r["value"]))
+        self.quantiles = {c: got.get(c) for c in cols}
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -248,12 +291,12 @@ class QuantileNormal:
         for c in df.columns:
             q = self.quantiles.get(c)
             if q is None:
-                out.append(F.col(c))
+                out.append(named(c))
                 continue
             qa = np.asarray(q, dtype=float)
 
             qt = _qt_udf(qa, refs, lo_clip, hi_clip)
-            out.append(qt(F.col(c).cast("double")).alias(c))
+            out.append(qt(named(c).cast("double")).alias(c))
         return df.select(*out)
 
 

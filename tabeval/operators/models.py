@@ -1,15 +1,9 @@
-"""Models: fit, tune, calibrate, score on MLlib.
-
-Every learner is a ``Pipeline`` (optional Imputer -> VectorAssembler -> optional
-scaler/normalizer -> classifier), so "fit on the training part, apply the same
-stages to any table" is ``PipelineModel.transform`` and survives save/load.
-Scores are ``vector_to_array(probability)[1]``; the predictions table
-(group keys, row_id, y, score, pred) then feeds ``evaluate``.
-
-Tuning runs ``CrossValidator`` over an explicit hash-fold column (not Spark's
-random split) with bounded ``parallelism``; random search takes a hash-ordered
-sample of the grid (seed 256). The driver only loops over a handful of
-(algorithm x outcome x fold) fits; the data work is MLlib's distributed jobs.
+"""Learners: build, fit, score, calibrate, on MLlib where it has them.
+
+A learner is fitted on a frame whose features stand in columns ``_x0 .. _xn`` (positions, so
+feature names may hold anything), the label in ``_label`` and a unique integer in ``_id``; it scores any
+frame with those feature columns, giving ``score`` = P(class 1) and ``pred``. Preparation, selection,
+search and the flows are in ``workflow``.
 """
 
 from __future__ import annotations
@@ -19,124 +13,244 @@ import itertools
 import json
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer as MLImputer
-from pyspark.ml.feature import MaxAbsScaler, MinMaxScaler, Normalizer, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import evaluate as ev
-from .concurrency import run_bounded, union_all
+from ..functions.columns import named
+from . import neighbors as nb
 from .ordered import freeze
-from .sample import kfold_stratified, split_stratified
+from .sample import kfold_stratified
 
-LABEL = "_label"
-FEATURES = "_features"
+LABEL, FEATURES, ID = "_label", "_features", "_id"
 
-#: reference algorithm names -> MLlib learner family
+#: algorithm names -> learner family
 ALIASES = {"rf": "rf", "dt": "dt", "gbt": "gbt", "gb": "gbt", "xgb": "gbt", "cat": "gbt", "lgbm": "gbt",
            "lr": "lr", "lr_l2": "lr", "sgd_elastic": "sgd_elastic", "sgd_l2": "sgd_l2", "svm": "svm",
            "mlp": "mlp", "nb": "nb", "knn": "knn"}
 
-
-def build_classifier(alg: str, params: dict | None = None, n_features: int | None = None, seed: int = 1000):
-    """MLlib estimator for a reference algorithm name with translated parameters."""
-    p = dict(params or {})
-    fam = ALIASES[alg]
+#: the parameters each family takes; any other is refused
+PARAMETERS = {
+    "rf": {"n_estimators", "max_depth", "min_samples_leaf", "max_features", "max_bins"},
+    "dt": {"max_depth", "min_samples_leaf", "max_bins"},
+    "gbt": {"n_estimators", "max_depth", "learning_rate", "subsample", "max_bins"},
+    "lr": {"C", "reg", "l1_ratio", "max_iter"},
+    "sgd_elastic": {"alpha", "l1_ratio", "max_iter"}, "sgd_l2": {"alpha", "max_iter"},
+    "svm": {"C", "max_iter", "calibration_folds"},
+    "mlp": {"hidden_layer_sizes", "max_iter", "learning_rate_init", "batch_size"},
+    "nb": {"var_smoothing"}, "knn": {"n_neighbors", "weights", "metric"},
+}
+
+#: a search space for every family, over the parameters of the learners used here
+SEARCH_SPACES: dict[str, dict[str, list]] = {
+    "rf": {"n_estimators": [50, 100, 200], "max_depth": [4, 6, 8, 10], "min_samples_leaf": [1, 2, 4], "max_features": ["sqrt", "log2"]},
+    "dt": {"max_depth": [2, 4, 6, 8, 10], "min_samples_leaf": [1, 2, 4, 8]},
+    "gbt": {"n_estimators": [20, 50, 100], "max_depth": [2, 3, 4], "learning_rate": [0.05, 0.1, 0.2], "subsample": [0.7, 1.0]},
+    "lr": {"C": [0.01, 0.1, 1.0, 10.0, 100.0], "l1_ratio": [0.0, 0.5, 1.0]},
+    "sgd_elastic": {"alpha": [1e-5, 1e-4, 1e-3, 1e-2], "l1_ratio": [0.1, 0.3, 0.5, 0.7]},
+    "sgd_l2": {"alpha": [1e-5, 1e-4, 1e-3, 1e-2]},
+    "svm": {"C": [0.01, 0.1, 1.0, 10.0]},
+    "mlp": {"hidden_layer_sizes": [(8,), (16,), (16, 8)], "max_iter": [100, 200]},
+    "nb": {"var_smoothing": [1e-9, 1e-8, 1e-7, 1e-6]}, "knn": {"n_neighbors": [3, 5, 7, 11], "weights": ["uniform", "distance"]},
+}
+
+
+def family(alg: str) -> str:
+    if alg not in ALIASES:
+        raise ValueError(f"unknown algorithm {alg}; known: {sorted(ALIASES)}")
+    return ALIASES[alg]
+
+
+def check_parameters(alg: str, params: dict | None) -> dict:
+    p, allowed = dict(params or {}), PARAMETERS[family(alg)]
+    if unknown := sorted(set(p) - allowed):
+        raise ValueError(f"{alg} takes {sorted(allowed)}, not {unknown}")
+    return p
+
+
+def build_classifier(alg: str, params: dict | None, n_features: int, n_rows: int, seed: int = 1000):
+    """MLlib estimator with translated parameters. ``C`` is the inverse strength of a penalty summed
+    over rows: regParam = 1 / (C n) on unstandardised features."""
+    p, fam = check_parameters(alg, params), family(alg)
     common = {"featuresCol": FEATURES, "labelCol": LABEL}
+    bins = {"maxBins": int(p["max_bins"])} if "max_bins" in p else {}
     if fam == "rf":
-        return RandomForestClassifier(**common, seed=seed, numTrees=int(p.get("n_estimators", 20)),
-                                      maxDepth=int(p.get("max_depth", 5)),
-                                      minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
+        return RandomForestClassifier(**common, **bins, seed=seed, numTrees=int(p.get("n_estimators", 100)),
+                                      maxDepth=int(p.get("max_depth", 5)), minInstancesPerNode=int(p.get("min_samples_leaf", 1)),
                                       featureSubsetStrategy=_subset(p.get("max_features", "sqrt")))
     if fam == "dt":
-        return DecisionTreeClassifier(**common, seed=int(p.get("random_state", seed)), maxDepth=int(p.get("max_depth", 5)),
+        return DecisionTreeClassifier(**common, **bins, seed=seed, maxDepth=int(p.get("max_depth", 5)),
                                       minInstancesPerNode=int(p.get("min_samples_leaf", 1)))
     if fam == "gbt":
-        return GBTClassifier(**common, seed=seed, maxIter=int(p.get("n_estimators", 20)), maxDepth=int(p.get("max_depth", 3)),
+        return GBTClassifier(**common, **bins, seed=seed, maxIter=int(p.get("n_estimators", 100)), maxDepth=int(p.get("max_depth", 3)),
                              stepSize=float(p.get("learning_rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)))
     if fam == "lr":
-        return LogisticRegression(**common, regParam=float(p.get("reg", 0.0)), elasticNetParam=float(p.get("l1_ratio", 0.0)),
-                                  maxIter=int(p.get("max_iter", 100)))
+        if "reg" in p and "C" in p:
+            raise ValueError("give C or reg, not both")
+        reg = float(p["reg"]) if "reg" in p else 1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1))
+        return LogisticRegression(**common, regParam=reg, elasticNetParam=float(p.get("l1_ratio", 0.0)),
+                                  maxIter=int(p.get("max_iter", 100)), standardization=False)
     if fam in ("sgd_elastic", "sgd_l2"):
         return LogisticRegression(**common, regParam=float(p.get("alpha", 1e-4)),
                                   elasticNetParam=float(p.get("l1_ratio", 0.15)) if fam == "sgd_elastic" else 0.0,
-                                  maxIter=int(p.get("max_iter", 100)))
+                                  maxIter=int(p.get("max_iter", 100)), standardization=False)
     if fam == "svm":
-        return LinearSVC(**common, regParam=1.0 / float(p.get("C", 1.0)) / 100.0, maxIter=int(p.get("max_iter", 100)))
+        return LinearSVC(**common, regParam=1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1)), maxIter=int(p.get("max_iter", 100)),
+                         standardization=False)
     if fam == "mlp":
-        hidden = list(p.get("hidden_layer_sizes", (16,)))
-        return MultilayerPerceptronClassifier(**common, seed=seed, layers=[int(n_features or 1), *hidden, 2],
+        size = {"blockSize": int(p["batch_size"])} if "batch_size" in p else {}
+        return MultilayerPerceptronClassifier(**common, **size, seed=seed, layers=[n_features, *p.get("hidden_layer_sizes", (16,)), 2],
                                               maxIter=int(p.get("max_iter", 100)), stepSize=float(p.get("learning_rate_init", 0.03)))
-    raise ValueError(f"{alg}: use fit_gaussian_nb / knn_classifier for this learner")
+    raise ValueError(f"{alg} has no MLlib estimator")
 
 
 def _subset(v) -> str:
-    return {None: "all", "None": "all", "auto": "sqrt", "sqrt": "sqrt", "log2": "log2"}.get(v, "auto")
+    if v not in (None, "None", "auto", "all", "sqrt", "log2"):
+        raise ValueError(f"max_features must be sqrt, log2 or None, not {v}")
+    return {None: "all", "None": "all", "auto": "sqrt"}.get(v, v)
 
 
-@dataclass
-class Prep:
-    """Per-fold preprocessing stages (fit on the training part only, Q5)."""
-    impute: str | None = "mean"          # mean / median / most_frequent (mode) / None
-    scaling: str | None = None           # StandardScaler / MinMaxScaler / MaxAbsScaler / RobustScaler
-    normalize: bool = False
+def inputs(n: int) -> list[str]:
+    return [f"_x{i}" for i in range(n)]
 
 
-def make_pipeline(features: Sequence[str], alg: str, params: dict | None = None, prep: Prep | None = None,
-                  seed: int = 1000) -> Pipeline:
-    prep = prep or Prep()
-    features = list(features)
-    stages = []
-    cols = features
-    if prep.impute:
-        strat = {"most_frequent": "mode"}.get(prep.impute, prep.impute)
-        cols = [f"_imp_{c}" for c in features]
-        stages.append(MLImputer(inputCols=features, outputCols=cols, strategy=strat))
-    stages.append(VectorAssembler(inputCols=cols, outputCol="_raw" if (prep.scaling or prep.normalize) else FEATURES,
-                                  handleInvalid="keep"))
-    cur = "_raw"
-    if prep.scaling:
-        out = "_scaled" if prep.normalize else FEATURES
-        scaler = {"StandardScaler": StandardScaler(inputCol=cur, outputCol=out, withMean=True, withStd=True),
-                  "MinMaxScaler": MinMaxScaler(inputCol=cur, outputCol=out),
-                  "MaxAbsScaler": MaxAbsScaler(inputCol=cur, outputCol=out),
-                  "RobustScaler": RobustScaler(inputCol=cur, outputCol=out)}[prep.scaling]
-        stages.append(scaler)
-        cur = out
-    if prep.normalize:
-        stages.append(Normalizer(inputCol=cur, outputCol=FEATURES, p=2.0))
-    stages.append(build_classifier(alg, params, len(features), seed))
-    return Pipeline(stages=stages)
+def with_label(df: DataFrame, y: str) -> DataFrame:
+    return df.withColumn(LABEL, named(y).cast("double"))
+
+
+# ----------------------------------------------------------------- learners
+class SparkLearner:
+    """An MLlib classifier; margins of a support vector machine become probabilities by a logistic
+    curve fitted on margins of rows that the machine hadn't seen."""
+
+    def __init__(self, model: PipelineModel, platt: tuple[float, float] | None = None):
+        self.model, self.platt = model, platt
+
+    @classmethod
+    def fit(cls, frame: DataFrame, n: int, alg: str, params: dict, seed: int = 1000) -> "SparkLearner":
+        params = dict(params)
+        folds = int(params.pop("calibration_folds", 3)) if family(alg) == "svm" else 0
+        model = cls._pipeline(frame, n, alg, params, seed)
+        if not folds:
+            return cls(model)
+        parts = freeze(kfold_stratified(frame, LABEL, ID, folds, seed, out="_fold"), "calibration")
+        margins = None
+        for f in range(folds):
+            part = cls(cls._pipeline(parts.where(F.col("_fold") != f), n, alg, params, seed))
+            m = part.transform(parts.where(F.col("_fold") == f)).select(vector_to_array("rawPrediction")[1].alias("margin"), LABEL)
+            margins = m if margins is None else margins.unionByName(m)
+        a = VectorAssembler(inputCols=["margin"], outputCol=FEATURES)
+        curve = Pipeline(stages=[a, LogisticRegression(featuresCol=FEATURES, labelCol=LABEL, regParam=0.0)]).fit(margins).stages[-1]
+        return cls(model, (float(curve.coefficients[0]), float(curve.intercept)))
+
+    @staticmethod
+    def _pipeline(frame: DataFrame, n: int, alg: str, params: dict, seed: int) -> PipelineModel:
+        stages = [VectorAssembler(inputCols=inputs(n), outputCol=FEATURES, handleInvalid="keep"),
+                  build_classifier(alg, params, n, frame.count(), seed)]
+        return Pipeline(stages=stages).fit(frame)
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(df)
 
-def with_label(df: DataFrame, y: str) -> DataFrame:
-    return df.withColumn(LABEL, F.col(y).cast("double"))
+    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
+        out = self.transform(df)
+        if self.platt:
+            a, b = self.platt
+            s = 1.0 / (1.0 + F.exp(-(vector_to_array("rawPrediction")[1] * a + b)))
+        else:
+            s = vector_to_array("probability")[1]
+        return out.select(*keep, s.alias("score"), F.col("prediction").cast("int").alias("pred"))
+
+    def weights(self) -> list[float]:
+        """Size of each feature's coefficient or importance, for eliminating features."""
+        last = self.model.stages[-1]
+        if hasattr(last, "featureImportances"):
+            return [float(x) for x in last.featureImportances.toArray()]
+        if hasattr(last, "coefficients"):
+            return [abs(float(x)) for x in last.coefficients.toArray()]
+        raise ValueError("this learner has no feature weights")
+
+    def save(self, path: str) -> dict:
+        self.model.write().overwrite().save(f"{path}/model")
+        return {"platt": self.platt}
+
+    @classmethod
+    def load(cls, path: str, meta: dict) -> "SparkLearner":
+        return cls(PipelineModel.load(f"{path}/model"), tuple(meta["platt"]) if meta["platt"] else None)
+
+
+class NaiveBayes:
+    """Gaussian naive Bayes as column expressions."""
+
+    def __init__(self, model: dict):
+        self.model = model
+
+    @classmethod
+    def fit(cls, frame: DataFrame, n: int, alg: str, params: dict, seed: int = 0) -> "NaiveBayes":
+        return cls(fit_gaussian_nb(frame, inputs(n), LABEL, **check_parameters(alg, params)))
+
+    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
+        return predict_gaussian_nb(self.model, df).select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("pred"))
 
+    def weights(self) -> list[float]:
+        raise ValueError("naive Bayes has no feature weights")
 
-def fit(df: DataFrame, features: Sequence[str], y: str, alg: str, params: dict | None = None,
-        prep: Prep | None = None, seed: int = 1000) -> PipelineModel:
-    return make_pipeline(features, alg, params, prep, seed).fit(with_label(df, y))
+    def save(self, path: str) -> dict:
+        by_class = lambda k: [self.model[k][c] for c in self.model["classes"]]
+        return {"features": self.model["features"], "classes": self.model["classes"], **{k: by_class(k) for k in ("prior", "mean", "var")}}
 
+    @classmethod
+    def load(cls, path: str, meta: dict) -> "NaiveBayes":
+        by_class = lambda k: dict(zip(meta["classes"], meta[k], strict=True))
+        return cls({"features": meta["features"], "classes": meta["classes"], **{k: by_class(k) for k in ("prior", "mean", "var")}})
 
-def score(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Predictions: kept columns + score = P(class 1) + pred (the model's label)."""
-    out = model.transform(df)
-    if "probability" in out.columns:
-        s = vector_to_array("probability")[1]
-    else:  # LinearSVC: raw margin; calibrate_sigmoid turns it into a probability
-        s = vector_to_array("rawPrediction")[1]
-    return out.select(*keep, s.alias("score"), F.col("prediction").cast("int").alias("pred"))
 
+class Neighbours:
+    """k nearest training rows; the model is the training table."""
 
-# ------------------------------------------------------------------- tuning
+    def __init__(self, train: DataFrame, n: int, params: dict):
+        self.train, self.n, self.params = train, n, params
+
+    @classmethod
+    def fit(cls, frame: DataFrame, n: int, alg: str, params: dict, seed: int = 0) -> "Neighbours":
+        vec = F.array(*[F.col(c).cast("double") for c in inputs(n)])
+        return cls(freeze(frame.select(F.monotonically_increasing_id().alias("id"), vec.alias("vec"), F.col(LABEL).alias("y")), "knn-train"),
+                   n, check_parameters(alg, params))
+
+    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
+        vec = F.array(*[F.col(c).cast("double") for c in inputs(self.n)])
+        rows = freeze(df.select(*[(k if not isinstance(k, str) else named(k)) for k in keep], vec.alias("_vec"),
+                                F.monotonically_increasing_id().alias("_qid")), "knn-rows")
+        scores = nb.knn_classifier(self.train, rows.select(F.col("_qid").alias("id"), F.col("_vec").alias("vec")), int(self.params.get("n_neighbors", 5)),
+                                   self.params.get("weights", "uniform"), metric=self.params.get("metric", "euclidean"))
+        out = rows.join(scores.withColumnRenamed("id", "_qid"), "_qid", "left")
+        return out.drop("_vec", "_qid").withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+
+    def weights(self) -> list[float]:
+        raise ValueError("nearest neighbours have no feature weights")
+
+    def save(self, path: str) -> dict:
+        self.train.write.mode("overwrite").parquet(f"{path}/train")
+        return {"n": self.n, "params": self.params}
+
+    @classmethod
+    def load(cls, path: str, meta: dict) -> "Neighbours":
+        return cls(SparkSession.getActiveSession().read.parquet(f"{path}/train"), meta["n"], meta["params"])
+
+
+LEARNERS = {"nb": NaiveBayes, "knn": Neighbours}
+
+
+def learner_class(alg: str):
+    return LEARNERS.get(family(alg), SparkLearner)
+
+
+# ------------------------------------------------------------------- search
 def param_grid(grid: dict[str, list]) -> list[dict]:
     keys = sorted(grid)
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])] or [{}]
@@ -148,31 +262,18 @@ def sample_grid(combos: list[dict], n_iter: int, seed: int = 256) -> list[dict]:
     return [combos[i] for i in sorted(keyed[:n_iter])]
 
 
-def tune(df: DataFrame, features: Sequence[str], y: str, alg: str, grid: dict[str, list],
-         strategy: str = "random", n_iter: int = 20, fold: str = "fold", prep: Prep | None = None,
-         parallelism: int = 4, seed: int = 256):
-    """Grid or random search scored by ROC AUC over the given fold column.
-
-    Returns (best PipelineModel refit on all rows, cv_results DataFrame)."""
-    combos = param_grid(grid)
-    if strategy != "grid":  # 'random' and any unknown strategy, as in the reference
-        combos = sample_grid(combos, n_iter, seed)
-    pipes = [make_pipeline(features, alg, c, prep) for c in combos]
-    # one Pipeline per combination: an estimator-valued parameter grid over a constant stage list
-    est = pipes[0]
-    maps = ParamGridBuilder().addGrid(est.stages, [p.getStages() for p in pipes]).build()
-    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, foldCol=fold,
-                        parallelism=parallelism, collectSubModels=False)
-    m = cv.fit(with_label(df, y))
-    avg, std = list(m.avgMetrics), list(m.stdMetrics)
-    rows = [(i, json.dumps(c, default=str), float(avg[i]), float(std[i])) for i, c in enumerate(combos)]
-    spark = df.sparkSession
-    res = spark.createDataFrame(rows, "combo int, params string, mean_test_score double, std_test_score double")
-    order = sorted(range(len(rows)), key=lambda i: (-avg[i], i))
-    rank = {i: r + 1 for r, i in enumerate(order)}
-    res = res.join(spark.createDataFrame([(i, rank[i]) for i in rank], "combo int, rank_test_score int"), "combo")
-    return m.bestModel, res
+def candidates(alg: str, grid: dict[str, list] | None, strategy: str, n_iter: int, seed: int = 256) -> list[dict]:
+    """The combinations that a search tries: all of the grid, or a hash sample of ``n_iter``."""
+    if strategy not in ("grid", "random"):
+        raise ValueError(f"unknown search {strategy}; known: grid, random")
+    combos = param_grid(SEARCH_SPACES[family(alg)] if grid is None else grid)
+    for c in combos:
+        check_parameters(alg, c)
+    return combos if strategy == "grid" else sample_grid(combos, n_iter, seed)
+
+
+def as_json(params: dict) -> str:
+    return json.dumps(params, default=str, sort_keys=True)
 
 
 # -------------------------------------------------------------- calibration
@@ -185,155 +286,28 @@ def calibrate_sigmoid(scores: DataFrame, y: str = "y", score_col: str = "score")
 
     def apply(df: DataFrame) -> DataFrame:
         out = m.transform(df)
-        return out.select(*df.columns, vector_to_array("probability")[1].alias("calibrated"))
+        return out.select(*map(named, df.columns), vector_to_array("probability")[1].alias("calibrated"))
     return apply
 
 
-# -------------------------------------------------------- training workflows
-def train_whole(df: DataFrame, features: Sequence[str], outcomes: Sequence[str], alg: str,
-                params: dict | None = None, prep: Prep | None = None) -> dict[str, PipelineModel]:
-    """One model per outcome on all rows (rows with a missing outcome dropped)."""
-    return {o: fit(df.where(F.col(o).isNotNull()), features, o, alg, params, prep) for o in outcomes}
-
-
-def train_test(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict | None = None,
-               prep: Prep | None = None, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Stratified split -> fit on train -> score train and test: a predictions
-    table with a ``split`` column, ready for ``evaluate(group=['split'])``."""
-    s = split_stratified(df.where(F.col(y).isNotNull()), y, row_id, test_size, seed)
-    train = s.where(F.col("split") == "train")
-    model = fit(train, features, y, alg, params, prep)
-    return score(model, s, [row_id, "split", F.col(y).alias("y")])
-
-
-def cross_validate(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str,
-                   params: dict | None = None, prep: Prep | None = None, k: int = 5, n_repeats: int = 1,
-                   seed: int = 42) -> DataFrame:
-    """Repeated stratified k-fold with per-fold preprocessing; out-of-fold
-    predictions for the test part and in-fold predictions for the train part:
-    (repeat, fold, split, row_id, y, score, pred)."""
-    base = df.where(F.col(y).isNotNull())
-    folds = {r: freeze(kfold_stratified(base, y, row_id, k, seed + r, out="_fold"), "folds") for r in range(n_repeats)}
-
-    def task(r, f):
-        def run():
-            fr = folds[r]
-            model = fit(fr.where(F.col("_fold") != f), features, y, alg, params, prep)
-            return score(model, fr, [row_id, F.col(y).alias("y"), "_fold"]) \
-                .select(F.lit(r).alias("repeat"), F.lit(f).alias("fold"),
-                        F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train")).alias("split"),
-                        row_id, "y", "score", "pred")
-        return run
-    return union_all(run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)]))
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-def score_saved(path: str, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Re-apply a saved pipeline (imputer -> scaler -> normalizer -> model)."""
-    return score(load_model(path), df, keep)
-
-
-def auto_select(df: DataFrame, features: Sequence[str], y: str, algorithms: Sequence[str],
-                grids: dict[str, dict] | None = None, holdout: float = 0.2, prep: Prep | None = None,
-                seed: int = 42, row_id: str = "row_id"):
-    """Per learner and grid combination: fit on the training part of a
-    hash-stratified holdout split, score the holdout; all candidates'
-    holdout predictions are evaluated in ONE grouped job. Returns (leaderboard
-    (algorithm, params, score_val, rank) with rank 1 = best, best model refit
-    on all rows)."""
-    spark = df.sparkSession
-    data = df.where(F.col(y).isNotNull())
-    s = freeze(split_stratified(data, y, row_id, holdout, seed), "holdout")
-    train, hold = s.where(F.col("split") == "train"), s.where(F.col("split") == "test")
-    cands = [(alg, i, combo) for alg in algorithms for i, combo in enumerate(param_grid((grids or {}).get(alg, {})))]
-
-    def task(alg, i, combo):
-        def run():
-            m = fit(train, features, y, alg, combo, prep)
-            return score(m, hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), F.col(y).alias("y")])
-        return run
-    preds = union_all(run_bounded([task(*c) for c in cands]))
-    cands = [(alg, i, json.dumps(combo, default=str)) for alg, i, combo in cands]
-    aucs = ev.auc_table(ev.score_groups(preds, ["algorithm", "combo"]), ["algorithm", "combo"])
-    meta = spark.createDataFrame(cands, "algorithm string, combo int, params string")
-    per_alg = aucs.join(meta, ["algorithm", "combo"])
-    w = Window.partitionBy("algorithm").orderBy(F.col("auc").desc_nulls_last(), F.col("combo"))
-    best_per_alg = per_alg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "combo")
-    board = best_per_alg.select("algorithm", "params", F.col("auc").alias("score_val"))
-    wr = Window.orderBy(F.col("score_val").desc_nulls_last(), F.col("algorithm"))  # one row per learner
-    board = board.withColumn("rank", F.row_number().over(wr)).checkpoint(eager=True)
-    top = board.where(F.col("rank") == 1).first()
-    best = fit(data, features, y, top["algorithm"], json.loads(top["params"]), prep) if top else None
-    return board, best
-
-
-def stack_oof(oof: DataFrame, row_id: str = "row_id", algorithm: str = "algorithm") -> DataFrame:
-    """Stack out-of-fold scores of several learners: pivot by algorithm on row_id,
-    fit a logistic meta-model on them, return (row_id, y, score) of the stack."""
-    algs = sorted(r[0] for r in oof.select(algorithm).distinct().collect())  # learner names: a handful
-    wide = oof.groupBy(row_id, "y").pivot(algorithm, algs).agg(F.first("score"))
-    a = VectorAssembler(inputCols=algs, outputCol=FEATURES, handleInvalid="keep")
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol=LABEL)
-    m = Pipeline(stages=[a, lr]).fit(with_label(wide, "y"))
-    return m.transform(with_label(wide, "y")).select(row_id, "y", vector_to_array("probability")[1].alias("score"))
-
-
-def select_rfecv(df: DataFrame, features: Sequence[str], y: str, row_id: str, min_features: int = 1,
-                 k: int = 3, seed: int = 42) -> DataFrame:
-    """Recursive feature elimination with cross-validated AUC: drop the feature
-    with the smallest |coefficient| (scaled logistic regression) each step; the
-    selected set is the best mean fold AUC with at least ``min_features``.
-    Returns (n_features, features, mean_auc, selected)."""
-    folds = freeze(kfold_stratified(df.where(F.col(y).isNotNull()), y, row_id, k, seed, out="_fold"), "folds")
-    prep = Prep(impute="mean", scaling="StandardScaler")
-    cur = list(features)
-    rows = []
-    while len(cur) >= min_features:
-        def task(f, feats=tuple(cur)):
-            def run():
-                m = fit(folds.where(F.col("_fold") != f), list(feats), y, "lr", {}, prep)
-                return score(m, folds.where(F.col("_fold") == f), [F.col(y).alias("y")]).withColumn("fold", F.lit(f))
-            return run
-        preds = union_all(run_bounded([task(f) for f in range(k)]))
-        aucs = ev.auc_table(ev.score_groups(preds, ["fold"]), ["fold"]).agg(F.avg("auc")).first()[0]
-        rows.append((len(cur), json.dumps(cur), float(aucs)))
-        if len(cur) == min_features:
-            break
-        full = fit(folds, cur, y, "lr", {}, prep)
-        coef = full.stages[-1].coefficients.toArray()
-        weakest = min(range(len(cur)), key=lambda i: (abs(coef[i]), -i))
-        cur = cur[:weakest] + cur[weakest + 1:]
-    best = max(rows, key=lambda r: (r[2], -r[0]))
-    spark = df.sparkSession
-    return spark.createDataFrame([(n, fs, a, n == best[0]) for n, fs, a in rows],
-                                 "n_features int, features string, mean_auc double, selected boolean")
-
-
 # ------------------------------------------------------------ gaussian NB
 def fit_gaussian_nb(df: DataFrame, features: Sequence[str], y: str, var_smoothing: float = 1e-9) -> dict:
     """Class priors, per-class means and population variances (+ var_smoothing x
     the largest feature variance) from one grouped aggregate; the fitted model
     is classes x features numbers."""
     features = list(features)
-    g = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"),
-                          *[F.avg(F.col(f).cast("double")).alias(f"m_{f}") for f in features],
-                          *[F.var_pop(F.col(f).cast("double")).alias(f"v_{f}") for f in features]).collect()
-    allv = df.agg(*[F.var_pop(F.col(f).cast("double")).alias(f) for f in features]).first()
-    eps = var_smoothing * max(float(allv[f] or 0.0) for f in features)
+    if df.select(named(y)).distinct().limit(3).count() != 2:
+        raise ValueError(f"{y} must have exactly two values")
+    g = df.groupBy(named(y).alias("_c")).agg(F.count(F.lit(1)).alias("_n"), *[
+        a for i, f in enumerate(features) for a in (F.avg(named(f).cast("double")).alias(f"m_{i}"), F.var_pop(named(f).cast("double")).alias(f"v_{i}"))]).collect()
+    allv = df.agg(*[F.var_pop(named(f).cast("double")).alias(f"v_{i}") for i, f in enumerate(features)]).first()
+    eps = var_smoothing * max(float(v or 0.0) for v in allv)
     n = sum(r["_n"] for r in g)
-    classes = sorted(r[y] for r in g)
-    by = {r[y]: r for r in g}
-    return {"features": features, "classes": classes,
-            "prior": {c: by[c]["_n"] / n for c in classes},
-            "mean": {c: {f: by[c][f"m_{f}"] for f in features} for c in classes},
-            "var": {c: {f: by[c][f"v_{f}"] + eps for f in features} for c in classes}}
+    by = {r["_c"]: r for r in g}  # two rows
+    classes = sorted(by)
+    return {"features": features, "classes": classes, "prior": {c: by[c]["_n"] / n for c in classes},
+            "mean": {c: {f: by[c][f"m_{i}"] for i, f in enumerate(features)} for c in classes},
+            "var": {c: {f: by[c][f"v_{i}"] + eps for i, f in enumerate(features)} for c in classes}}
 
 
 def predict_gaussian_nb(model: dict, df: DataFrame) -> DataFrame:
@@ -342,7 +316,7 @@ def predict_gaussian_nb(model: dict, df: DataFrame) -> DataFrame:
         e = F.lit(math.log(model["prior"][c]))
         for f in model["features"]:
             v, m = model["var"][c][f], model["mean"][c][f]
-            x = F.col(f).cast("double")
+            x = named(f).cast("double")
             e = e - F.lit(0.5 * math.log(2 * math.pi * v)) - 0.5 * (x - F.lit(m)) * (x - F.lit(m)) / F.lit(v)
         return e
     c0, c1 = model["classes"][0], model["classes"][-1]

@@ -1,46 +1,37 @@
 """Exact k-nearest neighbours without a cross join, and the samplers built on it
 (SURVEY 2.9 knn_topk, 2.5 smote / adasyn, 2.8 fit_knn).
 
-Exact kNN by a projection window:
-
-1. project every point on one unit direction u (the first principal
-   component, an MLlib PCA fit); |u.x - u.q| <= ||x - q||, so projection gaps
-   are lower bounds of distances;
-2. rank reference points by (u.x, id) with the distributed ``prefix_sum`` and
-   place every query in that order (number of references before it);
-3. each unresolved query is compared with the references of ranks
-   [pos-w, pos+w+1] only. Queries are grouped in blocks of consecutive positions
-   and references in chunks of consecutive ranks; each (block, chunk) pair that
-   some window spans becomes one ``applyInPandas`` task computing a NumPy
-   distance matrix restricted to each query's window, so vectors are shipped
-   once per block, not once per pair, and no group exceeds
-   QUERY_BLOCK + REF_CHUNK rows. A query is *resolved* when the projection gap
-   to both window edges is >= its k-th distance (or the window reached the
-   end): nothing outside can then be closer;
-4. unresolved queries retry with an 8x wider window.
-
-The returned distances are the exact k smallest; among references at exactly
-the k-th distance the ones nearest in (u.x, id) order are kept. A block of
-identical vectors (a hot key) resolves at once (k-th distance 0, gap 0), so
-duplicates never cause quadratic work.
+Exact kNN by cells and the triangle inequality:
+
+1. a bounded, hash-picked set of reference rows are the pivots; every reference goes to the
+   cell of its nearest pivot, and a cell keeps its radius (farthest member). Cells are cut in
+   chunks of at most about REF_CHUNK references;
+2. every query is first compared with the cell of its own nearest pivot: its k-th distance
+   there bounds the true one from above;
+3. no member of a cell is nearer to q than d(q, pivot) - radius. Only cells where that does
+   not exceed the bound can hold one of the k nearest (or a tie with the k-th), and each query
+   is compared with all of these: two rounds, whatever the data.
+
+Queries are dealt in blocks of QUERY_BLOCK that share a nearest pivot, so a (block, chunk) pair
+is compared for many queries at once and a reference chunk is copied once per block that needs
+it. Within a task, squared distances come from matrix products of small slices; everything
+within rounding of the k-th is measured again exactly, so ties at the k-th distance are cut by
+(distance, rid) and never arbitrarily.
+
+How many cells the bound rules out depends on the data: clustered vectors leave few, vectors
+spread evenly over many dimensions leave most (exact search then compares most pairs, in
+blocks). Tasks stay bounded either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import freeze, prefix_sum
-from .sample import hash_int, hash_uniform
-
-
-def _dot_expr(vec: str, u: Sequence[float]) -> Column:
-    lit = F.array(*[F.lit(float(x)) for x in u])
-    return F.aggregate(F.zip_with(F.col(vec), lit, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+from .ordered import BROADCAST_BYTES, checked, freeze, prefix_sum, table_bytes
+from .sample import COPY_CHUNK, hash_int, hash_uniform
 
 
 def euclid(a: Column, b: Column) -> Column:
@@ -52,137 +43,166 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def principal_direction(refs: DataFrame, vec: str) -> list[float]:
-    """Unit first principal component (MLlib PCA; p x p Gramian on the driver)."""
-    v = refs.select(array_to_vector(F.col(vec)).alias("_v"))
-    pc = PCA(k=1, inputCol="_v", outputCol="_p").fit(v).pc.toArray()[:, 0]
-    norm = float(sum(x * x for x in pc)) ** 0.5
-    return [float(x) / norm for x in pc] if norm > 0 else [1.0] + [0.0] * (len(pc) - 1)
+#: pivots (so cells) at most, references in a chunk and queries in a block, and queries and
+#: numbers in a slice: a task holds one block, one chunk and one slice's distances
+PIVOTS, REF_CHUNK, QUERY_BLOCK, SLICE, SLICE_NUMBERS = 1024, 4096, 8192, 256, 1 << 22
 
 
-#: queries per block and reference ranks per chunk: one (block, chunk) group is
-#: one task holding at most QUERY_BLOCK + REF_CHUNK vectors
-QUERY_BLOCK = 512
-REF_CHUNK = 4096
+def _distances(q, r, metric: str):
+    """All distances of two sets of rows, one slice of q; euclidean ones from a matrix product, so
+    good only up to rounding."""
+    import numpy as np
+    if metric == "euclidean":
+        d = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2.0 * (q @ r.T)
+        return np.sqrt(np.maximum(d, 0.0))
+    return np.abs(q[:, None, :] - r[None, :, :]).sum(-1)
+
+
+def _slices(n: int, r, metric: str) -> range:
+    step = SLICE if metric == "euclidean" else max(1, SLICE_NUMBERS // max(1, r.size))
+    return range(0, n, min(step, SLICE))
+
+
+def _nearest_pivot(df: DataFrame, vec: str, pivots, metric: str) -> DataFrame:
+    """Add ``cell`` (nearest pivot, the first on ties) and ``to_pivot`` (its distance)."""
+    shared = df.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS rows
+    at = df.columns.index(vec)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        p = shared.value
+        for batch in batches:
+            v = np.array(batch.column(at).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            cell, near = np.zeros(len(v), np.int64), np.zeros(len(v))
+            for k in range(0, len(v), SLICE):
+                for j in range(0, len(p), SLICE):
+                    d = _distances(v[k:k + SLICE], p[j:j + SLICE], metric)
+                    best = d.argmin(axis=1)
+                    low = d[np.arange(len(d)), best]
+                    better = (low < near[k:k + SLICE]) | (j == 0)
+                    cell[k:k + SLICE][better], near[k:k + SLICE][better] = best[better] + j, low[better]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(near)], names=[*batch.schema.names, "cell", "to_pivot"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(run, f"{types}, cell long, to_pivot double")
 
 
 def _block_topk_fn(k: int, metric: str, exclude_self: bool):
+    """Top k of one (query block, reference chunk) pair: every candidate within rounding of the k-th
+    distance is measured exactly, then cut by (distance, rid)."""
     import numpy as np
     import pandas as pd
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["_side"] == 0]
-        r = pdf[pdf["_side"] == 1]
-        empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                              "distance": pd.Series([], dtype="float64")})
-        if q.empty or r.empty:
-            return empty
-        qv = np.stack(q["v"].to_numpy()).astype(float)
-        rv = np.stack(r["v"].to_numpy()).astype(float)
-        if metric == "euclidean":
-            d = np.sqrt(((qv[:, None, :] - rv[None, :, :]) ** 2).sum(-1))
-        else:
-            d = np.abs(qv[:, None, :] - rv[None, :, :]).sum(-1)
-        rank = r["rank"].to_numpy()
-        lo = q["lo"].to_numpy()[:, None]
-        hi = q["hi"].to_numpy()[:, None]
-        valid = (rank[None, :] >= lo) & (rank[None, :] <= hi)  # each query's own window only
-        qids = q["id"].to_numpy()
-        rids = r["id"].to_numpy()
-        if exclude_self:
-            valid &= qids[:, None] != rids[None, :]
-        d = np.where(valid, d, np.inf)
-        kk = min(k, d.shape[1])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk] if kk < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
-        rows_q = np.repeat(qids, idx.shape[1])
-        sel = d[np.arange(len(q))[:, None], idx].ravel()
-        out = pd.DataFrame({"qid": rows_q, "rid": rids[idx.ravel()], "distance": sel})
-        return out[np.isfinite(out["distance"])]
+        q, r = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        parts = []
+        if len(q) and len(r):
+            qv, rv = (np.stack(x["v"].to_numpy()).astype(float) for x in (q, r))
+            qids, rids = q["id"].to_numpy(), r["id"].to_numpy()
+            slack = 1e-7 * (np.abs(qv).max() + np.abs(rv).max() + 1e-300) * np.sqrt(qv.shape[1])
+            slices = _slices(len(qv), rv, metric)
+            for b in slices:
+                x, ids = qv[b:b + slices.step], qids[b:b + slices.step]
+                d = _distances(x, rv, metric)
+                if exclude_self:
+                    d = np.where(ids[:, None] == rids[None, :], np.inf, d)
+                kk = min(k, d.shape[1])
+                edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+                i, j = np.nonzero((d <= edge[:, None] + slack) & np.isfinite(d))
+                for s in range(0, len(i), 1 << 16):
+                    gap = x[i[s:s + (1 << 16)]] - rv[j[s:s + (1 << 16)]]
+                    d[i[s:s + (1 << 16)], j[s:s + (1 << 16)]] = np.sqrt((gap ** 2).sum(1)) if metric == "euclidean" else np.abs(gap).sum(1)
+                exact = d[i, j]
+                order = np.lexsort((rids[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+                keep = rank < k
+                parts.append(pd.DataFrame({"qid": ids[i[keep]], "rid": rids[j[keep]], "distance": exact[keep]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                                                            "distance": pd.Series([], dtype="float64")})
     return fn
 
 
 def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid: str = "rid", vec: str = "vec",
-             exclude_self: bool = False, metric: str = "euclidean", w0: int | None = None,
-             max_rounds: int = 40, queries_are_refs: bool = False) -> DataFrame:
-    """Exact k nearest references of every query: (qid, rid, distance, nn_rank).
-
-    ``exclude_self`` drops the pair qid == rid (self-join on one table).
-    ``metric`` 'euclidean' or 'manhattan' (projection gaps bound both).
-    ``queries_are_refs``: the queries are the reference rows themselves, so a
-    query's position is its own rank (one running count fewer). Correctness
-    never depends on the position: the exactness test uses the window edges.
-    Ids must be integers.
+             exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
+    """Exact k nearest references of every query: (qid, rid, distance, nn_rank), ties by rid.
+
+    ``exclude_self`` drops the pair qid == rid (self-join on one table). ``metric`` is 'euclidean' or
+    'manhattan' (the triangle inequality holds for both). Ids must be integers; rows whose vector is
+    NULL have no neighbours. Fewer than k references give fewer rows.
     """
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("qv"))
-    r = refs.select(F.col(rid).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("rv"))
-    u = principal_direction(r.withColumnRenamed("rv", "_vec"), "_vec")
-    r = r.withColumn("t", _dot_expr("rv", u))
-    q = q.withColumn("t", _dot_expr("qv", u))
-    # ranks of references along u, and each query's position among them
-    ranked = prefix_sum(r.withColumn("_one", F.lit(1).cast("long")), [], ["t", "rid"], ["_one"], prefix="_r",
-                        totals_prefix="_n")
-    ranked = freeze(ranked.select("rid", "rv", "t", F.col("_r_one").alias("rank"), F.col("_n_one").alias("n_refs")),
-                    "knn-ranked")
-    if queries_are_refs:
-        pos = ranked.select(F.col("rid").alias("qid"), F.col("rank").alias("pos"), "n_refs")
-    else:
-        marks = r.select("t", F.lit(0).alias("_kind"), F.col("rid").alias("_id"), F.lit(1).cast("long").alias("_isref")) \
-            .unionByName(q.select("t", F.lit(1).alias("_kind"), F.col("qid").alias("_id"),
-                                  F.lit(0).cast("long").alias("_isref")))
-        pos = prefix_sum(marks, [], ["t", "_kind", "_id"], ["_isref"], prefix="_p", totals_prefix="_nr") \
-            .where(F.col("_kind") == 1).select(F.col("_id").alias("qid"), F.col("_p_isref").alias("pos"),
-                                               F.col("_nr_isref").alias("n_refs"))
-    qpos = freeze(q.join(pos, "qid"), "knn-queries")
-    by_rank_t = ranked.select("rank", F.col("t").alias("rt"))
-    refs_chunked = ranked.select(F.col("rid").alias("id"), F.col("rv").alias("v"), "rank",
-                                 F.floor(F.col("rank") / REF_CHUNK).alias("chunk"))
-
-    schema = "qid long, rid long, distance double"
-    fn = _block_topk_fn(k, metric, exclude_self)
-    # a (block, chunk) task holds up to REF_CHUNK references anyway, so a first
-    # window of half a chunk per side costs about the same as a narrow one and
-    # saves whole rounds (each round is a few shuffles and small jobs)
-    w = int(w0 or max(4 * k, REF_CHUNK // 2))
-    done = None
-    pending = qpos
-    for _ in range(max_rounds):
-        win = pending.select("qid", "qv", "t", "pos", "n_refs",
-                             F.greatest(F.col("pos") - w, F.lit(1)).alias("lo"),
-                             F.least(F.col("pos") + w + 1, F.col("n_refs")).alias("hi"),
-                             F.floor((F.col("pos") - 1) / QUERY_BLOCK).alias("qblock"))
-        # (block, chunk) pairs each block needs: a table of #blocks x #chunks rows
-        need = win.groupBy("qblock").agg(F.min("lo").alias("blo"), F.max("hi").alias("bhi")) \
-            .select("qblock", F.explode(F.sequence(F.floor(F.col("blo") / REF_CHUNK),
-                                                   F.floor(F.col("bhi") / REF_CHUNK))).alias("chunk"))
-        qside = win.join(need, "qblock").select("qblock", "chunk", F.lit(0).alias("_side"), F.col("qid").alias("id"),
-                                                F.col("qv").alias("v"), F.lit(0).cast("long").alias("rank"), "lo", "hi")
-        rside = refs_chunked.join(need, "chunk").select("qblock", "chunk", F.lit(1).alias("_side"), "id", "v", "rank",
-                                                        F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-        partial = qside.unionByName(rside).groupBy("qblock", "chunk").applyInPandas(fn, schema)
-        top = _top_k(partial, k)
-        # k-th distance and the projection gaps to both window edges
-        edges = win.join(by_rank_t.withColumnRenamed("rank", "lo").withColumnRenamed("rt", "t_lo"), "lo") \
-            .join(by_rank_t.withColumnRenamed("rank", "hi").withColumnRenamed("rt", "t_hi"), "hi") \
-            .select("qid", "pos", "n_refs", F.col("t").alias("tq"), "t_lo", "t_hi")
-        kth = top.groupBy("qid").agg(F.max("distance").alias("dk"), F.count(F.lit(1)).alias("nk"))
-        st = edges.join(kth, "qid", "left")
-        left_ok = (F.col("pos") - w <= 1) | (F.col("tq") - F.col("t_lo") >= F.col("dk"))
-        right_ok = (F.col("pos") + w + 1 >= F.col("n_refs")) | (F.col("t_hi") - F.col("tq") >= F.col("dk"))
-        whole = (F.col("pos") - w <= 1) & (F.col("pos") + w + 1 >= F.col("n_refs"))
-        ok = whole | ((F.col("nk") >= k) & left_ok & right_ok)
-        # one narrow table per round: the round's top-k rows with their query's status
-        rnd = top.join(st.select("qid", ok.alias("ok")), "qid") \
-            .select("qid", "rid", "distance", "nn_rank", "ok").checkpoint(eager=True)
-        res = rnd.where("ok").drop("ok")
-        done = res if done is None else done.unionByName(res)
-        open_ids = rnd.where(~F.col("ok")).select("qid").distinct()
-        # unresolved queries: a scalar count steers the loop
-        if open_ids.limit(1).count() == 0:
-            break
-        pending = qpos.join(open_ids, "qid")
-        w *= 8
-    return done.select(F.col("qid").alias(qid) if qid != "qid" else "qid",
-                       F.col("rid").alias(rid) if rid != "rid" else "rid", "distance", "nn_rank")
+    import numpy as np
+    if metric not in ("euclidean", "manhattan"):
+        raise ValueError(f"unknown metric {metric}")
+    q = queries.select(F.col(qid).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    r = refs.select(F.col(rid).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
+    n = r.count()
+    spark = queries.sparkSession
+    if not n:
+        return spark.createDataFrame([], f"{qid} long, {rid} long, distance double, nn_rank int")
+    # pivots: references picked by a hash of their id (a parameter of the speed, not of the result)
+    picked = r.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, n // (REF_CHUNK // 4)))).collect()
+    pivots = np.array([row["v"] for row in picked], dtype=float)
+    r = freeze(_nearest_pivot(r, "v", pivots, metric), "knn-refs")
+    q = freeze(_nearest_pivot(q, "v", pivots, metric), "knn-queries")
+    cells = r.groupBy("cell").agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # at most PIVOTS rows
+    radius = np.full(len(pivots), -np.inf)
+    chunks = {}
+    for row in cells:
+        radius[row["cell"]] = row["radius"]
+        chunks[row["cell"]] = -(-row["n"] // REF_CHUNK)
+    of_cell = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair])
+    rside = r.select("cell", F.pmod(F.xxhash64("id"), of_cell[F.col("cell")]).cast("int").alias("chunk"), F.lit(1).alias("_side"), "id", "v")
+
+    # blocks: queries of one cell, at most about QUERY_BLOCK of them
+    sizes = {row["cell"]: -(-row["count"] // QUERY_BLOCK) for row in q.groupBy("cell").count().collect()}  # at most PIVOTS rows
+    if not sizes:
+        return spark.createDataFrame([], f"{qid} long, {rid} long, distance double, nn_rank int")
+    blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    q = q.withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int"))
+    schema, fn = "qid long, rid long, distance double", _block_topk_fn(k, metric, exclude_self)
+
+    def compare(wanted: DataFrame) -> DataFrame:
+        """wanted: home (cell and block of queries), visited cell, id, v of the queries."""
+        need = wanted.select("home", "block", "visit").distinct()
+        parts = F.explode(F.sequence(F.lit(0), of_cell[F.col("visit")] - 1)).alias("chunk")
+        qside = wanted.select("home", "block", "visit", "id", "v", parts).select("home", "block", "visit", "chunk", F.lit(0).alias("_side"), "id", "v")
+        rows = need.join(rside.withColumnRenamed("cell", "visit"), "visit").select("home", "block", "visit", "chunk", "_side", "id", "v")
+        return qside.unionByName(rows).groupBy("home", "block", "visit", "chunk").applyInPandas(fn, schema)
+
+    own = q.where(F.col("cell").isin(list(chunks)))
+    first = freeze(_top_k(compare(own.select(F.col("cell").alias("home"), "block", F.col("cell").alias("visit"), "id", "v")), k), "knn-first")
+    bound = first.where(F.col("nn_rank") == k).select(F.col("qid").alias("id"), F.col("distance").alias("bound"))
+    asked = q.join(bound, "id", "left").select("cell", "block", "id", "v", "bound")
+    wanted = asked.mapInArrow(_cells_in_reach(spark, pivots, radius, metric),
+                              "home long, block int, id long, v array<double>, visit long").where(F.col("visit") != F.col("home"))
+    second = _top_k(first.drop("nn_rank").unionByName(compare(freeze(wanted, "knn-reach"))), k)
+    return second.select(F.col("qid").alias(qid), F.col("rid").alias(rid), "distance", "nn_rank")
+
+
+def _cells_in_reach(spark, pivots, radius, metric: str):
+    """Per query, the cells that may hold one of its k nearest: d(q, pivot) - radius <= bound."""
+    shared = spark.sparkContext.broadcast((pivots, radius))  # at most PIVOTS rows
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        p, far = shared.value
+        for whole in batches:
+            for b in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(b, SLICE)
+                v = np.array(batch.column("v").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+                bound = np.array([np.inf if x is None else x for x in batch.column("bound").to_pylist()])
+                slack = 1e-6 * (np.abs(v).max() + np.abs(p).max() + 1e-300) * np.sqrt(v.shape[1])
+                for j in range(0, len(p), SLICE):
+                    d = _distances(v, p[j:j + SLICE], metric)
+                    i, c = np.nonzero((d - far[None, j:j + SLICE] <= bound[:, None] + slack) & np.isfinite(far[None, j:j + SLICE]))
+                    take = pa.array(i)
+                    yield pa.RecordBatch.from_arrays([batch.column(x).take(take) for x in ("cell", "block", "id", "v")] + [pa.array(c + j)],
+                                                     names=["home", "block", "id", "v", "visit"])
+    return run
 
 
 def _top_k(cand: DataFrame, k: int) -> DataFrame:
@@ -194,13 +214,15 @@ def _top_k(cand: DataFrame, k: int) -> DataFrame:
 
 # ------------------------------------------------------------------ kNN model
 def knn_classifier(train: DataFrame, test: DataFrame, k: int = 5, weights: str = "uniform", id_col: str = "id",
-                   vec: str = "vec", y: str = "y", exclude_self: bool = False) -> DataFrame:
+                   vec: str = "vec", y: str = "y", exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
     """P(class 1) = (weighted) share of positives among the k nearest training
     rows: (id, score). 'distance' weights are 1/d; a zero distance takes all weight."""
     nn = knn_topk(test.select(F.col(id_col).alias("qid"), vec), train.select(F.col(id_col).alias("rid"), vec), k,
-                  exclude_self=exclude_self)
+                  exclude_self=exclude_self, metric=metric)
     lab = train.select(F.col(id_col).alias("rid"), F.col(y).cast("double").alias("_y"))
     j = nn.join(lab, "rid")
+    if weights not in ("uniform", "distance"):
+        raise ValueError(f"unknown weights {weights}")
     if weights == "distance":
         zero = F.max((F.col("distance") == 0).cast("int")).over(Window.partitionBy("qid"))
         wgt = F.when(zero == 1, (F.col("distance") == 0).cast("double")).otherwise(1.0 / F.col("distance"))
@@ -219,8 +241,7 @@ def smote(df: DataFrame, id_col: str, vec: str, y: str, minority: int | str, n_n
     (hash) and u ~ U[0, 1) (hash). Returns (synth_id, base_id, nb_id, u, vec, y)."""
     mino = df.where(F.col(y) == F.lit(minority)).select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("v"))
     nn = knn_topk(mino.select(F.col("id").alias("qid"), F.col("v").alias("vec")),
-                  mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True,
-                  queries_are_refs=True)
+                  mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True)
     ranked = prefix_sum(mino.withColumn("_one", F.lit(1).cast("long")), [], ["id"], ["_one"], prefix="_r",
                         totals_prefix="_n").select("id", "v", F.col("_r_one").alias("brank"), F.col("_n_one").alias("m"))
     return _synthesize(ranked, nn, n_new, k, seed, y, minority)
@@ -233,15 +254,19 @@ def _synthesize(ranked: DataFrame, nn: DataFrame, n_new: int, k: int, seed: int,
     if per_base is None:
         jobs = spark.range(n_new).select(F.col("id").alias("synth_id")).withColumn(
             "brank", F.pmod(hash_int(F.lit(f"{seed}:base:"), F.col("synth_id")), F.lit(m)) + 1)
-        jobs = jobs.join(ranked.select("brank", F.col("id").alias("base_id")), "brank")
+        jobs = jobs.join(checked(ranked.select("brank", F.col("id").alias("base_id")), name="bases"), "brank")
     else:
         jobs = per_base
     nk = nn.groupBy("qid").agg(F.count(F.lit(1)).alias("nk"))
-    jobs = jobs.join(nk.withColumnRenamed("qid", "base_id"), "base_id") \
+    jobs = jobs.join(checked(nk.withColumnRenamed("qid", "base_id"), name="neighbour-counts"), "base_id") \
         .withColumn("nn_rank", F.pmod(hash_int(F.lit(f"{seed}:nb:"), F.col("synth_id")), F.col("nk")) + 1)
-    jobs = jobs.join(nn.select(F.col("qid").alias("base_id"), "nn_rank", F.col("rid").alias("nb_id")), ["base_id", "nn_rank"])
-    vb = ranked.select(F.col("id").alias("base_id"), F.col("v").alias("vb"))
-    vn = ranked.select(F.col("id").alias("nb_id"), F.col("v").alias("vn"))
+    jobs = jobs.join(checked(nn.select(F.col("qid").alias("base_id"), "nn_rank", F.col("rid").alias("nb_id")), name="neighbours"),
+                     ["base_id", "nn_rank"])
+    # few minority rows serve many samples: broadcast while they are small, else many ids spread the join
+    vectors = freeze(ranked.select("id", "v"), "minority")
+    side = (lambda df: F.broadcast(df)) if table_bytes(vectors) <= BROADCAST_BYTES else (lambda df: df)
+    vb = side(vectors.select(F.col("id").alias("base_id"), F.col("v").alias("vb")))
+    vn = side(vectors.select(F.col("id").alias("nb_id"), F.col("v").alias("vn")))
     u = hash_uniform(F.lit(f"{seed}:u:"), F.col("synth_id"))
     out = jobs.join(vb, "base_id").join(vn, "nb_id").withColumn("u", u)
     return out.select("synth_id", "base_id", "nb_id", "u",
@@ -277,11 +302,14 @@ def adasyn(df: DataFrame, id_col: str, vec: str, y: str, minority: int | str, n_
     share = fr.withColumn("cnt", F.col("gi") + (F.col("_r_one") <= rem).cast("long")).where(F.col("cnt") > 0)
     # per-row job ids: running totals give each base row a contiguous synth_id range
     cum = prefix_sum(share.select("qid", "cnt"), [], ["qid"], ["cnt"], prefix="_c_")
-    per_base = cum.select(F.col("qid").alias("base_id"),
-                          F.explode(F.sequence(F.col("_c_cnt") - F.col("cnt"), F.col("_c_cnt") - 1)).alias("synth_id"))
+    # a base row's samples are made in chunks that are spread before they are expanded
+    part = cum.select(F.col("qid").alias("base_id"), (F.col("_c_cnt") - F.col("cnt")).alias("_from"), F.col("_c_cnt").alias("_to"))
+    part = part.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_to") - F.col("_from") - 1) / COPY_CHUNK).cast("long"))))
+    begin = F.col("_from") + F.col("_chunk") * COPY_CHUNK
+    per_base = part.repartition("base_id", "_chunk").select(
+        "base_id", F.explode(F.sequence(begin, F.least(begin + COPY_CHUNK, F.col("_to")) - 1)).alias("synth_id"))
     nn_min = knn_topk(mino.select(F.col("id").alias("qid"), F.col("v").alias("vec")),
-                      mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True,
-                      queries_are_refs=True)
+                      mino.select(F.col("id").alias("rid"), F.col("v").alias("vec")), k, exclude_self=True)
     ranked = prefix_sum(mino.withColumn("_one", F.lit(1).cast("long")), [], ["id"], ["_one"], prefix="_r",
                         totals_prefix="_n").select("id", "v", F.col("_r_one").alias("brank"), F.col("_n_one").alias("m"))
     return _synthesize(ranked, nn_min, n_new, k, seed, y, minority, per_base=per_base)

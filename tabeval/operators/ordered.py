@@ -14,10 +14,9 @@ holds a third of the rows. ``prefix_sum`` instead:
    window over that small table;
 4. adds the offset to a window that is local to each (partition, group) slice.
 
-The offset table is checkpointed and counted; it is broadcast only when its
-row count is under ``BROADCAST_ROW_LIMIT`` and joined by a shuffle-hash join
-otherwise. The large side is never a broadcast candidate (a checkpointed table
-carries weak size estimates, so the planner is not left to guess).
+The offset table is frozen and measured; it is broadcast only when its files
+are under ``BROADCAST_BYTES`` and joined by a shuffle-hash join otherwise. The
+large side is never a broadcast candidate.
 
 Callers pass rows that are unique on (group, order) — e.g. pre-aggregated score
 groups — or add a tiebreak column to ``order``.
@@ -50,19 +49,25 @@ def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
     back = spark.read.schema(positional.schema).parquet(path)  # known schema: no footer inference
     return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
-#: largest small side (rows) joined by broadcast; beyond it a shuffle-hash join
-BROADCAST_ROW_LIMIT = 1_000_000
+#: largest small side joined by broadcast, in bytes of Parquet; beyond it a shuffle-hash join
+BROADCAST_BYTES = 16 << 20
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 limit_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join a small side whose size is data-dependent (per-group summaries,
-    offset tables): it is checkpointed (reliable, small), counted, and
-    broadcast only when the count is under ``limit_rows``; otherwise a
-    shuffle-hash join builds on it. The big side is never broadcast."""
-    small = small.checkpoint(eager=True)  # small: a reliable checkpoint is cheapest
-    n = small.count()
-    side = F.broadcast(small) if n <= limit_rows else small.hint("shuffle_hash")
+def table_bytes(df: DataFrame) -> int:
+    """Size of a frozen table, as its files have it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def checked(small: DataFrame, limit: int | None = None, name: str = "small") -> DataFrame:
+    """A data-dependent small side (per-group summaries, offset tables), frozen and measured: marked for
+    broadcast up to ``limit`` bytes, for a shuffle-hash join beyond it."""
+    small = freeze(small, name)
+    return F.broadcast(small) if table_bytes(small) <= (BROADCAST_BYTES if limit is None else limit) else small.hint("shuffle_hash")
+
+
+def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """Join a small side whose size is data-dependent. The big side is never broadcast."""
+    side = checked(small, limit)
     if isinstance(on, Column):
         return big.join(side, on, how)
     return big.join(side, list(on), how)
@@ -122,9 +127,8 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
     off_cols = [F.coalesce(F.sum(f"_slice_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums]
     if totals_prefix is not None:
         off_cols += [F.sum(f"_slice_{c}").over(whole).alias(f"{totals_prefix}{c}") for c in sums]
-    # at most #partitions + #groups rows: frozen, counted, then broadcast or hash-joined
-    offsets = slices.select(PID, *group, *off_cols).checkpoint(eager=True)  # small table
-    n_off = offsets.count()
+    # at most #partitions + #groups rows: frozen, measured, then broadcast or hash-joined
+    offsets = freeze(slices.select(PID, *group, *off_cols), "offsets")
 
     local = Window.partitionBy(PID, *group).orderBy(*_order_cols(order, descending)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,7 +137,7 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
     keys = [PID, *group]
     renamed = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
                              *[c for c in offsets.columns if c not in keys])
-    side = F.broadcast(renamed) if n_off <= BROADCAST_ROW_LIMIT else renamed.hint("shuffle_hash")
+    side = F.broadcast(renamed) if table_bytes(offsets) <= BROADCAST_BYTES else renamed.hint("shuffle_hash")
     cond = None
     for i, k in enumerate(keys):
         c = F.col(k).eqNullSafe(F.col(f"_o{i}"))
@@ -177,3 +181,49 @@ def hash_rank(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str
     if size_col:
         ranked = ranked.withColumnRenamed("_tot_one", size_col)
     return ranked.drop("_hkey", "_one")
+
+
+#: hash prefixes that the histogram of ``first_by_hash`` counts: 4 hex digits
+PREFIX = 4
+
+
+def first_by_hash(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str, take: DataFrame,
+                  out: str = "_first") -> DataFrame:
+    """Mark the first ``_take`` rows of each group in ``md5(seed:row_id)`` order (ties by row_id) in
+    column ``out``, without moving the rows.
+
+    ``take`` has one row per group: the group columns and ``_take``. A histogram of hash prefixes (at
+    most 65,536 per group) tells in which prefix the cut falls; only that prefix's keys, one in 65,536
+    rows, are ranked to find the exact cut, which is then a filter on the row itself.
+    """
+    group = list(group)
+    key, prefix = hash_key(seed, row_id), F.substring(hash_key(seed, row_id), 1, PREFIX)
+    narrow = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], key.alias("_k"), F.col(row_id).alias("_id"))
+    names = [f"_g{i}" for i in range(len(group))]
+    counts = narrow.groupBy(*names, F.substring("_k", 1, PREFIX).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    goal = take.select(*[F.col(g).alias(n) for g, n in zip(group, names)], "_take")
+    same = _null_safe(names)
+    at = ahead.alias("a").join(F.broadcast(goal).alias("b") if not names else checked(goal).alias("b"), same("a", "b")) \
+        .where("_before < _take and _take <= _before + _n").select(*[F.col(f"a.{n}").alias(n) for n in names], "_p", (F.col("_take") - F.col("_before")).alias("_rest"))
+    at = checked(at, name="cut-prefixes")
+    inside = narrow.withColumn("_p", F.substring("_k", 1, PREFIX)).alias("a").join(
+        at.alias("b"), same("a", "b") & (F.col("a._p") == F.col("b._p"))).select(*[F.col(f"a.{n}").alias(n) for n in names], "_k", "_id", "_rest")
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_k", "_id")))
+    cuts = checked(ranked.where("_r = _rest").select(*names, F.col("_k").alias("_ck"), F.col("_id").alias("_cid")), name="cuts")
+    cond = F.lit(True)
+    for g, n in zip(group, names):
+        cond = cond & F.col(f"d.`{g}`").eqNullSafe(F.col(f"c.{n}"))
+    joined = df.withColumn("_k", key).alias("d").join(cuts.alias("c"), cond, "left")
+    first = (F.col("_k") < F.col("_ck")) | ((F.col("_k") == F.col("_ck")) & (F.col(f"d.`{row_id}`") <= F.col("_cid")))
+    return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], F.coalesce(first, F.lit(False)).alias(out))
+
+
+def _null_safe(names: Sequence[str]):
+    def same(a: str, b: str) -> Column:
+        cond = F.lit(True)
+        for n in names:
+            cond = cond & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}"))
+        return cond
+    return same

@@ -12,23 +12,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.columns import aggregate_rows, inline_rows, named, unpivot
 from .clean import correlation_pairs, is_numeric
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, n_unique) with NULL excluded, for many columns in ONE shuffle:
-    the columns are stacked to (column, numeric value, text value) and made
-    distinct together, instead of one Expand copy of the table per column."""
+    the columns are stacked to (column, value by type family) and made distinct
+    together, instead of one Expand copy of the table per column. Whole numbers
+    stay whole and decimals exact: nothing passes through DOUBLE but doubles."""
     cols = list(cols)
-    parts = []
+    rows = []
     for c in cols:
-        if is_numeric(df, c):
-            parts.append(f"'{c}', CAST(`{c}` AS DOUBLE), CAST(NULL AS STRING)")
-        else:
-            parts.append(f"'{c}', CAST(NULL AS DOUBLE), CAST(`{c}` AS STRING)")
-    long = df.select(F.expr(f"stack({len(cols)}, {', '.join(parts)}) as (column, dv, sv)")) \
-        .where(F.col("dv").isNotNull() | F.col("sv").isNotNull())
+        kind = df.schema[c].dataType
+        family = "lv" if isinstance(kind, T.IntegralType) else "dv" if isinstance(kind, T.FractionalType) \
+            and not isinstance(kind, T.DecimalType) else "sv"
+        rows.append({"column": F.lit(c), **{f: (named(c) if f == family else F.lit(None)).cast(t)
+                                            for f, t in (("lv", "bigint"), ("dv", "double"), ("sv", "string"))}})
+    long = inline_rows(df, rows).where(F.coalesce("lv", "dv").isNotNull() | F.col("sv").isNotNull())
     return long.distinct().groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_unique"))
 
 
@@ -36,51 +39,22 @@ def profile_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: dtype, missing count and %, distinct (NULL excluded), and for
     numeric columns mean / sample std / min / max (NaN ignored).
 
-    The moments are one-pass aggregates (chunks of ``AGG_CHUNK`` expressions
-    for wide tables) whose p-row result is assembled into a table; distinct
-    counts are one stacked distinct."""
-    from .clean import agg_chunked
+    One lazy plan for any width: one-pass moment aggregates and one stacked distinct."""
     cols = list(cols)
-    exprs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        x = F.col(c)
-        num = is_numeric(df, c)
-        miss = x.isNull() | (F.isnan(x) if num else F.lit(False))
-        exprs.append(F.sum(miss.cast("long")).alias(f"m{i}"))
-        if num:
-            v = F.when(~F.isnan(x.cast("double")), x.cast("double"))
-            exprs += [exact_mean(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                      F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    from .clean import AGG_CHUNK
-    if len(exprs) <= AGG_CHUNK:
-        # one lazy plan: the moments aggregate and the stacked distinct run in the same job
-        row = df.agg(*exprs)
-        parts = []
-        for i, c in enumerate(cols):
-            dt = df.schema[c].dataType.simpleString()
-            stats = (f"a{i}, s{i}, lo{i}, hi{i}" if is_numeric(df, c)
-                     else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)")
-            parts.append(f"'{c}', '{dt}', CAST(m{i} AS BIGINT), {stats}")
-        st = row.select("_n", F.expr(f"stack({len(cols)}, {', '.join(parts)}) as "
-                                     "(column, dtype, missing, mean, std, min, max)"))
-        st = st.join(F.broadcast(distinct_counts(df, cols)), "column", "left")
-        return st.select("column", "dtype", "missing", (F.col("missing") / F.col("_n") * 100.0).alias("missing_pct"),
-                         F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "mean", "std", "min", "max")
-    vals = agg_chunked(df, exprs)
-    n = vals["_n"]
-    rows = []
-    for i, c in enumerate(cols):
-        num = is_numeric(df, c)
-        miss = int(vals[f"m{i}"] or 0)
-        stats = [vals[f"a{i}"], vals[f"s{i}"], vals[f"lo{i}"], vals[f"hi{i}"]] if num else [None] * 4
-        rows.append((c, df.schema[c].dataType.simpleString(), miss, (miss / n * 100.0) if n else None,
-                     *[None if v is None else float(v) for v in stats]))
-    st = df.sparkSession.createDataFrame(
-        rows, "column string, dtype string, missing bigint, missing_pct double, mean double, std double, "
-              "min double, max double")
+    none = F.lit(None).cast("double")
+    entries = []
+    for c in cols:
+        x, num = named(c), is_numeric(df, c)
+        missing = x.isNull() | (F.isnan(x) if num else F.lit(False))
+        v = F.when(~F.isnan(x.cast("double")), x.cast("double")) if num else None
+        stats = {"mean": mean_of(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)} if num \
+            else {k: F.max(none) for k in ("mean", "std", "min", "max")}
+        entries.append(({"column": F.lit(c), "dtype": F.lit(df.schema[c].dataType.simpleString())},
+                        {"_n": F.count(F.lit(1)), "missing": F.coalesce(F.sum(missing.cast("long")), F.lit(0).cast("long")), **stats}))
+    st = aggregate_rows(df, entries)
     # both sides hold one row per profiled column
     st = st.join(F.broadcast(distinct_counts(df, cols)), "column", "left")
-    return st.select("column", "dtype", "missing", "missing_pct",
+    return st.select("column", "dtype", "missing", F.try_divide(F.col("missing") * 100.0, F.col("_n")).alias("missing_pct"),
                      F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"), "mean", "std", "min", "max")
 
 
@@ -91,8 +65,7 @@ def experiment_prevalence(df: DataFrame, roles: DataFrame) -> DataFrame:
             if r["column"] in df.columns]
     if not outs:
         return df.sparkSession.createDataFrame([], "experiment string, n_inputs bigint, outcome string, prevalence double")
-    stack = ", ".join(f"'{o}', CAST(`{o}` AS DOUBLE)" for o in outs)
-    long = df.select(F.expr(f"stack({len(outs)}, {stack}) as (outcome, y)")).where(F.col("y").isNotNull())
+    long = unpivot(df, outs, "double", "outcome", "y").where(F.col("y").isNotNull())
     prev = long.groupBy("outcome").agg(
         F.avg((F.col("y") == 1).cast("double")).alias("share"),
         F.max((~F.col("y").isin(0.0, 1.0)).cast("int")).alias("other"))
@@ -107,10 +80,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Full Pearson matrix in long form (a, b, r), pairwise-complete, one aggregate."""
     cols = list(cols)
     pairs = correlation_pairs(df, cols)
-    diag = df.agg(*[F.corr(F.col(c).cast("double"), F.col(c).cast("double")).alias(str(i))
-                    for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', '{c}', `{i}`" for i, c in enumerate(cols))
-    d = diag.select(F.expr(f"stack({len(cols)}, {stack}) as (a, b, r)"))
+    d = aggregate_rows(df, [({"a": F.lit(c), "b": F.lit(c)}, {"r": self_correlation(named(c).cast("double"))}) for c in cols])
     return pairs.select("a", "b", "r").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "r")) \
         .unionByName(d)
 
@@ -118,28 +88,35 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def top_correlated(df: DataFrame, features: Sequence[str], label: str, k: int = 20) -> DataFrame:
     """Features ranked by |corr(feature, label)|, top k (a top-k report)."""
     features = list(features)
-    row = df.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f) for f in features])
-    stack = ", ".join(f"'{f}', `{f}`" for f in features)
-    long = row.select(F.expr(f"stack({len(features)}, {stack}) as (feature, r)"))
+    y = named(label).cast("double")
+    long = aggregate_rows(df, [({"feature": F.lit(f)}, {"r": correlation(named(f).cast("double"), y)}) for f in features])
     return long.orderBy(F.abs("r").desc_nulls_last(), "feature").limit(k) \
         .select("feature", "r", F.abs("r").alias("abs_r"))
 
 
-def exact_mean(v):
-    """Mean as an exact decimal sum over the count: independent of summation
-    order (so of partitioning), then one double division. +-inf values make the
-    mean +-inf (NULL when both signs occur), as in pandas."""
+def correlation(x, y):
+    """Pearson correlation over the rows where neither side is NULL or NaN."""
+    both = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    return F.corr(F.when(both, x), F.when(both, y))
+
+
+def self_correlation(x):
+    """1, or NULL for a column that doesn't vary."""
+    return correlation(x, x)
+
+
+def mean_of(v):
+    """Mean of doubles; +-inf values make it +-inf (NULL when both signs occur), as in pandas."""
     pinf = F.max((v == float("inf")).cast("int"))
     ninf = F.max((v == float("-inf")).cast("int"))
-    finite = F.when(~v.isin(float("inf"), float("-inf")), v)
-    m = F.try_divide(F.sum(finite.cast("decimal(38,12)")).cast("double"), F.count(v).cast("double"))
+    m = F.avg(F.when(~v.isin(float("inf"), float("-inf")), v))
     return F.when((pinf == 1) & (ninf == 1), F.lit(None).cast("double")) \
         .when(pinf == 1, F.lit(float("inf"))).when(ninf == 1, F.lit(float("-inf"))).otherwise(m)
 
 
 def finite_mean(c: str):
     """Mean over finite values only; NULL when none remain."""
-    x = F.col(c).cast("double")
+    x = named(c).cast("double")
     return F.avg(F.when(~F.isnan(x) & ~x.isin(float("inf"), float("-inf")), x))
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import unpivot
 from . import evaluate as ev
 from . import rates as rt
 
-#: reference result-table columns, test side then train side
+#: fixed values: the column names of the result table, test side then train side
 TEST_COLS = ["AUROC Score", "AUROC CI Lower", "AUROC CI Upper", "Accuracy", "Precision", "Recall", "F1 Score",
              "TPR", "TNR", "FPR", "FNR", "PPV", "NPV", "TP", "FP", "TN", "FN", "Cutoff value", "P", "N"]
 TRAIN_COLS = ["AUROC Score (Train)", "AUROC CI Lower (Train)", "AUROC CI Upper (Train)", "P (Train)", "N (Train)",
@@ -20,8 +21,8 @@ TRAIN_COLS = ["AUROC Score (Train)", "AUROC CI Lower (Train)", "AUROC CI Upper (
 KEY_COLS = ["Outcome", "Algorithm"]
 
 
-def metric_record(res: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Map an ``evaluate`` record to the reference's result-table names."""
+def metric_record(res: DataFrame, group: Sequence[str], index: str = "youden") -> DataFrame:
+    """Map an ``evaluate`` record to the result table's names; ``index`` is the cutoff it was made with."""
     n = (F.col("P") + F.col("N")).cast("double")
     return res.select(
         *group,
@@ -31,16 +32,16 @@ def metric_record(res: DataFrame, group: Sequence[str]) -> DataFrame:
         F.col("precision").alias("Precision"), F.col("recall").alias("Recall"), F.col("f1_score").alias("F1 Score"),
         F.col("tpr").alias("TPR"), F.col("tnr").alias("TNR"), F.col("fpr").alias("FPR"), F.col("fnr").alias("FNR"),
         F.col("ppv").alias("PPV"), F.col("npv").alias("NPV"), "TP", "FP", "TN", "FN",
-        F.col("cutoff_youden").alias("Cutoff value"), "P", "N")
+        F.col(f"cutoff_{index}").alias("Cutoff value"), "P", "N")
 
 
 def results_table(preds: DataFrame, outcome: str = "outcome", algorithm: str = "algorithm", split: str = "split",
-                  y: str = "y", score: str = "score") -> DataFrame:
-    """One row per (outcome, algorithm): test metrics, train AUROC/CI/counts and
-    ``Train vs. Test AUROC change%``; train and test evaluated in one job."""
+                  y: str = "y", score: str = "score", index: str = "youden") -> DataFrame:
+    """One row per (outcome, algorithm): test metrics at the cutoff of ``index``, train AUROC/CI/counts
+    and ``Train vs. Test AUROC change%``; train and test evaluated in one job."""
     g = [outcome, algorithm, split]
     # one row per (outcome, algorithm, split): computed once, read by both sides
-    rec = metric_record(ev.evaluate(preds, g, y, score), g).checkpoint(eager=True)
+    rec = metric_record(ev.evaluate(preds, g, y, score, index=index), g, index).checkpoint(eager=True)
     test = rec.where(F.col(split) == "test").drop(split) \
         .withColumnRenamed(outcome, "Outcome").withColumnRenamed(algorithm, "Algorithm")
     tr = rec.where(F.col(split) == "train").select(
@@ -94,9 +95,7 @@ def filter_results(total: DataFrame, algorithms: Sequence[str] | None = None, ou
     if outcomes:
         df = df.where(F.col("Outcome").isin(*outcomes))
     mets = list(metrics) if metrics else [c for c in df.columns if c not in NON_METRIC]
-    stack = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in mets)
-    return df.select("Exp_Name", "Test Set", "Outcome", "Algorithm",
-                     F.expr(f"stack({len(mets)}, {stack}) as (metric, value)"))
+    return unpivot(df, mets, "double", "metric", "value", ["Exp_Name", "Test Set", "Outcome", "Algorithm"])
 
 
 def fold_split_metrics(preds: DataFrame, fold: str, k: int, cutoff: float, y: str = "y",

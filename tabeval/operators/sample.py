@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import hash_rank, prefix_sum
+from .ordered import first_by_hash, hash_rank, prefix_sum
 
 #: rows generated per chunk when materialising oversampling copies
 COPY_CHUNK = 1 << 16
@@ -37,33 +37,49 @@ def split_stratified(df: DataFrame, y: str = "y", row_id: str = "row_id", test_s
     """Per-class test share: the first round(n_c * test_size) rows of each class
     in hash order are 'test', the rest 'train' (``within``: split each of these
     groups separately, e.g. one split per outcome)."""
-    r = hash_rank(df, [*within, y], row_id, seed, rank_col="_rank", size_col="_size")
-    is_test = F.col("_rank") <= F.round(F.col("_size") * F.lit(float(test_size)))
-    return r.withColumn(out, F.when(is_test, F.lit("test")).otherwise(F.lit("train"))).drop("_rank", "_size")
+    keys = [*within, y]
+    take = df.groupBy(*keys).agg(F.round(F.count(F.lit(1)) * F.lit(float(test_size))).cast("long").alias("_take"))
+    r = first_by_hash(df, keys, row_id, seed, take)
+    return r.withColumn(out, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train"))).drop("_first")
+
+
+def _folds(df: DataFrame, group: Sequence[str], row_id: str, k: int, seed: int, out: str) -> DataFrame:
+    """Fold = (hash rank in the group - 1) mod k. Only (group, row_id) is ranked; the rows meet their
+    fold in one join. Null groups are a group of their own."""
+    narrow = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(row_id).alias("_rid"))
+    names = [f"_g{i}" for i in range(len(group))]
+    r = hash_rank(narrow, names, "_rid", seed, rank_col="_rank", size_col=None)
+    ranks = r.select(*names, "_rid", ((F.col("_rank") - 1) % k).cast("int").alias(out))
+    cond = F.col(row_id).eqNullSafe(F.col("_rid"))
+    for g, n in zip(group, names):
+        cond = cond & F.col(g).eqNullSafe(F.col(n))
+    return df.drop(out).join(ranks, cond).select(*[c for c in df.columns if c != out], out)
 
 
 def kfold(df: DataFrame, row_id: str = "row_id", k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """k folds by global hash rank: fold = (rank - 1) mod k."""
-    r = hash_rank(df, [], row_id, seed, rank_col="_rank", size_col=None)
-    return r.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    return _folds(df, [], row_id, k, seed, out)
 
 
 def kfold_stratified(df: DataFrame, y: str = "y", row_id: str = "row_id", k: int = 5, seed: int = 42,
                      out: str = "fold") -> DataFrame:
     """k folds per class: fold sizes differ by at most one inside every class."""
-    r = hash_rank(df, [y], row_id, seed, rank_col="_rank", size_col=None)
-    return r.withColumn(out, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    return _folds(df, [y], row_id, k, seed, out)
 
 
 def kfold_repeated(df: DataFrame, y: str = "y", row_id: str = "row_id", k: int = 5, n_repeats: int = 2,
                    seed: int = 42, out: str = "fold", repeat_col: str = "repeat") -> DataFrame:
     """n_repeats x stratified k-fold; repeat r uses seed + r."""
-    rep = df.withColumn(repeat_col, F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
+    # only (repeat, class, row_id) is copied per repeat and ranked
+    narrow = df.select(F.col(y).alias("_y"), F.col(row_id).alias("_rid"))
+    rep = narrow.withColumn(repeat_col, F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
     keyed = rep.withColumn("_hkey", F.md5(F.concat((F.lit(seed) + F.col(repeat_col)).cast("string"), F.lit(":"),
-                                                    F.col(row_id).cast("string")))) \
+                                                    F.col("_rid").cast("string")))) \
         .withColumn("_one", F.lit(1).cast("long"))
-    r = prefix_sum(keyed, [repeat_col, y], ["_hkey", row_id], ["_one"], prefix="_cum")
-    return r.withColumn(out, ((F.col("_cum_one") - 1) % k).cast("int")).drop("_hkey", "_one", "_cum_one")
+    r = prefix_sum(keyed, [repeat_col, "_y"], ["_hkey", "_rid"], ["_one"], prefix="_cum")
+    ranks = r.select("_y", "_rid", repeat_col, ((F.col("_cum_one") - 1) % k).cast("int").alias(out))
+    cond = F.col(row_id).eqNullSafe(F.col("_rid")) & F.col(y).eqNullSafe(F.col("_y"))
+    return df.join(ranks, cond).select(*df.columns, repeat_col, out)
 
 
 # --------------------------------------------------------------------- targets
@@ -117,10 +133,8 @@ def sampling_targets(df: DataFrame, y: str = "y", kind: str = "under", strategy:
 def undersample(df: DataFrame, y: str = "y", row_id: str = "row_id", strategy: str = "auto",
                 ratio: float | None = None, seed: int = 42) -> DataFrame:
     """Keep the first ``target`` rows of each class in hash order."""
-    tg = sampling_targets(df, y, "under", strategy, ratio).select(y, "target")
-    r = hash_rank(df, [y], row_id, seed, rank_col="_rank", size_col=None)
-    # the class table has one row per label value: broadcasting it is bounded
-    return r.join(F.broadcast(tg), y).where(F.col("_rank") <= F.col("target")).drop("_rank", "target")
+    tg = sampling_targets(df, y, "under", strategy, ratio).select(y, F.col("target").alias("_take"))
+    return first_by_hash(df, [y], row_id, seed, tg).where("_first").drop("_first")
 
 
 def oversample(df: DataFrame, y: str = "y", row_id: str = "row_id", strategy: str = "auto",
@@ -150,16 +164,21 @@ def oversample(df: DataFrame, y: str = "y", row_id: str = "row_id", strategy: st
 
 
 # ------------------------------------------------------------------ bootstrap
-def poisson1(u: Column, kmax: int = 12) -> Column:
-    """Poisson(1) draw by inverting its CDF at uniform ``u`` (CDF built from e^-1/k!)."""
-    cdf, acc = [], 0.0
-    for k in range(kmax):
-        acc += math.exp(-1.0) / math.factorial(k)
-        cdf.append(acc)
-    expr = F.when(u < cdf[0], F.lit(0))
-    for k in range(1, kmax):
-        expr = expr.when(u < cdf[k], F.lit(k))
-    return expr.otherwise(F.lit(kmax))
+def poisson_cdf(mean: float) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... until nothing is left that a 60-bit uniform could tell from 1."""
+    out, acc, k = [], 0.0, 0
+    while not out or (1.0 - acc) > 2.0 ** -60:
+        acc = min(1.0, acc + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)))
+        if out and acc == out[-1] and k > mean:
+            break
+        out.append(acc)
+        k += 1
+    return out
+
+
+def poisson(u: Column, mean: float = 1.0) -> Column:
+    """Poisson draw by inverting its CDF at uniform ``u``: how many CDF values lie at or below it."""
+    return F.size(F.filter(F.array(*[F.lit(c) for c in poisson_cdf(mean)]), lambda c: c <= u))
 
 
 def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int = 1000, seed: int = 42,
@@ -167,5 +186,5 @@ def bootstrap_weights(df: DataFrame, row_id: str, n_boot: int = 1000, seed: int
     """Poisson bootstrap: each row appears in replicate b with weight ~ Poisson(1)
     (hash-seeded, so reproducible). Rows with weight 0 are dropped."""
     rep = df.withColumn(rep_col, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    w = poisson1(hash_uniform(F.lit(str(seed)), F.lit(":"), F.col(rep_col), F.lit(":"), F.col(row_id)))
+    w = poisson(hash_uniform(F.lit(str(seed)), F.lit(":"), F.col(rep_col), F.lit(":"), F.col(row_id)))
     return rep.withColumn("weight", w.cast("long")).where(F.col("weight") > 0)

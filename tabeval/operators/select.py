@@ -21,60 +21,51 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .clean import correlation_pairs
+from ..functions.columns import aggregate_rows, named
+from .clean import correlation_pairs, stacked_aggregate
 from .ordered import attach
 
 
-#: features per grouped aggregate (two sums each) for wide tables
-FEATURE_CHUNK = 100
-
-
 def _class_moments(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
-    """Long table (class, n, feature, s, ss): per class count, sum and sum of
-    squares of every feature; one grouped aggregate per FEATURE_CHUNK features
-    (map-side partial aggregation, a classes x features result)."""
-    features = list(features)
-    out = None
-    for start in range(0, len(features), FEATURE_CHUNK):
-        chunk = features[start:start + FEATURE_CHUNK]
-        aggs = [F.count(F.lit(1)).alias("_n")]
-        for i, f in enumerate(chunk):
-            x = F.col(f).cast("double")
-            aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}")]
-        per = df.groupBy(F.col(y).alias("class")).agg(*aggs)
-        stack = ", ".join(f"'{f}', s{i}, q{i}" for i, f in enumerate(chunk))
-        part = per.select("class", F.col("_n").cast("double").alias("n"),
-                          F.expr(f"stack({len(chunk)}, {stack}) as (feature, s, ss)"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Long table (class, feature, rows, n, mean, var, s): per class the rows and, of each
+    feature, the non-missing values' count, mean, population variance and sum (NULL and NaN
+    are missing): grouped aggregates with map-side partial aggregation."""
+    entries = []
+    for f in features:
+        x = named(f).cast("double")
+        x = F.when(~F.isnan(x), x)
+        entries.append(({"feature": F.lit(f)}, {"rows": F.count(F.lit(1)).cast("double"), "n": F.count(x).cast("double"),
+                                                "mean": F.avg(x), "var": F.var_pop(x), "s": F.sum(x)}))
+    return aggregate_rows(df, entries, [named(y).alias("class")])
 
 
 def f_scores(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
-    """(feature, score) with the ANOVA F statistic."""
-    m = _class_moments(df, features, y)
-    t = m.groupBy("feature").agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("C"), F.sum("s").alias("S"), F.sum("ss").alias("SS"),
-        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("SB"))
-    sstot = F.col("SS") - F.col("S") * F.col("S") / F.col("N")
-    ssbn = F.col("SB") - F.col("S") * F.col("S") / F.col("N")
-    sswn = sstot - ssbn
-    msb = ssbn / (F.col("C") - 1)
-    msw = sswn / (F.col("N") - F.col("C"))
-    return t.select("feature", F.try_divide(msb, msw).alias("score"))
+    """(feature, score) with the ANOVA F statistic over each feature's non-missing values, from class
+    means and variances (nothing cancels where values lie far from zero). NULL for fewer than two
+    classes; a feature constant within every class but not between them gives NULL as well."""
+    m = _class_moments(df, features, y).where("n > 0")
+    grand = m.groupBy("feature").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    t = m.join(F.broadcast(grand), "feature").groupBy("feature").agg(  # one row per feature
+        F.sum("n").alias("N"), F.count(F.lit(1)).alias("C"), F.sum(F.col("n") * F.col("var")).alias("within"),
+        F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("between"))
+    msb = F.try_divide(F.col("between"), F.col("C") - 1)
+    msw = F.try_divide(F.col("within"), F.col("N") - F.col("C"))
+    names = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(t, "feature", "left").select("feature", F.try_divide(msb, msw).alias("score"))
 
 
 def chi2_scores(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     """(feature, score): sum over classes of (observed - expected)^2 / expected,
     observed = feature mass in the class, expected = class share x total mass."""
-    neg = df.agg(*[F.min(F.col(f)).alias(f) for f in features]).first()
-    bad = [f for f in features if neg[f] is not None and neg[f] < 0]
+    low = stacked_aggregate(df, [(f, F.min(named(f)).cast("double")) for f in features], "low")
+    bad = [r["column"] for r in low.where("low < 0").collect()]  # names of features
     if bad:
         raise ValueError(f"chi2 needs non-negative features; negative values in {bad}")
     m = _class_moments(df, features, y)
     w = Window.partitionBy("feature")
-    tot_n = F.sum("n").over(w)
+    tot_n = F.sum("rows").over(w)
     tot_s = F.sum("s").over(w)
-    e = m.select("feature", "s", (F.col("n") / tot_n * tot_s).alias("e"))
+    e = m.select("feature", "s", (F.col("rows") / tot_n * tot_s).alias("e"))
     return e.groupBy("feature").agg(F.sum(F.try_divide((F.col("s") - F.col("e")) ** 2, F.col("e"))).alias("score"))
 
 
@@ -118,9 +109,7 @@ def select_percentile(scores: DataFrame, features: Sequence[str], percentile: fl
 def select_variance(df: DataFrame, features: Sequence[str], threshold: float = 0.0) -> DataFrame:
     """(feature, variance, selected): population variance above the threshold."""
     features = list(features)
-    row = df.agg(*[F.var_pop(F.col(f).cast("double")).alias(f) for f in features])
-    stack = ", ".join(f"'{f}', `{f}`" for f in features)
-    v = row.select(F.expr(f"stack({len(features)}, {stack}) as (feature, variance)"))
+    v = aggregate_rows(df, [({"feature": F.lit(f)}, {"variance": F.var_pop(named(f).cast("double"))}) for f in features])
     return v.withColumn("selected", F.col("variance") > threshold)
 
 

@@ -1,30 +1,32 @@
-"""The training / testing flow of the reference, as Spark jobs.
+"""The training / testing flow as Spark jobs.
 
 Table level (fit on the training table, reused on any test table):
     one-hot -> drop sparse rows -> +-inf -> outliers -> quantile transform
-Per training part (a split or a fold; fit on that part only, Q5):
-    impute -> scale -> normalise rows -> rebalance -> select features -> fit
-Score path for new data: the same fitted stages, then the model.
-
-Every fitted stage is a small parameter set (category lists, means, quantile
-arrays, selected names) and every apply is a column expression; rebalancing and
-selection are the distributed operators of this package; the learner is MLlib.
+Per training part (a split or a fold; fit on that part only, Q5), shared by all learners:
+    impute -> scale -> normalise rows -> rebalance -> select features
+Per learner: (RFECV with that learner) -> search -> fit. Score path for new data: the same fitted
+stages, then the model.
+
+Every fitted stage is a small parameter set (category lists, means, quantile arrays, selected names)
+and every apply is a column expression; rebalancing and selection are the distributed operators of
+this package. This is the only flow: single fits, splits, cross-validation, holdout selection and
+stacking all go through ``FoldModel``.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import named
 from ..functions.scalar import coerce_numeric, log_large_values, replace_inf
 from . import clean as cl
 from . import encode as en
+from . import evaluate as ev
 from . import models as md
 from . import neighbors as nb
 from . import sample as sp
@@ -35,7 +37,7 @@ from .ordered import freeze
 
 @dataclass
 class Options:
-    """Typed form of the reference's options (booleans are real booleans)."""
+    """Typed form of the flow's options (booleans are real booleans); unknown choices raise."""
     one_hot: bool = True
     cut_missing_rows: bool = True
     missing_threshold: float = 0.75
@@ -50,13 +52,33 @@ class Options:
     sampling_strategy: str = "auto"
     sampling_ratio: float | None = None
     k_neighbors: int = 5
-    feature_selection: str | None = None           # SelectKBest-f_classif / SelectKBest-chi2 /
-    n_features: int = 20                           # SelectPercentile-f_classif / VarianceThreshold / MRMR
+    feature_selection: str | None = None           # see SELECTIONS
+    n_features: int = 20
     percentile: float = 10.0
+    selection_folds: int = 5                       # of RFECV
+    search: str | None = None                      # None / "grid" / "random"
+    grids: dict | None = None                      # algorithm -> grid; None: the family's search space
+    n_iter: int = 50
+    search_folds: int = 10
+    search_repeats: int = 1
+    scoring: str = "roc_auc"                       # or "accuracy"
     min_positives: int = 10
     test_size: float = 0.2
     seed: int = 42
 
+    def __post_init__(self):
+        for name, allowed in (("inf", (None, "replace with null", "replace with zero")), ("outliers", (None, "remove rows", "log")),
+                              ("impute", (None, "mean", "median", "most_frequent", "constant")), ("scaling", (None, *en.SCALERS)),
+                              ("rebalance", (None, "RandomUnderSampler", "RandomOverSampler", "SMOTE", "ADASYN")),
+                              ("feature_selection", (None, *SELECTIONS)), ("search", (None, "grid", "random")),
+                              ("scoring", ("roc_auc", "accuracy"))):
+            if getattr(self, name) not in allowed:
+                raise ValueError(f"{name} must be one of {allowed}, not {getattr(self, name)!r}")
+
+
+SELECTIONS = ("SelectKBest-f_classif", "SelectKBest-chi2", "SelectPercentile-f_classif", "SelectPercentile-chi2", "VarianceThreshold",
+              "MRMR", "RFECV")
+
 
 # ------------------------------------------------------------- table level
 @dataclass
@@ -88,7 +110,7 @@ class TablePrep:
         df = cl.clean_categoricals(df, self.categorical)
         if self.encoder is not None:
             df = self.encoder.transform(df)
-        df = df.select(*[coerce_numeric(F.col(c).cast("string")).alias(c) if c in self.numeric else F.col(c)
+        df = df.select(*[coerce_numeric(named(c).cast("string")).alias(c) if c in self.numeric else named(c)
                          for c in df.columns])
         df = self._rows(df)
         if self.quantiles is not None:
@@ -96,7 +118,7 @@ class TablePrep:
         return df
 
     def to_dict(self) -> dict:
-        return {"numeric": self.numeric, "categorical": self.categorical, "options": self.options.__dict__,
+        return {"numeric": self.numeric, "categorical": self.categorical, "options": asdict(self.options),
                 "inputs": self.inputs,
                 "categories": None if self.encoder is None else self.encoder.categories,
                 "quantiles": None if self.quantiles is None else {"references": self.quantiles.references,
@@ -119,32 +141,30 @@ class TablePrep:
             df = cl.drop_sparse_rows(df, self.inputs, o.missing_threshold)
         if o.inf:
             mode = "zero" if o.inf == "replace with zero" else "null"
-            df = df.select(*[replace_inf(c, mode).alias(c) if c in self.numeric else F.col(c) for c in df.columns])
+            df = df.select(*[replace_inf(c, mode).alias(c) if c in self.numeric else named(c) for c in df.columns])
         if o.outliers == "remove rows":
             df = cl.filter_outlier_rows(df, self.numeric, o.outliers_n)
         elif o.outliers == "log":
-            df = df.select(*[log_large_values(c, o.outliers_n).alias(c) if c in self.numeric else F.col(c)
+            df = df.select(*[log_large_values(c, o.outliers_n).alias(c) if c in self.numeric else named(c)
                              for c in df.columns])
         return df
 
 
 # ---------------------------------------------------------- training part
 @dataclass
-class FoldModel:
+class Preparation:
+    """Impute, scale, normalise, rebalance and select, fitted on one training part."""
     features: list[str]
     y: str
-    alg: str
-    params: dict
     options: Options
     imputer: en.Imputer | None = None
     scaler: en.Scaler | None = None
     selected: list[str] = field(default_factory=list)
-    model: PipelineModel | None = None
 
-    def fit(self, train: DataFrame, row_id: str) -> "FoldModel":
-        o = self.options
-        feats = list(self.features)
-        df = train.where(F.col(self.y).isNotNull())
+    def fit(self, train: DataFrame, row_id: str) -> DataFrame:
+        """The prepared training rows, frozen: the features, the label and a unique integer ``_id``."""
+        o, feats = self.options, list(self.features)
+        df = train.where(named(self.y).isNotNull())
         if o.impute:
             self.imputer = en.Imputer(o.impute).fit(df, feats)
             df = self.imputer.transform(df)
@@ -153,17 +173,12 @@ class FoldModel:
             df = self.scaler.transform(df)
         if o.normalize:
             df = en.normalize_rows(df, feats)
-        if o.rebalance:
-            # the rebalanced part is read by selection and by every learner pass:
-            # written once instead of re-running the sampling (and kNN) each time
-            df = freeze(self._rebalance(df, feats, row_id), "train-part")
-        self.selected = self._select(df, feats)
-        self.model = Pipeline(stages=[
-            VectorAssembler(inputCols=self.selected, outputCol=md.FEATURES, handleInvalid="keep"),
-            md.build_classifier(self.alg, self.params, len(self.selected))]).fit(md.with_label(df, self.y))
-        return self
+        df = rebalance(df, feats, self.y, row_id, o)
+        df = freeze(df.select(*map(named, feats), named(self.y), F.monotonically_increasing_id().alias(md.ID)), "train-part")
+        self.selected = select(df, feats, self.y, o)
+        return df
 
-    def _apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame) -> DataFrame:
         if self.imputer is not None:
             df = self.imputer.transform(df)
         if self.scaler is not None:
@@ -172,77 +187,219 @@ class FoldModel:
             df = en.normalize_rows(df, self.features)
         return df
 
-    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
-        return md.score(self.model, self._apply(df), keep)
 
-    def _rebalance(self, df: DataFrame, feats: list[str], row_id: str) -> DataFrame:
-        o = self.options
-        if not o.rebalance:
-            return df
-        ratio = o.sampling_ratio if o.sampling_strategy == "ratio" else None
-        if o.rebalance == "RandomUnderSampler":
-            return sp.undersample(df, self.y, row_id, o.sampling_strategy, ratio, o.seed)
-        if o.rebalance == "RandomOverSampler":
-            return sp.oversample(df, self.y, row_id, o.sampling_strategy, ratio, o.seed).drop("copy")
-        if o.rebalance in ("SMOTE", "ADASYN"):
-            tg = sp.sampling_targets(df, self.y, "over", o.sampling_strategy, ratio)
-            need = [(r[self.y], int(r["target"] - r["count"])) for r in tg.collect() if r["target"] > r["count"]]
-            vec = df.select(F.col(row_id).cast("long").alias("_id"), F.array(*[F.col(f).cast("double") for f in feats])
-                            .alias("_vec"), F.col(self.y).alias("_y"))
-            out = df.select(*feats, self.y)
-            for label, n_new in need:  # one synthesis job per minority class (binary: one)
-                gen = nb.smote if o.rebalance == "SMOTE" else nb.adasyn
-                synth = gen(vec, "_id", "_vec", "_y", label, n_new, o.k_neighbors, o.seed)
-                out = out.unionByName(synth.select(*[F.col("vec")[i].alias(f) for i, f in enumerate(feats)],
-                                                   F.lit(label).cast(df.schema[self.y].dataType).alias(self.y)))
-            return out
-        raise ValueError(f"unknown rebalance {o.rebalance}")
-
-    def _select(self, df: DataFrame, feats: list[str]) -> list[str]:
+def rebalance(df: DataFrame, feats: list[str], y: str, row_id: str, o: Options) -> DataFrame:
+    if not o.rebalance:
+        return df
+    ratio = o.sampling_ratio if o.sampling_strategy == "ratio" else None
+    if o.rebalance == "RandomUnderSampler":
+        return sp.undersample(df, y, row_id, o.sampling_strategy, ratio, o.seed)
+    if o.rebalance == "RandomOverSampler":
+        return sp.oversample(df, y, row_id, o.sampling_strategy, ratio, o.seed).drop("copy")
+    tg = sp.sampling_targets(df, y, "over", o.sampling_strategy, ratio)
+    need = [(r[y], int(r["target"] - r["count"])) for r in tg.where("target > count").limit(3).collect()]
+    if len(need) > 2:
+        raise ValueError(f"{y} must have two values")
+    vec = df.select(named(row_id).cast("long").alias("_id"), F.array(*[named(f).cast("double") for f in feats]).alias("_vec"),
+                    named(y).alias("_y"))
+    out = df.select(*map(named, feats), named(y))
+    for label, n_new in need:  # one synthesis job per minority class (binary: one)
+        gen = nb.smote if o.rebalance == "SMOTE" else nb.adasyn
+        synth = gen(vec, "_id", "_vec", "_y", label, n_new, o.k_neighbors, o.seed)
+        out = out.union(synth.select(*[F.col("vec")[i].alias(f) for i, f in enumerate(feats)],
+                                     F.lit(label).cast(df.schema[y].dataType).alias(y)))
+    return out
+
+
+def select(df: DataFrame, feats: list[str], y: str, o: Options) -> list[str]:
+    """Selected features, in their order (MRMR: in the order chosen). RFECV needs a learner and comes later."""
+    m = o.feature_selection
+    if not m or m == "RFECV":
+        return feats
+    if m == "MRMR":
+        rows = sl.select_mrmr(df, feats, y, o.n_features).collect()  # names of features
+        return [r["feature"] for r in sorted(rows, key=lambda r: r["rank"])]
+    if m == "VarianceThreshold":
+        rep = sl.select_variance(df, feats, 0.0)
+    else:
+        method, _, kind = m.partition("-")
+        scores = sl.chi2_scores(df, feats, y) if kind == "chi2" else sl.f_scores(df, feats, y)
+        rep = sl.select_k_best(scores, feats, o.n_features) if method == "SelectKBest" else sl.select_percentile(scores, feats, o.percentile)
+    keep = {r["feature"] for r in rep.where("selected").collect()}  # names of features
+    return [f for f in feats if f in keep]
+
+
+def frame_of(df: DataFrame, selected: Sequence[str], y: str | None = None, keep: Sequence = ()) -> DataFrame:
+    """What a learner sees: features by position, ``keep`` beside them, the label if given."""
+    label = [named(y).cast("double").alias(md.LABEL)] if y else []
+    return df.select(*[(named(k) if isinstance(k, str) else k) for k in keep], *[named(f).cast("double").alias(x)
+                                                                             for f, x in zip(selected, md.inputs(len(selected)))], *label)
+
+
+@dataclass
+class FoldModel:
+    features: list[str]
+    y: str
+    alg: str
+    params: dict
+    options: Options
+    preparation: Preparation | None = None
+    selected: list[str] = field(default_factory=list)
+    learner: object | None = None
+    cv_results: DataFrame | None = None
+
+    def fit(self, train: DataFrame, row_id: str) -> "FoldModel":
+        prep = Preparation(list(self.features), self.y, self.options)
+        return self.fit_prepared(prep, prep.fit(train, row_id))
+
+    def fit_prepared(self, prep: Preparation, frame: DataFrame) -> "FoldModel":
+        """Fit on a prepared training part, which other learners may share."""
         o = self.options
-        m = o.feature_selection
-        if not m:
-            return feats
-        if m == "MRMR":
-            return [r["feature"] for r in sl.select_mrmr(df, feats, self.y, o.n_features).collect()]
-        if m == "VarianceThreshold":
-            rep = sl.select_variance(df, feats, 0.0)
-        else:
-            method, _, kind = m.partition("-")
-            scores = sl.chi2_scores(df, feats, self.y) if kind == "chi2" else sl.f_scores(df, feats, self.y)
-            rep = sl.select_k_best(scores, feats, o.n_features) if method == "SelectKBest" \
-                else sl.select_percentile(scores, feats, o.percentile)
-        keep = {r["feature"] for r in rep.where("selected").collect()}  # p names
-        return [f for f in feats if f in keep]
+        md.check_parameters(self.alg, self.params)
+        self.preparation, self.selected = prep, list(prep.selected)
+        if o.feature_selection == "RFECV":
+            steps = eliminate(frame, self.selected, self.y, self.alg, self.params, min(o.n_features, len(self.selected)), o.selection_folds, o.seed)
+            self.selected = max(steps, key=lambda r: (r[2], -r[0]))[1]
+        if o.search:
+            grid = (o.grids or {}).get(self.alg)
+            best, self.cv_results = tune(frame, self.selected, self.y, self.alg, grid, o.search, o.n_iter, o.search_folds, o.search_repeats,
+                                         o.scoring, self.params)
+            self.params = best
+        self.learner = md.learner_class(self.alg).fit(frame_of(frame, self.selected, self.y, [md.ID]), len(self.selected), self.alg, self.params)
+        return self
+
+    def _rebalance(self, df: DataFrame, feats: list[str], row_id: str) -> DataFrame:
+        return rebalance(df, feats, self.y, row_id, self.options)
+
+    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
+        """``keep`` columns (names or Columns of ``df``) with score = P(class 1) and pred."""
+        kept = [(named(k).alias(k) if isinstance(k, str) else k) for k in keep]
+        names = df.select(*kept).columns
+        carried = df.select(*map(named, df.columns), *[c.alias(f"_keep{i}") for i, c in enumerate(kept)])
+        frame = frame_of(self.preparation.apply(carried), self.selected, None, [f"_keep{i}" for i in range(len(names))])
+        out = self.learner.score(frame, [f"_keep{i}" for i in range(len(names))])
+        return out.select(*[F.col(f"_keep{i}").alias(n) for i, n in enumerate(names)], "score", "pred")
 
     def save(self, path: str) -> None:
-        """Classifier as an MLlib pipeline, the fitted parameters as JSON beside it."""
-        self.model.write().overwrite().save(f"{path}/model")
-        meta = {"features": self.features, "y": self.y, "alg": self.alg, "params": self.params,
-                "options": self.options.__dict__, "selected": self.selected,
-                "imputer": None if self.imputer is None else {"strategy": self.imputer.strategy,
-                                                              "values": self.imputer.values},
-                "scaler": None if self.scaler is None else {"method": self.scaler.method,
-                                                            "params": self.scaler.params}}
-        from pyspark.sql import SparkSession
+        """The learner's files, the fitted parameters as JSON beside them."""
+        p = self.preparation
+        meta = {"features": self.features, "y": self.y, "alg": self.alg, "params": self.params, "options": asdict(self.options),
+                "selected": self.selected, "learner": self.learner.save(path),
+                "imputer": None if p.imputer is None else {"strategy": p.imputer.strategy, "values": p.imputer.values},
+                "scaler": None if p.scaler is None else {"method": p.scaler.method, "params": p.scaler.params}}
         SparkSession.getActiveSession().createDataFrame([(json.dumps(meta, default=str),)], "meta string") \
             .coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     @staticmethod
     def load(path: str) -> "FoldModel":
-        from pyspark.sql import SparkSession
         meta = json.loads(SparkSession.getActiveSession().read.json(f"{path}/meta").first()["meta"])
-        fm = FoldModel(meta["features"], meta["y"], meta["alg"], meta["params"], Options(**meta["options"]))
-        fm.selected = meta["selected"]
+        options = Options(**meta["options"])
+        prep = Preparation(meta["features"], meta["y"], options, selected=meta["selected"])
         if meta["imputer"]:
-            fm.imputer = en.Imputer(meta["imputer"]["strategy"], values=meta["imputer"]["values"])
+            prep.imputer = en.Imputer(meta["imputer"]["strategy"], values=meta["imputer"]["values"])
         if meta["scaler"]:
-            fm.scaler = en.Scaler(meta["scaler"]["method"], params={k: tuple(v) for k, v in meta["scaler"]["params"].items()})
-        fm.model = PipelineModel.load(f"{path}/model")
-        return fm
+            prep.scaler = en.Scaler(meta["scaler"]["method"], params={k: tuple(v) for k, v in meta["scaler"]["params"].items()})
+        learner = md.learner_class(meta["alg"]).load(path, meta["learner"])
+        return FoldModel(meta["features"], meta["y"], meta["alg"], meta["params"], options, prep, meta["selected"], learner)
+
+
+# ---------------------------------------------------------- search, selection
+#: fits whose predictions are evaluated in one job
+EVALUATED_AT_ONCE = 40
+
+
+def cross_scores(frame: DataFrame, y: str, jobs: Sequence[tuple[int, str, dict, list[str]]], k: int, repeats: int, scoring: str,
+                 seed: int = 42) -> list[tuple]:
+    """(job, repeat, fold, split, score) of every job (number, algorithm, parameters, features) on every
+    fold of repeated stratified folds: ROC AUC (exact) or accuracy, on the test and the training rows."""
+    folds = {r: freeze(sp.kfold_stratified(frame, y, md.ID, k, seed + r, out="_fold"), "folds") for r in range(repeats)}
+
+    def task(job, alg, params, feats, r, f):
+        def run():
+            rows = folds[r]
+            data = frame_of(rows, feats, y, [md.ID, "_fold"])
+            learner = md.learner_class(alg).fit(data.where(F.col("_fold") != f).drop("_fold"), len(feats), alg, params)
+            split = F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train"))
+            return learner.score(data, [F.lit(job).alias("job"), F.lit(r).alias("repeat"), F.lit(f).alias("fold"), split.alias("split"),
+                                        F.col(md.LABEL).cast("int").alias("y")])
+        return run
+    tasks = [task(*j, r, f) for j in jobs for r in range(repeats) for f in range(k)]
+    out, g = [], ["job", "repeat", "fold", "split"]
+    for at in range(0, len(tasks), EVALUATED_AT_ONCE):
+        preds = union_all(run_bounded(tasks[at:at + EVALUATED_AT_ONCE]))
+        got = ev.auc_table(ev.score_groups(preds, g), g).select(*g, F.col("auc").alias("value")) if scoring == "roc_auc" else \
+            preds.groupBy(*g).agg(F.avg((F.col("pred") == F.col("y")).cast("double")).alias("value"))
+        out += [tuple(r) for r in got.select(*g, "value").collect()]  # one row per fit and split
+    return out
+
+
+def tune(frame: DataFrame, features: Sequence[str], y: str, alg: str, grid: dict[str, list] | None = None, strategy: str = "random",
+         n_iter: int = 50, k: int = 10, repeats: int = 1, scoring: str = "roc_auc", fixed: dict | None = None) -> tuple[dict, DataFrame]:
+    """Best parameters and the results table of a grid or random search over repeated stratified folds.
+
+    ``frame`` has the features, ``y`` and a unique integer ``_id``. Results: combo, params, mean and std
+    of test and train scores, the scores of every fold, and the rank by mean test score (ties: the first).
+    """
+    spark = frame.sparkSession
+    combos = [{**(fixed or {}), **c} for c in md.candidates(alg, grid, strategy, n_iter)]
+    scores = cross_scores(frame, y, [(i, alg, c, list(features)) for i, c in enumerate(combos)], k, repeats, scoring)
+    by: dict = {}
+    for job, r, f, split, v in sorted(scores, key=lambda s: s[:4]):
+        by.setdefault((job, split), []).append(None if v is None else float(v))
+
+    def stats(job: int, split: str):
+        v = [x for x in by.get((job, split), []) if x is not None]
+        m = sum(v) / len(v) if v else None
+        return m, (sum((x - m) ** 2 for x in v) / len(v)) ** 0.5 if v else None
+    means = {i: stats(i, "test")[0] for i in range(len(combos))}
+    order = sorted(means, key=lambda i: (-(means[i] if means[i] is not None else -1.0), i))
+    rows = [(i, md.as_json(c), *stats(i, "test"), *stats(i, "train"), by.get((i, "test"), []), by.get((i, "train"), []), order.index(i) + 1)
+            for i, c in enumerate(combos)]
+    table = spark.createDataFrame(rows, "combo int, params string, mean_test_score double, std_test_score double, mean_train_score double, "
+                                        "std_train_score double, split_test_scores array<double>, split_train_scores array<double>, rank_test_score int")
+    return combos[order[0]], table
+
+
+def eliminate(frame: DataFrame, features: Sequence[str], y: str, alg: str, params: dict, least: int, k: int, seed: int = 42) -> list[tuple]:
+    """Recursive feature elimination with the given learner: (number, features, mean fold AUC) from all
+    features down to ``least``, dropping the smallest weight (the last on ties) each time."""
+    cur, rows = list(features), []
+    while True:
+        scores = cross_scores(frame, y, [(0, alg, params, cur)], k, 1, "roc_auc", seed)
+        test = [s[-1] for s in scores if s[3] == "test" and s[-1] is not None]
+        rows.append((len(cur), list(cur), sum(test) / len(test) if test else float("-inf")))
+        if len(cur) <= max(1, least):
+            return rows
+        learner = md.learner_class(alg).fit(frame_of(frame, cur, y, [md.ID]), len(cur), alg, params)
+        w = learner.weights()
+        weakest = min(range(len(cur)), key=lambda i: (w[i], -i))
+        cur = cur[:weakest] + cur[weakest + 1:]
+
+
+def select_rfecv(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str = "lr", params: dict | None = None,
+                 min_features: int = 1, k: int = 5, options: Options | None = None, seed: int = 42) -> DataFrame:
+    """(n_features, features, mean_auc, selected) of the elimination path; the best mean AUC is selected
+    (the fewest features on ties)."""
+    prep = Preparation(list(features), y, options or Options(impute="mean", scaling="StandardScaler"))
+    steps = eliminate(prep.fit(df, row_id), features, y, alg, params or {}, min_features, k, seed)
+    best = max(steps, key=lambda r: (r[2], -r[0]))
+    return df.sparkSession.createDataFrame([(n, json.dumps(f), a, n == best[0]) for n, f, a in steps],
+                                           "n_features int, features string, mean_auc double, selected boolean")
 
 
 # ------------------------------------------------------------------ flows
+def fit(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict | None = None,
+        options: Options | None = None) -> FoldModel:
+    """One learner on all rows with a label."""
+    return FoldModel(list(features), y, alg, dict(params or {}), options or Options()).fit(df, row_id)
+
+
+def train_whole(df: DataFrame, features: Sequence[str], outcomes: Sequence[str], row_id: str, alg: str, params: dict | None = None,
+                options: Options | None = None) -> dict[str, FoldModel]:
+    """One model per outcome on all rows (rows with a missing outcome dropped)."""
+    return dict(zip(outcomes, run_bounded([lambda o=o: fit(df, features, o, row_id, alg, params, options) for o in outcomes])))
+
+
 def outcomes_with_positives(df: DataFrame, outcomes: Sequence[str], min_positives: int) -> tuple[list[str], DataFrame]:
     rep = cl.outcome_positives(df, outcomes, min_positives)
     kept = [r["outcome"] for r in rep.where("kept").collect()]  # outcome names
@@ -251,49 +408,128 @@ def outcomes_with_positives(df: DataFrame, outcomes: Sequence[str], min_positive
 
 def train_test_flow(df: DataFrame, features: Sequence[str], outcomes: Sequence[str], row_id: str,
                     algorithms: dict[str, dict], options: Options, parallelism: int = 4) -> DataFrame:
-    """Per outcome with enough positives: stratified split, per-part fit of the
-    full training-part flow, train and test predictions of every algorithm:
-    (outcome, algorithm, split, row_id, y, score, pred) — feed ``results_table``.
-    The (outcome x algorithm) fits run from a bounded thread pool."""
+    """Per outcome with enough positives: stratified split, the training part prepared once, then every
+    algorithm fitted on it; train and test predictions: (outcome, algorithm, split, row_id, y, score,
+    pred) — feed ``results_table``. Fits run from a bounded thread pool."""
     kept, _ = outcomes_with_positives(df, outcomes, options.min_positives)
-    splits = {o: freeze(sp.split_stratified(df.where(F.col(o).isNotNull()), o, row_id, options.test_size,
-                                            options.seed), "split") for o in kept}
+    splits = {o: freeze(sp.split_stratified(df.where(named(o).isNotNull()), o, row_id, options.test_size, options.seed), "split") for o in kept}
+
+    def prepare(o):
+        prep = Preparation(list(features), o, options)
+        return prep, prep.fit(splits[o].where(F.col("split") == "train"), row_id)
+    prepared = dict(zip(kept, run_bounded([lambda o=o: prepare(o) for o in kept], parallelism)))
 
     def task(o, alg, params):
         def run():
-            s = splits[o]
-            fm = FoldModel(list(features), o, alg, params, options).fit(s.where(F.col("split") == "train"), row_id)
-            return fm.score(s, [F.lit(o).alias("outcome"), F.lit(alg).alias("algorithm"), "split", row_id,
-                                F.col(o).alias("y")])
+            fm = FoldModel(list(features), o, alg, params, options).fit_prepared(*prepared[o])
+            return fm.score(splits[o], [F.lit(o).alias("outcome"), F.lit(alg).alias("algorithm"), "split", row_id, named(o).alias("y")])
         return run
     return union_all(run_bounded([task(o, a, p) for o in kept for a, p in algorithms.items()], parallelism))
 
 
-def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict,
-                        options: Options, k: int = 5, n_repeats: int = 1, parallelism: int = 4) -> DataFrame:
-    """Repeated stratified k-fold; every fold fits the full training-part flow
-    on its training rows: (repeat, fold, split, row_id, y, score, pred). The
-    k x repeats fits run from a bounded thread pool."""
-    base = df.where(F.col(y).isNotNull())
-    folds = {r: freeze(sp.kfold_stratified(base, y, row_id, k, options.seed + r, out="_fold"), "folds")
-             for r in range(n_repeats)}
+def train_test(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict | None = None,
+               options: Options | None = None) -> DataFrame:
+    """Train and test predictions of one learner for one outcome: (split, row_id, y, score, pred)."""
+    preds = train_test_flow(df, features, [y], row_id, {alg: dict(params or {})}, options or Options(min_positives=1))
+    return preds.drop("outcome", "algorithm")
+
+
+def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str | dict[str, dict], params: dict,
+                        options: Options, k: int = 10, n_repeats: int = 1, parallelism: int = 4) -> DataFrame:
+    """Repeated stratified k-fold; every fold prepares its training rows once and fits every learner on
+    them (``alg``: a name with ``params``, or several with theirs): (repeat, fold, split, algorithm,
+    row_id, y, score, pred)."""
+    algorithms = alg if isinstance(alg, dict) else {alg: params}
+    base = df.where(named(y).isNotNull())
+    folds = {r: freeze(sp.kfold_stratified(base, y, row_id, k, options.seed + r, out="_fold"), "folds") for r in range(n_repeats)}
 
     def task(r, f):
         def run():
             fr = folds[r]
-            fm = FoldModel(list(features), y, alg, params, options).fit(fr.where(F.col("_fold") != f), row_id)
-            return fm.score(fr, [F.lit(r).alias("repeat"), F.lit(f).alias("fold"),
-                                 F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train")).alias("split"),
-                                 row_id, F.col(y).alias("y")])
+            prep = Preparation(list(features), y, options)
+            frame = prep.fit(fr.where(F.col("_fold") != f), row_id)
+            split = F.when(F.col("_fold") == f, F.lit("test")).otherwise(F.lit("train"))
+            return union_all([FoldModel(list(features), y, a, p, options).fit_prepared(prep, frame).score(
+                fr, [F.lit(r).alias("repeat"), F.lit(f).alias("fold"), split.alias("split"), F.lit(a).alias("algorithm"), row_id, named(y).alias("y")])
+                for a, p in algorithms.items()])
         return run
     return union_all(run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)], parallelism))
 
 
+def auto_select(df: DataFrame, features: Sequence[str], y: str, algorithms: Sequence[str], grids: dict[str, dict] | None = None,
+                holdout: float = 0.2, options: Options | None = None, seed: int = 42, row_id: str = "row_id") -> tuple[DataFrame, FoldModel | None]:
+    """Every learner and grid combination fitted on the training part of a hash-stratified holdout split;
+    all candidates' holdout predictions are evaluated in ONE grouped job. Returns (leaderboard
+    (algorithm, params, score_val, rank) with rank 1 = best, best model refitted on all rows)."""
+    spark, o = df.sparkSession, options or Options()
+    data = df.where(named(y).isNotNull())
+    s = freeze(sp.split_stratified(data, y, row_id, holdout, seed), "holdout")
+    hold = s.where(F.col("split") == "test")
+    prep = Preparation(list(features), y, o)
+    frame = prep.fit(s.where(F.col("split") == "train"), row_id)
+    cands = [(alg, i, c) for alg in algorithms for i, c in enumerate(md.param_grid((grids or {}).get(alg, {})))]
+
+    def task(alg, i, combo):
+        def run():
+            m = FoldModel(list(features), y, alg, combo, o).fit_prepared(prep, frame)
+            return m.score(hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), named(y).alias("y")])
+        return run
+    preds = union_all(run_bounded([task(*c) for c in cands]))
+    aucs = ev.auc_table(ev.score_groups(preds, ["algorithm", "combo"]), ["algorithm", "combo"])
+    meta = spark.createDataFrame([(a, i, md.as_json(c)) for a, i, c in cands], "algorithm string, combo int, params string")
+    per_alg = aucs.join(meta, ["algorithm", "combo"])
+    w = Window.partitionBy("algorithm").orderBy(F.col("auc").desc_nulls_last(), F.col("combo"))
+    best = per_alg.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    wr = Window.orderBy(F.col("score_val").desc_nulls_last(), F.col("algorithm"))  # one row per learner
+    board = freeze(best.select("algorithm", "combo", "params", F.col("auc").alias("score_val")).withColumn("rank", F.row_number().over(wr)), "board")
+    top = board.where(F.col("rank") == 1).first()
+    model = fit(data, features, y, row_id, top["algorithm"], {(a, i): c for a, i, c in cands}[top["algorithm"], top["combo"]], o) if top else None
+    return board.drop("combo"), model
+
+
+def stack_oof(oof: DataFrame, row_id: str = "row_id", algorithm: str = "algorithm", levels: Sequence[dict[str, dict]] = ({"lr": {}},),
+              k: int = 5, seed: int = 42) -> DataFrame:
+    """Stack out-of-fold scores: (row_id, y, score).
+
+    Scores of one learner for one row from several bags (repeats) are averaged. Each level fits its
+    learners on the scores of the level before, fold by fold, and every row is scored by models that
+    haven't seen it. The last level's learners are averaged to the final score.
+    """
+    algs = sorted(r[0] for r in oof.select(algorithm).distinct().collect())  # learner names: a handful
+    numbers = F.create_map(*[F.lit(x) for i, a in enumerate(algs) for x in (a, f"s{i}")])
+    cur = oof.withColumn("_s", numbers[F.col(algorithm)]).groupBy(row_id, "y").pivot("_s", [f"s{i}" for i in range(len(algs))]).agg(F.avg("score"))
+    n = len(algs)
+    cur = freeze(sp.kfold_stratified(cur.withColumn(md.ID, F.monotonically_increasing_id()), "y", row_id, k, seed, out="_fold"), "stack")
+    for learners in levels:
+        feats = [f"s{i}" for i in range(n)]
+
+        def task(f, alg, params, i, feats=feats, cur=cur):
+            def run():
+                data = frame_of(cur, feats, "y", [row_id, md.ID, "_fold"])
+                m = md.learner_class(alg).fit(data.where(F.col("_fold") != f), len(feats), alg, params)
+                return m.score(data.where(F.col("_fold") == f), [row_id]).select(row_id, F.lit(f"s{i}").alias("_s"), "score")
+            return run
+        scored = union_all(run_bounded([task(f, a, p, i) for f in range(k) for i, (a, p) in enumerate(learners.items())]))
+        n = len(learners)
+        wide = scored.groupBy(row_id).pivot("_s", [f"s{i}" for i in range(n)]).agg(F.avg("score"))
+        cur = freeze(cur.select(row_id, "y", md.ID, "_fold").join(wide, row_id), "stack")
+    final = sum(F.col(f"s{i}") for i in range(n)) / n
+    return cur.select(row_id, "y", final.alias("score"))
+
+
+def calibrate_cv(df: DataFrame, features: Sequence[str], y: str, row_id: str, alg: str, params: dict | None = None,
+                 options: Options | None = None, k: int = 5) -> DataFrame:
+    """Cross-fitted Platt scaling: out-of-fold scores, each fold's calibrated by a curve fitted on the
+    other folds' scores: (fold, row_id, y, score, calibrated)."""
+    oof = freeze(cross_validate_flow(df, features, y, row_id, alg, dict(params or {}), options or Options(), k).where(F.col("split") == "test")
+                 .select("fold", row_id, "y", "score"), "oof")
+    return union_all(run_bounded([lambda f=f: md.calibrate_sigmoid(oof.where(F.col("fold") != f))(oof.where(F.col("fold") == f)) for f in range(k)]))
+
+
 # ------------------------------------------------------------------ bundles
 def save_bundle(path: str, prep: TablePrep, models: dict[tuple[str, str], "FoldModel"]) -> None:
     """Everything needed to score new data: the table-level preparation and one
     fitted training-part flow per (algorithm, outcome)."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     keys = []
     for i, ((alg, outcome), fm) in enumerate(sorted(models.items())):
@@ -310,7 +546,6 @@ def score_bundle(path: str, df: DataFrame, row_id: str, outcomes_present: bool =
     for every saved (algorithm, outcome); outcomes without positives in the
     new table are skipped (nothing to evaluate). Returns a predictions table
     (algorithm, outcome, row_id, y, score, pred)."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     meta = json.loads(spark.read.json(f"{path}/bundle").first()["meta"])
     prep = TablePrep.from_dict(meta["prep"])
@@ -318,11 +553,11 @@ def score_bundle(path: str, df: DataFrame, row_id: str, outcomes_present: bool =
     out = None
     for alg, outcome, i in meta["models"]:
         if outcomes_present and outcome in data.columns:
-            if data.where(F.col(outcome) == 1).limit(1).count() == 0:
+            if data.where(named(outcome) == 1).limit(1).count() == 0:
                 continue
         fm = FoldModel.load(f"{path}/model-{i}")
         keep = [F.lit(alg).alias("algorithm"), F.lit(outcome).alias("outcome"), row_id,
-                F.col(outcome).alias("y") if outcome in data.columns else F.lit(None).cast("int").alias("y")]
+                named(outcome).alias("y") if outcome in data.columns else F.lit(None).cast("int").alias("y")]
         p = fm.score(data, keep)
         out = p if out is None else out.unionByName(p)
     return out

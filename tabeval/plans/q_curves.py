@@ -300,14 +300,10 @@ def q_all_experiment_roc(spark, d):
 
 # ------------------------------------------------------------------ bootstrap
 def _bootstrap_sql(n_boot: int = 1000, seed: int = 42) -> str:
-    import math
-    cdf, acc = [], 0.0
-    for k in range(12):
-        acc += math.exp(-1.0) / math.factorial(k)
-        cdf.append(acc)
+    from ..operators.sample import poisson_cdf
 
-    def p1(u: str) -> str:
-        return "(CASE " + " ".join(f"WHEN {u} < {'%.17e' % c} THEN {k}" for k, c in enumerate(cdf)) + " ELSE 12 END)"
+    def draw(u: str, mean: float) -> str:
+        return f"len(list_filter([{', '.join('%.17e' % c for c in poisson_cdf(mean))}], lambda x: x <= {u}))"
 
     def uni(x: str) -> str:
         return f"(CAST(('0x' || substr(md5({x}), 1, 15))::BIGINT AS DOUBLE) / 1152921504606846976.0)"
@@ -316,12 +312,11 @@ cells AS (SELECT outcome, CAST(score AS DOUBLE) AS score, y AS _y, COUNT(*) AS c
           WHERE y IS NOT NULL AND score IS NOT NULL GROUP BY outcome, CAST(score AS DOUBLE), y),
 rep AS (SELECT cells.*, CAST(r AS BIGINT) AS replicate FROM cells, range({n_boot}) t(r)),
 k AS (SELECT *, concat_ws(':', outcome, CAST(score AS VARCHAR), CAST(_y AS VARCHAR), CAST(replicate AS VARCHAR)) AS key FROM rep),
-ex AS (SELECT k.*, UNNEST(CASE WHEN c = 1 OR c > 64 THEN [0] ELSE range(1, c + 1) END) AS i FROM k),
-draws AS (SELECT outcome, replicate, score, _y, c, CASE
-    WHEN c = 1 THEN {p1(uni(f"'{seed}:p:' || key"))}
-    WHEN c <= 64 THEN {p1(uni(f"'{seed}:p:' || key || ':' || CAST(i AS VARCHAR)"))}
-    ELSE greatest(round(c + sqrt(c) * sqrt(-2.0 * ln({uni(f"'{seed}:n1:' || key")} + 1e-18))
-                        * cos(2.0 * 3.141592653589793 * {uni(f"'{seed}:n2:' || key")})), 0) END AS d FROM ex),
+ones AS (SELECT outcome, replicate, score, _y, key, UNNEST(range(1, c % 64 + 1)) AS i FROM k),
+blocks AS (SELECT outcome, replicate, score, _y, key, UNNEST(range(1, c // 64 + 1)) AS i FROM k),
+u AS (SELECT outcome, replicate, score, _y, 1 AS mean, {uni(f"'{seed}:p:' || key || ':' || CAST(i AS VARCHAR)")} AS u FROM ones
+      UNION ALL SELECT outcome, replicate, score, _y, 64, {uni(f"'{seed}:b:' || key || ':' || CAST(i AS VARCHAR)")} FROM blocks),
+draws AS (SELECT outcome, replicate, score, _y, CASE WHEN mean = 1 THEN {draw("u", 1.0)} ELSE {draw("u", 64.0)} END AS d FROM u),
 w AS (SELECT outcome, replicate, score, _y, SUM(d) AS weight FROM draws GROUP BY outcome, replicate, score, _y),
 g AS (SELECT outcome, replicate, score, SUM(weight * _y) AS pos, SUM(weight * (1 - _y)) AS neg FROM w
       WHERE weight > 0 GROUP BY outcome, replicate, score),

@@ -12,11 +12,13 @@ from ..operators import evaluate as ev
 from ..operators import models as md
 from ..operators import neighbors as nb
 from ..operators import sample as sp
+from ..operators import workflow as wf
 from ..session import ensure_checkpoint_dir
 from ..sources.io import read_table
 from .registry import register, rounded
 
 FEATS = ["price", "odays", "prio"]
+STANDARD, IMPUTED = wf.Options(impute="mean", scaling="StandardScaler"), wf.Options(impute="mean")
 
 
 def orders_features(spark, d):
@@ -35,42 +37,30 @@ def _metrics(preds, group):
     return rounded(res.select(*group, "auc", "auc_cilow", "auc_cihigh", "cutoff_youden", "P", "N"))
 
 
-def _fit_query(alg: str, params: dict, prep: md.Prep | None = None):
+def _fit_query(alg: str, params: dict):
     def q(spark, d):
-        preds = md.train_test(orders_features(spark, d), FEATS, "y", "row_id", alg, params,
-                              prep or md.Prep(impute="mean", scaling="StandardScaler"))
+        preds = wf.train_test(orders_features(spark, d), FEATS, "y", "row_id", alg, params, STANDARD)
         return _metrics(preds, ["split"])
     return q
 
 
 for _name, _alg, _params in [
-        ("fit_rf", "rf", {"n_estimators": 20, "max_depth": 5}),
+        ("fit_rf", "rf", {"n_estimators": 100, "max_depth": 5}),
         ("fit_dt", "dt", {"max_depth": 5}),
-        ("fit_gbt", "xgb", {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1}),
+        ("fit_gbt", "xgb", {"n_estimators": 50, "max_depth": 3, "learning_rate": 0.1}),
         ("fit_lr", "lr", {}),
         ("fit_sgd_elastic", "sgd_elastic", {"alpha": 1e-4, "l1_ratio": 0.15}),
         ("fit_sgd_l2", "sgd_l2", {"alpha": 1e-4}),
-        ("fit_mlp", "mlp", {"hidden_layer_sizes": (8,), "max_iter": 50})]:
+        ("fit_svm_linear", "svm", {"C": 1.0}),
+        ("fit_mlp", "mlp", {"hidden_layer_sizes": (8,), "max_iter": 200})]:
     register(_name)(_fit_query(_alg, _params))
 
 
-@register("fit_svm_linear")
-def q_svm(spark, d):
-    """LinearSVC margins made probabilities by Platt scaling fitted on the training part."""
-    preds = md.train_test(orders_features(spark, d), FEATS, "y", "row_id", "svm", {"C": 1.0},
-                          md.Prep(impute="mean", scaling="StandardScaler"))
-    platt = md.calibrate_sigmoid(preds.where(F.col("split") == "train"), "y", "score")
-    cal = platt(preds).withColumn("score", F.col("calibrated"))
-    return _metrics(cal, ["split"])
-
-
 @register("calibrate_sigmoid")
 def q_calibrate(spark, d):
-    oof = md.cross_validate(orders_features(spark, d), FEATS, "y", "row_id", "rf", {"n_estimators": 10, "max_depth": 4},
-                            md.Prep(impute="mean"), k=3).where(F.col("split") == "test")
-    platt = md.calibrate_sigmoid(oof, "y", "score")
-    return rounded(platt(oof).groupBy("fold").agg(F.avg("calibrated").alias("mean_calibrated"),
-                                                  F.avg("y").alias("positive_rate")))
+    """Cross-fitted: every fold's scores are calibrated by a curve fitted on the other folds'."""
+    cal = wf.calibrate_cv(orders_features(spark, d), FEATS, "y", "row_id", "rf", {"n_estimators": 20, "max_depth": 4}, IMPUTED, k=5)
+    return rounded(cal.groupBy("fold").agg(F.avg("calibrated").alias("mean_calibrated"), F.avg("y").alias("positive_rate")))
 
 
 # ----------------------------------------------------------- gaussian NB (SQL)
@@ -98,57 +88,49 @@ def q_gaussian_nb(spark, d):
 
 
 # ------------------------------------------------------------------- tuning
-GRID = {"max_depth": [2, 4], "n_estimators": [5, 10]}
-
-
-def _cv_frame(spark, d):
-    return sp.kfold_stratified(orders_features(spark, d), "y", "row_id", 3, 42)
+def _tune(spark, d, alg, options, **how):
+    prep = wf.Preparation(FEATS, "y", options)
+    frame = prep.fit(orders_features(spark, d), "row_id")
+    return wf.tune(frame, FEATS, "y", alg, **how)[1]
 
 
 @register("tune_grid")
 def q_tune_grid(spark, d):
-    _, res = md.tune(_cv_frame(spark, d), FEATS, "y", "rf", GRID, "grid", fold="fold", prep=md.Prep(impute="mean"))
-    return rounded(res)
+    return rounded(_tune(spark, d, "dt", IMPUTED, grid={"max_depth": [2, 4, 6], "min_samples_leaf": [1, 4]}, strategy="grid", k=5))
 
 
 @register("tune_random")
 def q_tune_random(spark, d):
-    grid = {"max_depth": [2, 3, 4, 5], "n_estimators": [5, 10, 15]}
-    _, res = md.tune(_cv_frame(spark, d), FEATS, "y", "rf", grid, "random", n_iter=3, fold="fold",
-                     prep=md.Prep(impute="mean"))
-    return rounded(res)
+    return rounded(_tune(spark, d, "lr", STANDARD, strategy="random", n_iter=8, k=5, scoring="accuracy"))
 
 
 @register("cv_results_table")
 def q_cv_results(spark, d):
-    best, res = md.tune(_cv_frame(spark, d), FEATS, "y", "lr", {"reg": [0.0, 0.1]}, "grid", fold="fold",
-                        prep=md.Prep(impute="mean", scaling="StandardScaler"))
-    return rounded(res.orderBy("rank_test_score"))
+    return rounded(_tune(spark, d, "lr", STANDARD, grid={"C": [0.001, 0.1, 10.0]}, strategy="grid", k=10).orderBy("rank_test_score"))
 
 
 # ---------------------------------------------------------------- workflows
 @register("train_whole")
 def q_train_whole(spark, d):
     df = orders_features(spark, d)
-    models = md.train_whole(df, FEATS, ["y", "y_urgent"], "lr", {}, md.Prep(impute="mean", scaling="StandardScaler"))
+    models = wf.train_whole(df, FEATS, ["y", "y_urgent"], "row_id", "lr", {}, STANDARD)
     out = None
     for o, m in models.items():
-        s = md.score(m, df, [F.lit(o).alias("outcome"), F.col(o).alias("y")])
+        s = m.score(df, [F.lit(o).alias("outcome"), F.col(o).alias("y")])
         out = s if out is None else out.unionByName(s)
     return _metrics(out, ["outcome"])
 
 
 @register("train_test")
 def q_train_test(spark, d):
-    """The reference's train/test flow per outcome: stratified split, then on the
-    training part impute -> scale -> undersample -> select (ANOVA F, 2 of 3)
-    -> fit, for two learners; the result table of train and test metrics."""
+    """The train/test flow per outcome: stratified split, then on the training part impute -> scale ->
+    undersample -> select (ANOVA F, 2 of 3), shared by the learners; each searches its grid and is
+    fitted; the result table of train and test metrics."""
     from ..operators import results as rs
-    from ..operators import workflow as wf
-    opts = wf.Options(impute="mean", scaling="StandardScaler", rebalance="RandomUnderSampler",
-                      feature_selection="SelectKBest-f_classif", n_features=2, min_positives=10)
-    preds = wf.train_test_flow(orders_features(spark, d), FEATS, ["y", "y_urgent"], "row_id",
-                               {"lr": {}, "rf": {"n_estimators": 20, "max_depth": 5}}, opts)
+    opts = wf.Options(impute="mean", scaling="StandardScaler", rebalance="RandomUnderSampler", feature_selection="SelectKBest-f_classif",
+                      n_features=2, min_positives=10, search="grid", search_folds=3,
+                      grids={"lr": {"C": [0.1, 10.0]}, "nb": {"var_smoothing": [1e-9, 1e-6]}, "dt": {"max_depth": [3, 5]}})
+    preds = wf.train_test_flow(orders_features(spark, d), FEATS, ["y", "y_urgent"], "row_id", {"lr": {}, "nb": {}, "dt": {}}, opts)
     return rounded(rs.results_table(preds))
 
 
@@ -156,36 +138,34 @@ def q_train_test(spark, d):
 def q_provided_test(spark, d):
     """Fit the table-level preparation (one-hot, rows, inf, outliers) and the
     model on one table, apply both to another table."""
-    from ..operators import workflow as wf
     df = orders_features(spark, d)
     train, test = df.where(F.col("odays") < 1096), df.where(F.col("odays") >= 1096)
     opts = wf.Options(impute="mean", scaling="MinMaxScaler", outliers="log", outliers_n=300000.0)
     tp = wf.TablePrep(["price", "odays"], ["o_orderpriority"], opts)
     tr = tp.fit_transform(train)
     te = tp.transform(test)
-    fm = wf.FoldModel(tp.inputs, "y", "lr", {}, opts).fit(tr, "row_id")
+    fm = wf.fit(tr, tp.inputs, "y", "row_id", "lr", {}, opts)
     preds = fm.score(tr, [F.lit("train").alias("split"), "y"]).unionByName(fm.score(te, [F.lit("test").alias("split"), "y"]))
     return _metrics(preds, ["split"])
 
 
 @register("cross_validate")
 def q_cross_validate(spark, d):
-    """Stratified 3-fold CV; each fold imputes (median), scales (min-max),
-    oversamples the minority class and fits on its own training rows."""
-    from ..operators import workflow as wf
+    """Stratified 10-fold CV; each fold imputes (median), scales (min-max), oversamples the minority
+    class and fits on its own training rows."""
     opts = wf.Options(impute="median", scaling="MinMaxScaler", rebalance="RandomOverSampler")
-    oof = wf.cross_validate_flow(orders_features(spark, d), FEATS, "y", "row_id", "lr", {}, opts, k=3, n_repeats=1)
+    oof = wf.cross_validate_flow(orders_features(spark, d), FEATS, "y", "row_id", "lr", {}, opts, k=10, n_repeats=1)
     return _metrics(oof, ["repeat", "fold", "split"])
 
 
-@register("save_load_model")
+@register("save_load_model", "SELECT CAST(COUNT(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differing FROM orders")
 def q_save_load(spark, d):
     df = orders_features(spark, d)
-    m = md.fit(df, FEATS, "y", "rf", {"n_estimators": 10, "max_depth": 4}, md.Prep(impute="mean"))
+    m = wf.fit(df, FEATS, "y", "row_id", "rf", {"n_estimators": 10, "max_depth": 4}, IMPUTED)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-model-{uuid.uuid4().hex}"
-    md.save_model(m, path)
-    a = md.score(m, df, ["row_id"]).withColumnRenamed("score", "s_fit")
-    b = md.score_saved(path, df, ["row_id"]).withColumnRenamed("score", "s_loaded")
+    m.save(path)
+    a = m.score(df, ["row_id"]).withColumnRenamed("score", "s_fit")
+    b = wf.FoldModel.load(path).score(df, ["row_id"]).withColumnRenamed("score", "s_loaded")
     j = a.join(b.select("row_id", "s_loaded"), "row_id")
     return j.agg(F.count(F.lit(1)).alias("rows"),
                  F.sum((F.abs(F.col("s_fit") - F.col("s_loaded")) > 1e-12).cast("int")).alias("differing"))
@@ -196,13 +176,12 @@ def q_score_saved(spark, d):
     """Train on orders before 1998 (table preparation + per-outcome training
     flow for two learners), save the bundle under the checkpoint folder, reload
     it and score the later orders; evaluate the scored predictions."""
-    from ..operators import workflow as wf
     df = orders_features(spark, d)
     train, later = df.where(F.col("odays") < 1096), df.where(F.col("odays") >= 1096)
     opts = wf.Options(impute="mean", scaling="StandardScaler", outliers="log", outliers_n=300000.0)
     tp = wf.TablePrep(["price", "odays"], ["o_orderpriority"], opts)
     tr = tp.fit_transform(train)
-    models = {(alg, o): wf.FoldModel(tp.inputs, o, alg, params, opts).fit(tr, "row_id")
+    models = {(alg, o): wf.fit(tr, tp.inputs, o, "row_id", alg, params, opts)
               for alg, params in (("lr", {}), ("gbt", {"n_estimators": 10})) for o in ("y", "y_urgent")}
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-bundle-{uuid.uuid4().hex}"
     wf.save_bundle(path, tp, models)
@@ -212,27 +191,23 @@ def q_score_saved(spark, d):
 
 @register("auto_select")
 def q_auto_select(spark, d):
-    board, _ = md.auto_select(orders_features(spark, d), FEATS, "y", ["lr", "rf", "gbt"],
-                              {"rf": {"n_estimators": [10], "max_depth": [3, 5]}, "gbt": {"n_estimators": [10]}},
-                              holdout=0.2, prep=md.Prep(impute="mean"))
+    board, _ = wf.auto_select(orders_features(spark, d), FEATS, "y", ["lr", "rf", "gbt", "nb"],
+                              {"rf": {"n_estimators": [20], "max_depth": [3, 5]}, "gbt": {"n_estimators": [10]}},
+                              holdout=0.2, options=IMPUTED)
     return rounded(board)
 
 
 @register("stack_oof")
 def q_stack(spark, d):
-    df = orders_features(spark, d)
-    oofs = None
-    for alg, params in (("lr", {}), ("rf", {"n_estimators": 10, "max_depth": 4})):
-        o = md.cross_validate(df, FEATS, "y", "row_id", alg, params, md.Prep(impute="mean", scaling="StandardScaler"), k=3) \
-            .where(F.col("split") == "test").select(F.lit(alg).alias("algorithm"), "row_id", "y", "score")
-        oofs = o if oofs is None else oofs.unionByName(o)
-    stacked = md.stack_oof(oofs, "row_id", "algorithm")
-    return _metrics(stacked, [])
+    """Two learners, two bags each, stacked over two levels."""
+    oof = wf.cross_validate_flow(orders_features(spark, d), FEATS, "y", "row_id", {"lr": {}, "dt": {"max_depth": 4}}, {}, STANDARD, k=3, n_repeats=2)
+    oof = oof.where(F.col("split") == "test").select("algorithm", "row_id", "y", "score")
+    return _metrics(wf.stack_oof(oof, "row_id", "algorithm", levels=[{"lr": {}, "dt": {"max_depth": 3}}, {"lr": {}}], k=3), [])
 
 
 @register("select_rfecv")
 def q_rfecv(spark, d):
-    return rounded(md.select_rfecv(orders_features(spark, d), FEATS, "y", "row_id", min_features=1, k=3))
+    return rounded(wf.select_rfecv(orders_features(spark, d), FEATS, "y", "row_id", min_features=1, k=5))
 
 
 # ------------------------------------------------------------ neighbours (SQL)
@@ -253,7 +228,7 @@ SELECT qid, rid, round(distance, 6) AS distance, CAST(nn_rank AS INTEGER) AS nn_
 def q_knn(spark, d):
     e = _emb(spark, d)
     nn = nb.knn_topk(e.select(F.col("vec_id").alias("qid"), "vec"), e.select(F.col("vec_id").alias("rid"), "vec"), 5,
-                     exclude_self=True, queries_are_refs=True)
+                     exclude_self=True)
     return rounded(nn.withColumn("nn_rank", F.col("nn_rank").cast("int")))
 
 
@@ -274,6 +249,26 @@ def q_fit_knn(spark, d):
     return rounded(res)
 
 
+#: all coordinates of base + u (neighbour - base): their number, sum and sum weighted by place
+_COORDINATE = "CAST(b.embedding[i] AS DOUBLE) + ju.u * (CAST(n.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE))"
+_ALL_COORDINATES_SQL = f"""CAST(len(b.embedding) AS INTEGER) AS dims,
+  round(list_sum(list_transform(range(1, len(b.embedding) + 1), lambda i: {_COORDINATE})), 6) AS x_sum,
+  round(list_sum(list_transform(range(1, len(b.embedding) + 1), lambda i: i * ({_COORDINATE}))), 5) AS x_weighted"""
+
+
+def _all_coordinates():
+    zero = F.lit(0.0)
+    places = F.sequence(F.lit(1), F.size("vec"))
+    return (F.size("vec").alias("dims"), F.aggregate("vec", zero, lambda a, x: a + x).alias("x_sum"),
+            F.aggregate(F.zip_with("vec", places, lambda x, i: x * i), zero, lambda a, x: a + x).alias("x_weighted"))
+
+
+def _rounded_samples(df):
+    scale = lambda c, digits: F.round(F.col(c) * 10.0 ** digits, 0) / 10.0 ** digits
+    return df.select("synth_id", "base_id", "nb_id", scale("u", 6).alias("u"), "dims", scale("x_sum", 6).alias("x_sum"),
+                     scale("x_weighted", 5).alias("x_weighted"))
+
+
 def _smote_sql() -> str:
     h = lambda s: f"('0x' || substr(md5({s}), 1, 15))::BIGINT"
     return f"""WITH m AS (SELECT vec_id AS id, embedding FROM embeddings WHERE label = 0),
@@ -290,9 +285,7 @@ jb AS (SELECT jobs.synth_id, r.id AS base_id FROM jobs JOIN ranked r ON jobs.bra
 jn AS (SELECT jb.*, ({h("'42:nb:' || CAST(jb.synth_id AS VARCHAR)")} % nk.nk) + 1 AS nn_rank FROM jb JOIN nk ON jb.base_id = nk.qid),
 jp AS (SELECT jn.synth_id, jn.base_id, nn5.rid AS nb_id FROM jn JOIN nn5 ON jn.base_id = nn5.qid AND jn.nn_rank = nn5.nn_rank),
 ju AS (SELECT jp.*, CAST({h("'42:u:' || CAST(jp.synth_id AS VARCHAR)")} AS DOUBLE) / 1152921504606846976.0 AS u FROM jp)
-SELECT ju.synth_id, ju.base_id, ju.nb_id, round(ju.u, 6) AS u,
-  round(CAST(b.embedding[1] AS DOUBLE) + ju.u * (CAST(n.embedding[1] AS DOUBLE) - CAST(b.embedding[1] AS DOUBLE)), 6) AS x0,
-  round(CAST(b.embedding[2] AS DOUBLE) + ju.u * (CAST(n.embedding[2] AS DOUBLE) - CAST(b.embedding[2] AS DOUBLE)), 6) AS x1
+SELECT ju.synth_id, ju.base_id, ju.nb_id, round(ju.u, 6) AS u, {_ALL_COORDINATES_SQL}
 FROM ju JOIN m b ON ju.base_id = b.id JOIN m n ON ju.nb_id = n.id"""
 
 
@@ -306,7 +299,7 @@ def _smote_frame(spark, d):
 @register("smote", _smote_sql())
 def q_smote(spark, d):
     s = _smote_frame(spark, d)
-    return rounded(s.select("synth_id", "base_id", "nb_id", "u", F.col("vec")[0].alias("x0"), F.col("vec")[1].alias("x1")))
+    return _rounded_samples(s.select("synth_id", "base_id", "nb_id", "u", *_all_coordinates()))
 
 
 def _adasyn_sql() -> str:
@@ -332,9 +325,11 @@ nm5 AS (SELECT * FROM nm WHERE nn_rank <= 5),
 nk AS (SELECT qid, COUNT(*) AS nk FROM nm5 GROUP BY qid),
 jn AS (SELECT jobs.*, ({h("'42:nb:' || CAST(jobs.synth_id AS VARCHAR)")} % nk.nk) + 1 AS nn_rank
        FROM jobs JOIN nk ON jobs.base_id = nk.qid),
-jp AS (SELECT jn.synth_id, jn.base_id, nm5.rid AS nb_id FROM jn JOIN nm5 ON jn.base_id = nm5.qid AND jn.nn_rank = nm5.nn_rank)
-SELECT CAST(synth_id AS BIGINT) AS synth_id, base_id, nb_id,
-  round(CAST({h("'42:u:' || CAST(synth_id AS VARCHAR)")} AS DOUBLE) / 1152921504606846976.0, 6) AS u FROM jp"""
+jp AS (SELECT jn.synth_id, jn.base_id, nm5.rid AS nb_id FROM jn JOIN nm5 ON jn.base_id = nm5.qid AND jn.nn_rank = nm5.nn_rank),
+ju AS (SELECT CAST(synth_id AS BIGINT) AS synth_id, base_id, nb_id,
+  CAST({h("'42:u:' || CAST(synth_id AS VARCHAR)")} AS DOUBLE) / 1152921504606846976.0 AS u FROM jp)
+SELECT ju.synth_id, ju.base_id, ju.nb_id, round(ju.u, 6) AS u, {_ALL_COORDINATES_SQL}
+FROM ju JOIN mino b ON ju.base_id = b.id JOIN mino n ON ju.nb_id = n.id"""
 
 
 @register("adasyn", _adasyn_sql())
@@ -342,7 +337,7 @@ def q_adasyn(spark, d):
     e = _emb(spark, d)
     tg = sp.sampling_targets(e, "y", "over", "auto").where(F.col("y") == 1).first()
     a = nb.adasyn(e, "vec_id", "vec", "y", 1, int(tg["target"] - tg["count"]), k=5, seed=42)
-    return rounded(a.select("synth_id", "base_id", "nb_id", "u"))
+    return _rounded_samples(a.select("synth_id", "base_id", "nb_id", "u", *_all_coordinates()))
 
 
 # --------------------------------------------------------------- attribution
@@ -350,17 +345,15 @@ def q_adasyn(spark, d):
 def q_shapley(spark, d):
     df = orders_features(spark, d)
     train = df.where(F.col("odays") < 1096)
-    m = md.fit(train, FEATS, "y", "rf", {"n_estimators": 10, "max_depth": 4}, md.Prep(impute="mean"))
-    bg = at.background_rows(train, FEATS, "row_id", 10)
-    vals = at.shapley_sampled(m, df.where(F.col("odays") >= 1096), FEATS, "row_id", bg, output="prediction")
-    return rounded(vals)
+    m = wf.fit(train, FEATS, "y", "row_id", "rf", {"n_estimators": 10, "max_depth": 4}, IMPUTED)
+    return rounded(at.shapley_sampled(m, df.where(F.col("odays") >= 1096), FEATS, "row_id", train, output="prediction"))
 
 
 @register("permutation_importance")
 def q_perm_importance(spark, d):
     df = orders_features(spark, d)
-    m = md.fit(df, FEATS, "y", "rf", {"n_estimators": 10, "max_depth": 4}, md.Prep(impute="mean"))
-    return rounded(at.permutation_importance(m, df, FEATS, "row_id", "y", 42, 10))
+    m = wf.fit(df, FEATS, "y", "row_id", "rf", {"n_estimators": 10, "max_depth": 4}, IMPUTED)
+    return rounded(at.permutation_importance(m, df, FEATS, "row_id", "y", 42))
 
 
 _LIN_W = {"l_quantity": 0.02, "l_extendedprice": 1e-5, "l_discount": -3.0, "l_tax": 2.0}

@@ -102,12 +102,16 @@ def _kind_sql(c: str) -> str:
     return f"SELECT '{c}' AS \"column\", '{dt}' AS dtype, {nu} AS n_unique, {kind} AS kind FROM wide"
 
 
-_KINDS_SQL = f"WITH {WIDE_SQL}\n" + "\nUNION ALL\n".join(_kind_sql(c) for c in WIDE_INPUTS)
+#: ids above 2^53, which a double can't tell apart
+_BIG = "1152921504606846976 + CAST(round(price * 100) AS BIGINT)"
+_DTYPES["big"] = "bigint"
+_KINDS_SQL = f"WITH {WIDE_SQL.replace('wide AS', 'wide0 AS')},\nwide AS (SELECT *, {_BIG} AS big FROM wide0)\n" + \
+    "\nUNION ALL\n".join(_kind_sql(c) for c in [*WIDE_INPUTS, "big"])
 
 
 @register("infer_column_kinds", _KINDS_SQL)
 def q_kinds(spark, d):
-    return cl.infer_column_kinds(wide_lineitem(spark, d), WIDE_INPUTS, 10)
+    return cl.infer_column_kinds(wide_lineitem(spark, d).withColumn("big", F.expr(_BIG)), [*WIDE_INPUTS, "big"], 10)
 
 
 # ------------------------------------------------------------- column removal
@@ -309,7 +313,7 @@ def q_binarize(spark, d):
 
 
 # ------------------------------------------------------------- 2.4 encoders
-_CATS = {"line": [str(i) for i in range(1, 8)], "status": ["F", "O"], "flag": ["A", "N", "R", None]}
+_CATS = {"disc": [f"{i / 100:g}" if i else "0.0" for i in range(11)], "line": [str(i) for i in range(1, 8)], "status": ["F", "O"], "flag": ["A", "N", "R", None]}
 
 
 def _onehot_sql() -> str:
@@ -317,7 +321,7 @@ def _onehot_sql() -> str:
     for c, vs in _CATS.items():
         for v in vs:
             if v is None:
-                cols.append(f"CAST(flag IS NULL AS DOUBLE) AS {c}_nan")
+                cols.append(f"CAST({c} IS NULL AS DOUBLE) AS {c}_nan")
             else:
                 cols.append(f"CAST(coalesce(CAST({c} AS VARCHAR) = '{v}', FALSE) AS DOUBLE) AS \"{c}_{v}\"")
     return f"""WITH {WIDE_TOK_SQL}
@@ -326,8 +330,8 @@ SELECT price, {', '.join(cols)} FROM wide"""
 
 @register("one_hot", _onehot_sql())
 def q_one_hot(spark, d):
-    w = cl.clean_categoricals(wide_lineitem(spark, d), ["status", "flag"]).select("price", "line", "status", "flag")
-    enc = en.OneHot(max_categories=1000).fit(w, ["line", "status", "flag"])
+    w = cl.clean_categoricals(wide_lineitem(spark, d), ["status", "flag"]).select("price", "disc", "line", "status", "flag")
+    enc = en.OneHot().fit(w, ["disc", "line", "status", "flag"])
     return rounded(enc.transform(w))
 
 
@@ -388,10 +392,32 @@ def q_normalize(spark, d):
     return rounded(en.normalize_rows(w, _SC))
 
 
-@register("quantile_transform")
+def _quantile_sql(k: int = 1000) -> str:
+    """The uniform stage from the exact quantiles: a value equal to quantiles lo..hi maps to their
+    middle, one between two quantiles to the straight line between them."""
+    ctes, cols, joins = [], [], []
+    probs = "[" + ", ".join(repr(i / (k - 1)) for i in range(k)) + "]"
+    for c in _SC:
+        ctes.append(f"""q_{c} AS (SELECT v, MIN(i) AS lo, MAX(i) AS hi FROM (SELECT UNNEST(range({k})) AS i, UNNEST(quantile_cont({c}, {probs})) AS v FROM wide) GROUP BY v),
+n_{c} AS (SELECT *, LEAD(v) OVER (ORDER BY v) AS nv FROM q_{c}),
+u_{c} AS (SELECT x, CASE WHEN x - 1e-7 < (SELECT MIN(v) FROM q_{c}) THEN 0.0 WHEN x + 1e-7 > (SELECT MAX(v) FROM q_{c}) THEN 1.0
+  WHEN x = v THEN (lo + hi) / 2.0 / {k - 1} ELSE (hi + (x - v) / (nv - v)) / {k - 1}.0 END AS u
+  FROM (SELECT DISTINCT {c} AS x FROM wide WHERE {c} IS NOT NULL) xs ASOF JOIN n_{c} ON x >= v)""")
+        cols.append(f"wide.{c}, round(u_{c}.u, 6) AS {c}_u")
+        joins.append(f"LEFT JOIN u_{c} ON u_{c}.x = wide.{c}")
+    return f"WITH {WIDE_SQL},\n" + ",\n".join(ctes) + f"\nSELECT {', '.join(cols)} FROM wide {' '.join(joins)}"
+
+
+@register("quantile_transform", _quantile_sql())
 def q_quantile(spark, d):
-    w = wide_lineitem(spark, d).select("qty", "price", "disc")
-    return rounded(en.QuantileNormal().fit(w, ["qty", "price", "disc"]).transform(w))
+    """The transform's normal values, shown as their probabilities (the normal CDF undoes its last step)."""
+    from ..functions.normal import upper_tail_nonneg_sql
+    w = wide_lineitem(spark, d).select(*_SC)
+    z = en.QuantileNormal().fit(w, _SC).transform(w.select(*[F.col(c).alias(f"{c}_raw") for c in _SC], *_SC))
+    z = z.select("*", *[F.abs(F.col(c)).alias(f"{c}_a") for c in _SC])
+    tails = z.select("*", *[F.expr(upper_tail_nonneg_sql(f"{c}_a")).alias(f"{c}_q") for c in _SC])
+    return rounded(tails.select(*[x for c in _SC for x in (
+        F.col(f"{c}_raw").alias(c), F.when(F.col(c) >= 0, 1.0 - F.col(f"{c}_q")).otherwise(F.col(f"{c}_q")).alias(f"{c}_u"))]))
 
 
 # ------------------------------------------------------------- 2.6 profiling
@@ -409,7 +435,7 @@ def _profile_sql() -> str:
         else:
             x = f"CAST({c} AS DOUBLE)"
             mean = (f"CASE WHEN MAX(CAST({x} = 'inf' AS INTEGER)) = 1 THEN CAST('inf' AS DOUBLE) "
-                    f"ELSE CAST(SUM(CAST(CASE WHEN isinf({x}) THEN NULL ELSE {x} END AS DECIMAL(38, 12))) AS DOUBLE) / COUNT({x}) END")
+                    f"ELSE AVG(CASE WHEN isinf({x}) THEN NULL ELSE {x} END) END")
             stats = (f"round({_nn(mean)}, 6) AS mean, round({_nn(f'STDDEV_SAMP({x})')}, 6) AS std, "
                      f"round(MIN({x}), 6) AS min, round(MAX({x}), 6) AS max")
         parts.append(f"SELECT '{c}' AS \"column\", '{dt}' AS dtype, CAST({miss} AS BIGINT) AS missing, "

@@ -2,9 +2,9 @@
 Structured Streaming).
 
 The reference has no streaming operators; this module only lets a saved
-``PipelineModel`` (imputer -> scaler -> model) score new rows as they arrive.
-``PipelineModel.transform`` is a stateless per-row map, so it works unchanged on
-a streaming DataFrame; evaluation of the scored rows is done per micro-batch
+``FoldModel`` (imputer -> scaler -> model) score new rows as they arrive. Its stages
+are stateless per-row maps, so they work unchanged on a streaming DataFrame (nearest
+neighbours excepted); evaluation of the scored rows is done per micro-batch
 with the batch operators via ``foreachBatch`` (exactly-once with an idempotent
 sink keyed by batch id).
 """
@@ -13,18 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ..operators.workflow import FoldModel
 
 
 def score_stream(model_path: str, stream: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Streaming DataFrame of (keep..., score, pred) from a saved pipeline."""
-    model = PipelineModel.load(model_path)
-    out = model.transform(stream)
-    return out.select(*keep, vector_to_array("probability")[1].alias("score"),
-                      F.col("prediction").cast("int").alias("pred"))
+    """Streaming DataFrame of (keep..., score, pred) from a saved model."""
+    return FoldModel.load(model_path).score(stream, keep)
 
 
 def evaluate_batches(scored: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,

@@ -76,11 +76,12 @@ def test_drop_sparse_rows_threshold(spark):
     assert cl.drop_sparse_rows(df, ["a", "b", "c", "d"], 1.0).count() == 1
 
 
-def test_apply_coding_first_bin_and_one_hot_cap(spark):
+def test_apply_coding_first_bin_and_one_hot_without_cap(spark):
     from tabeval.functions.scalar import apply_coding
     df = spark.createDataFrame([("x",), ("y",), ("z",)], "v string")
     got = {r["v"]: r["c"] for r in df.select("v", apply_coding("v", [["x", "y"], ["y", "z"]], [1, 2]).alias("c")).collect()}
     assert got == {"x": 1, "y": 1, "z": 2}               # the first bin containing the value wins
-    wide = spark.range(50).select(F.col("id").cast("string").alias("c"))
-    with pytest.raises(ValueError):
-        en.OneHot(max_categories=10).fit(wide, ["c"])
+    wide = spark.range(3000).select(F.col("id").cast("string").alias("c"))
+    oh = en.OneHot().fit(wide, ["c"])                    # no limit on the number of categories
+    v = oh.to_vector(wide.where("c = '7'")).first()["onehot"]
+    assert v.size == 3000 and v.indices.tolist() == [oh.names().index("c_7")] and v.values.tolist() == [1.0]

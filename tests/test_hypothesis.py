@@ -59,18 +59,37 @@ def test_evaluate_matches_bruteforce(spark, rows):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.integers(1, 6), st.integers(1, 4), st.integers(30, 160), st.integers(0, 2 ** 31 - 1))
-def test_knn_exact_random(spark, dim, k, n, seed):
+@given(st.integers(1, 6), st.integers(1, 4), st.integers(30, 160), st.integers(0, 2 ** 31 - 1), st.sampled_from(["euclidean", "manhattan"]))
+def test_knn_exact_random(spark, dim, k, n, seed, metric):
+    """Small chunks, blocks and many cells; exact ids, ties cut by id, also where queries aren't references."""
     from tabeval.operators import neighbors as nb
     rng = np.random.default_rng(seed)
     pts = np.round(rng.normal(size=(n, dim)), 1)        # rounding creates exact duplicates and ties
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(pts)], "id long, vec array<double>")
-    nn = nb.knn_topk(df.select(F.col("id").alias("qid"), "vec"), df.select(F.col("id").alias("rid"), "vec"), k,
-                     exclude_self=True, w0=2)
-    got = {}
-    for r in nn.collect():
-        got.setdefault(r["qid"], []).append(r["distance"])
-    d = np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    for q in range(n):
-        assert sorted(got[q]) == pytest.approx(sorted(np.sort(d[q])[:k]), abs=1e-9)
+    pts[: n // 3] = pts[0]                              # one vector holds a third of the rows
+    asked = np.round(rng.normal(size=(40, dim)), 1)
+    frame = lambda v, name: spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], f"{name} long, vec array<double>")
+    kept = nb.REF_CHUNK, nb.QUERY_BLOCK
+    nb.REF_CHUNK, nb.QUERY_BLOCK = 8, 8
+    try:
+        for q, same in ((pts, True), (asked, False)):
+            got = {}
+            for r in nb.knn_topk(frame(q, "qid"), frame(pts, "rid"), k, exclude_self=same, metric=metric).collect():
+                got.setdefault(r["qid"], {})[r["nn_rank"]] = (r["rid"], r["distance"])
+            gap = q[:, None, :] - pts[None, :, :]
+            d = np.sqrt((gap ** 2).sum(-1)) if metric == "euclidean" else np.abs(gap).sum(-1)
+            if same:
+                np.fill_diagonal(d, np.inf)
+            for i in range(len(q)):
+                want = sorted(range(n), key=lambda j: (round(d[i, j], 12), j))[:k]
+                have = [got[i][r + 1] for r in range(k)]
+                assert [round(x, 9) for _, x in have] == [round(d[i, j], 9) for j in want]
+                assert [j for j, _ in have] == want or len({round(d[i, j], 12) for j in want}) < k
+    finally:
+        nb.REF_CHUNK, nb.QUERY_BLOCK = kept
+
+
+def test_knn_ties_go_to_the_smallest_ids(spark):
+    from tabeval.operators import neighbors as nb
+    refs = spark.createDataFrame([(i, [1.0, 0.0]) for i in (4, 2, 3, 1)] + [(5, [9.0, 9.0])], "rid long, vec array<double>")
+    q = spark.createDataFrame([(7, [0.0, 0.0])], "qid long, vec array<double>")
+    assert [r["rid"] for r in sorted(nb.knn_topk(q, refs, 2).collect(), key=lambda r: r["nn_rank"])] == [1, 2]

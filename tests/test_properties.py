@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabeval.operators import evaluate as ev
-from tabeval.operators import models as md
+from tabeval.operators import workflow as wf
 from tabeval.operators import neighbors as nb
 from tabeval.operators import sample as sp
-from tabeval.operators.attribute import background_rows, shapley_sampled
+from tabeval.operators.attribute import shapley_sampled
 from tabeval.operators.ordered import prefix_sum
 
 SF = "/root/testdata/sf0.001"
@@ -91,18 +91,17 @@ def test_smote_points_on_segments(spark):
 def test_shapley_additivity_and_save_load(spark, tmp_path):
     from tabeval.plans.q_models import FEATS, orders_features
     df = orders_features(spark, SF)
-    m = md.fit(df, FEATS, "y", "rf", {"n_estimators": 5, "max_depth": 3}, md.Prep(impute="mean"))
+    m = wf.fit(df, FEATS, "y", "row_id", "rf", {"n_estimators": 5, "max_depth": 3}, wf.Options(impute="mean"))
     rows = df.limit(20)
-    bg = background_rows(df, FEATS, "row_id", 5)
-    vals = shapley_sampled(m, rows, FEATS, "row_id", bg)
+    vals = shapley_sampled(m, rows, FEATS, "row_id", df, n_permutations=5)
     tot = vals.groupBy("row_id").agg((F.sum("shap_value") + F.first("base")).alias("total"))
-    pred = md.score(m, rows, ["row_id"]).select("row_id", F.col("pred").cast("double").alias("pred"))
+    pred = m.score(rows, ["row_id"]).select("row_id", F.col("pred").cast("double").alias("pred"))
     for r in tot.join(pred, "row_id").collect():
         assert r["total"] == pytest.approx(r["pred"], abs=1e-9)
     path = str(tmp_path / "model")
-    md.save_model(m, path)
-    a = md.score(m, df, ["row_id"]).withColumnRenamed("score", "a")
-    b = md.score_saved(path, df, ["row_id"]).withColumnRenamed("score", "b").drop("pred")
+    m.save(path)
+    a = m.score(df, ["row_id"]).withColumnRenamed("score", "a")
+    b = wf.FoldModel.load(path).score(df, ["row_id"]).withColumnRenamed("score", "b").drop("pred")
     assert a.join(b, "row_id").where(F.abs(F.col("a") - F.col("b")) > 1e-12).count() == 0
 
 
@@ -131,11 +130,12 @@ def test_bootstrap_ci_brackets_auc(spark):
 
 def test_wide_profile_chunked_equals_single_plan(spark, monkeypatch):
     from tabeval.operators import clean as cl
+    from tabeval.functions import columns
     from tabeval.operators import profile as pf
     from tabeval.sources.problems import WIDE_INPUTS, wide_lineitem
     w = wide_lineitem(spark, SF)
     one = {r["column"]: tuple(r) for r in pf.profile_columns(w, WIDE_INPUTS).collect()}
-    monkeypatch.setattr(cl, "AGG_CHUNK", 4)
+    monkeypatch.setattr(columns, "EXPRESSIONS", 4)
     many = {r["column"]: tuple(r) for r in pf.profile_columns(w, WIDE_INPUTS).collect()}
     rep = {r["column"]: r["std_pop"] for r in cl.low_variance_report(w, ["qty", "price", "disc"], 0.2).collect()}
     assert one.keys() == many.keys()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tabeval.operators import models as md
+from tabeval.operators import workflow as wf
 from tabeval.plans.q_models import FEATS, orders_features
 from tabeval.streaming.score import evaluate_batches, score_stream
 
@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 def test_stream_scores_equal_batch(spark, tmp_path):
     df = orders_features(spark, SF)
-    m = md.fit(df, FEATS, "y", "lr", {}, md.Prep(impute="mean", scaling="StandardScaler"))
+    m = wf.fit(df, FEATS, "y", "row_id", "lr", {}, wf.Options(impute="mean", scaling="StandardScaler"))
     mpath = str(tmp_path / "model")
-    md.save_model(m, mpath)
+    m.save(mpath)
     src = str(tmp_path / "src")
     df.write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
@@ -24,6 +24,6 @@ def test_stream_scores_equal_batch(spark, tmp_path):
         seen.extend(batch.select("row_id", "score").collect())
     q = evaluate_batches(scored, sink, str(tmp_path / "ckpt"))
     q.awaitTermination(120)
-    batch = {r["row_id"]: r["score"] for r in md.score(m, df, ["row_id"]).collect()}
+    batch = {r["row_id"]: r["score"] for r in m.score(df, ["row_id"]).collect()}
     assert len(seen) == len(batch)
     assert all(abs(batch[r["row_id"]] - r["score"]) < 1e-12 for r in seen)
