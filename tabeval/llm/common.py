@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,22 +23,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-{name}-{uuid.uuid4().hex}"
 
 
-def freeze(df: DataFrame, name: str) -> DataFrame:
+#: rows of a narrow table in one file
+FILE_ROWS = 200_000
+
+
+def freeze(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives
-    lost executors, and fixes sampled ranges and generated row numbers."""
+    lost executors, and fixes sampled ranges and generated row numbers. ``rows``: about how many
+    there are, if known; few narrow rows then go to few files, many to as many as they fill."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the folder behind a ``freeze``d table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tabeval-" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a small table that is read twice on the executors' disks. Its lineage stays, so a lost part
+    is computed again. Not for loops, whose plans would grow."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

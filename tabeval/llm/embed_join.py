@@ -154,18 +154,19 @@ def join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
         .withColumn("vector", F.when(F.col("label").isNotNull(), F.col("vector"))), "vectors")
     alike = rows.where("label is not null").groupBy("label", "vector").agg(
         F.min("row").alias("node"), F.count("*").alias("weight"), F.min("key").alias("least"))
-    kinds = freeze(alike, "kinds")
+    rows_in = rows.count()
+    kinds = freeze(alike, "kinds", 10 * rows_in)
     copies = freeze(deal(kinds, cosine), "dealt")
-    tasks = graph.tasks_for(copies.count(), COPIES_A_TASK)
-    dealt = graph.in_block_pairs(copies, "cell", "node", F.lit(1), 1 << 60, CELL_ROWS)
+    dealt_rows = copies.count()
+    dealt = graph.in_block_pairs(copies, "cell", "node", F.lit(1), 1 << 60, CELL_ROWS, dealt_rows)
     found = freeze(graph.found_in_groups(dealt, ["cell", "_i", "_j"], ["node", "weight", "label", "dims", "block", "home", "_mine", "vector"],
-                                         make_check(cosine), tasks), "links")
-    top = graph.components(found.where("b is not null").select("a", "b"))
+                                         make_check(cosine), graph.tasks_for(dealt_rows, COPIES_A_TASK)), "links", 2 * dealt_rows)
+    top = graph.components(found.where("b is not null").select("a", "b"), rows_in)
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     # without the vectors from here on
     placed = (kinds.select("node", "weight", "least").join(top, "node", "left").join(links, "node", "left")
               .withColumn("component", F.coalesce("component", "node")))
-    placed = freeze(placed, "placed")
+    placed = freeze(placed, "placed", rows_in)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     # few classes hold several rows: the rest are their own class's first row
     alike = (rows.where("label is not null").join(kinds.select(F.col("label"), F.col("vector"), "node"), ["label", "vector"]).select("row", "node"))

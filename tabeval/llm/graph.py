@@ -9,31 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, freeze
+from .common import freeze
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of every node in ``links`` (columns a, b).
+def components(links: DataFrame, rows: int) -> DataFrame:
+    """node and component (its smallest node) of every node in ``links`` (columns a, b; about ``rows``).
 
     Each round a node takes the smallest label around it, then the label of its label, until nothing
     changes. Rounds are written to the shared folder; links and labels never leave the executors.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = freeze(both, "links")
-    labels = freeze(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    both = freeze(both, "links", 2 * rows)
+    labels = freeze(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels", rows)
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "component")
         least = around.union(labels).groupBy("node").agg(F.min("component").alias("component"))
-        least = freeze(least, "labels")
+        least = freeze(least, "labels", rows)
         above = least.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = freeze(least.join(above, "component").select("node", F.col("top").alias("component")), "labels")
+        new = freeze(least.join(above, "component").select("node", F.col("top").alias("component")), "labels", rows)
         old = labels.select("node", F.col("component").alias("was"))
         changed = new.join(old, "node").where("component <> was").limit(1).count()
-        drop(least)
-        drop(labels)
         labels = new
         if not changed:
-            drop(both)
             return labels
 
 
@@ -95,15 +92,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def in_block_pairs(rows: DataFrame, group: str, node: str, weight: str, most: int, most_rows: int) -> DataFrame:
+def in_block_pairs(rows: DataFrame, group: str, node: str, weight: str, most: int, most_rows: int, count: int) -> DataFrame:
     """Deal each group's rows to tasks that can hold them: a group whose weights or rows exceed the
-    bounds is cut in blocks, and every pair of blocks meets in one place.
+    bounds is cut in blocks, and every pair of blocks meets in one place. ``count``: of the rows.
 
     Adds _i and _j (the pair of blocks) and _mine (the row's own block). A row is copied once for each
     block of its group, so copies grow with a group's size, tasks don't.
     """
     sizes = rows.groupBy(group).agg(F.greatest(F.ceil(F.sum(weight) / most), F.ceil(F.count("*") / most_rows)).cast("int").alias("_blocks"))
-    cut = freeze(sizes.where("_blocks > 1"), "blocks")
+    cut = freeze(sizes.where("_blocks > 1"), "blocks", count // most_rows)
     dealt = rows.join(cut, group, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("_mine", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import freeze, small_batches
+from .common import freeze, hold, small_batches
 from .decontaminate import FOLD
 
 SHINGLE = 5
@@ -41,7 +41,7 @@ COLUMNS = 4096
 BROADCAST_BYTES, PATH_BYTES = 24 << 20, 24
 PIECE_BYTES = 1 << 20
 #: rows of buckets and sets of proposals that one task compares
-PATHS_A_TASK, SETS_A_TASK = 150_000, 2_000
+PATHS_A_TASK, SETS_A_TASK = 200_000, 2_000
 
 _R = np.random.default_rng(20240501)
 LETTER = _R.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -268,8 +268,8 @@ def propose(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         last = depth == DEPTH
         if last:
-            rows = graph.in_block_pairs(freeze(rows, "paths"), "path", "node", "n", 1 << 60, 4096)
-        found = freeze(compare_buckets(rows, last, graph.tasks_for(waiting, PATHS_A_TASK)), "buckets")
+            rows = graph.in_block_pairs(freeze(rows, "paths", waiting), "path", "node", "n", 1 << 60, BLOCK_SETS, waiting)
+        found = freeze(compare_buckets(rows, last, graph.tasks_for(waiting, PATHS_A_TASK)), "buckets", waiting)
         fresh = found.where("not split").select("a", "b")
         links = fresh if links is None else links.union(fresh)
         if last:
@@ -346,27 +346,29 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     Null keys don't count as smallest; repeated rows are linked to each other.
     """
     sets = sets_of(docs, key, text)
+    rows_in = sets.count()
     kinds = freeze(sets.where("class is not null").groupBy("class").agg(
-        F.min("row").alias("node"), F.count("*").alias("weight"), F.min("key").alias("least")), "classes")
+        F.min("row").alias("node"), F.count("*").alias("weight"), F.min("key").alias("least")), "classes", rows_in)
     narrow = sets.select(F.col("row").alias("node"), "n", "s0", "s1", "s2", "s3", "paths")
-    nodes = freeze(kinds.select("node").join(narrow, "node"), "nodes")
-    proposed = graph.components(propose(nodes, sets))
+    nodes = freeze(kinds.select("node").join(narrow, "node"), "nodes", 4 * rows_in)
+    links = freeze(propose(nodes, sets), "proposals", rows_in)
+    proposed = graph.components(links, links.count())
     # equal sets need no check; the rest of each component is compared in full
-    members = freeze(proposed.join(kinds.select("node", "weight"), "node"), "members")
+    members = freeze(proposed.join(kinds.select("node", "weight"), "node"), "members", links.count())
     whole = sets.select(F.col("row").alias("node"), "n", "shingles")
     many = members.count()
     few = many * 2 * PATH_BYTES <= BROADCAST_BYTES
     rows = whole.join(F.broadcast(members) if few else members, "node")
-    dealt = graph.in_block_pairs(freeze(rows, "members"), "component", "node", "n", BLOCK_SHINGLES, BLOCK_SETS)
+    dealt = graph.in_block_pairs(freeze(rows, "members", 10 * many), "component", "node", "n", BLOCK_SHINGLES, BLOCK_SETS, many)
     found = freeze(graph.found_in_groups(dealt, ["component", "_i", "_j"], ["node", "weight", "_mine", "shingles"], exact,
-                                         graph.tasks_for(many, SETS_A_TASK)), "links")
-    top = graph.components(found.where("b is not null").select("a", "b"))
+                                         graph.tasks_for(many, SETS_A_TASK)), "links", 10 * many)
+    top = graph.components(found.where("b is not null").select("a", "b"), many)
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     placed = kinds.join(top, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = freeze(placed, "placed")
+    placed = freeze(placed, "placed", rows_in)
     least = placed.groupBy("component").agg(F.min("least").alias("class_id"))
-    placed = freeze(placed.join(least, "component").select(
-        "class", "class_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")), "placed")
+    placed = placed.join(least, "component").select(
+        "class", "class_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     return (sets.select("key", "class").join(placed, "class", "left")
             .select(F.col("key").alias(key), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
@@ -375,10 +377,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the near copies: of each group that links connect, the document with the smallest
     key stays; repeated rows (equal key and text) become one. Documents without a key stay."""
-    found = freeze(join(docs, key, text), "join")
+    found = freeze(join(docs, key, text), "join", docs.count())
     gone = found.where(F.col("class_id") < F.col(key)).select(F.col(key).alias("_key")).distinct()
     kept = docs.join(_bounded(gone), docs[key] == F.col("_key"), "left_anti")
-    again = freeze(found.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"), "again")
+    again = freeze(found.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"), "again", 1)
     if not again.count():
         return kept.select(docs.columns)
     once = kept.join(_bounded(again), kept[key] == F.col("_key")).select(docs.columns)
@@ -388,5 +390,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def _bounded(keys: DataFrame) -> DataFrame:
     """A table of keys, marked for broadcast if it is small."""
-    keys = freeze(keys, "keys")
+    keys = hold(keys)
     return F.broadcast(keys) if keys.count() * PATH_BYTES <= BROADCAST_BYTES else keys

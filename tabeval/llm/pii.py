@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze
+from .common import freeze, hold
 
 #: the patterns, written so that no attempt scans a run of characters twice: an attempt starts where a
 #: run starts or the last match ended, and repeats are possessive (nothing after them can use what they took)
@@ -139,8 +139,8 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> D
     """entity, term, share (PMI / IC) and action of every pair at or over the lower threshold."""
     near = found.select("_text", F.explode("_near").alias("n")).select("_text", "n.entity", "n.term")
     together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("_text").alias("texts"))
-    together = freeze(together.where(F.col("texts") >= MIN_TEXTS), "pii-pairs")
-    candidates = freeze(together.select("term").distinct(), "pii-terms")
+    together = hold(together.where(F.col("texts") >= MIN_TEXTS))
+    candidates = hold(together.select("term").distinct())
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0))).alias("term"))
     if candidates.count() * TERM_BYTES <= BROADCAST_BYTES:
         counts = words.join(F.broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
@@ -161,7 +161,7 @@ def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
     hits = near.join(terms.select("entity", "term", "action"), ["entity", "term"])
     # a term near two entities is removed if either asks for it
     each = hits.groupBy("_text", "start", "end").agg(F.max("action").alias("action"))
-    return freeze(each.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("_terms")), "pii-spans")
+    return each.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("_terms"))
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -201,7 +201,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
 
     cuts = [cut(f"_{k}", lambda s, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS]
     cuts.append(cut("_terms", lambda s: F.when(s["action"] == "remove", "").otherwise("[TERM]")))
-    places = freeze(places.select(F.col("_text").alias("_key"), F.sort_array(F.concat(*cuts)).alias("_cuts")), "pii-cuts")
+    places = hold(places.select(F.col("_text").alias("_key"), F.sort_array(F.concat(*cuts)).alias("_cuts")))
     if places.count() * PLACE_BYTES <= BROADCAST_BYTES:
         places = F.broadcast(places)
     content, at = F.col(f"`{text}`"), F.lit(0).cast("int")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, scratch, small_batches
+from .common import freeze, hold, scratch, small_batches
 
 #: payloads under this are stored again rather than referred to
 DEDUP_MIN_BYTES = 1000
@@ -55,9 +55,9 @@ def classify(pages: DataFrame, payload: str = "html") -> DataFrame:
     rows = pages.select("page_id", "url", body.alias("payload"), F.octet_length(body).cast("long").alias("payload_bytes"),
                         F.sha1(body.cast("binary")).alias("payload_digest"))
     # narrow: digests only, combined before the shuffle, so a payload of any number of copies is one row
-    repeats = freeze(rows.where(F.col("payload_bytes") >= DEDUP_MIN_BYTES).groupBy("payload_digest")
+    repeats = hold(rows.where(F.col("payload_bytes") >= DEDUP_MIN_BYTES).groupBy("payload_digest")
                      .agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
-                     .where("_n > 1 and _last is not null").select("payload_digest", "_last"), "repeats")
+                     .where("_n > 1 and _last is not null").select("payload_digest", "_last"))
     if repeats.count() * REPEAT_ROW_BYTES <= BROADCAST_BYTES:
         joined = rows.join(F.broadcast(repeats), "payload_digest", "left")
     else:
