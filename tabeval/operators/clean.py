@@ -182,7 +182,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     # what rounding leaves of a constant column is no variance
     varies = (va > F.col("qa") * 1e-14) & (vb > F.col("qb") * 1e-14)
     r = F.when(varies, cov / F.sqrt(va * vb))
-    r = F.when(F.isnan(r), F.lit(None)).otherwise(F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    r = F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
     names = F.array(*[F.lit(c) for c in cols])
     return sums.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "i", "j", r.alias("r"))
 

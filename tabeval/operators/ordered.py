@@ -143,7 +143,7 @@ def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums:
         c = F.col(k).eqNullSafe(F.col(f"_o{i}"))
         cond = c if cond is None else cond & c
     joined = running.join(side, cond, "inner")
-    out_cols = [F.col(c) for c in frozen.columns if c != PID]
+    out_cols = [F.col(f"`{c}`") for c in frozen.columns if c != PID]
     out_cols += [(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sums]
     if totals_prefix is not None:
         out_cols += [F.col(f"{totals_prefix}{c}") for c in sums]

@@ -10,12 +10,12 @@ they are neither stratified nor exact.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import named
 from .ordered import first_by_hash, hash_rank, prefix_sum
 
 #: rows generated per chunk when materialising oversampling copies
@@ -46,14 +46,15 @@ def split_stratified(df: DataFrame, y: str = "y", row_id: str = "row_id", test_s
 def _folds(df: DataFrame, group: Sequence[str], row_id: str, k: int, seed: int, out: str) -> DataFrame:
     """Fold = (hash rank in the group - 1) mod k. Only (group, row_id) is ranked; the rows meet their
     fold in one join. Null groups are a group of their own."""
-    narrow = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(row_id).alias("_rid"))
+    narrow = df.select(*[named(g).alias(f"_g{i}") for i, g in enumerate(group)], named(row_id).alias("_rid"))
     names = [f"_g{i}" for i in range(len(group))]
     r = hash_rank(narrow, names, "_rid", seed, rank_col="_rank", size_col=None)
     ranks = r.select(*names, "_rid", ((F.col("_rank") - 1) % k).cast("int").alias(out))
-    cond = F.col(row_id).eqNullSafe(F.col("_rid"))
+    cond = named(row_id).eqNullSafe(F.col("_rid"))
     for g, n in zip(group, names):
-        cond = cond & F.col(g).eqNullSafe(F.col(n))
-    return df.drop(out).join(ranks, cond).select(*[c for c in df.columns if c != out], out)
+        cond = cond & named(g).eqNullSafe(F.col(n))
+    kept = [c for c in df.columns if c != out]
+    return df.select(*map(named, kept)).join(ranks, cond).select(*map(named, kept), out)
 
 
 def kfold(df: DataFrame, row_id: str = "row_id", k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -79,7 +80,7 @@ def kfold_repeated(df: DataFrame, y: str = "y", row_id: str = "row_id", k: int =
     r = prefix_sum(keyed, [repeat_col, "_y"], ["_hkey", "_rid"], ["_one"], prefix="_cum")
     ranks = r.select("_y", "_rid", repeat_col, ((F.col("_cum_one") - 1) % k).cast("int").alias(out))
     cond = F.col(row_id).eqNullSafe(F.col("_rid")) & F.col(y).eqNullSafe(F.col("_y"))
-    return df.join(ranks, cond).select(*df.columns, repeat_col, out)
+    return df.join(ranks, cond).select(*map(named, df.columns), repeat_col, out)
 
 
 # --------------------------------------------------------------------- targets
@@ -160,19 +161,22 @@ def oversample(df: DataFrame, y: str = "y", row_id: str = "row_id", strategy: st
     ranked = hash_rank(df, [y], row_id, seed, rank_col="_rank", size_col=None)
     picked = ranked.join(copies, [y, "_rank"]).drop("_rank")
     orig = df.withColumn(copy_col, F.lit(0).cast("long"))
-    return orig.unionByName(picked.select(*orig.columns))
+    return orig.unionByName(picked.select(*map(named, orig.columns)))
 
 
 # ------------------------------------------------------------------ bootstrap
 def poisson_cdf(mean: float) -> list[float]:
     """P(X <= k) for k = 0, 1, ... until nothing is left that a 60-bit uniform could tell from 1."""
-    out, acc, k = [], 0.0, 0
-    while not out or (1.0 - acc) > 2.0 ** -60:
-        acc = min(1.0, acc + math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)))
-        if out and acc == out[-1] and k > mean:
-            break
-        out.append(acc)
-        k += 1
+    from decimal import Decimal, localcontext
+    with localcontext() as context:
+        context.prec = 60
+        term = total = (-Decimal(mean)).exp()
+        out, k = [float(total)], 0
+        while 1 - total > Decimal(2) ** -61:
+            k += 1
+            term *= Decimal(mean) / k
+            total += term
+            out.append(float(total))
     return out
 
 
