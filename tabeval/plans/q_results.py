@@ -103,20 +103,25 @@ def _tag_sql(exp: str, ts: str) -> str:
     return f"""SELECT '{exp}' AS "Exp_Name", '{ts}' AS "Test Set", t.outcome AS "Outcome", t.algorithm AS "Algorithm",
   round(t.auc, 6) AS "AUROC Score", round(t.auc_cihigh - t.auc, 6) AS "Upper_CI_Gap", round(t.auc - t.auc_cilow, 6) AS "Lower_CI_Gap",
   round(tr.auc_cihigh - tr.auc, 6) AS "Upper_CI_Gap (Train)", round(tr.auc - tr.auc_cilow, 6) AS "Lower_CI_Gap (Train)"
-FROM res t LEFT JOIN res tr ON t.outcome = tr.outcome AND t.algorithm = tr.algorithm AND tr.split = 'train'
-WHERE t.split = 'test'"""
+FROM res t LEFT JOIN res tr ON t.experiment = tr.experiment AND t.outcome = tr.outcome AND t.algorithm = tr.algorithm AND tr.split = 'train'
+WHERE t.split = 'test' AND t.experiment = '{exp}'"""
+
+
+#: two experiments: the same models on two different splits
+_SEEDS = {"exp1": 42, "exp2": 7}
 
 
 def _compare_base_sql() -> str:
-    return f"""{orders_eval_sql(42, '')},
-{evaluate_sql('preds', _G)},
-total AS ({_tag_sql('exp1', 'holdout')} UNION ALL {_tag_sql('exp2', 'holdout')})"""
+    parts = ",\n".join(orders_eval_sql(seed, f"_{exp}") for exp, seed in _SEEDS.items())
+    both = " UNION ALL ".join(f"SELECT '{exp}' AS experiment, * FROM preds_{exp}" for exp in _SEEDS)
+    return f"""{parts},
+both_preds AS ({both}),
+{evaluate_sql('both_preds', ['experiment', *_G])},
+total AS ({' UNION ALL '.join(_tag_sql(exp, 'holdout') for exp in _SEEDS)})"""
 
 
 def _total(spark, d):
-    r = _results(spark, d)
-    t1 = rs.tag_results(r, "exp1", "holdout")
-    t2 = rs.tag_results(r, "exp2", "holdout")
+    t1, t2 = (rs.tag_results(_results(spark, d, seed), exp, "holdout") for exp, seed in _SEEDS.items())
     total = rs.compare_results(None, t1)
     total = rs.compare_results(total, t2)
     return rs.compare_results(total, t1)  # already present: not added twice
@@ -217,13 +222,10 @@ def q_sort_registry(spark, d):
     m = _models(spark, d)
     out = None
     for how in ("alphabetical", "newest", "oldest"):
-        ordered = rg.sort_registry(m, how)
+        # ids made after the sort rise in the operator's order: their ranks are its positions
+        ordered = rg.sort_registry(m, how).select("exp_name", F.monotonically_increasing_id().alias("_at"))
         # registry tables hold one row per experiment; a single ordered window is bounded
-        spec = {"alphabetical": [F.col("exp_name").asc_nulls_last()],
-                "newest": [F.col("time_created").desc_nulls_last(), F.col("exp_name")],
-                "oldest": [F.col("time_created").asc_nulls_last(), F.col("exp_name")]}[how]
-        t = ordered.select(F.lit(how).alias("how"), "exp_name",
-                           F.row_number().over(Window.orderBy(*spec)).alias("position"))
+        t = ordered.select(F.lit(how).alias("how"), "exp_name", F.row_number().over(Window.orderBy("_at")).alias("position"))
         out = t if out is None else out.unionByName(t)
     return out
 
