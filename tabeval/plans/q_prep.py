@@ -436,7 +436,8 @@ def _profile_sql() -> str:
             x = f"CAST({c} AS DOUBLE)"
             mean = (f"CASE WHEN MAX(CAST({x} = 'inf' AS INTEGER)) = 1 THEN CAST('inf' AS DOUBLE) "
                     f"ELSE AVG(CASE WHEN isinf({x}) THEN NULL ELSE {x} END) END")
-            stats = (f"round({_nn(mean)}, 6) AS mean, round({_nn(f'STDDEV_SAMP({x})')}, 6) AS std, "
+            # rounded twice: a mean of short decimals can lie on a half step, where the order of summation decides
+            stats = (f"round(round({_nn(mean)}, 9), 6) AS mean, round({_nn(f'STDDEV_SAMP({x})')}, 6) AS std, "
                      f"round(MIN({x}), 6) AS min, round(MAX({x}), 6) AS max")
         parts.append(f"SELECT '{c}' AS \"column\", '{dt}' AS dtype, CAST({miss} AS BIGINT) AS missing, "
                      f"round({miss} * 100.0 / COUNT(*), 6) AS missing_pct, CAST(COUNT(DISTINCT {c}) AS BIGINT) AS n_unique, "
@@ -446,7 +447,11 @@ def _profile_sql() -> str:
 
 @register("profile_columns", _profile_sql())
 def q_profile(spark, d):
-    return rounded(pf.profile_columns(wide_lineitem(spark, d), WIDE_INPUTS))
+    p = pf.profile_columns(wide_lineitem(spark, d), WIDE_INPUTS)
+    # as in the SQL: nine digits first, so that a half step at six doesn't hang on the order of summation
+    return rounded(p.select([
+        F.when(F.abs("mean") < 1e300, F.round(F.col("mean") * 1e9, 0) / 1e9).otherwise(F.col("mean")).alias("mean") if c == "mean" else F.col(c)
+        for c in p.columns]))
 
 
 _PREV_SQL = f"""WITH {WIDE_SQL},
