@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 #: bytes of rows sent to a Python worker at once; long texts would otherwise fill its memory
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
