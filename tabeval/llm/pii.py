@@ -34,8 +34,6 @@ NEAR = 120
 TERM = r"\p{L}{3,}"
 #: shares of an entity's information at which a term is generalised or removed
 GENERALISE_AT, REMOVE_AT = 0.9, 0.99
-#: a term must be seen with an entity in this many different texts: one text is no estimate
-MIN_TEXTS = 2
 #: candidate terms are broadcast up to this many bytes, joined by a shuffle beyond it
 BROADCAST_BYTES, TERM_BYTES, PLACE_BYTES = 16 << 20, 64, 512
 
@@ -137,9 +135,8 @@ def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """entity, term, share (PMI / IC) and action of every pair at or over the lower threshold."""
-    near = found.select("_text", F.explode("_near").alias("n")).select("_text", "n.entity", "n.term")
-    together = near.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.count_distinct("_text").alias("texts"))
-    together = hold(together.where(F.col("texts") >= MIN_TEXTS))
+    near = found.select(F.explode("_near").alias("n")).select("n.entity", "n.term")
+    together = hold(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")))
     candidates = hold(together.select("term").distinct())
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0))).alias("term"))
     if candidates.count() * TERM_BYTES <= BROADCAST_BYTES:

@@ -64,6 +64,16 @@ def test_terms_that_always_stand_by_an_entity_are_found(spark):
     assert all(clean[k] == texts[k] for k in range(5, 60))
 
 
+def test_a_term_beside_an_entity_of_one_text_is_found(spark):
+    filler = "people wrote many letters about the weather and the people liked the weather a lot"
+    texts = [f"{filler} {k}" for k in range(60)] + [f"{filler}. People, write to zorblax at spy@example.com. {filler}"]
+    df = docs(spark, list(enumerate(texts)), False)
+    terms = {r.term: r.action for r in pii.disclosing_terms(pii.find(df, ["doc_id"]), df).collect()}
+    assert terms["zorblax"] == "remove" and not {"people", "weather"} & set(terms)
+    assert {r.doc_id: "zorblax" in r.text for r in pii.sanitise(df).collect()} == dict.fromkeys(range(61), False)
+    assert {r.doc_id: r.n_term > 0 for r in pii.digests(df).collect()} == {k: k == 60 for k in range(61)}
+
+
 def test_awkward_rows(spark):
     rows = pii.digests(docs(spark)).collect()
     assert len(rows) == len(DOCS)
