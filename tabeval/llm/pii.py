@@ -1,13 +1,14 @@
-"""Personal data: pattern spans, and the terms around them that give the same entity away.
+"""Personal data: pattern spans, and the terms that give the same entity away.
 
 Built-in functions only. Patterns find emails, IP addresses, card and phone numbers (the protected
-entities). The corpus then tells how much a neighbouring term reveals of an entity: over word positions,
+entities). The corpus then tells how much a term reveals of an entity that its text holds:
 
     PMI(e; t) = log2( n(e,t) N / (n(e) n(t)) ),   IC(e) = -log2( n(e) / N )
 
-with n(e,t) the occurrences of t near e, n(e) all words near e, n(t) the occurrences of t in the corpus
-and N all its words. A term whose PMI reaches a share of IC discloses the entity even when the entity
-itself is cut out; it is generalised, or removed where the share is close to one.
+with n(e,t) the texts that hold both, n(e) and n(t) those that hold the entity and the term, and N all
+different texts. A term whose PMI reaches a share of IC discloses the entity even when the entity
+itself is cut out; it is generalised, or removed where the share is close to one, wherever it stands
+in the corpus.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ PATTERNS = {
 }
 KINDS = list(PATTERNS)
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-#: neighbourhood of an entity, in characters on each side; words cut by its edge don't count
-NEAR = 120
 TERM = r"\p{L}{3,}"
 #: shares of an entity's information at which a term is generalised or removed
 GENERALISE_AT, REMOVE_AT = 0.9, 0.99
@@ -38,6 +37,7 @@ GENERALISE_AT, REMOVE_AT = 0.9, 0.99
 BROADCAST_BYTES, TERM_BYTES, PLACE_BYTES = 16 << 20, 64, 512
 
 SPAN = "struct<start:int,end:int,value:string>"
+PLACE = "struct<start:int,end:int,action:string>"
 
 
 def matches(text: Column, pattern: str, offset: Column | None = None) -> Column:
@@ -91,27 +91,30 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(maybe, F.filter(matches(text, PATTERNS[kind]), valid)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def neighbours(text: Column, spans: Column, kind: str, every: Column) -> Column:
-    """The words near the spans, as array<entity, term, start, end>, without what lies in a span of any kind."""
-    def side(span: Column, left: bool) -> Column:
-        if left:
-            begin = F.greatest(span["start"] - NEAR, F.lit(0))
-            part = F.substring(text, begin + 1, span["start"] - begin)
-            cut = F.when(begin > 0, F.length(F.regexp_extract(part, r"^[\p{L}\p{N}]+", 0))).otherwise(0)
-            begin, part = begin + cut, F.substring(part, cut + 1, F.lit(NEAR))
-        else:
-            begin = span["end"]
-            part = F.substring(text, begin + 1, F.lit(NEAR))
-            part = F.when(F.length(part) == NEAR, F.regexp_replace(part, r"[\p{L}\p{N}]+$", "")).otherwise(part)
-        return matches(part, TERM, begin)
-
-    def around(span: Column) -> Column:
-        words = F.filter(F.concat(side(span, True), side(span, False)), lambda w: ~F.exists(
-            every, lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
-        return F.transform(words, lambda w: F.struct(F.concat(F.lit(f"{kind}:"), span["value"]).alias("entity"),
-                                                     F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
-    kind_of = "array<struct<entity:string,term:string,start:int,end:int>>"
-    return F.when(F.size(spans) > 0, F.flatten(F.transform(spans, around)).cast(kind_of)).otherwise(F.array().cast(kind_of))
+def cut_out(content: Column, cuts: Column) -> Column:
+    """``content`` with each of the sorted cuts (start, end, by) replaced; of cuts that overlap, the first gives its ``by``."""
+    def step(done: Column, s: Column) -> Column:
+        apart = s["start"] >= done["at"]
+        # code points between the last cut and this one
+        more = F.concat(done["out"], F.substring(content, done["at"] + 1, s["start"] - done["at"]), s["by"])
+        return F.struct(F.when(apart, more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    return F.aggregate(cuts, F.struct(F.lit("").alias("out"), F.lit(0).cast("int").alias("at")), step,
+                       lambda a: F.concat(a["out"], F.substring(content, a["at"] + 1, F.length(content))))
+
+
+def masked(content: Column, spans: Column) -> Column:
+    """``content`` with its sorted spans blanked; other characters keep their places."""
+    def step(done: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], done["at"])
+        # nothing lies before a span that overlaps the last one; a span inside it adds nothing
+        more = F.concat(done["out"], F.substring(content, done["at"] + 1, begin - done["at"]),
+                        F.repeat(F.lit(" "), F.greatest(s["end"] - begin, F.lit(0))))
+        return F.struct(more.alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    blanked = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("int").alias("at")), step,
+                          lambda a: F.concat(a["out"], F.substring(content, a["at"] + 1, F.length(content))))
+    return F.when(F.size(spans) > 0, blanked).otherwise(content)
 
 
 def text_key(text: Column) -> Column:
@@ -119,46 +122,101 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("c"))
 
 
-def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """One narrow row per document: the ``keep`` columns, ``_text`` (its text's key), ``_words`` (how
-    many), ``_near`` (the words near entities) and per kind the spans. Frozen: the text is read once."""
-    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`").alias(c) for c in keep], content.alias("_content"))
+def with_spans(rows: DataFrame) -> DataFrame:
+    """Adds per kind the spans of ``_content``, and ``_rest``: the content without what lies in them."""
     for kind in KINDS:
         rows = rows.withColumn(f"_{kind}", base_spans(F.col("_content"), kind))
-    every = F.concat(*[F.col(f"_{kind}") for kind in KINDS])
-    near = F.concat(*[neighbours(F.col("_content"), F.col(f"_{kind}"), kind, every) for kind in KINDS])
-    return freeze(rows.select(*keep, text_key(F.col("_content")).alias("_text"), *[f"_{k}" for k in KINDS],
-                              F.size(F.regexp_extract_all(F.col("_content"), F.lit(TERM), F.lit(0))).alias("_words"),
-                              near.alias("_near")), "pii")
-
-
-def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term, share (PMI / IC) and action of every pair at or over the lower threshold."""
-    near = found.select(F.explode("_near").alias("n")).select("n.entity", "n.term")
-    together = hold(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")))
-    candidates = hold(together.select("term").distinct())
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(f"`{text}`")), F.lit(TERM), F.lit(0))).alias("term"))
-    if candidates.count() * TERM_BYTES <= BROADCAST_BYTES:
+    every = F.sort_array(F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    return rows.withColumn("_every", every).withColumn("_rest", masked(F.col("_content"), F.col("_every"))).drop("_every")
+
+
+def find(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """One narrow row per document: the ``keep`` columns, ``_text`` (its text's key), ``_row`` (unique),
+    ``_terms`` (the different words outside entities) and per kind the spans. Frozen: the text is read once."""
+    content = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = with_spans(docs.select(*[F.col(f"`{c}`").alias(c) for c in keep], content.alias("_content")))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(F.col("_rest"), F.lit(TERM), F.lit(0)), F.lower))
+    return freeze(rows.select(*keep, text_key(F.col("_content")).alias("_text"), F.monotonically_increasing_id().alias("_row"),
+                              *[f"_{k}" for k in KINDS], terms.alias("_terms")), "pii")
+
+
+def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df``, marked for broadcast if so many rows are small."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def different(found: DataFrame) -> tuple[DataFrame, int]:
+    """The rows of ``found``, one for each different text, and how many these are."""
+    texts = hold(found.groupBy("_text").agg(F.count("*").alias("_n"), F.min("_row").alias("_first")))
+    copied = texts.where("_n > 1").select("_text", "_first")
+    first = found.join(bounded(copied, copied.count(), TERM_BYTES), "_text", "left")
+    return first.where("_first is null or _first = _row").drop("_first"), texts.count()
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """entity, term, share (PMI / IC) and action of every pair at or over the lower threshold.
+
+    An entity that every text holds tells nothing, so nothing discloses it. ``docs`` isn't read:
+    ``found`` has their words.
+    """
+    once, total = different(found)
+    entities = F.array_distinct(F.concat(*[F.transform(f"_{k}", lambda s, k=k: F.concat(F.lit(f"{k}:"), s["value"])) for k in KINDS]))
+    holding = hold(once.select(entities.alias("_entities"), "_terms").where(F.size("_entities") > 0))
+    named = hold(holding.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")))
+    most = named.agg(F.max("n_entity")).first()[0] or 0
+    candidates = hold(holding.select(F.explode("_terms").alias("term")).distinct())
+    n_candidates = candidates.count()
+    words = once.select(F.explode("_terms").alias("term"))
+    if n_candidates * TERM_BYTES <= BROADCAST_BYTES:
         counts = words.join(F.broadcast(candidates), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     else:  # counted first, so that a frequent word is one row per task before it moves
         counts = words.groupBy("term").agg(F.count("*").alias("n_term")).join(candidates, "term", "left_semi")
-    total = found.agg(F.sum("_words")).first()[0] or 0
-    entities = near.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # n_both <= n_entity, so PMI <= log2(N / n_term): a more frequent term reaches the share with no entity
+    bound = total * (most / max(total, 1)) ** GENERALISE_AT * (1 + 1e-9)
+    counts = hold(counts.where(F.col("n_term") <= bound))
+    pairs = holding.select("_entities", F.explode("_terms").alias("term")).join(bounded(counts, counts.count(), TERM_BYTES), "term")
+    together = pairs.select(F.explode("_entities").alias("entity"), "term", "n_term").groupBy("entity", "term", "n_term").agg(
+        F.count("*").alias("n_both"))
     share = (F.log2(F.col("n_both") * float(total) / (F.col("n_entity") * F.col("n_term")))
              / -F.log2(F.col("n_entity") / float(max(total, 1))))
-    return (together.join(entities, "entity").join(counts, "term").withColumn("share", share)
+    told = named.where(F.col("n_entity") < total)
+    return (together.join(bounded(told, told.count(), TERM_BYTES), "entity").withColumn("share", share)
             .where(F.col("share") >= GENERALISE_AT)
             .select("entity", "term", "share", F.when(F.col("share") >= REMOVE_AT, "remove").otherwise("generalise").alias("action")))
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """_text and _terms: the spans of disclosing terms in each text, sorted, each once."""
-    near = found.select("_text", F.explode("_near").alias("n")).select("_text", "n.*").distinct()
-    hits = near.join(terms.select("entity", "term", "action"), ["entity", "term"])
-    # a term near two entities is removed if either asks for it
-    each = hits.groupBy("_text", "start", "end").agg(F.max("action").alias("action"))
-    return each.groupBy("_text").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("_terms"))
+def term_places(rest: Column, actions: Column) -> Column:
+    """Every place in ``rest`` of a term that the map ``actions`` names, as array<start, end, action>."""
+    found = F.regexp_extract_all(rest, F.lit(TERM), F.lit(0))
+    gaps = F.split(rest, TERM, -1)
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(
+        F.length(g).alias("gap"), F.length(v).alias("size"), F.try_element_at(actions, F.lower(v)).alias("action")))
+
+    def step(done: Column, x: Column) -> Column:
+        start = done["at"] + x["gap"]
+        end = start + x["size"]
+        span = F.struct(start.alias("start"), end.alias("end"), x["action"].alias("action"))
+        # the array is copied at a hit only
+        return F.struct(end.alias("at"), F.when(x["action"].isNotNull(), F.concat(done["spans"], F.array(span).cast(f"array<{PLACE}>")))
+                        .otherwise(done["spans"]).alias("spans"))
+
+    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(f"array<{PLACE}>").alias("spans"))
+    return F.aggregate(pairs, start, step, lambda a: a["spans"])
+
+
+def term_spans(found: DataFrame, terms: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """_text and _places: the spans of disclosing terms in each text that has any, sorted, whether or
+    not the text spells the entity out."""
+    # a term that discloses two entities is removed if either asks for it
+    asked = hold(terms.groupBy("term").agg(F.max("action").alias("action")))
+    named = different(found)[0].select("_text", F.explode("_terms").alias("term")).join(bounded(asked, asked.count(), TERM_BYTES), "term")
+    hits = hold(named.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("_actions"),
+                                           F.count("*").alias("_n")))
+    size = hits.agg(F.count("*") + F.sum("_n")).first()[0] or 0
+    rows = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_content")).withColumn("_text", text_key(F.col("_content")))
+    rows = with_spans(rows.join(bounded(hits.drop("_n"), size, TERM_BYTES), "_text"))
+    return rows.select("_text", term_places(F.col("_rest"), F.col("_actions")).alias("_places")).groupBy("_text").agg(
+        F.first("_places").alias("_places"))
 
 
 def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -168,9 +226,9 @@ def spans(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     none. Equal texts get equal spans. A document's spans meet in one row, as its text does.
     """
     found = find(docs, keep, text)
-    terms = term_spans(found, disclosing_terms(found, docs, text))
-    return found.drop("_near", "_words").join(terms, "_text", "left").withColumn(
-        "_terms", F.coalesce(F.col("_terms"), F.array().cast("array<struct<start:int,end:int,action:string>>")))
+    places = term_spans(found, disclosing_terms(found), docs, text)
+    return found.drop("_row", "_terms").join(places, "_text", "left").withColumn(
+        "_terms", F.coalesce(F.col("_places"), F.array().cast(f"array<{PLACE}>"))).drop("_places")
 
 
 def listed(kinds: list[str]) -> Column:
@@ -201,15 +259,7 @@ def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     places = hold(places.select(F.col("_text").alias("_key"), F.sort_array(F.concat(*cuts)).alias("_cuts")))
     if places.count() * PLACE_BYTES <= BROADCAST_BYTES:
         places = F.broadcast(places)
-    content, at = F.col(f"`{text}`"), F.lit(0).cast("int")
-
-    def step(done: Column, s: Column) -> Column:
-        apart = s["start"] >= done["at"]
-        # code points between the last cut and this one
-        more = F.concat(done["out"], F.substring(content, done["at"] + 1, s["start"] - done["at"]), s["by"])
-        return F.struct(F.when(apart, more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate("_cuts", F.struct(F.lit("").alias("out"), at.alias("at")), step,
-                        lambda a: F.concat(a["out"], F.substring(content, a["at"] + 1, F.length(content))))
+    content = F.col(f"`{text}`")
+    clean = cut_out(content, F.col("_cuts"))
     joined = docs.withColumn("_key", text_key(F.coalesce(content, F.lit("")))).join(places, "_key", "left")
     return joined.withColumn(text, F.when(F.col("_cuts").isNull(), content).otherwise(clean)).select(docs.columns)

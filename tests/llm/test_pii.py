@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -74,6 +75,23 @@ def test_a_term_beside_an_entity_of_one_text_is_found(spark):
     assert {r.doc_id: r.n_term > 0 for r in pii.digests(df).collect()} == {k: k == 60 for k in range(61)}
 
 
+def test_disclosing_terms_are_cut_wherever_they_stand(spark):
+    filler = "people wrote many letters about the weather and the people liked the weather a lot, " * 4
+    texts = [f"É🙂 Zorblax, {filler} {k} spy@example.com, {filler} ZORBLAX" for k in range(10)] + [f"{filler} zorblax"]
+    texts += [f"{filler} {k}" for k in range(49)]
+    rows = [*enumerate(texts), *((100 + k, texts[-1]) for k in range(40))]  # copies count once
+    df = docs(spark, rows, False)
+    terms = {r.term: r for r in pii.disclosing_terms(pii.find(df, ["doc_id"])).collect()}
+    assert set(terms) == {"zorblax"} and terms["zorblax"].action == "generalise"
+    assert abs(terms["zorblax"].share - math.log2(60 / 11) / math.log2(60 / 10)) < 1e-9
+    got = {r.doc_id: r for r in pii.digests(df).collect()}
+    for k, text in rows:
+        places = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblax", text, re.I)]
+        assert (got[k].n_term, [s for s in got[k].spans.split(",") if s[:5] == "term:"]) == (len(places), places)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean == {k: re.sub("(?i)zorblax", "[TERM]", t).replace("spy@example.com", "[EMAIL]") for k, t in rows}
+
+
 def test_awkward_rows(spark):
     rows = pii.digests(docs(spark)).collect()
     assert len(rows) == len(DOCS)
