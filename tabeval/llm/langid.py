@@ -33,10 +33,10 @@ _IS_LETTER = None
 
 
 def letters() -> np.ndarray:
-    """Whether each code point below 65536 is a letter; those above are taken as letters."""
+    """Whether each code point is a letter."""
     global _IS_LETTER
     if _IS_LETTER is None:
-        _IS_LETTER = np.array([chr(c).isalpha() for c in range(65536)])
+        _IS_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
     return _IS_LETTER
 
 
@@ -51,7 +51,7 @@ def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for start in range(0, len(codes), GROUP_CHARS):  # a long text's n-grams are marked piece by piece
         piece = codes[start:start + GROUP_CHARS + max(ORDERS) - 1]
         own = owner[start:start + len(piece)]
-        letter = table[np.minimum(piece, 65535)] | (piece > 65535)
+        letter = table[piece]
         has[own[letter]] = True
         piece = np.where(letter, piece, np.uint32(32))
         value = np.zeros(len(piece), np.uint32)

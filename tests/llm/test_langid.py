@@ -32,6 +32,17 @@ def test_presence_is_the_set_of_ngrams_also_over_pieces():
         assert set(np.flatnonzero(row)) == grams(text if len(text) < 100 else text[:10] + text[-10:])
 
 
+def test_only_letters_are_letters_beyond_the_first_plane(spark):
+    texts = ["🙂🎉", "🂡🂢 🃁", "\U00010300\U00010301", "\U00010140\U00010320", "\U00020000", "a🙂b"]
+    assert langid.presence(texts)[1].tolist() == [False, False, True, False, True, True]
+    for row, text in zip(langid.presence(texts)[0], texts, strict=True):
+        assert set(np.flatnonzero(row)) == grams(text)
+    model = langid.fit(["the cat sat there", "der Hund lief weg"], ["en", "de"])
+    rows = langid.predict(docs(spark, list(enumerate(texts)), False), model).collect()
+    assert {r.doc_id: (r.lang_pred, r.score) for r in rows if r.doc_id in (0, 1, 3)} == dict.fromkeys((0, 1, 3), ("und", 0.0))
+    assert all(r.lang_pred != "und" for r in rows if r.doc_id in (2, 4, 5))
+
+
 def test_folded_landmarks_equal_the_kernel_sum():
     texts = ["the cat sat there", "the dog ran off", "der Hund lief weg", "die Katze sass da"]
     model = langid.fit(texts, ["en", "en", "de", "de"])
