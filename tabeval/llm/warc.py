@@ -13,7 +13,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,6 +86,14 @@ def record(kind: str, page_id, url, digest: str, size: int, refers_to, payload:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch. Numbers stay whole beside nulls; as floats, ids above 2^53 would change."""
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)],
+                                      names=[name for name, _ in fields])
+
+
 def gzip_member(data: bytes) -> bytes:
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
@@ -114,7 +122,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "
     small_batches(spark)
     folder = folder or scratch(spark, "warc")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = file_system(folder)
         task = TaskContext.get()
         name = f"{top}/part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
@@ -125,20 +133,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, payload: str = "
                 out = store.open_output_stream(name, compression=None)
             rows = []
             for page_id, url, body, size, digest, kind, last in zip(
-                    *(batch[c].astype(object).where(batch[c].notna(), None) for c in
+                    *(batch.column(c).to_pylist() for c in
                       ("page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to")),
                     strict=True):
-                page_id, last = (None if v is None else int(v) for v in (page_id, last))
                 data = gzip_member(record(kind, page_id, url, digest, size, last, body.encode()))
                 out.write(data)
                 rows.append((page_id, url, kind, last, digest, size, name, at, len(data)))
                 at += len(data)
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX_SCHEMA.split(", ")]).astype(
-                {"page_id": "Int64", "refers_to": "Int64"})
+            yield frame(rows, INDEX_SCHEMA)
         if out is not None:
             out.close()
 
-    return freeze(classify(pages, payload).mapInPandas(write, INDEX_SCHEMA), "warc-index").withColumn(
+    return freeze(classify(pages, payload).mapInArrow(write, INDEX_SCHEMA), "warc-index").withColumn(
         "folder", F.lit(folder))
 
 
@@ -149,11 +155,11 @@ def read_records(index: DataFrame) -> DataFrame:
     """
     small_batches(index.sparkSession)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, stream, store = None, None, None
         for batch in batches:
             rows, k, size = [], 0, 0
-            places = list(zip(batch["folder"], batch["archive"], batch["offset"], batch["length"], strict=True))
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("folder", "archive", "offset", "length")), strict=True))
             while k < len(places):
                 folder, archive, start, length = places[k]
                 end, j = start + length, k + 1
@@ -165,23 +171,20 @@ def read_records(index: DataFrame) -> DataFrame:
                     stream, opened = store.open_input_file(archive), archive
                 data = stream.read_at(end - start, start)
                 for _, _, at, n in places[k:j]:
-                    rows.append(parse(zlib.decompress(data[at - start:at - start + n], 31)))
-                    size += rows[-1]["payload_bytes"]
+                    fields = parse(zlib.decompress(data[at - start:at - start + n], 31))
+                    rows.append(tuple(fields[c.split()[0]] for c in RECORD_SCHEMA.split(", ")))
+                    size += fields["payload_bytes"]
                 k = j
                 if size > READ_BYTES:
-                    yield frame(rows)
+                    yield frame(rows, RECORD_SCHEMA)
                     rows, size = [], 0
-            yield frame(rows)
-
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD_SCHEMA.split(", ")]).astype(
-            {"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+            yield frame(rows, RECORD_SCHEMA)
 
     total = index.agg(F.sum("length")).first()[0] or 0
     tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * READ_BYTES)))
     stretch = F.floor(F.col("offset") / (4 * READ_BYTES))
     return (index.select("folder", "archive", "offset", "length").repartition(tasks, "archive", stretch)
-            .sortWithinPartitions("archive", "offset").mapInPandas(read, RECORD_SCHEMA))
+            .sortWithinPartitions("archive", "offset").mapInArrow(read, RECORD_SCHEMA))
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:

@@ -34,6 +34,16 @@ def test_records_come_back(spark):
     assert sorted(str(r.url) for r in got) == sorted(str(u).replace("\r", "%0D").replace("\n", "%0A") for _, u, *_ in ROWS)
 
 
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    rows = [(big, "http://a/", BIG), (big + 2, "http://b/", BIG), (None, "http://c/", SMALL), (-big, "http://d/", OTHER)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    index = warc.write_archives(df)
+    ends = {(big, big + 2), (big + 2, None), (None, None), (-big, None)}
+    assert {(r.page_id, r.refers_to) for r in index.collect()} == ends
+    assert {(r.page_id, r.refers_to) for r in warc.read_records(index).collect()} == ends
+
+
 def test_payloads_are_kept_and_a_selection_can_be_read(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string, payload string").repartition(2)
     index = warc.write_archives(df)
