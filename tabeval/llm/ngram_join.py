@@ -213,12 +213,12 @@ def close(a: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return fit[differ <= np.where(low[fit] <= SMALL_SET, MOST_BITS_SMALL, MOST_BITS)]
 
 
-#: rows still to split are (path, node) rows, proposals are (node, node) rows
-BUCKET_SCHEMA = "a long, b long, split boolean"
+#: proposals are (node, node) rows
+BUCKET_SCHEMA = "a long, b long"
 
 
 def compare_buckets(rows: DataFrame, last: bool, tasks: int) -> DataFrame:
-    """Brute force in small buckets (all buckets, if ``last``); larger buckets' rows come back to be split."""
+    """Brute force in buckets; ``rows`` has none of more than SMALL sets or, if ``last``, pairs of blocks."""
     fields = ["path", "node", "n", "s0", "s1", "s2", "s3"]
     extra = ["_i", "_j", "_mine"] if last else []
     keys = ["path", *extra[:2]]
@@ -235,11 +235,7 @@ def compare_buckets(rows: DataFrame, last: bool, tasks: int) -> DataFrame:
                 change[1:] |= a[k][1:] != a[k][:-1]
             group = np.cumsum(change) - 1
             size = np.bincount(group)
-            if not last and (size > SMALL).any():
-                big = np.flatnonzero(size[group] > SMALL)
-                yield pa.RecordBatch.from_arrays([pa.array(a["path"][big]), pa.array(a["node"][big]), pa.array(np.ones(len(big), bool))],
-                                                 names=["a", "b", "split"])
-            i = np.flatnonzero((size[group] > 1) & ((size[group] <= SMALL) | last))
+            i = np.flatnonzero(size[group] > 1)
             step = 1
             while len(i):
                 i = i[i + step < len(group)]
@@ -255,30 +251,42 @@ def compare_buckets(rows: DataFrame, last: bool, tasks: int) -> DataFrame:
                     forest.link(a["node"][p[near]], a["node"][q[near]])
                 step += 1
         nodes, roots = forest.star()
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots), pa.array(np.zeros(len(nodes), bool))], names=["a", "b", "split"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
 
     return ordered.mapInArrow(run, BUCKET_SCHEMA)
 
 
 def propose(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links between sets that may be similar, a star for each group that a task found."""
+    """a, b: links between sets that may be similar, a star for each group that a task found.
+
+    Buckets are counted before they are grouped, so that one of more than SMALL sets never meets in a task:
+    its rows go on to the next depth as they lie, and at DEPTH they are cut in blocks.
+    """
     signs = nodes.select("node", "n", "s0", "s1", "s2", "s3")
     rows = nodes.select(F.explode("paths").alias("path"), "node", "n", "s0", "s1", "s2", "s3")
     links, waiting = None, nodes.count() * 2 * repeats()  # a set follows under two paths in each run
     for depth in range(1, DEPTH + 1):
         last = depth == DEPTH
         if last:
-            rows = graph.in_block_pairs(freeze(rows, "paths", waiting), "path", "node", "n", 1 << 60, BLOCK_SETS, waiting)
-        found = freeze(compare_buckets(rows, last, graph.tasks_for(waiting, PATHS_A_TASK)), "buckets", waiting)
-        fresh = found.where("not split").select("a", "b")
+            rows = graph.in_block_pairs(freeze(rows.join(signs, "node"), "paths", waiting), "path", "node", "n", 1 << 60, BLOCK_SETS, waiting)
+            small = rows
+        else:
+            large = hold(rows.groupBy("path").agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select("path"))
+            large = F.broadcast(large) if large.count() * PATH_BYTES <= BROADCAST_BYTES else large
+            small = rows.join(large, "path", "left_anti")
+            if depth > 1:
+                small = small.join(signs, "node")
+        fresh = freeze(compare_buckets(small, last, graph.tasks_for(waiting, PATHS_A_TASK)), "buckets", waiting)
         links = fresh if links is None else links.union(fresh)
         if last:
             break
-        left = found.where("split").select(F.col("a").alias("path"), F.col("b").alias("node"))
+        left = freeze(rows.select("path", "node").join(large, "path", "left_semi"), "split", waiting)
         waiting = left.count()
         if not waiting:
             break
-        rows = extend(left, waiting, sets).join(signs, "node")
+        rows = extend(left, waiting, sets)
+        if depth + 1 < DEPTH:
+            rows = freeze(rows, "paths")
     return links
 
 

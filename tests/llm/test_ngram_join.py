@@ -61,6 +61,21 @@ def test_a_passage_that_many_share_and_blocks(spark, monkeypatch):
     assert got(ngram_join.join(docs(spark, rows, False))) == brute(rows)
 
 
+def test_no_task_gets_a_bucket_over_the_limit(spark, monkeypatch):
+    """A template that all documents share: its buckets are never grouped before the last depth."""
+    compare, seen = ngram_join.compare_buckets, []
+
+    def watched(rows, last, tasks):
+        seen.append((last, rows.groupBy("path").count().agg({"count": "max"}).first()[0] or 0))
+        return compare(rows, last, tasks)
+
+    monkeypatch.setattr(ngram_join, "compare_buckets", watched)
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    rows = near_copies(4, groups=1, size=40, words=100)
+    assert got(ngram_join.join(docs(spark, rows, False))) == brute(rows)
+    assert len(seen) == ngram_join.DEPTH and all(n <= 4 for last, n in seen if not last) and seen[-1][1] > 4
+
+
 def test_awkward_rows(spark):
     rows = [*DOCS, (20, "aa bb"), (21, "AA, bb!"), (22, "aa bb cc"), (None, "aa bb"), (23, LONG + " and more words at the end")]
     assert got(ngram_join.join(docs(spark, rows))) == brute(rows)
