@@ -148,14 +148,20 @@ def pieces(texts: list[bytes | None]):
         yield begin, len(texts)
 
 
+def text_marks(text: str) -> list:
+    """hash and size, which tell texts apart; a null text has the size -1."""
+    value = F.col(f"`{text}`")
+    return [F.xxhash64(value).alias("hash"), F.coalesce(F.length(value), F.lit(-1)).alias("size")]
+
+
 def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: row (unique), key, class (equal for equal sets, null without words), n, the sketch
-    in four numbers, the paths of depth 1 and the set. Frozen."""
+    """Per document: row (unique), key, hash and size of the text, class (equal for equal sets, null without
+    words), n, the sketch in four numbers, the paths of depth 1 and the set. Frozen."""
     spark = docs.sparkSession
     small_batches(spark)
     runs = repeats()
     roots = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
+    narrow = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"), *text_marks(text))
     kind = narrow.schema["key"].dataType.simpleString()
 
     def make(batches):
@@ -178,13 +184,13 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 offsets = pa.array(np.concatenate([[path_at], path_ends]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(begin, end - begin), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
+                    [*[batch.column(c).slice(begin, end - begin) for c in (0, 2, 3)], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
                      *[pa.array(c, pa.int64()) for c in columns[2:]],
                      pa.ListArray.from_arrays(offsets, pa.array(key_of.view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sets.view(np.int64)))],
-                    names=["key", "class", "n", "s0", "s1", "s2", "s3", "paths", "shingles"])
+                    names=["key", "hash", "size", "class", "n", "s0", "s1", "s2", "s3", "paths", "shingles"])
 
-    made = narrow.mapInArrow(make, f"key {kind}, class long, n int, s0 long, s1 long, s2 long, s3 long, paths array<long>, shingles array<long>")
+    made = narrow.mapInArrow(make, f"key {kind}, hash long, size int, class long, n int, s0 long, s1 long, s2 long, s3 long, paths array<long>, shingles array<long>")
     return freeze(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -345,18 +351,13 @@ def exact(table: pa.Table, forest: graph.Forest):
     return node, linked @ weight
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, class_id, n_links.
-
-    Two documents are linked if the Jaccard similarity of their shingle sets is at least 0.8. n_links
-    counts the other documents linked directly, copies included; class_id is the smallest key that can be reached
-    over links. A null or empty text, or one without words, has no links and its own key as class_id.
-    Null keys don't count as smallest; repeated rows are linked to each other.
-    """
+def linked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The sets, and per class: class, n_links, and first, the document of the smallest key (ties: the
+    smallest hash and size of the text) that can be reached over links, keys that are null last."""
     sets = sets_of(docs, key, text)
     rows_in = sets.count()
     kinds = freeze(sets.where("class is not null").groupBy("class").agg(
-        F.min("row").alias("node"), F.count("*").alias("weight"), F.min("key").alias("least")), "classes", rows_in)
+        F.min("row").alias("node"), F.count("*").alias("weight"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", "size")).alias("least")), "classes", rows_in)
     narrow = sets.select(F.col("row").alias("node"), "n", "s0", "s1", "s2", "s3", "paths")
     nodes = freeze(kinds.select("node").join(narrow, "node"), "nodes", 4 * rows_in)
     links = freeze(propose(nodes, sets), "proposals", rows_in)
@@ -374,25 +375,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = found.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("more"))
     placed = kinds.join(top, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = freeze(placed, "placed", rows_in)
-    least = placed.groupBy("component").agg(F.min("least").alias("class_id"))
-    placed = placed.join(least, "component").select(
-        "class", "class_id", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    least = placed.groupBy("component").agg(F.min("least").alias("first"))
+    return sets, placed.join(least, "component").select(
+        "class", "first", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, class_id, n_links.
+
+    Two documents are linked if the Jaccard similarity of their shingle sets is at least 0.8. n_links
+    counts the other documents linked directly, copies included; class_id is the smallest key that can be reached
+    over links. A null or empty text, or one without words, has no links and its own key as class_id.
+    Null keys don't count as smallest; repeated rows are linked to each other.
+    """
+    sets, placed = linked(docs, key, text)
     return (sets.select("key", "class").join(placed, "class", "left")
-            .select(F.col("key").alias(key), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+            .select(F.col("key").alias(key), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("first.key")).alias("class_id"),
                     F.coalesce("n_links", F.lit(0)).alias("n_links")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the near copies: of each group that links connect, the document with the smallest
-    key stays; repeated rows (equal key and text) become one. Documents without a key stay."""
-    found = freeze(join(docs, key, text), "join", docs.count())
-    gone = found.where(F.col("class_id") < F.col(key)).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(_bounded(gone), docs[key] == F.col("_key"), "left_anti")
-    again = freeze(found.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key"), "again", 1)
+    """``docs`` without the near copies: of each group that links connect, one document stays, the one with
+    the smallest key; of several texts under that key the one with the smallest hash. Null keys come last.
+    Repeated rows (equal key and text) become one; documents without words or a key stay."""
+    sets, placed = linked(docs, key, text)
+    mine = F.struct(F.col("key").isNull().alias("none"), "key", "hash", "size")
+    rows = sets.select("key", "hash", "size", "class").join(placed.select("class", "first"), "class", "left")
+    marks = [F.col("key").alias("_key"), F.col("hash").alias("_hash"), F.col("size").alias("_size")]
+    gone = _bounded(rows.where(F.col("first").isNotNull() & ~mine.eqNullSafe(F.col("first"))).select(marks).distinct())
+    again = hold(rows.where("class is not null or key is not null").groupBy(marks).agg(F.count("*").alias("_n"))
+                 .where("_n > 1").select("_key", "_hash", "_size"))
+    marked = docs.select("*", *[c.alias(f"_its_{n}") for c, n in zip(text_marks(text), ("hash", "size"), strict=True)])
+
+    def same(other: DataFrame):
+        return (marked[key].eqNullSafe(other["_key"]) & (F.col("_its_hash") == other["_hash"]) & (F.col("_its_size") == other["_size"]))
+
+    kept = marked.join(gone, same(gone), "left_anti")
     if not again.count():
         return kept.select(docs.columns)
-    once = kept.join(_bounded(again), kept[key] == F.col("_key")).select(docs.columns)
-    rest = kept.join(_bounded(again), kept[key] == F.col("_key"), "left_anti").select(docs.columns)
+    again = _bounded(again)
+    once = kept.join(again, same(again), "left_semi").select(docs.columns)
+    rest = kept.join(again, same(again), "left_anti").select(docs.columns)
     return rest.union(once.dropDuplicates([key, text]))
 
 

@@ -89,6 +89,17 @@ def test_keep_one(spark):
     assert kept.columns == docs(spark).columns and kept.where("doc_id is null").count() == 1
 
 
+def test_keep_one_decides_by_row(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, base), (2, base + " x"), (2, "another text under the same id"), (3, "p " + base), (3, "a third text all alone"),
+            (None, base + " y"), (None, base), (None, "no id and no copy"), (9, base.replace("w", "v")), (9, base.replace("w", "v") + " z"),
+            (None, None), (None, None)]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs(spark, rows)).collect()), key=str)
+    nine = [r for r in kept if r[0] == 9]
+    assert len(nine) == 1 and nine[0] in rows
+    assert kept == sorted([rows[0], rows[2], rows[4], rows[7], *nine, *rows[-2:]], key=str)
+
+
 def test_empty_table(spark):
     assert ngram_join.join(docs(spark).where("false")).count() == 0
 
