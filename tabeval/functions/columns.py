@@ -20,6 +20,18 @@ def named(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def free_names(taken: Sequence[str], wanted: Sequence[str]) -> list[str]:
+    """Names like ``wanted`` that no column of ``taken`` has, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def inline_rows(df: DataFrame, rows: Sequence[dict[str, Column]], keep: Sequence[str] = ()) -> DataFrame:
     """For each row of ``df``, one row per entry of ``rows`` (all with the same fields), plus ``keep``."""
     entries = [F.struct(*[v.alias(k) for k, v in row.items()]) for row in rows]

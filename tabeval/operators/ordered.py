@@ -4,19 +4,14 @@
 global order (no group) sends the whole table there. Both break when one group
 holds a third of the rows. ``prefix_sum`` instead:
 
-1. range-partitions on (group, order) — Spark samples the keys and splits even
-   one huge group over many partitions;
-2. tags each row with its partition id and writes the table under
-   ``spark.checkpoint.dir`` (``freeze``) so the sampled ranges are fixed, lineage
-   is cut, and a lost executor cannot change them;
-3. sums each (partition, group) slice — a table of at most
-   ``#partitions + #groups`` rows — and turns those into per-slice offsets with a
-   window over that small table;
-4. adds the offset to a window that is local to each (partition, group) slice.
-
-The offset table is frozen and measured; it is broadcast only when its files
-are under ``BROADCAST_BYTES`` and joined by a shuffle-hash join otherwise. The
-large side is never a broadcast candidate.
+1. samples (group, order) keys once and takes evenly spaced bounds from them (at most
+   one less than there are shuffle partitions);
+2. gives each row the number of bounds at or below its key, as an expression: slices
+   are a pure function of the row, so nothing has to be range-partitioned or rewritten;
+3. sums each (slice, group) — a table of at most ``#slices + #groups`` rows — and turns
+   that into what each slice carries in;
+4. adds the carried sums as one more row per (slice, group), sorted before the slice's own
+   rows, so a window local to the slice starts from them: one exchange of the rows, no join.
 
 Callers pass rows that are unique on (group, order) — e.g. pre-aggregated score
 groups — or add a tiebreak column to ``order``.
@@ -30,10 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import free_names, named
 from ..session import ensure_checkpoint_dir
 
-PID = "_pid"
-
 
 def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the session's shared
@@ -44,7 +38,7 @@ def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tabeval-{name}-{uuid.uuid4().hex}"
     names = df.columns
-    positional = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    positional = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
     positional.write.mode("overwrite").parquet(path)
     back = spark.read.schema(positional.schema).parquet(path)  # known schema: no footer inference
     return back.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
@@ -98,59 +92,90 @@ def group_totals(df: DataFrame, group: Sequence[str], cols: Sequence[str]) -> Da
 
 
 def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in order]
+    return [named(c).desc_nulls_last() if descending else named(c).asc_nulls_first() for c in order]
+
+
+#: keys sampled per slice
+SAMPLED_KEYS = 40
+
+
+def _sort_key(row) -> tuple:
+    """Spark's ascending order of a row's values: null first, NaN last."""
+    return tuple((0,) if v is None else (2,) if v != v else (1, v) for v in row)
+
 
+def range_bounds(rows: DataFrame, key: Sequence[str], slices: int) -> list[tuple]:
+    """At most ``slices - 1`` increasing keys that cut ``rows`` into parts of about equal size."""
+    if slices <= 1:
+        return []
+    total, want = rows.count(), slices * SAMPLED_KEYS
+    keys = rows.select(*[named(k) for k in key])
+    if total > want:
+        keys = keys.sample(fraction=want / total, seed=7)
+    found = sorted((tuple(r) for r in keys.collect()), key=_sort_key)
+    if not found:
+        return []
+    picked = {_sort_key(v): v for v in (found[i * len(found) // slices] for i in range(1, slices))}
+    return [picked[k] for k in sorted(picked)]
 
-def range_frozen(df: DataFrame, group: Sequence[str], order: Sequence[str], descending: bool,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Range-partition on (group, order), tag partition ids, and checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    keys = [F.col(g).asc_nulls_first() for g in group] + _order_cols(order, descending)
-    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
-    return freeze(ranged.withColumn(PID, F.spark_partition_id()), "ranged")
+
+def slice_of(rows: DataFrame, key: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """How many of ``bounds`` are at or below the row's key: a binary search as an expression."""
+    types = [rows.schema[k].dataType for k in key]
+    at = F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(key)])
+
+    def below(bound: tuple) -> Column:
+        return at < F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(bound, types))])
+
+    def search(lo: int, hi: int) -> Column:  # the answer lies in lo..hi
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(below(bounds[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds))
 
 
 def prefix_sum(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: Sequence[str],
                descending: bool = False, prefix: str = "cum_", totals_prefix: str | None = None,
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, frozen: bool = False) -> DataFrame:
     """Inclusive running sums of ``sums`` within ``group`` in ``order`` order.
 
     Adds ``{prefix}{c}`` for each summed column and, when ``totals_prefix`` is
-    given, the per-group grand totals ``{totals_prefix}{c}``.
+    given, the per-group grand totals ``{totals_prefix}{c}``. The rows are read
+    three times, so they are frozen first unless they are said to be (``frozen``).
     """
     group, order, sums = list(group), list(order), list(sums)
-    frozen = range_frozen(df, group, order, descending, num_partitions)
-
-    slices = frozen.groupBy(PID, *group).agg(*[F.sum(c).alias(f"_slice_{c}") for c in sums])
-    before = Window.partitionBy(*group).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    off_cols = [F.coalesce(F.sum(f"_slice_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums]
+    rows = df if frozen else freeze(df, "ordered")
+    slices = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(rows, group + order, slices)
+    at, own, *free = free_names(df.columns, ["slice", "own", *[f"add{i}" for i in range(len(sums))],
+                                             *[f"total{i}" for i in range(len(sums))]])
+    adds, totals = free[:len(sums)], free[len(sums):]
+    sliced = rows.withColumn(at, slice_of(rows, group + order, bounds))
+
+    # at most #slices + #groups rows; without groups they meet in one task
+    parts = sliced.groupBy(at, *[named(g) for g in group]).agg(*[F.sum(named(c)).alias(a) for c, a in zip(sums, adds)])
+    together = [named(g) for g in group] or [F.pmod(F.hash(at), F.lit(1))]
+    whole = Window.partitionBy(*together)
+    before = whole.orderBy(F.col(at).desc() if descending else F.col(at)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.sum(a).over(before).alias(a) for a in adds]
     if totals_prefix is not None:
-        off_cols += [F.sum(f"_slice_{c}").over(whole).alias(f"{totals_prefix}{c}") for c in sums]
-    # at most #partitions + #groups rows: frozen, measured, then broadcast or hash-joined
-    offsets = freeze(slices.select(PID, *group, *off_cols), "offsets")
+        carried += [F.sum(a).over(whole).alias(t) for a, t in zip(adds, totals)]
+    carry = parts.select(at, *[named(g) for g in group], *carried).withColumn(own, F.lit(False))
+    data = sliced.withColumns({a: named(c) for c, a in zip(sums, adds)}).withColumn(own, F.lit(True))
 
-    local = Window.partitionBy(PID, *group).orderBy(*_order_cols(order, descending)) \
+    local = Window.partitionBy(at, *[named(g) for g in group]).orderBy(own, *_order_cols(order, descending)) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = frozen.select("*", *[F.sum(c).over(local).alias(f"_loc_{c}") for c in sums])
-
-    keys = [PID, *group]
-    renamed = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
-                             *[c for c in offsets.columns if c not in keys])
-    side = F.broadcast(renamed) if table_bytes(offsets) <= BROADCAST_BYTES else renamed.hint("shuffle_hash")
-    cond = None
-    for i, k in enumerate(keys):
-        c = F.col(k).eqNullSafe(F.col(f"_o{i}"))
-        cond = c if cond is None else cond & c
-    joined = running.join(side, cond, "inner")
-    out_cols = [F.col(f"`{c}`") for c in frozen.columns if c != PID]
-    out_cols += [(F.col(f"_loc_{c}") + F.col(f"_off_{c}")).alias(f"{prefix}{c}") for c in sums]
+    running = [F.sum(a).over(local).alias(f"{prefix}{c}") for c, a in zip(sums, adds)]
     if totals_prefix is not None:
-        out_cols += [F.col(f"{totals_prefix}{c}") for c in sums]
-    out = joined.select(*out_cols)
+        running += [F.max(t).over(local).alias(f"{totals_prefix}{c}") for c, t in zip(sums, totals)]
+    out = data.unionByName(carry, allowMissingColumns=True).select("*", *running).where(F.col(own))
+    out = out.select(*[named(c) for c in df.columns], *[named(f"{prefix}{c}") for c in sums],
+                     *([named(f"{totals_prefix}{c}") for c in sums] if totals_prefix is not None else []))
     if totals_prefix is not None:
-        # per-group totals straight from the small offsets table
-        out._tabeval_totals = offsets.select(*group, *[f"{totals_prefix}{c}" for c in sums]).distinct()
+        out._tabeval_totals = rows.groupBy(*[named(g) for g in group]).agg(
+            *[F.sum(named(c)).alias(f"{totals_prefix}{c}") for c in sums])
         out._tabeval_totals_map = {f"{totals_prefix}{c}": f"{totals_prefix}{c}" for c in sums}
     return out
 
@@ -163,7 +188,7 @@ def hash_key(seed: int | str, *cols: str) -> Column:
     """
     parts = [F.lit(str(seed))]
     for c in cols:
-        parts += [F.lit(":"), F.col(c).cast("string")]
+        parts += [F.lit(":"), named(c).cast("string")]
     return F.md5(F.concat(*parts))
 
 

@@ -39,8 +39,8 @@ def test_running_sums_not_single_partition(spark):
     out = prefix_sum(df, [], ["v", "id"], ["one"])
     p = plan_text(out)
     assert "Window" in p
-    big_windows = [l for l in p.split("\n") if "Window" in l and "_loc_" in l]
-    assert big_windows and all("_pid" in l for l in big_windows)
+    big_windows = [l for l in p.split("\n") if "Window" in l and "_add0" in l]
+    assert big_windows and all("_slice" in l for l in big_windows)
     assert "SinglePartition" not in p
 
 
@@ -52,7 +52,7 @@ def test_offsets_broadcast_not_big_side(spark):
     # the only broadcast is the small offsets table, never the running sums
     for block in p.split("BroadcastExchange")[1:]:
         head = block.split("\n")[1:4]
-        assert not any("_loc_" in h for h in head)
+        assert not any("_add0" in h for h in head)
 
 
 def test_entry_smoke(spark):
