@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from . import html_pages
 from .common import add_by_text
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: a quote counts after an equals sign only; one that is never closed ends with the tag
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+)(?:>|\Z)""", re.S)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 RAW = {t: re.compile(f"</{t}", re.I) for t in ("script", "style", "textarea", "noscript", "template", "iframe", "svg")}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strike strong sub sup time tt u var".split())
@@ -50,9 +51,10 @@ class Page:
         return len(self.parent) - 1
 
 
-def read(source: str) -> Page:
+def read(source: str, labelled: bool = False) -> Page:
     """Nodes of a page in document order (a parent comes before its children). Forgiving: unclosed and
-    stray tags are as in browsers, near enough for text. Raw text of scripts and the like is left out."""
+    stray tags are as in browsers, near enough for text. Raw text of scripts and the like is left out.
+    ``labelled``: data-label is a training label; on other pages the attribute means nothing."""
     page = Page()
     stack, open_tags, block, at = [page.add(-1, "html")], {"html": 1}, 0, 0
 
@@ -99,7 +101,7 @@ def read(source: str) -> Page:
         values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         block += tag not in INLINE
         label = values.pop("data-label", None)
-        node = page.add(stack[-1], tag, " ".join(values.values()).lower(), label=None if label is None else int(label))
+        node = page.add(stack[-1], tag, " ".join(values.values()).lower(), label=int(label) if labelled and label is not None else None)
         if tag in RAW:
             end = RAW[tag].search(source, at)
             at = end.start() if end else len(source)
@@ -187,7 +189,7 @@ def labels(page: Page) -> list[int]:
 
 def fit(sources: list[str], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> Model:
     """Maximum likelihood by Adagrad; expected counts come from the two message passes."""
-    pages = [read(s) for s in sources]
+    pages = [read(s, labelled=True) for s in sources]
     rows, truth = [features(p) for p in pages], [labels(p) for p in pages]
     model = Model({f: 0.0 for page in rows for row in page for f in row}, np.zeros((3, 2, 2)))
     squares: dict[str, float] = dict.fromkeys(model.weights, 1e-3)

@@ -32,7 +32,7 @@ def test_messages_give_the_marginals_of_the_tree():
 def test_unseen_labelled_pages(model):
     right = total = 0
     for source in html_pages.pages(30, seed=123):
-        page = page_text.read(source)
+        page = page_text.read(source, labelled=True)
         y = page_text.labels(page)
         p, _ = page_text.sum_product(page.parent, [page_text.kind(page, i) for i in range(len(y))], model.own(page), model.edges)
         for i, tag in enumerate(page.tag):
@@ -54,6 +54,15 @@ def test_a_page_with_everything_around_its_article(model):
         "Cats & dogs First boldly said it. Second paragraph été is here. And a line. One item of it. Two items of it.")
 
 
+@pytest.mark.parametrize(("start", "end"), [
+    ("<table><tr><td data-label=\"Price\">", "</td></tr></table>"), ("<p class=o'neil>", ""), ("<p title='x>", ""), ('<p title="x>', ""),
+    ("<p title = 'a > b'>", ""), ("<p data-x='1' y>", "</p>"), ('<p a="<b>" title=\'"\'>', ""), ("<p ' \" >", "")])
+def test_markup_is_no_text(start, end, model):
+    """Attributes of any form: labels that aren't numbers, quotes inside values, quotes that are never closed."""
+    page = f"<article><p>The first of many words is here.</p>{start}Second part of the words is here.{end}</article>"
+    assert page_text.main_text(page, model) == "The first of many words is here. Second part of the words is here."
+
+
 @pytest.mark.parametrize("source", [None, "", "plain text only", "<p>", "</div></p></x>", "<" * 1000, "<div>" * 3000 + "x" + "</div>" * 10,
                                     "<!-- open", "<script>never closed", "a < b > c & d", "<p " + "a=" * 2000, "\x00<p>\ud800</p>"])
 def test_broken_pages(source, model):
