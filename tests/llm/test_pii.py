@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from data import DOCS, docs
 
@@ -51,45 +52,121 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
     check(rows, dict(enumerate(texts)))
 
 
-def test_terms_that_always_stand_by_an_entity_are_found(spark):
-    filler = "people wrote many letters about the weather and the people liked the weather a lot"
-    texts = [f"{filler} zorblax {k}. Write to zorblax at spy@example.com soon. {filler}" if k < 5 else f"{filler} {k}" for k in range(60)]
-    texts = [t.replace(" zorblax ", " ", 1) for t in texts]
+FILLER = "people wrote many letters about the weather and the people liked the weather a lot"
+
+
+def wilson(n, of, z=1.0):
+    p = n / of
+    return (p + z * z / (2 * of) - z * math.sqrt(p * (1 - p) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def words(text):
+    """Words in lower case with their places, outside base spans."""
+    rest = list(text)
+    for _, a, b in brute(text):
+        rest[a:b] = " " * (b - a)
+    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:['\u2019][^\W_]+)*", "".join(rest))]
+
+
+def protected(text):
+    out = set()
+    for kind, a, b in brute(text):
+        v = text[a:b]
+        d = re.sub("[^0-9]", "", v)
+        out |= {f"{kind}:{v}", f"{kind}/" + {"email": v.split("@")[-1].lower(), "ip": v.rsplit(".", 1)[0], "card": d[:6], "phone": d[:6]}[kind]}
+    return out
+
+
+def plain_terms(texts):
+    """The disclosing terms by loops over the different texts: term, letters that stay."""
+    texts = [t or "" for t in dict.fromkeys(t or "" for t in texts)]
+    terms, held = [{w for w, _, _ in words(t)} for t in texts], [protected(t) for t in texts]
+    n_term, n_first, hidden, size = {}, {}, {}, {}
+    for own in terms:
+        for t in own:
+            n_term[t] = n_term.get(t, 0) + 1
+        for c in {t[:k] for t in own for k in pii.CLASSES}:
+            n_first[c] = n_first.get(c, 0) + 1
+    for e in set().union(*held) if held else ():
+        inside = [own for own, es in zip(terms, held) if e in es]
+        if len(inside) == len(texts):
+            continue
+        for t in set().union(*inside):
+            both = sum(t in own for own in inside)
+            h = -math.log2(wilson(both, n_term[t]))
+            if n_term[t] <= 2 * len(inside) and h <= pii.HIDDEN_BITS + 1e-12:
+                hidden[t], size[t] = min(h, hidden.get(t, 9)), max(len(inside), size.get(t, 0))
+    out = {}
+    for t, h in hidden.items():
+        kept = [k for k in pii.CLASSES if len(t) > k and n_first[t[:k]] > 2 * size[t]]
+        out[t] = 0 if h <= pii.REMOVED_BITS else max(kept, default=0)
+    return out
+
+
+def found_terms(df):
+    return {r.term: r.letters for r in pii.disclosing_terms(pii.find(df, ["doc_id"])).collect()}
+
+
+def test_terms_and_places_against_loops(spark):
+    pick = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "Nu", "o'", "pé") for b in range(40)]
+    mails = ["a@x.org", "b@x.org", "c@y.org", "10.0.0.1", "10.0.0.9", "+1 555 123 4567"]
+    texts = []
+    for k in range(300):
+        body = [pick.choice(vocabulary[: 1 + int(len(vocabulary) * pick.random() ** 3)]) for _ in range(pick.randint(0, 12))]
+        if k % 4 == 0:
+            e = pick.randrange(len(mails))
+            body += [mails[e], f"owner{e}", f"rare{k}"] + ([mails[pick.randrange(6)]] if k % 8 else [])
+        texts.append(" ".join(body))
+    texts += ["owner0 wrote", "owner1 and lo3", texts[8], texts[8], None, ""]
     df = docs(spark, list(enumerate(texts)), False)
-    found = pii.find(df, ["doc_id"])
-    terms = {r.term: r for r in pii.disclosing_terms(found, df).collect()}
-    assert "zorblax" in terms and terms["zorblax"].action == "remove"
-    assert "people" not in terms and "weather" not in terms
-    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert all("zorblax" not in clean[k] and "[EMAIL]" in clean[k] for k in range(5))
-    assert all(clean[k] == texts[k] for k in range(5, 60))
+    expected = plain_terms(texts)
+    assert found_terms(df) == expected and any(expected.values()) and 0 in expected.values()
+    rows = pii.digests(df).collect()
+    check(rows, dict(enumerate(texts)))
+    for r in rows:
+        places = [f"term:{a}:{b}" for w, a, b in words(texts[r.doc_id] or "") if w in expected]
+        assert [s for s in r.spans.split(",") if s[:5] == "term:"] == places and r.n_term == len(places)
 
 
-def test_a_term_beside_an_entity_of_one_text_is_found(spark):
-    filler = "people wrote many letters about the weather and the people liked the weather a lot"
-    texts = [f"{filler} {k}" for k in range(60)] + [f"{filler}. People, write to zorblax at spy@example.com. {filler}"]
+def test_owners_shared_domain_is_evidence(spark):
+    """Each address stands in one text; the domain tells that the firm's name discloses it, wherever it stands."""
+    texts = [f"{FILLER} {k} staff{k}@zorblax.com the zorblax" for k in range(12)] + [f"{FILLER} the zorblax"] + [f"{FILLER} z{k}" for k in range(60)]
     df = docs(spark, list(enumerate(texts)), False)
-    terms = {r.term: r.action for r in pii.disclosing_terms(pii.find(df, ["doc_id"]), df).collect()}
-    assert terms["zorblax"] == "remove" and not {"people", "weather"} & set(terms)
-    assert {r.doc_id: "zorblax" in r.text for r in pii.sanitise(df).collect()} == dict.fromkeys(range(61), False)
-    assert {r.doc_id: r.n_term > 0 for r in pii.digests(df).collect()} == {k: k == 60 for k in range(61)}
-
-
-def test_disclosing_terms_are_cut_wherever_they_stand(spark):
-    filler = "people wrote many letters about the weather and the people liked the weather a lot, " * 4
-    texts = [f"É🙂 Zorblax, {filler} {k} spy@example.com, {filler} ZORBLAX" for k in range(10)] + [f"{filler} zorblax"]
-    texts += [f"{filler} {k}" for k in range(49)]
-    rows = [*enumerate(texts), *((100 + k, texts[-1]) for k in range(40))]  # copies count once
-    df = docs(spark, rows, False)
-    terms = {r.term: r for r in pii.disclosing_terms(pii.find(df, ["doc_id"])).collect()}
-    assert set(terms) == {"zorblax"} and terms["zorblax"].action == "generalise"
-    assert abs(terms["zorblax"].share - math.log2(60 / 11) / math.log2(60 / 10)) < 1e-9
-    got = {r.doc_id: r for r in pii.digests(df).collect()}
-    for k, text in rows:
-        places = [f"term:{m.start()}:{m.end()}" for m in re.finditer("zorblax", text, re.I)]
-        assert (got[k].n_term, [s for s in got[k].spans.split(",") if s[:5] == "term:"]) == (len(places), places)
+    terms = found_terms(df)
+    assert terms["zorblax"] == 1 and not {"people", "weather", "the"} & set(terms)  # many words begin with z
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert clean == {k: re.sub("(?i)zorblax", "[TERM]", t).replace("spy@example.com", "[EMAIL]") for k, t in rows}
+    assert clean[12] == f"{FILLER} the z\u2026"
+    assert all(clean[k].endswith("[EMAIL] the z\u2026") for k in range(12)) and all(clean[k] == texts[k] for k in range(13, 73))
+
+
+def test_few_texts_are_weak_evidence(spark):
+    """A word of two texts, one of which holds the entity, tells too little of it; a word of one text is generalised."""
+    texts = [f"{FILLER} {k}" for k in range(60)] + [f"{FILLER} spy@example.com zorblax letterhead", f"{FILLER} zorblax"]
+    terms = found_terms(docs(spark, list(enumerate(texts)), False))
+    assert terms == {"letterhead": 3}  # the first letters of ``letters``
+    many = [f"{FILLER} {k} spy@example.com quux" for k in range(20)] + texts
+    assert found_terms(docs(spark, list(enumerate(many)), False))["quux"] == 0  # hides next to nothing: removed
+
+
+def test_a_list_of_contacts_is_one_group(spark):
+    """Entities of the same texts are judged together: pairs grow with the words, not words times entities."""
+    text = " ".join(f"name{k} x{k}@h{k}.org" for k in range(3000))
+    df = docs(spark, [(0, text), (1, text + " more"), *((k, f"{FILLER} {k}") for k in range(2, 30))], False)
+    held = pii.holders(pii.different(pii.find(df, ["doc_id"]))[0])
+    assert {r.n for r in held.select(pii.F.size("_groups").alias("n")).collect()} == {1}
+    assert {r.doc_id: r.n_email for r in pii.digests(df).collect() if r.n_email} == {0: 3000, 1: 3000}
+    assert pii.sanitise(df).where("text like '%@%'").count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(n):
+        df = docs(spark, [(0, " ".join(f"w{k} u{k}@h.org" for k in range(n))), (1, FILLER)], False)
+        start = time.time()
+        assert "@" not in pii.sanitise(df).where("doc_id = 0").first().text
+        return time.time() - start
+    seconds(100)
+    assert seconds(20_000) < 25
 
 
 def test_awkward_rows(spark):
@@ -98,6 +175,8 @@ def test_awkward_rows(spark):
     assert sorted((r.n_email, r.n_ip) for r in rows if r.doc_id is None) == [(0, 0), (1, 1)]
     clean = pii.sanitise(docs(spark))
     assert clean.columns == docs(spark).columns and clean.count() == len(DOCS)
+    clash = docs(spark).withColumns({c: pii.F.lit("other") for c in ("_key", "_cuts", "text_key", "_text_key", "doc")})
+    assert all(r["_cuts"] == r["_text_key"] == "other" for r in pii.sanitise(clash).collect())
     assert sum(r.text is None for r in clean.collect()) == 2
     assert pii.digests(docs(spark).where("false")).count() == 0
 
