@@ -8,6 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import named
 from ..session import ensure_checkpoint_dir
 
 #: bytes of rows sent to a Python worker at once; long texts would otherwise fill its memory
@@ -58,7 +59,8 @@ def add_by_text(df: DataFrame, text: str, fields: str, make) -> DataFrame:
     """Replace column ``text`` by columns computed from it in Arrow batches.
 
     ``make()`` runs once per task and returns a function from a list of texts (None for null) to one
-    Arrow-convertible list or array per field of ``fields``. Other columns pass through untouched.
+    Arrow-convertible list or array per field of ``fields``. Other columns pass through untouched, but one
+    that is named like a new field gives way to it.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,6 +68,8 @@ def add_by_text(df: DataFrame, text: str, fields: str, make) -> DataFrame:
 
     small_batches(df.sparkSession)
     added = _parse_datatype_string(fields)
+    new_names = {f.name.lower() for f in added.fields}
+    df = df.select(*[named(c) for c in df.columns if c == text or c.lower() not in new_names])
     kept = [f for f in df.schema.fields if f.name != text]
     schema = StructType(kept + list(added.fields))
     types = [f.type for f in to_arrow_schema(added)]
@@ -82,6 +86,18 @@ def add_by_text(df: DataFrame, text: str, fields: str, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` as two columns, ``text`` and ``doc`` with all others, so that no name of theirs can clash."""
+    others = [named(c) for c in docs.columns if c != text]
+    return docs.select(named(text).alias("text"), F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("doc"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: str, new: dict[str, Column] | None = None) -> list[Column]:
+    """The ``columns`` that were packed, some replaced by ``new`` ones."""
+    old = {c: (F.col("text") if c == text else F.col("doc")[c]) for c in columns}
+    return [v.alias(c) for c, v in (old | {k: v for k, v in (new or {}).items() if k in old}).items()]
+
+
 def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     """About ``rows`` rows of ``df`` (never more than 1.5 times that), picked by a hash of ``key``:
     the same rows on every run and partitioning. Only for fitting a model."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, small_batches
+from .common import freeze, packed, small_batches, unpacked
 
 #: consecutive words of an item that make a phrase
 WINDOW = 10
@@ -309,4 +309,5 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the benchmark's passages: spans are cut out of the texts, everything else stays."""
-    return find(docs, benchmark, text, clean=True).select(docs.columns)
+    found = find(packed(docs, text), benchmark, clean=True)
+    return found.select(*unpacked(found, docs.columns, text))
