@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabeval.llm import decontaminate, langid, ngram_join, pieces, pii
-from tabeval.llm.common import freeze, table
+from tabeval.functions.columns import named
+from tabeval.llm.common import freeze, packed, table, unpacked
 from tabeval.llm.queries import PIECES
 
 #: the stages work on texts; SQL can express neither the language model nor the segmentation
@@ -26,9 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, F.lit(True))
     if not model.classes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    named = langid.predict(docs.withColumn("_read", F.col("text")), model, "_read")
-    kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.ACCEPT))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = langid.predict(packed(docs, "text").withColumn("read", F.col("text")), model, "read")
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= langid.ACCEPT))
+    return kept.select(*unpacked(kept, docs.columns, "text", {"lang": F.coalesce(F.col("doc")["lang"], F.col("lang_pred"))}))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +49,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their piece ids; n_chars is that of the final text."""
-    texts = docs.withColumn("n_chars", F.length("text")).withColumn("_read", F.col("text"))
-    return pieces.encode(texts, pieces.Vocabulary.load(PIECES), "_read")
+    """The documents with their piece ids; n_chars is that of the final text. Columns of ``docs`` that are
+    named like the new ones (ids, n_ids, round_trip) give way to them."""
+    new = ["ids", "n_ids", "round_trip"]
+    columns = [c for c in docs.columns if c.lower() not in new]
+    texts = packed(docs.select(*[named(c) for c in columns]), "text").withColumn("read", F.col("text"))
+    found = pieces.encode(texts, pieces.Vocabulary.load(PIECES), "read")
+    return found.select(*unpacked(found, columns, "text", {"n_chars": F.length("text").cast("long")}), *new)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_passages", benchmark_passages),
