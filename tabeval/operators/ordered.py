@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import free_names, named
+from ..functions.columns import free_names, named, quoted
 from ..session import ensure_checkpoint_dir
 
 
@@ -208,41 +208,68 @@ def hash_rank(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str
     return ranked.drop("_hkey", "_one")
 
 
-#: hash prefixes that the histogram of ``first_by_hash`` counts: 4 hex digits
+#: hash prefixes that the histogram of ``cuts_by_hash`` counts: 4 hex digits
 PREFIX = 4
 
 
-def first_by_hash(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str, take: DataFrame,
-                  out: str = "_first") -> DataFrame:
-    """Mark the first ``_take`` rows of each group in ``md5(seed:row_id)`` order (ties by row_id) in
-    column ``out``, without moving the rows.
+def cuts_by_hash(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str, takes: DataFrame,
+                 out: str = "_part") -> DataFrame:
+    """Number, in column ``out``, the cuts that lie before each row in ``md5(seed:row_id)`` order (ties by row_id)
+    of its group, without moving the rows.
 
-    ``take`` has one row per group: the group columns and ``_take``. A histogram of hash prefixes (at
-    most 65,536 per group) tells in which prefix the cut falls; only that prefix's keys, one in 65,536
-    rows, are ranked to find the exact cut, which is then a filter on the row itself.
+    ``takes`` has one row per group and cut: the group columns, ``_cut`` (any number) and ``_take``, how many
+    rows lie before it. A histogram of hash prefixes (at most 65,536 per group) tells in which prefix
+    each cut falls; only those prefixes' keys, one in 65,536 rows per cut, are ranked to find the exact cuts.
+    What a row is then compared with is an array of its group's cuts: an expression on the row itself.
     """
     group = list(group)
-    key, prefix = hash_key(seed, row_id), F.substring(hash_key(seed, row_id), 1, PREFIX)
-    narrow = df.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], key.alias("_k"), F.col(row_id).alias("_id"))
+    key = hash_key(seed, row_id)
     names = [f"_g{i}" for i in range(len(group))]
+    narrow = df.select(*[named(g).alias(n) for g, n in zip(group, names)], key.alias("_k"), named(row_id).alias("_id"))
     counts = narrow.groupBy(*names, F.substring("_k", 1, PREFIX).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*names).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    goal = take.select(*[F.col(g).alias(n) for g, n in zip(group, names)], "_take")
+    goal = takes.select(*[named(g).alias(n) for g, n in zip(group, names)], "_cut", "_take")
     same = _null_safe(names)
+    # without groups the goals are a few rows by construction: the cuts of one table
     at = ahead.alias("a").join(F.broadcast(goal).alias("b") if not names else checked(goal).alias("b"), same("a", "b")) \
-        .where("_before < _take and _take <= _before + _n").select(*[F.col(f"a.{n}").alias(n) for n in names], "_p", (F.col("_take") - F.col("_before")).alias("_rest"))
-    at = checked(at, name="cut-prefixes")
+        .where("_before < _take and _take <= _before + _n").select(
+            *[F.col(f"a.{n}").alias(n) for n in names], "_p", "_cut", (F.col("_take") - F.col("_before")).alias("_rest"))
+    at = freeze(at, "cut-prefixes")
     inside = narrow.withColumn("_p", F.substring("_k", 1, PREFIX)).alias("a").join(
-        at.alias("b"), same("a", "b") & (F.col("a._p") == F.col("b._p"))).select(*[F.col(f"a.{n}").alias(n) for n in names], "_k", "_id", "_rest")
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_k", "_id")))
-    cuts = checked(ranked.where("_r = _rest").select(*names, F.col("_k").alias("_ck"), F.col("_id").alias("_cid")), name="cuts")
-    cond = F.lit(True)
-    for g, n in zip(group, names):
-        cond = cond & F.col(f"d.`{g}`").eqNullSafe(F.col(f"c.{n}"))
-    joined = df.withColumn("_k", key).alias("d").join(cuts.alias("c"), cond, "left")
-    first = (F.col("_k") < F.col("_ck")) | ((F.col("_k") == F.col("_ck")) & (F.col(f"d.`{row_id}`") <= F.col("_cid")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in df.columns], F.coalesce(first, F.lit(False)).alias(out))
+        checked(at.select(*names, "_p").distinct(), name="prefixes").alias("b"), same("a", "b") & (F.col("a._p") == F.col("b._p"))).select(
+            *[F.col(f"a.{n}").alias(n) for n in names], "_k", "_id", "a._p")
+    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*names, "_p").orderBy("_k", "_id")))
+    hit = ranked.alias("a").join(at.alias("b"), same("a", "b") & (F.col("a._p") == F.col("b._p")) & (F.col("a._r") == F.col("b._rest"))).select(
+        *[F.col(f"a.{n}").alias(n) for n in names], F.struct("_k", "_id").alias("_at"))
+    # a cut before all rows is a key below all others
+    first = goal.where("_take <= 0").select(*names, F.struct(F.lit(None).cast("string").alias("_k"), F.lit(None).cast(df.schema[row_id].dataType).alias("_id")).alias("_at"))
+    cuts = hit.unionByName(first).groupBy(*names).agg(F.collect_list("_at").alias("_cuts"))
+    own, cut_at = free_names(df.columns, ["k", "cuts"])
+    rows = df.withColumn(own, F.struct(key.alias("_k"), named(row_id).alias("_id")))
+
+    def number(known: Column) -> Column:
+        return F.size(F.filter(known, lambda c: c < F.col(own)))
+
+    if names:
+        small = checked(cuts.select(*names, F.col("_cuts").alias(cut_at)), name="cuts")
+        cond = F.lit(True)
+        for g, n in zip(group, names):
+            cond = cond & F.col(f"d.{quoted(g)}").eqNullSafe(F.col(f"c.{n}"))
+        joined = rows.alias("d").join(small.alias("c"), cond, "left")
+        part = F.coalesce(number(F.col(cut_at)), F.lit(0))
+        return joined.select(*[F.col(f"d.{quoted(c)}") for c in df.columns if c != out], part.alias(out))
+    found = cuts.first()
+    known = [F.struct(F.lit(c["_k"]).cast("string").alias("_k"), F.lit(c["_id"]).cast(df.schema[row_id].dataType).alias("_id")) for c in (found["_cuts"] if found else [])]
+    return rows.select(*[named(c) for c in df.columns if c != out], (number(F.array(*known)) if known else F.lit(0)).alias(out))
+
+
+def first_by_hash(df: DataFrame, group: Sequence[str], row_id: str, seed: int | str, take: DataFrame,
+                  out: str = "_first") -> DataFrame:
+    """Mark the first ``_take`` rows of each group in ``md5(seed:row_id)`` order in column ``out``: one cut
+    of ``cuts_by_hash``. ``take`` has one row per group: the group columns and ``_take``."""
+    marked = cuts_by_hash(df, group, row_id, seed, take.withColumn("_cut", F.lit(0)), out)
+    return marked.select(*[named(c) for c in df.columns if c != out], (named(out) == 0).alias(out))
 
 
 def _null_safe(names: Sequence[str]):

@@ -3,20 +3,21 @@
 Every random choice is a hash: rows are ordered by ``md5('<seed>:<row_id>')``
 (ties by row_id) inside their class, so the result does not depend on
 partitioning, task retries or executor loss, and DuckDB reproduces it exactly.
-Ranks come from the distributed ``prefix_sum`` — a class holding most of the
-rows is still spread over many tasks. ``randomSplit``/``sampleBy`` are avoided:
+Splits and folds are exact cuts in that order, found from a histogram of the hashes and
+applied as an expression, so a class holding most of the rows moves no more than another. ``randomSplit``/``sampleBy`` are avoided:
 they are neither stratified nor exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from .ordered import first_by_hash, hash_rank, prefix_sum
+from .ordered import cuts_by_hash, first_by_hash, hash_rank
 
 #: rows generated per chunk when materialising oversampling copies
 COPY_CHUNK = 1 << 16
@@ -38,27 +39,22 @@ def split_stratified(df: DataFrame, y: str = "y", row_id: str = "row_id", test_s
     in hash order are 'test', the rest 'train' (``within``: split each of these
     groups separately, e.g. one split per outcome)."""
     keys = [*within, y]
-    take = df.groupBy(*keys).agg(F.round(F.count(F.lit(1)) * F.lit(float(test_size))).cast("long").alias("_take"))
+    take = df.groupBy(*map(named, keys)).agg(F.round(F.count(F.lit(1)) * F.lit(float(test_size))).cast("long").alias("_take"))
     r = first_by_hash(df, keys, row_id, seed, take)
     return r.withColumn(out, F.when(F.col("_first"), F.lit("test")).otherwise(F.lit("train"))).drop("_first")
 
 
 def _folds(df: DataFrame, group: Sequence[str], row_id: str, k: int, seed: int, out: str) -> DataFrame:
-    """Fold = (hash rank in the group - 1) mod k. Only (group, row_id) is ranked; the rows meet their
-    fold in one join. Null groups are a group of their own."""
-    narrow = df.select(*[named(g).alias(f"_g{i}") for i, g in enumerate(group)], named(row_id).alias("_rid"))
-    names = [f"_g{i}" for i in range(len(group))]
-    r = hash_rank(narrow, names, "_rid", seed, rank_col="_rank", size_col=None)
-    ranks = r.select(*names, "_rid", ((F.col("_rank") - 1) % k).cast("int").alias(out))
-    cond = named(row_id).eqNullSafe(F.col("_rid"))
-    for g, n in zip(group, names):
-        cond = cond & named(g).eqNullSafe(F.col(n))
-    kept = [c for c in df.columns if c != out]
-    return df.select(*map(named, kept)).join(ranks, cond).select(*map(named, kept), out)
+    """Fold f holds the rows of hash rank r in their group of n with floor((r - 1) k / n) = f: k - 1 exact cuts
+    per group, so sizes differ by at most one and no row moves. Null groups are a group of their own."""
+    sizes = df.groupBy(*[named(g) for g in group]).agg(F.count(F.lit(1)).alias("_n"))
+    takes = sizes.withColumn("_cut", F.explode(F.sequence(F.lit(1), F.lit(max(k - 1, 1))))).withColumn(
+        "_take", F.ceil(F.col("_cut") * F.col("_n") / F.lit(k)).cast("long"))
+    return cuts_by_hash(df, group, row_id, seed, takes if k > 1 else takes.where("false"), out)
 
 
 def kfold(df: DataFrame, row_id: str = "row_id", k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """k folds by global hash rank: fold = (rank - 1) mod k."""
+    """k folds by global hash rank, of sizes that differ by at most one."""
     return _folds(df, [], row_id, k, seed, out)
 
 
@@ -71,16 +67,9 @@ def kfold_stratified(df: DataFrame, y: str = "y", row_id: str = "row_id", k: int
 def kfold_repeated(df: DataFrame, y: str = "y", row_id: str = "row_id", k: int = 5, n_repeats: int = 2,
                    seed: int = 42, out: str = "fold", repeat_col: str = "repeat") -> DataFrame:
     """n_repeats x stratified k-fold; repeat r uses seed + r."""
-    # only (repeat, class, row_id) is copied per repeat and ranked
-    narrow = df.select(F.col(y).alias("_y"), F.col(row_id).alias("_rid"))
-    rep = narrow.withColumn(repeat_col, F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))))
-    keyed = rep.withColumn("_hkey", F.md5(F.concat((F.lit(seed) + F.col(repeat_col)).cast("string"), F.lit(":"),
-                                                    F.col("_rid").cast("string")))) \
-        .withColumn("_one", F.lit(1).cast("long"))
-    r = prefix_sum(keyed, [repeat_col, "_y"], ["_hkey", "_rid"], ["_one"], prefix="_cum")
-    ranks = r.select("_y", "_rid", repeat_col, ((F.col("_cum_one") - 1) % k).cast("int").alias(out))
-    cond = F.col(row_id).eqNullSafe(F.col("_rid")) & F.col(y).eqNullSafe(F.col("_y"))
-    return df.join(ranks, cond).select(*map(named, df.columns), repeat_col, out)
+    parts = [_folds(df, [y], row_id, k, seed + r, out).select(*map(named, df.columns), F.lit(r).alias(repeat_col), out)
+             for r in range(n_repeats)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # --------------------------------------------------------------------- targets
@@ -89,7 +78,7 @@ UNDER_STRATEGIES = ("auto", "majority", "not minority", "not majority", "all")
 
 
 def class_counts(df: DataFrame, y: str = "y") -> DataFrame:
-    return df.groupBy(y).agg(F.count(F.lit(1)).cast("long").alias("count"))
+    return df.groupBy(named(y)).agg(F.count(F.lit(1)).cast("long").alias("count"))
 
 
 def sampling_targets(df: DataFrame, y: str = "y", kind: str = "under", strategy: str = "auto",
@@ -108,8 +97,8 @@ def sampling_targets(df: DataFrame, y: str = "y", kind: str = "under", strategy:
     w = Window.partitionBy()  # a class table: a handful of rows
     mx = F.max("count").over(w)
     mn = F.min("count").over(w)
-    is_max = F.col(y) == F.min_by(F.col(y), F.struct(-F.col("count"), F.col(y))).over(w)
-    is_min = F.col(y) == F.min_by(F.col(y), F.struct(F.col("count"), F.col(y))).over(w)
+    is_max = named(y) == F.min_by(named(y), F.struct(-F.col("count"), named(y))).over(w)
+    is_min = named(y) == F.min_by(named(y), F.struct(F.col("count"), named(y))).over(w)
     if kind == "over":
         if ratio is not None or strategy == "ratio":
             chosen, goal = is_min, F.floor(F.lit(float(ratio)) * mx)
@@ -128,13 +117,13 @@ def sampling_targets(df: DataFrame, y: str = "y", kind: str = "under", strategy:
         target = F.when(chosen, F.least(goal, F.col("count"))).otherwise(F.col("count"))
     else:
         raise ValueError("kind must be 'over' or 'under'")
-    return c.select(y, "count", target.cast("long").alias("target"))
+    return c.select(named(y), "count", target.cast("long").alias("target"))
 
 
 def undersample(df: DataFrame, y: str = "y", row_id: str = "row_id", strategy: str = "auto",
                 ratio: float | None = None, seed: int = 42) -> DataFrame:
     """Keep the first ``target`` rows of each class in hash order."""
-    tg = sampling_targets(df, y, "under", strategy, ratio).select(y, F.col("target").alias("_take"))
+    tg = sampling_targets(df, y, "under", strategy, ratio).select(named(y), F.col("target").alias("_take"))
     return first_by_hash(df, [y], row_id, seed, tg).where("_first").drop("_first")
 
 
@@ -146,22 +135,26 @@ def oversample(df: DataFrame, y: str = "y", row_id: str = "row_id", strategy: st
     Copies are generated in chunks of ``COPY_CHUNK`` that are spread over tasks
     before expansion, so no task materialises a whole class of copies.
     """
-    tg = sampling_targets(df, y, "over", strategy, ratio)
+    tg = sampling_targets(df, y, "over", strategy, ratio).select(named(y).alias("_y"), "count", "target")
     need = tg.where(F.col("target") > F.col("count")).select(
-        y, "count", (F.col("target") - F.col("count")).alias("extra"))
+        "_y", "count", (F.col("target") - F.col("count")).alias("extra"))
     chunks = need.withColumn("_chunk", F.explode(F.sequence(
         F.lit(0).cast("long"), F.ceil(F.col("extra") / F.lit(COPY_CHUNK)).cast("long") - 1)))
-    chunks = chunks.repartition("_chunk", y)
+    chunks = chunks.repartition("_chunk", "_y")
     copies = chunks.withColumn("_j", F.explode(F.sequence(
         F.col("_chunk") * COPY_CHUNK,
         F.least(F.col("_chunk") * COPY_CHUNK + COPY_CHUNK, F.col("extra")) - 1)))
-    copies = copies.select(y, (F.col("_j") + 1).alias(copy_col),
-                           (F.pmod(hash_int(F.lit(str(seed)), F.lit(":"), F.col(y), F.lit(":"), F.col("_j")),
+    copies = copies.select("_y", (F.col("_j") + 1).alias("_copy"),
+                           (F.pmod(hash_int(F.lit(str(seed)), F.lit(":"), F.col("_y"), F.lit(":"), F.col("_j")),
                                    F.col("count")) + 1).alias("_rank"))
-    ranked = hash_rank(df, [y], row_id, seed, rank_col="_rank", size_col=None)
-    picked = ranked.join(copies, [y, "_rank"]).drop("_rank")
+    # only (class, row id) is ranked; the rows meet their copies' numbers in one join
+    narrow = df.select(named(y).alias("_y"), named(row_id).alias("_rid"))
+    ranked = hash_rank(narrow, ["_y"], "_rid", seed, rank_col="_rank", size_col=None)
+    picked = ranked.join(copies, ["_y", "_rank"]).select("_y", "_rid", "_copy")
     orig = df.withColumn(copy_col, F.lit(0).cast("long"))
-    return orig.unionByName(picked.select(*map(named, orig.columns)))
+    again = df.join(picked, named(y).eqNullSafe(F.col("_y")) & named(row_id).eqNullSafe(F.col("_rid"))).select(
+        *[F.col("_copy").alias(c) if c == copy_col else named(c) for c in orig.columns])
+    return orig.unionByName(again)
 
 
 # ------------------------------------------------------------------ bootstrap

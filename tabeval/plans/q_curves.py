@@ -27,7 +27,7 @@ def cv_predictions(spark, d):
 
 
 CV_SQL = ORDERS_SQL + f""",
-ordf AS (SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY y ORDER BY md5('{SEED}:' || CAST(row_id AS VARCHAR)), row_id) - 1) % {K} AS INTEGER) AS fold FROM ord)"""
+ordf AS (SELECT *, CAST((ROW_NUMBER() OVER (PARTITION BY y ORDER BY md5('{SEED}:' || CAST(row_id AS VARCHAR)), row_id) - 1) * {K} // COUNT(*) OVER (PARTITION BY y) AS INTEGER) AS fold FROM ord)"""
 
 
 def _cv_sg(spark, d):

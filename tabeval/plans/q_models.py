@@ -417,7 +417,7 @@ def _shap_fold_mean_sql() -> str:
         f"FROM of o JOIN fm ON o.fold = fm.fold GROUP BY o.fold" for i, (f, w) in enumerate(_FOLD_W.items()))
     return f"""WITH o0 AS (SELECT o_orderkey AS rid, o_totalprice, o_custkey,
     CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS odays FROM orders),
-of AS (SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY md5('42:' || CAST(rid AS VARCHAR)), rid) - 1) % 3 AS INTEGER) AS fold FROM o0),
+of AS (SELECT *, CAST((ROW_NUMBER() OVER (ORDER BY md5('42:' || CAST(rid AS VARCHAR)), rid) - 1) * 3 // COUNT(*) OVER () AS INTEGER) AS fold FROM o0),
 fm AS (SELECT fold, {means} FROM of GROUP BY fold),
 vals AS ({parts})
 SELECT CAST(j AS INTEGER) AS j, round(AVG(value), 6) AS mean_abs_shap FROM vals GROUP BY j"""

@@ -46,7 +46,7 @@ def q_class_counts(spark, d):
 
 # ---------------------------------------------------------------------- folds
 _KF_SQL = f"""WITH {ORDERS_SQL}
-SELECT row_id, CAST(({_rank_sql('')} - 1) % 5 AS INTEGER) AS fold FROM ord"""
+SELECT row_id, CAST(({_rank_sql('')} - 1) * 5 // COUNT(*) OVER () AS INTEGER) AS fold FROM ord"""
 
 
 @register("kfold", _KF_SQL)
@@ -55,7 +55,7 @@ def q_kfold(spark, d):
 
 
 _SKF_SQL = f"""WITH {ORDERS_SQL}
-SELECT row_id, y, CAST(({_rank_sql('y')} - 1) % 5 AS INTEGER) AS fold FROM ord"""
+SELECT row_id, y, CAST(({_rank_sql('y')} - 1) * 5 // COUNT(*) OVER (PARTITION BY y) AS INTEGER) AS fold FROM ord"""
 
 
 @register("kfold_stratified", _SKF_SQL)
@@ -66,7 +66,7 @@ def q_kfold_stratified(spark, d):
 _RKF_SQL = f"""WITH {ORDERS_SQL},
 rep AS (SELECT row_id, y, CAST(r AS INTEGER) AS repeat FROM ord, range(2) t(r))
 SELECT row_id, y, repeat,
-  CAST((ROW_NUMBER() OVER (PARTITION BY repeat, y ORDER BY md5(CAST({SEED} + repeat AS VARCHAR) || ':' || CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INTEGER) AS fold
+  CAST((ROW_NUMBER() OVER (PARTITION BY repeat, y ORDER BY md5(CAST({SEED} + repeat AS VARCHAR) || ':' || CAST(row_id AS VARCHAR)), row_id) - 1) * 5 // COUNT(*) OVER (PARTITION BY repeat, y) AS INTEGER) AS fold
 FROM rep"""
 
 
