@@ -13,13 +13,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import inline_rows, named
 from ..functions.stats import t_ppf
 from . import evaluate as ev
-from .ordered import attach, prefix_sum
+from .ordered import attach, checked, freeze, prefix_sum, range_bounds, slice_of
 
 _div = F.try_divide
 
@@ -287,33 +290,86 @@ def _poisson_count(count: Column, key: Column, seed: int) -> Column:
             + draws((count % POISSON_BLOCK).cast("long"), "p", 1.0)).cast("long")
 
 
+def _replicate_sums(n_boot: int):
+    """Per slice of cells (label order within a score doesn't matter), one row: its summed weights and its own part of
+    the Mann-Whitney statistic, per replicate. Cells come sorted by slice and score, a block at a time."""
+    schema = pa.schema([("_slice", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("pos", "neg", "own"))])
+
+    def row(key, state):
+        pos, neg, own, tie_pos, tie_neg, _ = state
+        own = own + tie_pos * neg + 0.5 * tie_pos * tie_neg
+        return pa.RecordBatch.from_pydict({"_slice": [key], "pos": [pos + tie_pos], "neg": [neg + tie_neg], "own": [own]}, schema=schema)
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            slices, scores, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            weights = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_boot).astype(float)
+            # runs of cells of one score in one slice: at most the two labels
+            for k in range(batch.num_rows):
+                if slices[k] != key:
+                    if state is not None:
+                        yield row(key, state)
+                    key, state = slices[k], [np.zeros(n_boot) for _ in range(5)] + [None]
+                if scores[k] != state[5]:  # a new, larger score: the last one's cells now lie below
+                    pos, neg, own, tie_pos, tie_neg, _ = state
+                    own += tie_pos * neg + 0.5 * tie_pos * tie_neg
+                    pos += tie_pos
+                    neg += tie_neg
+                    state[3], state[4], state[5] = np.zeros(n_boot), np.zeros(n_boot), scores[k]
+                at = 3 if labels[k] == 1 else 4
+                state[at] = state[at] + weights[k]
+        if state is not None:
+            yield row(key, state)
+    return run
+
+
 def bootstrap_auc_ci(df: DataFrame, group: Sequence[str], row_id: str, y: str = "y", score: str = "score",
                      n_boot: int = 1000, seed: int = 42) -> DataFrame:
     """Poisson-bootstrap AUC percentiles (2.5, 97.5) per group.
 
     Rows are first collapsed to (group, score, label) cells; replicate b gives a
     cell of c rows the weight Poisson(c) (the sum of c Poisson(1) row weights),
-    so tied scores cost one cell, not c rows, per replicate. Each replicate's
-    AUC comes from weighted score groups and the distributed running sums.
-    ``row_id`` is accepted for API symmetry; cells replace rows."""
+    so tied scores cost one cell, not c rows, per replicate. Cells are cut into
+    slices by (group, score) and shuffled once; a cell's weights of all replicates are drawn in the
+    task that reads it, which adds up its slice with a total carried per replicate. A slice gives one row; the
+    rows of a group (at most one per shuffle partition) are joined in score order. What is shuffled
+    doesn't depend on ``n_boot``. ``row_id`` is accepted for API symmetry; cells replace rows."""
     group = list(group)
-    cells = ev.clean_predictions(df, y, score).groupBy(*group, F.col(score).cast("double").alias("score"),
-                                                       F.col(y).cast("int").alias("_y")) \
+    cells = ev.clean_predictions(df, y, score).groupBy(*[named(g) for g in group], named(score).cast("double").alias("score"),
+                                                       named(y).cast("int").alias("_y")) \
         .agg(F.count(F.lit(1)).alias("_c"))
-    rep = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    key = F.concat_ws(":", *[F.col(g).cast("string") for g in group], F.col("score").cast("string"),
-                      F.col("_y").cast("string"), F.col("replicate").cast("string"))
-    w = rep.withColumn("weight", _poisson_count(F.col("_c"), key, seed)).where(F.col("weight") > 0)
-    g = w.groupBy(*group, "replicate", "score").agg(
-        F.sum(F.col("weight") * F.col("_y")).alias("pos"), F.sum(F.col("weight") * (1 - F.col("_y"))).alias("neg"))
-    run = prefix_sum(g, group + ["replicate"], ["score"], ["pos", "neg"], descending=True, prefix="c_",
-                     totals_prefix="t_")
-    v01 = _div(F.col("t_neg") - F.col("c_neg") + F.col("neg") / 2.0, F.col("t_neg").cast("double"))
-    aucs = run.groupBy(*group, "replicate").agg(
-        _div(F.sum(F.col("pos") * v01), F.first("t_pos").cast("double")).alias("auc"))
-    q = aucs.where(F.col("auc").isNotNull()).groupBy(*group).agg(
-        F.percentile("auc", [0.025, 0.975]).alias("_q"), F.count("auc").alias("n_boot"))
-    return q.select(*group, F.col("_q")[0].alias("ci_low"), F.col("_q")[1].alias("ci_high"), "n_boot")
+    names = [f"_g{i}" for i in range(len(group))]
+    cells = freeze(cells.select(*[named(g).alias(n) for g, n in zip(group, names)], "score", "_y", "_c"), "cells")
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = [*names, "score"]
+    cut = cells.withColumn("_range", slice_of(cells, key, range_bounds(cells, key, slices)))
+    # a slice is one group's part of a range: numbered by a hash of both
+    cut = cut.withColumn("_slice", F.xxhash64("_range", *names))
+    where = checked(cut.select("_slice", "_range", *names).distinct(), name="slices")
+    dealt = cut.repartition("_slice").sortWithinPartitions("_slice", "score")
+    text = F.concat_ws(":", *[F.col(n).cast("string") for n in names], F.col("score").cast("string"), F.col("_y").cast("string"))
+    weights = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda r: _poisson_count(
+        F.col("_c"), F.concat(F.col("_key"), F.lit(":"), r.cast("string")), seed))
+    drawn = dealt.withColumn("_key", text).select("_slice", "score", "_y", weights.alias("_w"))
+    sums = drawn.mapInArrow(_replicate_sums(n_boot), "_slice long, pos array<double>, neg array<double>, own array<double>")
+    types = df.select(*[named(g).alias(n) for g, n in zip(group, names)]).schema.simpleString()[len("struct<"):-1]
+
+    def percentiles(rows: pd.DataFrame) -> pd.DataFrame:
+        below, won, pos = np.zeros(n_boot), np.zeros(n_boot), np.zeros(n_boot)
+        for r in rows.sort_values("_range").itertuples():
+            p = np.asarray(r.pos)
+            won += np.asarray(r.own) + p * below
+            below += np.asarray(r.neg)
+            pos += p
+        ok = (pos > 0) & (below > 0)
+        auc = won[ok] / (pos[ok] * below[ok])
+        q = np.percentile(auc, [2.5, 97.5]) if len(auc) else [None, None]
+        return pd.DataFrame([[*(rows[n].iloc[0] for n in names), *q, len(auc)]], columns=[*names, "ci_low", "ci_high", "n_boot"])
+
+    found = sums.join(where, "_slice").groupBy(*names).applyInPandas(
+        percentiles, ", ".join(filter(None, [types.replace(",", ", "), "ci_low double, ci_high double, n_boot long"])))
+    return found.where("n_boot > 0").select(*[F.col(n).alias(g) for n, g in zip(names, group)], "ci_low", "ci_high", "n_boot")
 
 
 def flip_low_auc_folds(preds: DataFrame, group: Sequence[str], fold: str = "fold", y: str = "y",

@@ -3,8 +3,8 @@
 A fit is one aggregate job whose result is a handful of scalars per column
 (kept on the driver like an MLlib Model's parameters); apply is a pure column
 expression, so train and test get the identical mapping and the apply stays in
-whole-stage codegen. Exact quantiles (median, IQR) use the distributed running
-counts of ``prefix_sum`` rather than ``percentile``, which would hold every
+whole-stage codegen. Exact quantiles (median, IQR) are bracketed by a rank sketch;
+only values inside the brackets are ranked. ``percentile`` would hold every
 distinct value of a column in one aggregation buffer.
 """
 
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,62 +26,160 @@ from .clean import agg_chunked
 from .ordered import prefix_sum
 
 # ------------------------------------------------------------- exact quantile
+#: the rank sketch is off by at most n / accuracy ranks; so many times the quantiles asked for, at least
+SKETCH_ACCURACY, ACCURACY_PER_QUANTILE = 10_000, 50
+#: columns sketched in one scan: each task holds a sketch per column
+SKETCHED_COLUMNS = 32
+
+
+def _values(c: str):
+    x = named(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per column with values, disjoint increasing intervals that hold every value whose rank a quantile needs.
+
+    A mergeable rank sketch per task (``percentile_approx``: Greenwald-Khanna) brackets each rank from both
+    sides by more than its error.
+    """
+    accuracy = max(SKETCH_ACCURACY, ACCURACY_PER_QUANTILE * len(probs))
+    margin, out = 2.0 / accuracy, {}
+    for at in range(0, len(cols), SKETCHED_COLUMNS):
+        part = cols[at:at + SKETCHED_COLUMNS]
+        sizes = df.select(*[F.count(_values(c)).alias(f"n{i}") for i, c in enumerate(part)],
+                          *[F.percentile_approx(_values(c), [min(1.0, max(0.0, p + side * margin)) for p in probs for side in (-1, 1)],
+                                                accuracy).alias(f"q{i}") for i, c in enumerate(part)]).first()
+        for i, c in enumerate(part):
+            n = sizes[f"n{i}"]
+            if not n:
+                continue
+            lo, hi = np.array(sizes[f"q{i}"], float).reshape(-1, 2).T
+            edge = margin + 2.0 / n  # both ranks around (n - 1) p lie within p +- 1 / n
+            lo = np.where(np.array(probs) - edge <= 0, -np.inf, lo)
+            hi = np.where(np.array(probs) + edge >= 1, np.inf, hi)
+            if n <= accuracy:  # few values: the sketch's steps may be as wide as a rank
+                lo, hi = np.array([-np.inf]), np.array([np.inf])
+            starts, ends = [], []
+            for a, z in sorted(zip(lo, hi)):
+                if ends and a <= ends[-1]:
+                    ends[-1] = max(ends[-1], z)
+                else:
+                    starts.append(a)
+                    ends.append(z)
+            out[c] = np.array(starts), np.array(ends)
+    return out
+
+
+def _value_ranks(df: DataFrame, cols: Sequence[str], inside: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(column, value, cnt, cum_cnt, tot_cnt): the count of every distinct value inside a bracket and the ranks it
+    holds. Values between brackets are only counted, one number per bracket and task."""
+    cols = [c for c in cols if c in inside]
+    bounds = [inside[c] for c in cols]
+
+    def count(batches):
+        between = [np.zeros(len(s) + 1, np.int64) for s, _ in bounds]
+        schema = pa.schema([("column", pa.int32()), ("part", pa.int32()), ("value", pa.float64()), ("cnt", pa.int64())])
+        for batch in batches:
+            for k, (starts, ends) in enumerate(bounds):
+                x = batch.column(k).drop_null().to_numpy(zero_copy_only=False)
+                at = np.searchsorted(starts, x, "right")
+                held = (at > 0) & (x <= ends[np.maximum(at - 1, 0)])
+                between[k] += np.bincount(at[~held], minlength=len(starts) + 1)
+                value, cnt = np.unique(x[held] + 0.0, return_counts=True)  # -0.0 is 0.0
+                part = 2 * np.searchsorted(starts, value, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), k, np.int32)), pa.array(part.astype(np.int32)),
+                                                  pa.array(value), pa.array(cnt.astype(np.int64))], schema=schema)
+        for k, n in enumerate(between):
+            part = np.nonzero(n)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array((2 * part).astype(np.int32)),
+                                              pa.nulls(len(part), pa.float64()), pa.array(n[part])], schema=schema)
+
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value double, cnt long, cum_cnt long, tot_cnt long")
+    found = df.select(*[_values(c).alias(f"x{i}") for i, c in enumerate(cols)]).mapInArrow(
+        count, "column int, part int, value double, cnt long")
+    counts = found.groupBy("column", "part", "value").agg(F.sum("cnt").alias("cnt"))
+    ranked = prefix_sum(counts, ["column"], ["part", "value"], ["cnt"], prefix="cum_", totals_prefix="tot_")
+    named_column = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("column") + 1)
+    return ranked.where("value is not null").select(named_column.alias("column"), "value", "cnt", "cum_cnt", "tot_cnt")
+
+
+def _exactly(df: DataFrame, cols: Sequence[str], probs: Sequence[float], pick) -> list:
+    """The rows of ``pick(ranks)``. A column of which a bracket missed a rank (none should) is ranked whole."""
+    inside = brackets(df, cols, probs)
+    rows = pick(_value_ranks(df, cols, inside)).collect()  # the quantiles asked for, of each column
+    seen = {}
+    for r in rows:
+        seen[r["column"]] = seen.get(r["column"], 0) + (r["value"] is not None)
+    missed = [c for c in inside if seen.get(c, 0) < len(probs)]
+    if missed:
+        whole = {c: (np.array([-np.inf]), np.array([np.inf])) for c in missed}
+        rows = [r for r in rows if r["column"] not in whole] + pick(_value_ranks(df, missed, whole)).collect()
+    return rows
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Linear-interpolation quantiles (numpy/``quantile_cont`` definition) of each
     column, NULL/NaN ignored: (column, prob, value).
 
-    Values are counted per distinct value, running counts give each value's rank
-    interval, and only the rows holding the two ranks around (n-1)*q survive —
-    no column is ever gathered into one task.
+    A rank sketch brackets each quantile; a second scan counts what lies below and ranks only the values
+    inside the brackets, so a few in ten thousand rows are shuffled, whatever the column holds.
     """
     cols, probs = list(cols), [float(p) for p in probs]
-    run = _value_ranks(df, cols)
-    run = run.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
-    h = (F.col("tot_cnt") - 1).cast("double") * F.col("prob")
-    lo = F.floor(h)
-    start = F.col("cum_cnt") - F.col("cnt")
-    holds = lambda r: (start <= r) & (r < F.col("cum_cnt"))
-    hit = run.where(holds(lo) | holds(lo + 1)).select(
-        "column", "prob", "value", (h - lo).alias("frac"),
-        holds(lo).alias("is_lo"), holds(lo + 1).alias("is_hi"))
-    agg = hit.groupBy("column", "prob").agg(
-        F.max(F.when(F.col("is_lo"), F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("is_hi"), F.col("value"))).alias("v_hi"),
-        F.first("frac").alias("frac"))
-    v_hi = F.coalesce(F.col("v_hi"), F.col("v_lo"))
-    return agg.select("column", "prob", (F.col("v_lo") + (v_hi - F.col("v_lo")) * F.col("frac")).alias("value"))
-
-
-def _value_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value, cnt, cum_cnt, tot_cnt): every distinct value's count and the ranks it holds."""
-    long = unpivot(df, cols, "double").where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).cast("long").alias("cnt"))
-    return prefix_sum(counts, ["column"], ["value"], ["cnt"], prefix="cum_", totals_prefix="tot_")
+
+    def pick(run: DataFrame) -> DataFrame:
+        run = run.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs])))
+        h = (F.col("tot_cnt") - 1).cast("double") * F.col("prob")
+        lo = F.floor(h)
+        start = F.col("cum_cnt") - F.col("cnt")
+        holds = lambda r: (start <= r) & (r < F.col("cum_cnt"))
+        hit = run.where(holds(lo) | holds(lo + 1)).select(
+            "column", "prob", "value", (h - lo).alias("frac"), (lo + 1 < F.col("tot_cnt")).alias("more"),
+            holds(lo).alias("is_lo"), holds(lo + 1).alias("is_hi"))
+        agg = hit.groupBy("column", "prob").agg(
+            F.max(F.when(F.col("is_lo"), F.col("value"))).alias("v_lo"),
+            F.max(F.when(F.col("is_hi"), F.col("value"))).alias("v_hi"),
+            F.first("frac").alias("frac"), F.first("more").alias("more"))
+        return agg.select("column", "prob", _between(F.col("v_lo"), F.col("v_hi"), F.col("frac"), F.col("more")).alias("value"))
+
+    rows = [(r["column"], r["prob"], r["value"]) for r in _exactly(df, cols, probs, pick)]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, value double")
+
+
+def _between(lo, hi, frac, more):
+    """``frac`` of the way from one value to the next; the last value has none (NULL where one is missing)."""
+    return F.when((frac == 0) | ~more, lo).when(lo == hi, lo).otherwise(lo + (hi - lo) * frac)
 
 
 def even_quantiles(df: DataFrame, cols: Sequence[str], k: int) -> DataFrame:
     """The k evenly spaced quantiles of each column, exact: (column, i, value), i = 0..k-1.
 
-    One scan and one running count for all columns; a value is copied only for the quantiles whose
-    ranks it holds, so k rows per column come out, whatever the number of rows.
+    One sketch, one scan and one running count for all columns; a value is copied only for the quantiles
+    whose ranks it holds, so k rows per column come out, whatever the number of rows.
     """
-    run = _value_ranks(df, cols).withColumn("_start", F.expr("cum_cnt - cnt"))
-    # rank of quantile i: (n - 1) * i / (k - 1), in whole numbers; it lies in [lo, lo + 1]
-    n1 = "greatest(tot_cnt - 1, 1)"
-
-    def first(rank: str) -> str:  # least i whose rank is at least this
-        return f"greatest((({rank}) * {k - 1} + {n1} - 1) div {n1}, 0)"
-    run = run.withColumn("_a", F.expr(first("_start - 1"))).withColumn("_b", F.expr(
-        f"if(tot_cnt = 1 or cum_cnt = tot_cnt, {k - 1}, least({first('cum_cnt')} - 1, {k - 1}))"))
-    hit = run.where("_a <= _b").withColumn("i", F.explode(F.sequence(F.col("_a"), F.col("_b"))))
-    lo = F.expr(f"((tot_cnt - 1) * i) div {k - 1}")
-    frac = F.expr(f"((tot_cnt - 1) * i) % {k - 1}") / float(k - 1)
-    holds = lambda r: (F.col("_start") <= r) & (r < F.col("cum_cnt"))
-    agg = hit.groupBy("column", "i").agg(F.max(F.when(holds(lo), F.col("value"))).alias("v_lo"),
-                                         F.max(F.when(holds(lo + 1), F.col("value"))).alias("v_hi"), F.max(frac).alias("frac"))
-    return agg.select("column", F.col("i").cast("int").alias("i"), (F.col("v_lo") + (F.coalesce("v_hi", "v_lo") - F.col("v_lo")) * F.col("frac")).alias("value"))
+    cols = list(cols)
+
+    def pick(run: DataFrame) -> DataFrame:
+        run = run.withColumn("_start", F.expr("cum_cnt - cnt"))
+        # rank of quantile i: (n - 1) * i / (k - 1), in whole numbers; it lies in [lo, lo + 1]
+        n1 = "greatest(tot_cnt - 1, 1)"
+
+        def first(rank: str) -> str:  # least i whose rank is at least this
+            return f"greatest((({rank}) * {k - 1} + {n1} - 1) div {n1}, 0)"
+        run = run.withColumn("_a", F.expr(first("_start - 1"))).withColumn("_b", F.expr(
+            f"if(tot_cnt = 1 or cum_cnt = tot_cnt, {k - 1}, least({first('cum_cnt')} - 1, {k - 1}))"))
+        hit = run.where("_a <= _b").withColumn("i", F.explode(F.sequence(F.col("_a"), F.col("_b"))))
+        lo = F.expr(f"((tot_cnt - 1) * i) div {k - 1}")
+        frac = F.expr(f"((tot_cnt - 1) * i) % {k - 1}") / float(k - 1)
+        holds = lambda r: (F.col("_start") <= r) & (r < F.col("cum_cnt"))
+        agg = hit.groupBy("column", "i").agg(
+            F.max(F.when(holds(lo), F.col("value"))).alias("v_lo"), F.max(F.when(holds(lo + 1), F.col("value"))).alias("v_hi"),
+            F.max(frac).alias("frac"), F.max(lo + 1 < F.col("tot_cnt")).alias("more"))
+        return agg.select("column", F.col("i").cast("int").alias("i"), _between(F.col("v_lo"), F.col("v_hi"), F.col("frac"), F.col("more")).alias("value"))
+
+    rows = [(r["column"], r["i"], r["value"]) for r in _exactly(df, cols, [i / (k - 1) for i in range(k)], pick)]
+    return df.sparkSession.createDataFrame(rows, "column string, i int, value double")
 
 
 def _quantile_dict(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:

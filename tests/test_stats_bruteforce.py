@@ -81,3 +81,36 @@ def test_repeated_folds(spark):
     a = {r["row_id"]: r["fold"] for r in f if r["repeat"] == 0}
     b = {r["row_id"]: r["fold"] for r in f if r["repeat"] == 1}
     assert a != b  # a different seed per repeat
+
+
+def test_bracketed_quantiles_are_exact_and_shuffle_few_values(spark):
+    """Many rows, ties of a third of them, infinite and missing values; brackets narrower than the data."""
+    import numpy as np
+    from tabeval.operators import encode as en
+    rng = np.random.default_rng(4)
+    n = 60_000
+    a = np.where(rng.random(n) < 0.33, 1.5, rng.normal(size=n))
+    b = np.round(rng.gamma(2.0, size=n), 2)
+    c = np.where(rng.random(n) < 0.001, np.inf, rng.random(n))
+    rows = [(float(x), float(y) if k % 11 else None, float(z) if k % 13 else float("nan")) for k, (x, y, z) in enumerate(zip(a, b, c))]
+    df = spark.createDataFrame(rows, "a double, `b.x` double, c double").repartition(5)
+    data = {"a": a, "b.x": np.array([y for _, y, _ in rows if y is not None]), "c": np.array([z for _, _, z in rows if z == z])}
+    probs = [0.0, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r["column"], r["prob"]): r["value"] for r in en.exact_quantiles(df, list(data), probs).collect()}
+    for col, x in data.items():
+        for p in probs:
+            with np.errstate(invalid="ignore"):
+                want = float(np.quantile(x, p))
+            assert got[col, p] == want or abs(got[col, p] - want) < 1e-12 or want != want
+    inside = en.brackets(df, ["a"], [0.25, 0.5])
+    ranked = en._value_ranks(df, ["a"], inside)
+    assert 0 < ranked.count() < 200 and ranked.first()["tot_cnt"] == n
+    missed = {"a": (np.array([9.0]), np.array([10.0]))}  # a bracket that holds no rank
+    assert en._value_ranks(df, ["a"], missed).count() == 0
+
+
+def test_columns_without_values_have_no_quantiles(spark):
+    from tabeval.operators import encode as en
+    df = spark.createDataFrame([(None, 1.0), (float("nan"), 2.0)], "x double, y double")
+    assert [(r["column"], r["value"]) for r in en.exact_quantiles(df, ["x", "y"], [0.5]).collect()] == [("y", 1.5)]
+    assert en.exact_quantiles(df.where("false"), ["x", "y"], [0.5]).count() == 0
