@@ -2,8 +2,10 @@
 
 Unit vectors of cosine c lie at squared distance 2 - 2c. After a rotation the dimensions are split into
 blocks; if the whole squared distance is within the budget, at least one block's is within that block's
-share of it. So every block is joined by range on its own (a grid over the block's first dimensions,
-then the block's distances), and the union of these candidates is checked in full, in double precision.
+share of it. So every block is joined by range on its own (slabs along the block's first dimension, a
+sweep over sorted rows, then the block's distances), and the union of these candidates is checked in full, in
+double precision. Evenly spread vectors fall apart little along any one dimension, so more grid dimensions
+or smaller blocks would make more copies than they save comparisons.
 A pair is counted in the first block that finds it.
 """
 
@@ -18,13 +20,13 @@ from . import graph
 from .common import freeze, small_batches
 
 COSINE = 0.93
-BLOCK_DIMS, GRID_DIMS = 8, 2
-#: vectors in one block of a grid cell
-CELL_ROWS = 1024
+BLOCK_DIMS = 16
+#: vectors in one block of a slab
+CELL_ROWS = 4096
 #: copies of vectors that one task compares
 COPIES_A_TASK = 100_000
-#: pairs checked at once
-PAIRS = 1 << 16
+#: pairs checked at once, and rows compared with those after them
+PAIRS, SWEPT = 1 << 16, 256
 #: slack of candidate tests, over any rounding; the check that follows is exact
 SLACK = 1e-4
 
@@ -48,12 +50,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-#: a cell's neighbours that come after it: each pair of neighbouring cells meets in one of them
-AFTER = [(0, 1), (1, -1), (1, 0), (1, 1)]
-
-
 def deal(nodes: DataFrame, cosine: float) -> DataFrame:
-    """Copies of each vector for every block: at home in its cell, a visitor in the neighbours before it."""
+    """Two copies of each vector for every block: at home in its slab, a visitor in the one before it."""
     kind = nodes.schema["vector"].dataType.simpleString()
 
     def run(batches):
@@ -71,28 +69,26 @@ def deal(nodes: DataFrame, cosine: float) -> DataFrame:
                     parts = []
                     for b, (lo, hi) in enumerate(blocks(dims)):
                         side = np.sqrt(budget(dims, (lo, hi), cosine)) * (1 + 10 * SLACK)
-                        cell = np.floor(turned[:, lo:min(lo + GRID_DIMS, hi)] / side).astype(np.int64)
-                        cell = np.hstack([cell, np.zeros((len(rows), GRID_DIMS - cell.shape[1]), np.int64)])
-                        for dx, dy in [(0, 0), *AFTER]:
-                            parts.append((np.arange(len(rows)), b, cell[:, 0] - dx, cell[:, 1] - dy, (dx, dy) == (0, 0)))
+                        slab = np.floor(turned[:, lo] / side).astype(np.int64)
+                        parts += [(np.arange(len(rows)), b, slab, True), (np.arange(len(rows)), b, slab - 1, False)]
                     at = np.concatenate([p[0] for p in parts])
                     take = pa.array(rows[at])
                     column = lambda f: np.concatenate([np.broadcast_to(f(p), len(rows)) for p in parts])
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("node").take(take), batch.column("weight").take(take), batch.column("label").take(take),
                          pa.array(np.full(len(at), dims), pa.int32()), pa.array(column(lambda p: p[1]), pa.int32()),
-                         pa.array(column(lambda p: p[2])), pa.array(column(lambda p: p[3])), pa.array(column(lambda p: p[4])),
+                         pa.array(column(lambda p: p[2])), pa.array(column(lambda p: p[3])),
                          pa.FixedSizeListArray.from_arrays(pa.array(vectors[at].ravel(), lists.type.value_type), dims).cast(lists.type)],
-                        names=["node", "weight", "label", "dims", "block", "x", "y", "home", "vector"])
+                        names=["node", "weight", "label", "dims", "block", "slab", "home", "vector"])
 
     dealt = nodes.select("node", "weight", "label", "vector").mapInArrow(
-        run, f"node long, weight long, label long, dims int, block int, x long, y long, home boolean, vector {kind}")
-    return dealt.withColumn("cell", F.xxhash64("label", "dims", "block", "x", "y")).drop("x", "y")
+        run, f"node long, weight long, label long, dims int, block int, slab long, home boolean, vector {kind}")
+    return dealt.withColumn("cell", F.xxhash64("label", "dims", "block", "slab")).drop("slab")
 
 
 def make_check(cosine: float):
     def check(table: pa.Table, forest: graph.Forest):
-        """All pairs of a cell's vectors with each other and with its visitors, within the block's budget."""
+        """All pairs of a slab's vectors with each other and with its visitors, within the block's budget."""
         node, weight, label, dims, block, home, mine = (
             table.column(c).to_numpy() for c in ("node", "weight", "label", "dims", "block", "home", "_mine"))
         cross = table.column("_i")[0].as_py() != table.column("_j")[0].as_py()
@@ -100,23 +96,30 @@ def make_check(cosine: float):
         # cells have one label, size and block, unless their hashes collide
         for group in {(a, b, c) for a, b, c in zip(label.tolist(), dims.tolist(), block.tolist(), strict=True)}:
             rows = np.flatnonzero((label == group[0]) & (dims == group[1]) & (block == group[2]))
-            rows = rows[np.argsort(~home[rows], kind="stable")]
-            homes = int(home[rows].sum())
             lists = table.column("vector").take(pa.array(rows)).combine_chunks()
             vectors = unit(lists.flatten().to_numpy().astype(np.float64).reshape(len(rows), group[1]))
             turn, spans = rotation(group[1]), blocks(group[1])
             lo, hi = spans[group[2]]
             here = vectors @ turn[:, lo:hi]
+            # swept in the order of the slabs' dimension: a row meets those after it, as far as the budget reaches;
+            # visitors come from the next slab, so they lie after all that are at home
+            order = np.argsort(here[:, 0], kind="stable")
+            rows, vectors, here = rows[order], vectors[order], here[order]
             most = budget(group[1], (lo, hi), cosine) + SLACK
-            length = (here * here).sum(axis=1)
-            for begin in range(0, homes, 512):
-                end = min(begin + 512, homes)
-                near = length[begin:end, None] + length[None, :] - 2 * here[begin:end] @ here.T <= most
-                near &= np.arange(len(rows))[None, :] > np.arange(begin, end)[:, None]  # homes once, visitors all
+            length, own, part = (here * here).sum(axis=1), home[rows], mine[rows]
+            reach = np.searchsorted(here[:, 0], here[:, 0] + np.sqrt(most), "right")
+            for begin in range(0, len(rows), SWEPT):
+                end = min(begin + SWEPT, len(rows))
+                if not own[begin:end].any():
+                    continue
+                until = int(reach[begin:end].max())
+                near = length[begin:end, None] + length[None, begin:until] - 2 * here[begin:end] @ here[begin:until].T <= most
+                near &= np.arange(until - begin)[None, :] > np.arange(end - begin)[:, None]
+                near &= own[begin:end, None] | own[None, begin:until]
                 if cross:
-                    near &= mine[rows][begin:end, None] != mine[rows][None, :]
+                    near &= part[begin:end, None] != part[None, begin:until]
                 left, right = np.nonzero(near)
-                left += begin
+                left, right = left + begin, right + begin
                 for k in range(0, len(left), PAIRS):
                     a, b = left[k:k + PAIRS], right[k:k + PAIRS]
                     keep = np.einsum("ij,ij->i", vectors[a], vectors[b]) >= cosine

@@ -34,6 +34,21 @@ def components(links: DataFrame, rows: int) -> DataFrame:
             return labels
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same nodes as a to b do, at most one a node: each to the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, low = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        least, old = np.minimum(low[x], low[y]), low.copy()
+        np.minimum.at(low, x, least)
+        np.minimum.at(low, y, least)
+        low = low[low]
+        if (low == old).all():
+            break
+    other = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[other], nodes[low[other]]
+
+
 class Forest:
     """Union-find over the links that one task has seen; keeps a star of links per tree."""
 
@@ -51,6 +66,7 @@ class Forest:
         return root
 
     def link(self, a, b) -> None:
+        a, b = spanning(a, b)
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             x, y = self.top(x), self.top(y)
             if x != y:

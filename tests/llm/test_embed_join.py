@@ -56,6 +56,19 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert got(embed_join.join(frame(spark, rows))) == brute(rows)
 
 
+def test_spanning_links_join_the_same_nodes():
+    from tabeval.llm import graph
+    pick = np.random.default_rng(9)
+    for n in (1, 5, 60):
+        a, b = pick.integers(0, 10 * n, (2, 8 * n))
+        whole, few = graph.Forest(), graph.Forest()
+        for x, y in zip(a.tolist(), b.tolist()):
+            whole.link(np.array([x]), np.array([y]))
+        few.link(a, b)
+        assert len(graph.spanning(a, b)[0]) < len(set(a) | set(b))
+        assert dict(zip(*map(list, whole.star()))) == dict(zip(*map(list, few.star())))
+
+
 def test_awkward_rows(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (2, v, 1), (None, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1),
