@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import named, unpivot
+from ..functions.columns import free_names, named, unpivot
 from ..functions.stats import norm_ppf_vec
 from .clean import agg_chunked
-from .ordered import prefix_sum
+from .ordered import freeze, lookup, prefix_sum
 
 # ------------------------------------------------------------- exact quantile
 #: the rank sketch is off by at most n / accuracy ranks; so many times the quantiles asked for, at least
@@ -340,19 +340,55 @@ class OneHot:
 
     def to_vector(self, df: DataFrame, out: str = "onehot") -> DataFrame:
         """Add one sparse vector over all categories, in ``names()`` order (unseen values: no entry)."""
-        from pyspark.ml.functions import array_to_vector  # noqa: F401  (registers vector types)
-        from pyspark.ml.linalg import SparseVector, VectorUDT
-        size, at, base = len(self.names()), {}, 0
-        for c, vs in self.categories.items():
-            at[c] = {v: base + k for k, v in enumerate(vs)}
-            base += len(vs)
-        columns = list(at)
-
-        @F.udf(VectorUDT())
-        def vector(row):
-            hits = sorted(at[c][row[i]] for i, c in enumerate(columns) if row[i] in at[c])
-            return SparseVector(size, hits, [1.0] * len(hits))
-        return df.withColumn(out, vector(F.array(*[named(c).cast("string") for c in columns])))
+        rows = [(c, v, k) for c, vs in self.categories.items() for k, v in enumerate(vs)]
+        table = df.sparkSession.createDataFrame(rows, "column string, value string, id long")  # the model's own list
+        return CategoryTable(list(self.categories), table.withColumn("cnt", F.lit(1).cast("long"))).to_vector(df, out)
+
+
+@dataclass
+class CategoryTable:
+    """One-hot coding of columns of any number of categories: the dictionary is a table (column, value, id,
+    cnt), numbered and looked up on the executors; rows get sparse vectors."""
+    columns: list
+    table: DataFrame
+
+    @classmethod
+    def fit(cls, df: DataFrame, cols: Sequence[str]) -> "CategoryTable":
+        """Ids from 0 in each column by value, NULL (its own category) last."""
+        cols = list(cols)
+        counts = unpivot(df, cols, "string").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        ranked = prefix_sum(counts.withColumns({"_null": F.col("value").isNull(), "_one": F.lit(1).cast("long")}),
+                            ["column"], ["_null", "value"], ["_one"], prefix="at")
+        return cls(cols, freeze(ranked.select("column", "value", (F.col("at_one") - 1).alias("id"), "cnt"), "categories"))
+
+    def sizes(self) -> dict[str, int]:
+        found = {r["column"]: r["n"] for r in self.table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a column
+        return {c: found.get(c, 0) for c in self.columns}
+
+    def to_ids(self, df: DataFrame, prefix: str) -> DataFrame:
+        """Add ``{prefix}{k}``, the id of the k-th column's value; NULL where it was not seen."""
+        out = df
+        for k, c in enumerate(self.columns):
+            value, = free_names(out.columns, ["value"])
+            side = freeze(self.table.where(F.col("column") == c).select(F.col("value").alias(value), F.col("id").alias(f"{prefix}{k}"), "cnt"), "column")
+            out = lookup(out.withColumn(value, named(c).cast("string")), side, [value], "cnt").drop(value)
+        return out
+
+    def to_vector(self, df: DataFrame, out: str = "onehot") -> DataFrame:
+        """Add one sparse vector over all categories, columns one after another (unseen values: no entry)."""
+        from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+        sizes = self.sizes()
+        prefix, part = free_names(df.columns, ["category", "onehot"])
+        ids = self.to_ids(df, prefix)
+        used = [k for k, c in enumerate(self.columns) if sizes[c]]
+        # an id as large as the column is one more, invalid, category: no entry
+        ids = ids.select(*[named(c) for c in df.columns if c != out], *[
+            F.coalesce(F.col(f"{prefix}{k}"), F.lit(sizes[self.columns[k]])).cast("double").alias(f"{prefix}{k}") for k in used])
+        largest = df.sparkSession.createDataFrame([tuple(float(sizes[self.columns[k]] - 1) for k in used)], [f"{prefix}{k}" for k in used])
+        encoder = OneHotEncoder(inputCols=[f"{prefix}{k}" for k in used], outputCols=[f"{part}{k}" for k in used],
+                                handleInvalid="keep", dropLast=True).fit(largest)
+        joined = VectorAssembler(inputCols=[f"{part}{k}" for k in used], outputCol=out).transform(encoder.transform(ids))
+        return joined.select(*[named(c) for c in df.columns if c != out], out)
 
 
 # --------------------------------------------------------- quantile transform

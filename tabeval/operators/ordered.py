@@ -67,6 +67,37 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", limit
     return big.join(side, list(on), how)
 
 
+#: a table's keys that are so frequent that at most this many can be are broadcast by ``lookup``
+HOT_KEYS = 50_000
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: Sequence[str], count: str) -> DataFrame:
+    """Left join of ``rows`` with ``table`` (frozen; one row per ``on`` key, of which ``count`` tells how many of the
+    rows have it; keys compare null-safe). The column ``count`` isn't kept.
+
+    A table of up to BROADCAST_BYTES is broadcast. Of a larger one the keys of more than one in HOT_KEYS rows
+    are, at most HOT_KEYS of them; the rows of all other keys are shuffled, so no key is hot there.
+    """
+    on = list(on)
+    added = [c for c in table.columns if c not in on and c != count]
+
+    def left(part: DataFrame, side: DataFrame, mark: str | None = None) -> DataFrame:
+        cond = F.lit(True)
+        for k in on:
+            cond = cond & F.col(f"a.{quoted(k)}").eqNullSafe(F.col(f"b.{quoted(k)}"))
+        side = side.select(*on, *added, *([F.lit(True).alias(mark)] if mark else []))
+        return part.alias("a").join(side.alias("b"), cond, "left").select(
+            "a.*", *[F.col(f"b.{quoted(c)}") for c in added], *([F.col(f"b.{mark}")] if mark else []))
+
+    if table_bytes(table) <= BROADCAST_BYTES:
+        return left(rows, F.broadcast(table))
+    total = table.agg(F.sum(count)).first()[0] or 0
+    mark, = free_names([*rows.columns, *table.columns], ["hot"])
+    hot = left(rows, F.broadcast(table.where(F.col(count) * HOT_KEYS > total)), mark)
+    rest = hot.where(F.col(mark).isNull()).select(*[named(c) for c in rows.columns])
+    return hot.where(F.col(mark)).drop(mark).unionByName(left(rest, table.where(F.col(count) * HOT_KEYS <= total)))
+
+
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Attach a per-group summary (one row per group) to ``df`` on the group
     keys. With no keys the summary is a single aggregate row: it is read once

@@ -11,10 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import inline_rows, named
 from ..functions.normal import log_sf_nonneg, normal_sf, two_sided_p
 from ..functions.scalar import wilson_bounds
 from ..functions.stats import Z_975
 from . import evaluate as ev
+from .ordered import freeze, lookup, prefix_sum
 
 _div = F.try_divide
 
@@ -141,41 +143,67 @@ def accuracy(df: DataFrame, group: Sequence[str] = (), y: str = "y", pred: str =
         F.avg((F.col(y) == 1).cast("double")).alias("dummy_one_accuracy"))
 
 
+def placements(df: DataFrame, group: Sequence[str], y: str, scores: Sequence[str]) -> DataFrame:
+    """One row per example: g0, g1, ... (the group), y, P, N and v0, v1, ..., its placement under each score: the
+    share of the other class that it beats, ties a half. Rows with any score missing don't count.
+
+    All scores are ranked in one running sum over (group, score, value). A value's placement comes back to
+    its rows by ``lookup``, so a score of few values, or of one hot one, doesn't skew.
+    """
+    groups = [f"g{i}" for i in range(len(group))]
+    values = [named(c).cast("double") for c in scores]
+    whole = named(y).isNotNull()
+    for v in values:
+        whole = whole & v.isNotNull() & ~F.isnan(v)
+    rows = freeze(df.where(whole).select(*[named(g).alias(n) for g, n in zip(group, groups)], named(y).cast("int").alias("y"),
+                                         *[(v + 0.0).alias(f"s{i}") for i, v in enumerate(values)],
+                                         F.monotonically_increasing_id().alias("row")), "examples")
+    long = inline_rows(rows, [{"model": F.lit(i), "score": F.col(f"s{i}")} for i in range(len(values))], [*groups, "y", "row"])
+    counts = long.groupBy(*groups, "model", "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    run = prefix_sum(counts, [*groups, "model"], ["score"], ["pos", "neg"], prefix="c_", totals_prefix="t_")
+    beats = _div(F.col("c_neg") - F.col("neg") / 2.0, F.col("t_neg").cast("double"))
+    beaten_by = _div(F.col("t_pos") - F.col("c_pos") + F.col("pos") / 2.0, F.col("t_pos").cast("double"))
+    table = freeze(run.select(*groups, "model", "score", beats.alias("v1"), beaten_by.alias("v0"), F.col("t_pos").alias("P"),
+                              F.col("t_neg").alias("N"), (F.col("pos") + F.col("neg")).alias("rows")), "placements")
+    placed = lookup(long, table, [*groups, "model", "score"], "rows").withColumn("v", F.when(F.col("y") == 1, F.col("v1")).otherwise(F.col("v0")))
+    return placed.groupBy(*groups, "y", "row").agg(F.max("P").alias("P"), F.max("N").alias("N"), *[
+        F.max(F.when(F.col("model") == i, F.col("v"))).alias(f"v{i}") for i in range(len(values))]).drop("row")
+
+
+def delong_covariance(df: DataFrame, group: Sequence[str], y: str, scores: Sequence[str]) -> DataFrame:
+    """AUCs of any number of scores on the same rows and their DeLong covariances, one row per group and pair
+    i <= j: the group, score_i, score_j, auc_i, auc_j, cov, and of two different scores z and log10_p of the
+    test that their AUCs are equal.
+
+    The covariance is that of the placements of each class over its size: sums and products of K columns
+    (their Gram block) in one aggregate.
+    """
+    group, scores = list(group), list(scores)
+    groups = [f"g{i}" for i in range(len(group))]
+    k = len(scores)
+    own = [F.col(f"v{i}") - 0.5 for i in range(k)]  # placements lie in 0..1: centred, products lose nothing
+    gram = placements(df, group, y, scores).groupBy(*groups, "y").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(own[i]).alias(f"t{i}") for i in range(k)],
+        *[F.sum(own[i] * own[j]).alias(f"t{i}_{j}") for i in range(k) for j in range(i, k)])
+
+    def cov(i: int, j: int) -> Column:  # of one class's mean placements
+        return _div(_div(F.col(f"t{i}_{j}") - F.col(f"t{i}") * F.col(f"t{j}") / F.col("n"), F.col("n") - 1.0), F.col("n"))
+
+    pairs = inline_rows(gram, [{"i": F.lit(i), "j": F.lit(j), "cov": cov(i, j), "var_i": cov(i, i), "var_j": cov(j, j),
+                                "a": F.col(f"t{i}") / F.col("n") + 0.5, "b": F.col(f"t{j}") / F.col("n") + 0.5}
+                               for i in range(k) for j in range(i, k)], [*groups, "y"])
+    whole = pairs.groupBy(*groups, "i", "j").agg(
+        F.max(F.when(F.col("y") == 1, F.col("a"))).alias("auc_i"), F.max(F.when(F.col("y") == 1, F.col("b"))).alias("auc_j"),
+        # both classes, or the sums tell nothing
+        *[F.when(F.count(F.lit(1)) == 2, F.sum(c)).alias(c) for c in ("cov", "var_i", "var_j")])
+    names = F.array(*[F.lit(c) for c in scores])
+    z = F.when(F.col("i") < F.col("j"), _div(F.abs(F.col("auc_i") - F.col("auc_j")), F.sqrt(F.col("var_i") + F.col("var_j") - 2.0 * F.col("cov"))))
+    return whole.withColumn("z", z).select(
+        *[F.col(n).alias(g) for n, g in zip(groups, group)], names[F.col("i")].alias("score_i"), names[F.col("j")].alias("score_j"),
+        "auc_i", "auc_j", "cov", "z").withColumn("log10_p", F.log10(F.lit(2.0)) + log_sf_nonneg("z") / F.log(F.lit(10.0)))
+
+
 def delong_compare(df: DataFrame, group: Sequence[str], y: str, s1: str, s2: str) -> DataFrame:
     """DeLong test that two scores on the same rows have equal AUC: z and log10 p."""
-    group = list(group)
-    base = df.where(F.col(y).isNotNull() & F.col(s1).isNotNull() & F.col(s2).isNotNull()
-                    & ~F.isnan(s1) & ~F.isnan(s2)).select(*group, y, s1, s2)
-    comps = []
-    for i, s in enumerate((s1, s2), 1):
-        sg = ev.score_groups(base.select(*group, y, F.col(s).alias("score")), group, "y" if y == "y" else y, "score")
-        comps.append(sg.select(*group, F.col("score").alias(s),
-                               _div(F.col("N") - F.col("fp") + F.col("neg") / 2.0, F.col("N").cast("double")).alias(f"v01_{i}"),
-                               _div(F.col("tp") - F.col("pos") / 2.0, F.col("P").cast("double")).alias(f"v10_{i}"),
-                               *([F.col("P"), F.col("N")] if i == 1 else [])))
-    pairs = base.groupBy(*group, y, s1, s2).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    j = pairs.join(comps[0], [*group, s1]).join(comps[1], [*group, s2])
-    pos = F.col(y) == 1
-    neg = F.col(y) == 0
-
-    def ws(cond: Column, e: Column) -> Column:
-        return F.sum(F.when(cond, F.col("w") * e).otherwise(0.0))
-    a01, b01, a10, b10 = (F.col(c) - 0.5 for c in ("v01_1", "v01_2", "v10_1", "v10_2"))
-    agg = j.groupBy(*group).agg(
-        F.first("P").cast("double").alias("P"), F.first("N").cast("double").alias("N"),
-        ws(pos, a01).alias("sa"), ws(pos, b01).alias("sb"), ws(pos, a01 * a01).alias("saa"),
-        ws(pos, b01 * b01).alias("sbb"), ws(pos, a01 * b01).alias("sab"),
-        ws(neg, a10).alias("ta"), ws(neg, b10).alias("tb"), ws(neg, a10 * a10).alias("taa"),
-        ws(neg, b10 * b10).alias("tbb"), ws(neg, a10 * b10).alias("tab"))
-    P, N = F.col("P"), F.col("N")
-
-    def cov(sxy, sx, sy, n):
-        return _div(F.col(sxy) - F.col(sx) * F.col(sy) / n, n - 1.0)
-    s11 = _div(cov("saa", "sa", "sa", P), P) + _div(cov("taa", "ta", "ta", N), N)
-    s22 = _div(cov("sbb", "sb", "sb", P), P) + _div(cov("tbb", "tb", "tb", N), N)
-    s12 = _div(cov("sab", "sa", "sb", P), P) + _div(cov("tab", "ta", "tb", N), N)
-    auc1 = _div(F.col("sa"), P) + 0.5
-    auc2 = _div(F.col("sb"), P) + 0.5
-    out = agg.select(*group, auc1.alias("auc_1"), auc2.alias("auc_2"),
-                     _div(F.abs(auc1 - auc2), F.sqrt(s11 + s22 - 2.0 * s12)).alias("z"))
-    return out.withColumn("log10_p", F.log10(F.lit(2.0)) + log_sf_nonneg("z") / F.log(F.lit(10.0)))
+    found = delong_covariance(df, group, y, [s1, s2]).where(F.col("z").isNotNull() | (F.col("score_i") != F.col("score_j")))
+    return found.select(*[named(g) for g in group], F.col("auc_i").alias("auc_1"), F.col("auc_j").alias("auc_2"), "z", "log10_p")

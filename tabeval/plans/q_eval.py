@@ -399,3 +399,36 @@ def q_delong_compare(spark, d):
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
         F.col("l_extendedprice").alias("s1"), F.col("l_quantity").alias("s2"))
     return rounded(rt.delong_compare(li, [], "y", "s1", "s2"))
+
+
+# -------------------------------------------------------- auc_delong_matrix
+_FIVE = {"price": "l_extendedprice", "qty": "l_quantity", "disc": "l_discount", "tax": "l_tax", "part": "CAST(l_partkey AS DOUBLE)"}
+
+
+def _matrix_sql() -> str:
+    n = list(_FIVE)
+    place = ", ".join(f"""CASE WHEN y = 1 THEN (SUM(1 - y) OVER (ORDER BY {c}) - SUM(1 - y) OVER (PARTITION BY {c}) / 2.0) / N
+      ELSE (P - SUM(y) OVER (ORDER BY {c}) + SUM(y) OVER (PARTITION BY {c}) / 2.0) / P END AS v_{c}""" for c in n)
+    pairs = " UNION ALL ".join(f"""SELECT '{a}' AS score_i, '{b}' AS score_j, {int(a != b)} AS other,
+      AVG(v_{a}) FILTER (y = 1) AS auc_i, AVG(v_{b}) FILTER (y = 1) AS auc_j, {_cov(a, b)} AS cov, {_cov(a, a)} AS vi, {_cov(b, b)} AS vj
+      FROM v""" for i, a in enumerate(n) for b in n[i:])
+    return f"""WITH base AS (SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, {', '.join(f'{e} AS {c}' for c, e in _FIVE.items())} FROM lineitem),
+sized AS (SELECT *, CAST(SUM(y) OVER () AS DOUBLE) AS P, CAST(SUM(1 - y) OVER () AS DOUBLE) AS N FROM base),
+v AS MATERIALIZED (SELECT y, P, N, {place} FROM sized),
+pairs AS ({pairs}),
+zz AS (SELECT *, CASE WHEN other = 1 THEN abs(auc_i - auc_j) / sqrt(vi + vj - 2 * cov) END AS z FROM pairs)
+SELECT score_i, score_j, round(auc_i, 6) AS auc_i, round(auc_j, 6) AS auc_j, round(cov * 1e9, 6) AS cov_e9, round(z, 6) AS z,
+  round(CASE WHEN z IS NOT NULL THEN ln(2)/ln(10) + {log_sf_nonneg_sql('z')}/ln(10) END, 6) AS log10_p FROM zz"""
+
+
+def _cov(a: str, b: str) -> str:
+    return f"(COVAR_SAMP(v_{a}, v_{b}) FILTER (y = 1) / MAX(P) + COVAR_SAMP(v_{a}, v_{b}) FILTER (y = 0) / MAX(N))"
+
+
+@register("auc_delong_matrix", _matrix_sql())
+def q_delong_matrix(spark, d):
+    """Five scores of every lineitem, two of them of few values: all AUCs, covariances and tests at once."""
+    li = read_table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"),
+                                                 *[F.expr(e).alias(c) for c, e in _FIVE.items()])
+    found = rt.delong_covariance(li, [], "y", list(_FIVE)).withColumn("cov_e9", F.col("cov") * 1e9)
+    return rounded(found.select("score_i", "score_j", "auc_i", "auc_j", "cov_e9", "z", "log10_p"))

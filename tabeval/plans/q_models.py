@@ -63,6 +63,57 @@ def q_calibrate(spark, d):
     return rounded(cal.groupBy("fold").agg(F.avg("calibrated").alias("mean_calibrated"), F.avg("y").alias("positive_rate")))
 
 
+# ------------------------------------------------------ isotonic (SQL)
+@register("calibrate_isotonic", """WITH g AS (SELECT l_quantity AS x, CAST(COUNT(*) AS DOUBLE) AS w, CAST(SUM(CAST(l_linestatus = 'O' AS INTEGER)) AS DOUBLE) AS s
+  FROM lineitem GROUP BY l_quantity),
+p AS (SELECT x, row_number() OVER (ORDER BY x) AS i, SUM(w) OVER (ORDER BY x) AS cw, SUM(s) OVER (ORDER BY x) AS cs, w, s FROM g),
+means AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM p a JOIN p b ON a.i <= b.i)
+SELECT x AS score, round((SELECT MAX(least_mean) FROM (SELECT j, MIN(m) AS least_mean FROM means WHERE j <= p.i AND k >= p.i GROUP BY j)), 6) AS calibrated FROM p""")
+def q_isotonic(spark, d):
+    """Open lineitems by quantity: the nearest rising step function, at every quantity."""
+    from ..operators import calibrate as ca
+    li = read_table(spark, d, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_linestatus") == "O").cast("int").alias("y"))
+    return rounded(ca.apply_isotonic(ca.fit_isotonic(li), li.select("score").distinct()))
+
+
+# ------------------------------------------------------ weighted ensemble (SQL)
+_NOISY = {"late": "(odays + o_custkey * 37 % 1500) / 4000.0", "key": "(odays + row_id * 61 % 1900) / 4000.0",
+          "price": "o_totalprice / 400000.0", "mixed": "(odays + (row_id * 17 + o_custkey * 29) % 2300) / 4300.0"}
+_NOISY_STEPS = 6
+
+
+def _ensemble_sql() -> str:
+    n = list(_NOISY)
+    steps = [f"""r0 AS MATERIALIZED (SELECT y, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in _NOISY.items())}, CAST(0.0 AS DOUBLE) AS e FROM (
+  SELECT o_orderkey AS row_id, CAST(o_orderstatus <> 'F' AS INTEGER) AS y, o_custkey, o_totalprice,
+         CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS odays FROM orders))"""]
+    for t in range(1, _NOISY_STEPS + 1):
+        tried = " UNION ALL ".join(f"SELECT {i} AS k, y, e + {c} AS x FROM r{t - 1}" for i, c in enumerate(n))
+        steps += [f"""c{t} AS MATERIALIZED (SELECT k, (SUM(mr) FILTER (y = 1) - SUM(y) * (SUM(y) + 1) / 2.0) / (SUM(y) * SUM(1 - y)) AS auc FROM (
+  SELECT k, y, RANK() OVER (PARTITION BY k ORDER BY x) + (COUNT(*) OVER (PARTITION BY k, x) - 1) / 2.0 AS mr FROM ({tried})) GROUP BY k)""",
+                  f"b{t} AS MATERIALIZED (SELECT k, auc FROM c{t} ORDER BY round(auc, 12) DESC, k LIMIT 1)",
+                  f"""r{t} AS MATERIALIZED (SELECT y, {', '.join(n)}, e + CASE (SELECT k FROM b{t}) {' '.join(f'WHEN {i} THEN {c}' for i, c in enumerate(n))} END AS e FROM r{t - 1})"""]
+    board = " UNION ALL ".join(f"SELECT {t} AS step, [{', '.join(repr(c) for c in n)}][k + 1] AS learner, auc FROM b{t}" for t in range(1, _NOISY_STEPS + 1))
+    steps += [f"board AS (SELECT *, auc - coalesce(lag(auc) OVER (ORDER BY step), 0) AS gain FROM ({board}))",
+              "top AS (SELECT step AS last FROM board ORDER BY round(auc, 12) DESC, step LIMIT 1)"]
+    return "WITH " + ",\n".join(steps) + """
+SELECT step, learner, round(auc, 6) AS auc, round(gain, 6) AS gain,
+  round((SELECT CAST(COUNT(*) AS DOUBLE) FROM board b2, top WHERE b2.step <= last AND b2.learner = board.learner) / (SELECT last FROM top), 6) AS weight FROM board"""
+
+
+@register("weighted_ensemble", _ensemble_sql())
+def q_weighted_ensemble(spark, d):
+    """Four scores of every order; each step's learner, AUC and gain, and the learner's weight in the end."""
+    from ..operators import ensemble as es
+    o = read_table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") != "F").cast("int").alias("y"), "o_custkey", "o_totalprice",
+        F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("double").alias("odays"))
+    scores = o.select("y", *[F.expr(e).cast("double").alias(c) for c, e in _NOISY.items()])
+    board, weights = es.greedy_ensemble(scores, list(_NOISY), "y", _NOISY_STEPS)
+    weight = F.create_map(*[F.lit(x) for c in _NOISY for x in (c, float(weights.get(c, 0.0)))])
+    return rounded(board.withColumn("weight", weight[F.col("learner")]))
+
+
 # ----------------------------------------------------------- gaussian NB (SQL)
 NB_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 

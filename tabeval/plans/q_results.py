@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import registry as rg
 from ..operators import results as rs
 from ..operators import sample as sp
+from ..session import ensure_checkpoint_dir
 from ..sources.io import read_table
 from .registry import register, rounded
 from .sqlgen import evaluate_sql
@@ -159,6 +162,19 @@ def q_join_features_label(spark, d):
     return rounded(x.join(y, "row_id"))
 
 
+@register("concat_columns", """SELECT o_orderkey AS row_id, o_orderkey AS label_id, o_totalprice, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders""")
+def q_concat_columns(spark, d):
+    """Features and labels without a common id, written in one order but in files of other sizes, side by side."""
+    from ..sources.io import concat_columns
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    left, right = (f"{base}/tabeval-{side}-{uuid.uuid4().hex}" for side in ("features", "outcomes"))
+    o = read_table(spark, d, "orders")
+    for path, n, part in ((left, 7, o.select(F.col("o_orderkey").alias("row_id"), "o_totalprice")),
+                          (right, 3, o.select(F.col("o_orderkey").alias("label_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y")))):
+        part.repartitionByRange(n, part.columns[0]).sortWithinPartitions(part.columns[0]).write.parquet(path)
+    return rounded(concat_columns(spark, left, right).select("row_id", "label_id", "o_totalprice", "y"))
+
+
 # ----------------------------------------------------------------- registry
 def _models(spark, d):
     o = read_table(spark, d, "orders")

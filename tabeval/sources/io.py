@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import free_names, named
+
 STRAY_INDEX_COLUMNS = ("Unnamed: 0", "_c0")
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -71,6 +73,35 @@ def with_row_id(df: DataFrame, cols: Sequence[str] | None = None, name: str = "r
     return df.withColumn(name, F.xxhash64(*[F.col(c) for c in cols]))
 
 
+def read_positions(spark: SparkSession, path: str, name: str = "position") -> DataFrame:
+    """A Parquet table with ``name``, the place of each row from 0: files by name, rows as they stand in them.
+
+    The place in a file comes from its metadata; what lies before a file is a running sum over one row per
+    file. No row is moved or sorted.
+    """
+    from ..operators.ordered import join_checked, prefix_sum
+    df = spark.read.parquet(path)
+    file, row, n, before = free_names(df.columns, ["file", "row", "n", "before"])
+    placed = df.withColumns({file: F.col("_metadata.file_path"), row: F.col("_metadata.row_index")})
+    counts = placed.groupBy(file).agg(F.count(F.lit(1)).alias(n))
+    offsets = prefix_sum(counts, [], [file], [n], prefix="to").select(file, (F.col(f"to{n}") - F.col(n)).alias(before))
+    return join_checked(placed, offsets, [file]).select(*[named(c) for c in df.columns], (F.col(before) + F.col(row)).alias(name))
+
+
+def concat_columns(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """Two Parquet tables of equally many rows side by side, the first row with the first: both are read with
+    their positions, which meet in one join. Columns of the same name on both sides, or tables of
+    different sizes, are an error."""
+    a, b = read_positions(spark, left, "_position"), read_positions(spark, right, "_position")
+    both = sorted(set(a.columns) & set(b.columns) - {"_position"})
+    if both:
+        raise ValueError(f"columns on both sides: {both}")
+    sizes = spark.read.parquet(left).count(), spark.read.parquet(right).count()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"tables of {sizes[0]} and {sizes[1]} rows can't be put side by side")
+    return a.join(b, "_position").drop("_position")
+
+
 def normalize_nan(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """NaN -> NULL in floating columns (Spark keeps them apart; the reference does not)."""
     floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
