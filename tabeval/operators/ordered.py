@@ -19,8 +19,10 @@ groups — or add a tiebreak column to ``order``.
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +31,45 @@ from ..functions.columns import free_names, named, quoted
 from ..session import ensure_checkpoint_dir
 
 
+def frozen_path(spark, name: str) -> str:
+    """A new folder under the session's shared checkpoint folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-{name}-{uuid.uuid4().hex}"
+    if getattr(_recording, "made", None) is not None:
+        _recording.made.append(path)
+    return path
+
+
+_recording = threading.local()
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that this thread freezes inside the block, for ``drop``."""
+    made, before = [], getattr(_recording, "made", None)
+    _recording.made = made
+    try:
+        yield made
+    finally:
+        _recording.made = before
+        if before is not None:
+            before += made
+
+
+def drop(spark, paths: list[str]) -> None:
+    """Delete frozen tables that nothing will read again."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
 def freeze(df: DataFrame, name: str = "frozen") -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the session's shared
     checkpoint folder and reading it back: one job, deterministic contents that
     survive executor loss, column pruning and real size statistics downstream.
     Column names are stored positionally (any name survives the round trip)."""
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tabeval-{name}-{uuid.uuid4().hex}"
+    path = frozen_path(spark, name)
     names = df.columns
     positional = df.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)])
     positional.write.mode("overwrite").parquet(path)
