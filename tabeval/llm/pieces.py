@@ -5,12 +5,15 @@ that ends there (its output links), and each relaxes the best score of a segment
 single-pass Viterbi for the segmentation of the largest score sum. Characters without a piece of their
 own cost less than the worst piece and become UTF-8 byte pieces.
 
+Scores are log-probabilities; those of a model of merges follow from the merges' ranks. Tokenizers aren't trained.
+
 Where no piece holds a word mark after another character, no segmentation crosses the start of a word,
 so words are segmented one by one and a task remembers those it has seen.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -46,7 +49,23 @@ class Vocabulary:
         ids = range(model.get_piece_size())
         kinds = "".join("b" if model.is_byte(i) else "x" if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
                         else "n" for i in ids)
-        return cls([model.id_to_piece(i) for i in ids], [model.get_score(i) for i in ids], kinds)
+        return cls([model.id_to_piece(i) for i in ids], log_probabilities([model.get_score(i) for i in ids], kinds), kinds)
+
+
+#: the law that turns merge ranks to probabilities: p(rank) in proportion to 1 / (RANK_OFFSET + rank)
+RANK_OFFSET = 100.0
+
+
+def log_probabilities(scores: list[float], kinds: str) -> list[float]:
+    """Scores that a Viterbi may add up. A model of merges has minus the rank of each piece's merge, which is no
+    probability: sums of ranks prefer many early pieces to the one that the model itself makes. Nothing is
+    trained here, so ranks become probabilities by the Zipf-Mandelbrot law (merges are made in the order of
+    frequency). Scores of any other model are log-probabilities already."""
+    ranks = [-s for s, k in zip(scores, kinds, strict=True) if k == "n"]
+    if not ranks or any(r < 0 or r != int(r) for r in ranks):
+        return scores
+    total = sum(1 / (RANK_OFFSET + r) for r in ranks)
+    return [-math.log((RANK_OFFSET - s) * total) if k == "n" else s for s, k in zip(scores, kinds, strict=True)]
 
 
 class Codec:

@@ -32,7 +32,7 @@ def test_segmentation_is_the_best(vocabulary):
         ids = codec.segment(text)
         plain = [i for i in ids if vocabulary.kinds[i] == "n"]
         strange = sum(1 for c in text if c not in scores)
-        assert sum(vocabulary.scores[i] for i in plain) + strange * codec.unknown == best_score(text, scores, codec.unknown)
+        assert sum(vocabulary.scores[i] for i in plain) + strange * codec.unknown == pytest.approx(best_score(text, scores, codec.unknown))
 
 
 def test_word_by_word_is_the_whole(vocabulary):
@@ -41,10 +41,25 @@ def test_word_by_word_is_the_whole(vocabulary):
     marked = "▁" + text.replace(" ", "▁")
     whole = codec.segment(marked)
     score = lambda ids: sum(vocabulary.scores[i] for i in ids)
-    assert codec.by_word and score(codec.encode(text)) == score(whole)
+    assert codec.by_word and score(codec.encode(text)) == pytest.approx(score(whole))
     assert codec.decode(codec.encode(text)) == text
 
 
+def test_scores_are_probabilities_that_segment_as_the_model_does(spark, vocabulary):
+    import math
+
+    import sentencepiece
+    model, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Codec(vocabulary)
+    assert math.isclose(sum(math.exp(s) for s, k in zip(vocabulary.scores, vocabulary.kinds) if k == "n"), 1)
+    assert [vocabulary.pieces[i] for i in codec.encode("the international organization")] == ["▁the", "▁international", "▁organization"]
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    own, ours = [model.encode(t) for t in texts], [codec.encode(t) for t in texts]
+    assert sum(map(len, ours)) <= 1.01 * sum(map(len, own))  # ids a text: no more than by merges
+    words = [w for t in texts for w in t.split()]
+    assert sum(codec.encode(w) == model.encode(w) for w in words) > 0.75 * len(words)
+    assert pieces.log_probabilities([-1.5, -2.0, 0.0], "nnx") == [-1.5, -2.0, 0.0]  # log-probabilities stay
+
+
 def test_awkward_rows_round_trip(spark, vocabulary):
     df = docs(spark)
     coded = pieces.encode(df.select("doc_id", "text"), vocabulary)
