@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
-from ..session import ensure_checkpoint_dir
+from ..operators.ordered import frozen_path as scratch
 
 #: bytes of rows sent to a Python worker at once; long texts would otherwise fill its memory
 BATCH_BYTES = 4 << 20
@@ -19,22 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder of ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tabeval-{name}-{uuid.uuid4().hex}"
-
-
 #: rows of a narrow table in one file
 FILE_ROWS = 200_000
 
 
 def freeze(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives
-    lost executors, and fixes sampled ranges and generated row numbers. ``rows``: about how many
-    there are, if known; few narrow rows then go to few files, many to as many as they fill."""
+    lost executors, and fixes sampled ranges and generated row numbers. ``rows``: about how many narrow
+    rows there are, if known; few are shuffled once more, to few files, after the work that makes them."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
+    files = None if rows is None else max(1, -(-rows // FILE_ROWS))
+    if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(files)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

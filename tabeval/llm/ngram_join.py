@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import freeze, hold, small_batches
+from .common import freeze, hold, packed, small_batches, unpacked
 from .decontaminate import FOLD
 
 SHINGLE = 5
@@ -177,20 +177,21 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for d in range(end - begin):
                     s = sets[ends[d] - sizes[d]:ends[d]]
                     if len(s):
-                        total = mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))], np.uint64)).view(np.int64)[0]
-                        rows.append((total, len(s), *sketch(s).tolist()))
+                        # 128 bits of the set: equal keys are equal sets, however many there are
+                        sums = [np.add.reduce(mix(s)) + np.uint64(len(s)), np.add.reduce(mix(~s)) ^ np.uint64(len(s))]
+                        rows.append((mix(np.array(sums, np.uint64)).tobytes(), len(s), *sketch(s).tolist()))
                     else:
                         rows.append((None, 0, None, None, None, None))
                 columns = list(zip(*rows, strict=True))
                 offsets = pa.array(np.concatenate([[path_at], path_ends]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(begin, end - begin) for c in (0, 2, 3)], pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()),
+                    [*[batch.column(c).slice(begin, end - begin) for c in (0, 2, 3)], pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()),
                      *[pa.array(c, pa.int64()) for c in columns[2:]],
                      pa.ListArray.from_arrays(offsets, pa.array(key_of.view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sets.view(np.int64)))],
                     names=["key", "hash", "size", "class", "n", "s0", "s1", "s2", "s3", "paths", "shingles"])
 
-    made = narrow.mapInArrow(make, f"key {kind}, hash long, size int, class long, n int, s0 long, s1 long, s2 long, s3 long, paths array<long>, shingles array<long>")
+    made = narrow.mapInArrow(make, f"key {kind}, hash long, size int, class binary, n int, s0 long, s1 long, s2 long, s3 long, paths array<long>, shingles array<long>")
     return freeze(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -368,7 +369,7 @@ def linked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     many = members.count()
     few = many * 2 * PATH_BYTES <= BROADCAST_BYTES
     rows = whole.join(F.broadcast(members) if few else members, "node")
-    dealt = graph.in_block_pairs(freeze(rows, "members", 10 * many), "component", "node", "n", BLOCK_SHINGLES, BLOCK_SETS, many)
+    dealt = graph.in_block_pairs(freeze(rows, "members"), "component", "node", "n", BLOCK_SHINGLES, BLOCK_SETS, many)
     found = freeze(graph.found_in_groups(dealt, ["component", "_i", "_j"], ["node", "weight", "_mine", "shingles"], exact,
                                          graph.tasks_for(many, SETS_A_TASK)), "links", 10 * many)
     top = graph.components(found.where("b is not null").select("a", "b"), many)
@@ -405,18 +406,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     gone = _bounded(rows.where(F.col("first").isNotNull() & ~mine.eqNullSafe(F.col("first"))).select(marks).distinct())
     again = hold(rows.where("class is not null or key is not null").groupBy(marks).agg(F.count("*").alias("_n"))
                  .where("_n > 1").select("_key", "_hash", "_size"))
-    marked = docs.select("*", *[c.alias(f"_its_{n}") for c, n in zip(text_marks(text), ("hash", "size"), strict=True)])
+    marked = packed(docs, text).withColumn("key", F.col("doc")[key])
+    marked = marked.withColumns({f"its_{n}": c for c, n in zip(text_marks("text"), ("hash", "size"), strict=True)})
 
     def same(other: DataFrame):
-        return (marked[key].eqNullSafe(other["_key"]) & (F.col("_its_hash") == other["_hash"]) & (F.col("_its_size") == other["_size"]))
+        return (F.col("key").eqNullSafe(other["_key"]) & (F.col("its_hash") == other["_hash"]) & (F.col("its_size") == other["_size"]))
 
     kept = marked.join(gone, same(gone), "left_anti")
-    if not again.count():
-        return kept.select(docs.columns)
-    again = _bounded(again)
-    once = kept.join(again, same(again), "left_semi").select(docs.columns)
-    rest = kept.join(again, same(again), "left_anti").select(docs.columns)
-    return rest.union(once.dropDuplicates([key, text]))
+    if again.count():
+        again = _bounded(again)
+        once = kept.join(again, same(again), "left_semi").dropDuplicates(["key", "text"])
+        kept = kept.join(again, same(again), "left_anti").union(once)
+    return kept.select(*unpacked(kept, docs.columns, text))
 
 
 def _bounded(keys: DataFrame) -> DataFrame:

@@ -42,3 +42,23 @@ def test_awkward_rows_pass_every_stage(spark):
         for name, stage in corpus_pipeline.STAGES:
             rows = freeze(stage(spark, rows, SF), name)
         assert rows.where("text is null").count() == 0
+
+
+def test_columns_of_any_name_pass_every_stage(spark):
+    from pyspark.sql import functions as F
+    names = ["score", "lang_pred", "_read", "read", "doc", "ids", "n_ids", "_spans", "_words", "_items", "_key", "_cuts", "text_key", "class", "a.b"]
+    rows = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit("other") for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        rows = freeze(stage(spark, rows, SF), name)
+        kept = [c for c in names if name != "tokens" or c not in ("ids", "n_ids")]
+        assert rows.count() and all(rows.where(F.col(f"`{c}`") != "other").count() == 0 for c in kept)
+    assert dict(rows.dtypes)["ids"] == "array<int>"
+
+
+def test_what_a_stage_made_goes_with_the_next(spark):
+    import os
+    docs_, left = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, SF)
+        assert not any(os.path.exists(p.removeprefix("file:")) for p in left)
+        docs_, left = freeze(out, name), list(corpus_pipeline._made)
