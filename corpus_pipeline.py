@@ -8,6 +8,8 @@ columns of ``docs``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from tabeval.llm import decontaminate, langid, ngram_join, pieces, pii
 from tabeval.functions.columns import named
 from tabeval.llm.common import freeze, packed, table, unpacked
 from tabeval.llm.queries import PIECES
+from tabeval.operators.ordered import drop, recorded
 
 #: the stages work on texts; SQL can express neither the language model nor the segmentation
 ORACLE_SQL = None
@@ -58,13 +61,33 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*unpacked(found, columns, "text", {"n_chars": F.length("text").cast("long")}), *new)
 
 
-STAGES = [("language", language), ("near_copies", near_copies), ("benchmark_passages", benchmark_passages),
-          ("personal_data", personal_data), ("tokens", tokens)]
+#: folders of the tables that the last stage made on its way to its result
+_made: list[str] = []
+
+
+def cleaned(stage):
+    """``stage``; what the stage before it left behind goes first, as its result is written by then. A stage's
+    ``docs`` must therefore be written tables, as STAGES are run."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _made)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _made.extend(made)
+        return out
+    return run_stage
+
+
+STAGES = [(stage.__name__, cleaned(stage)) for stage in (language, near_copies, benchmark_passages, personal_data, tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = freeze(stage(spark, docs, sf_dir), name)
+        result = stage(spark, docs, sf_dir)
+        with recorded() as path:
+            docs = freeze(result, name)
+        drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
