@@ -16,6 +16,7 @@ stacking all go through ``FoldModel``.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -456,11 +457,53 @@ def cross_validate_flow(df: DataFrame, features: Sequence[str], y: str, row_id:
     return union_all(run_bounded([task(r, f) for r in range(n_repeats) for f in range(k)], parallelism))
 
 
+@dataclass(frozen=True)
+class Race:
+    """Successive halving: candidates are fitted on a sample of the training rows, the best 1 / ``keep`` of them on one
+    ``keep`` times as large, and so on; the survivors are fitted on all rows. Samples are nested: a row's hash decides.
+
+    trials: how many fits on all rows the whole race may cost (None: the first sample is 1 / keep^2); the first
+    sample is made as small as that asks for, down to the one from which a single candidate is left in the end.
+    seconds: once so much time has passed, the next round is the last one, on all rows, with one survivor.
+    """
+    keep: int = 3
+    trials: float | None = None
+    seconds: float | None = None
+
+    def shares(self, candidates: int) -> list[float]:
+        """The sample of each round before the last one. A round costs its candidates times its share of the rows."""
+        rounds = 2
+        if self.trials is not None:
+            def cost(r: int) -> float:
+                return sum(max(1, candidates // self.keep ** k) / self.keep ** (r - k) for k in range(r + 1))
+            most = next(r for r in range(64) if self.keep ** r >= candidates)  # after so many one is left
+            rounds = next((r for r in range(most + 1) if cost(r) <= self.trials), most)
+        return [1.0 / self.keep ** (rounds - k) for k in range(rounds)]
+
+    def run(self, candidates: list, frame: DataFrame, scores_of, seed: int) -> list:
+        left, start = list(candidates), time.monotonic()
+        spread = F.pmod(F.xxhash64(named(md.ID), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        for share in self.shares(len(left)):
+            if len(left) == 1:
+                break
+            found = {(r["algorithm"], r["combo"]): r["auc"] for r in scores_of(left, frame.where(spread < share)).collect()}  # one row each
+            left.sort(key=lambda c: (-(found.get(c[:2]) or 0.0), candidates.index(c)))
+            left = left[:max(1, len(left) // self.keep)]
+            if self.seconds is not None and time.monotonic() - start > self.seconds:
+                return left[:1]
+        return left
+
+
 def auto_select(df: DataFrame, features: Sequence[str], y: str, algorithms: Sequence[str], grids: dict[str, dict] | None = None,
-                holdout: float = 0.2, options: Options | None = None, seed: int = 42, row_id: str = "row_id") -> tuple[DataFrame, FoldModel | None]:
+                holdout: float = 0.2, options: Options | None = None, seed: int = 42, row_id: str = "row_id",
+                race: Race | None = None) -> tuple[DataFrame, FoldModel | None]:
     """Every learner and grid combination fitted on the training part of a hash-stratified holdout split;
     all candidates' holdout predictions are evaluated in ONE grouped job. Returns (leaderboard
-    (algorithm, params, score_val, rank) with rank 1 = best, best model refitted on all rows)."""
+    (algorithm, params, score_val, rank) with rank 1 = best, best model refitted on all rows).
+
+    With ``race`` weak candidates are dropped on smaller samples first (see ``Race``), so the board lists the
+    learners that reached the last round only; without it every candidate is fitted on all rows.
+    """
     spark, o = df.sparkSession, options or Options()
     data = df.where(named(y).isNotNull())
     s = freeze(sp.split_stratified(data, y, row_id, holdout, seed), "holdout")
@@ -469,13 +512,17 @@ def auto_select(df: DataFrame, features: Sequence[str], y: str, algorithms: Sequ
     frame = prep.fit(s.where(F.col("split") == "train"), row_id)
     cands = [(alg, i, c) for alg in algorithms for i, c in enumerate(md.param_grid((grids or {}).get(alg, {})))]
 
-    def task(alg, i, combo):
-        def run():
-            m = FoldModel(list(features), y, alg, combo, o).fit_prepared(prep, frame)
-            return m.score(hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), named(y).alias("y")])
-        return run
-    preds = union_all(run_bounded([task(*c) for c in cands]))
-    aucs = ev.auc_table(ev.score_groups(preds, ["algorithm", "combo"]), ["algorithm", "combo"])
+    def scores_of(some: list, rows: DataFrame) -> DataFrame:
+        def task(alg, i, combo):
+            def run():
+                m = FoldModel(list(features), y, alg, combo, o).fit_prepared(prep, rows)
+                return m.score(hold, [F.lit(alg).alias("algorithm"), F.lit(i).alias("combo"), named(y).alias("y")])
+            return run
+        preds = union_all(run_bounded([task(*c) for c in some]))
+        return ev.auc_table(ev.score_groups(preds, ["algorithm", "combo"]), ["algorithm", "combo"])
+
+    racing = cands if race is None else race.run(cands, frame, scores_of, seed)
+    aucs = scores_of(racing, frame)
     meta = spark.createDataFrame([(a, i, md.as_json(c)) for a, i, c in cands], "algorithm string, combo int, params string")
     per_alg = aucs.join(meta, ["algorithm", "combo"])
     w = Window.partitionBy("algorithm").orderBy(F.col("auc").desc_nulls_last(), F.col("combo"))

@@ -67,3 +67,33 @@ def test_selection_and_adasyn_paths(spark):
     bal = fm._rebalance(df, FEATS, "row_id")
     counts = sorted(r["count"] for r in bal.groupBy("y").count().collect())
     assert counts[0] == counts[1]
+
+
+def test_race_costs_and_samples():
+    from tabeval.operators.workflow import Race
+    assert Race().shares(9) == [1 / 9, 1 / 3]
+    assert Race(trials=0.1).shares(9) == [1 / 9, 1 / 3] and Race(trials=9).shares(9) == []
+    for trials, n in ((3.0, 9), (4.0, 27), (30.0, 27)):
+        race = Race(trials=trials)
+        left, cost = n, 0.0
+        for share in race.shares(n):
+            cost, left = cost + left * share, max(1, left // 3)
+        assert cost + left <= trials + 1e-9
+
+
+def test_race_ends_with_the_winner_of_the_full_search(spark):
+    """Depths far apart: the race drops the weak ones on samples and its winner is that of the full search."""
+    from tabeval.operators import workflow as wf
+    import numpy as np
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(k, float(a), float(b), int(t)) for k, ((a, b), t) in enumerate(zip(x, y))], "row_id int, a double, b double, y int")
+    grids = {"dt": {"max_depth": [1, 6]}, "lr": {}}
+    full, _ = wf.auto_select(df, ["a", "b"], "y", ["dt", "lr"], grids)
+    board, model = wf.auto_select(df, ["a", "b"], "y", ["dt", "lr"], grids, race=wf.Race())
+    top = full.where("rank = 1").first()
+    assert [(r["algorithm"], r["params"]) for r in board.collect()] == [(top["algorithm"], top["params"])]
+    assert board.first()["score_val"] == top["score_val"] and model is not None
+    quick, _ = wf.auto_select(df, ["a", "b"], "y", ["dt", "lr"], grids, race=wf.Race(seconds=0.0))
+    assert quick.count() == 1
