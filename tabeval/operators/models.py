@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import named
+from . import boosting as bs
 from . import neighbors as nb
 from .ordered import freeze
 from .sample import kfold_stratified
@@ -32,7 +33,7 @@ LABEL, FEATURES, ID = "_label", "_features", "_id"
 #: algorithm names -> learner family
 ALIASES = {"rf": "rf", "dt": "dt", "gbt": "gbt", "gb": "gbt", "xgb": "gbt", "cat": "gbt", "lgbm": "gbt",
            "lr": "lr", "lr_l2": "lr", "sgd_elastic": "sgd_elastic", "sgd_l2": "sgd_l2", "svm": "svm",
-           "mlp": "mlp", "nb": "nb", "knn": "knn"}
+           "mlp": "mlp", "nb": "nb", "knn": "knn", "hist": "hist", "hist_gbt": "hist"}
 
 #: the parameters each family takes; any other is refused
 PARAMETERS = {
@@ -44,6 +45,7 @@ PARAMETERS = {
     "svm": {"C", "max_iter", "calibration_folds"},
     "mlp": {"hidden_layer_sizes", "max_iter", "learning_rate_init", "batch_size"},
     "nb": {"var_smoothing"}, "knn": {"n_neighbors", "weights", "metric"},
+    "hist": {"n_estimators", "max_depth", "learning_rate", "reg_lambda", "gamma", "min_child_weight", "colsample_bytree", "max_bins"},
 }
 
 #: a search space for every family, over the parameters of the learners used here
@@ -56,6 +58,8 @@ SEARCH_SPACES: dict[str, dict[str, list]] = {
     "sgd_l2": {"alpha": [1e-5, 1e-4, 1e-3, 1e-2]},
     "svm": {"C": [0.01, 0.1, 1.0, 10.0]},
     "mlp": {"hidden_layer_sizes": [(8,), (16,), (16, 8)], "max_iter": [100, 200]},
+    "hist": {"n_estimators": [20, 50, 100], "max_depth": [2, 3, 4], "learning_rate": [0.05, 0.1, 0.2], "reg_lambda": [0.0, 1.0, 10.0],
+             "gamma": [0.0, 0.1], "colsample_bytree": [0.5, 1.0]},
     "nb": {"var_smoothing": [1e-9, 1e-8, 1e-7, 1e-6]}, "knn": {"n_neighbors": [3, 5, 7, 11], "weights": ["uniform", "distance"]},
 }
 
@@ -243,7 +247,38 @@ class Neighbours:
         return cls(SparkSession.getActiveSession().read.parquet(f"{path}/train"), meta["n"], meta["params"])
 
 
-LEARNERS = {"nb": NaiveBayes, "knn": Neighbours}
+class HistogramBoosting:
+    """Second-order boosted trees; a missing value takes the side that its split has learned for it."""
+
+    def __init__(self, trees: list[bs.Tree], n: int):
+        self.trees, self.n = trees, n
+
+    @classmethod
+    def fit(cls, frame: DataFrame, n: int, alg: str, params: dict, seed: int = 1000) -> "HistogramBoosting":
+        return cls(bs.fit_trees(frame, inputs(n), LABEL, bs.Settings(**check_parameters(alg, params), seed=seed)), n)
+
+    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
+        s = 1.0 / (1.0 + F.exp(-bs.margin(self.trees, inputs(self.n))))
+        return df.select(*keep, s.alias("score")).withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+
+    def weights(self) -> list[float]:
+        """Each feature's share of the gains."""
+        gains = [0.0] * self.n
+        for t in self.trees:
+            for f, _, _, gain in t.splits.values():
+                gains[f] += gain
+        return [g / (sum(gains) or 1.0) for g in gains]
+
+    def save(self, path: str) -> dict:
+        return {"n": self.n, "trees": [{"splits": [[k, *v] for k, v in t.splits.items()], "leaves": [[k, v] for k, v in t.leaves.items()]}
+                                       for t in self.trees]}
+
+    @classmethod
+    def load(cls, path: str, meta: dict) -> "HistogramBoosting":
+        return cls([bs.Tree({k: tuple(v) for k, *v in t["splits"]}, dict(t["leaves"])) for t in meta["trees"]], meta["n"])
+
+
+LEARNERS = {"nb": NaiveBayes, "knn": Neighbours, "hist": HistogramBoosting}
 
 
 def learner_class(alg: str):

@@ -114,6 +114,41 @@ def q_weighted_ensemble(spark, d):
     return rounded(board.withColumn("weight", weight[F.col("learner")]))
 
 
+# ------------------------------------------------- histogram boosting (SQL)
+_BOOST = {"qty": "l_quantity", "disc": "CASE WHEN l_linenumber <> 7 THEN l_discount END", "tax": "CASE WHEN l_linenumber < 6 OR l_returnflag = 'R' THEN l_tax END"}
+_BOOST_SETTINGS = {"reg_lambda": 2.0, "gamma": 0.25, "min_child_weight": 5.0}
+
+
+def _boost_sql() -> str:
+    lam, gamma, least = (_BOOST_SETTINGS[k] for k in ("reg_lambda", "gamma", "min_child_weight"))
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({e} AS DOUBLE) AS v, CAST(l_returnflag = 'R' AS DOUBLE) AS y FROM lineitem" for c, e in _BOOST.items())
+    return f"""WITH long AS ({long}),
+tot AS (SELECT feature, SUM(0.5 - y) AS G, 0.25 * COUNT(*) AS H, coalesce(SUM(0.5 - y) FILTER (v IS NULL), 0) AS gm,
+  0.25 * COUNT(*) FILTER (v IS NULL) AS hm, MAX(v) AS last FROM long GROUP BY feature),
+val AS (SELECT feature, v, SUM(0.5 - y) AS g, 0.25 * COUNT(*) AS h FROM long WHERE v IS NOT NULL GROUP BY feature, v),
+cum AS (SELECT feature, v, SUM(g) OVER (PARTITION BY feature ORDER BY v) AS gl, SUM(h) OVER (PARTITION BY feature ORDER BY v) AS hl FROM val),
+side AS (SELECT c.feature, v, l AS missing_left, gl + CASE WHEN l THEN gm ELSE 0 END AS gl, hl + CASE WHEN l THEN hm ELSE 0 END AS hl, G, H
+  FROM cum c JOIN tot USING (feature), (VALUES (true), (false)) t(l) WHERE v < last),
+gains AS (SELECT feature, v, missing_left, 0.5 * (gl * gl / (hl + {lam}) + (G - gl) * (G - gl) / (H - hl + {lam}) - G * G / (H + {lam})) - {gamma} AS gain
+  FROM side WHERE hl >= {least} AND H - hl >= {least}),
+best AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain, 9) DESC, v, missing_left DESC) AS r FROM gains)
+SELECT feature, round(v, 6) AS threshold, missing_left, round(gain, 6) AS gain FROM best WHERE r = 1"""
+
+
+@register("fit_hist_gbt", _boost_sql())
+def q_boost(spark, d):
+    """The first tree's root over every lineitem: each feature's best split, with its learned side for missing values."""
+    from ..operators import boosting as bs
+    names = list(_BOOST)
+    li = read_table(spark, d, "lineitem").select(*[F.expr(e).alias(c) for c, e in _BOOST.items()], (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    s = bs.Settings(**_BOOST_SETTINGS)
+    edges = bs.edges_of(li, names, s.max_bins)
+    rows = bs.binned(li, names, "y", edges).select("*", F.lit(0).alias("node"), (0.5 - F.col("y")).alias("g"), F.lit(0.25).alias("h"))
+    best = bs.best_of(bs.split_gains(rows, range(len(names)), s), ["feature"])
+    threshold = F.array(*[F.array(*[F.lit(float(v)) for v in e]) for e in edges])[F.col("feature")][F.col("bin")]
+    return rounded(best.select(F.array(*[F.lit(c) for c in names])[F.col("feature")].alias("feature"), threshold.alias("threshold"), "missing_left", "gain"))
+
+
 # ----------------------------------------------------------- gaussian NB (SQL)
 NB_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
