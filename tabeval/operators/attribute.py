@@ -16,6 +16,7 @@ met by an equi-join on the number, so work grows with the explained rows only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,6 +113,24 @@ def permutation_importance(model: FoldModel, df: DataFrame, features: Sequence[s
                       (F.col("baseline_auc") - F.col("auc")).alias("importance"), "baseline_auc")
 
 
+def topk_features(importance: DataFrame, k: int = 10, value: str = "importance") -> DataFrame:
+    """The ``k`` features of the largest absolute importance, with their rank (to 9 digits equal ones by name)."""
+    size = F.round(F.abs(named(value)), 9)
+    top = importance.orderBy(size.desc(), "feature").limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(size.desc(), "feature")))  # k rows
+
+
+class LinearScore:
+    """A scoring model of fixed weights: the weighted sum of the features, in their order."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+
+    def score(self, df: DataFrame, keep: Sequence) -> DataFrame:
+        terms = [F.lit(w) * named(f) for f, w in self.weights.items()]
+        return df.select(*keep, reduce(lambda a, b: a + b, terms).alias("score"))
+
+
 def prefix_rank(df: DataFrame, row_id: str) -> DataFrame:
     """Position of each row in row_id order (1-based), distributed."""
     from .ordered import prefix_sum

@@ -149,6 +149,43 @@ def q_boost(spark, d):
     return rounded(best.select(F.array(*[F.lit(c) for c in names])[F.col("feature")].alias("feature"), threshold.alias("threshold"), "missing_left", "gain"))
 
 
+# ------------------------------------------------------- top features (SQL)
+_DATE = "CAST(o_orderdate AS DATE)"
+#: twelve features of an order and the weights of a fixed score
+_TOP = {"price": ("o_totalprice", 1e-6), "cust": ("o_custkey", 1e-5), "odays": (None, -1e-3), "month": (f"month({_DATE})", 0.02),
+        "day": (f"day({_DATE})", 0.005), "quarter": (f"quarter({_DATE})", 0.02), "prio": ("CAST(substr(o_orderpriority, 1, 1) AS DOUBLE)", 0.03),
+        "size": ("length(o_orderpriority)", 0.01), "key7": ("o_orderkey % 7", 0.01), "key11": ("o_orderkey % 11", -0.01),
+        "cust13": ("o_custkey % 13", -0.02), "cust5": ("o_custkey % 5", 0.015)}
+
+
+def _top_sql() -> str:
+    n = list(_TOP)
+    value = {c: e or f"datediff('day', DATE '1995-01-01', {_DATE})" for c, (e, _) in _TOP.items()}
+
+    def score(shuffled: str | None) -> str:
+        return " + ".join(f"CAST({w!r} AS DOUBLE) * {'d' if c == shuffled else 'b'}.{c}" for c, (_, w) in _TOP.items())
+    tried = " UNION ALL ".join(f"SELECT '{c or ''}' AS feature, b.y, {score(c)} AS x FROM base b JOIN base d ON b.pos = d.hash_rank" for c in (None, *n))
+    return f"""WITH base AS MATERIALIZED (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y, {', '.join(f'CAST({e} AS DOUBLE) AS {c}' for c, e in value.items())},
+  row_number() OVER (ORDER BY o_orderkey) AS pos, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS hash_rank FROM orders),
+ranked AS (SELECT feature, y, RANK() OVER (PARTITION BY feature ORDER BY x) + (COUNT(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS mr FROM ({tried})),
+aucs AS (SELECT feature, (SUM(mr) FILTER (y = 1) - SUM(y) * (SUM(y) + 1) / 2.0) / (SUM(y) * SUM(1 - y)) AS auc FROM ranked GROUP BY feature),
+drops AS (SELECT feature, (SELECT auc FROM aucs WHERE feature = '') - auc AS importance, (SELECT auc FROM aucs WHERE feature = '') AS baseline_auc FROM aucs WHERE feature <> '')
+SELECT feature, round(importance, 6) AS importance, round(baseline_auc, 6) AS baseline_auc,
+  CAST(row_number() OVER (ORDER BY round(abs(importance), 9) DESC, feature) AS INTEGER) AS rank FROM drops
+ORDER BY round(abs(importance), 9) DESC, feature LIMIT 10"""
+
+
+@register("topk_features", _top_sql())
+def q_topk(spark, d):
+    """The ten features of the largest permutation importance for a fixed score of every order."""
+    o = read_table(spark, d, "orders")
+    days = F.datediff(F.col("o_orderdate"), F.lit("1995-01-01").cast("date"))
+    rows = o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"),
+                    *[(F.expr(e) if e else days).cast("double").alias(c) for c, (e, _) in _TOP.items()])
+    drops = at.permutation_importance(at.LinearScore({c: w for c, (_, w) in _TOP.items()}), rows, list(_TOP), "row_id", "y", 42)
+    return rounded(at.topk_features(drops, 10))
+
+
 # ----------------------------------------------------------- gaussian NB (SQL)
 NB_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 

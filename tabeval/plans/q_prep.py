@@ -493,11 +493,6 @@ def q_top_corr(spark, d):
     return rounded(pf.top_correlated(_wide_clean(spark, d), _CORR_COLS, "y_ret", 20))
 
 
-@register("topk_features", _TOPC_SQL.replace("LIMIT 20", "LIMIT 2"))
-def q_topk(spark, d):
-    return rounded(pf.top_correlated(_wide_clean(spark, d), _CORR_COLS, "y_ret", 2))
-
-
 # per-fold rates on the orders cross-validation table
 _RATE_COLS = ["tpr", "fpr", "tnr", "fnr", "ppv", "npv", "f1", "dor"]
 
