@@ -1,30 +1,31 @@
 """Exact k-nearest neighbours without a cross join, and the samplers built on it
 (SURVEY 2.9 knn_topk, 2.5 smote / adasyn, 2.8 fit_knn).
 
-Exact kNN by cells and the triangle inequality:
-
-1. a bounded, hash-picked set of reference rows are the pivots; every reference goes to the
-   cell of its nearest pivot, and a cell keeps its radius (farthest member). Cells are cut in
-   chunks of at most about REF_CHUNK references;
-2. every query is first compared with the cell of its own nearest pivot: its k-th distance
-   there bounds the true one from above;
-3. no member of a cell is nearer to q than d(q, pivot) - radius. Only cells where that does
-   not exceed the bound can hold one of the k nearest (or a tie with the k-th), and each query
-   is compared with all of these: two rounds, whatever the data.
-
-Queries are dealt in blocks of QUERY_BLOCK that share a nearest pivot, so a (block, chunk) pair
-is compared for many queries at once and a reference chunk is copied once per block that needs
-it. Within a task, squared distances come from matrix products of small slices; everything
+Exact kNN by a ball tree and the triangle inequality:
+
+1. a bounded, hash-picked set of reference rows are the pivots of the leaves; some of them are the
+   tops, each with the leaves nearest to it. Every reference goes to its nearest top and there to its
+   nearest leaf; leaves and tops keep their radius (farthest member);
+2. neighbouring leaves of a top form a group, as large as one task can hold; a leaf that is larger is a group
+   of several chunks. Every query is first compared with its own group: its k-th distance there bounds
+   the true one from above;
+3. no member of a ball is nearer to q than d(q, pivot) - radius. Tops, then their leaves, where that does
+   not exceed the bound can hold one of the k nearest (or a tie with the k-th). The query is shipped once to
+   each group with such a leaf and compared there with the leaves in reach: two rounds, whatever the data.
+
+Queries are dealt in blocks that share a group, so a (block, group) pair is compared for many queries at
+once. Within a task, squared distances come from matrix products of small slices; everything
 within rounding of the k-th is measured again exactly, so ties at the k-th distance are cut by
 (distance, rid) and never arbitrarily.
 
-How many cells the bound rules out depends on the data: clustered vectors leave few, vectors
-spread evenly over many dimensions leave most (exact search then compares most pairs, in
-blocks). Tasks stay bounded either way.
+How many leaves the bound rules out depends on the data: clustered vectors leave few, and the more
+references there are, the smaller the bound; vectors spread evenly over many dimensions leave most (exact search
+then compares most pairs, in blocks). Tasks stay bounded either way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,9 +44,9 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda acc, v: acc + v)
 
 
-#: pivots (so cells) at most, references in a chunk and queries in a block, and queries and
-#: numbers in a slice: a task holds one block, one chunk and one slice's distances
-PIVOTS, REF_CHUNK, QUERY_BLOCK, SLICE, SLICE_NUMBERS = 1024, 4096, 8192, 256, 1 << 22
+#: tops and leaves at most; references in a group's chunk and queries in a block at most, and numbers in either;
+#: leaves in a group of full size; queries and numbers in a slice of distances
+TOPS, LEAVES, REF_CHUNK, QUERY_BLOCK, NUMBERS, LEAVES_A_GROUP, SLICE, SLICE_NUMBERS = 256, 1 << 16, 1 << 14, 1 << 14, 1 << 21, 16, 256, 1 << 22
 
 
 def _distances(q, r, metric: str):
@@ -63,65 +64,149 @@ def _slices(n: int, r, metric: str) -> range:
     return range(0, n, min(step, SLICE))
 
 
-def _nearest_pivot(df: DataFrame, vec: str, pivots, metric: str) -> DataFrame:
-    """Add ``cell`` (nearest pivot, the first on ties) and ``to_pivot`` (its distance)."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS rows
-    at = df.columns.index(vec)
+class _Balls:
+    """Two levels of pivots: tops, and leaves in the order of their tops."""
+
+    def __init__(self, pivots, metric: str):
+        import numpy as np
+        tops = pivots[:min(TOPS, math.ceil(math.sqrt(len(pivots))))]
+        of = np.concatenate([_distances(pivots[k:k + SLICE], tops, metric).argmin(axis=1) for k in range(0, len(pivots), SLICE)])
+        self.metric = metric
+        self._set(tops, pivots[np.argsort(of, kind="stable")], np.sort(of, kind="stable"))
+
+    def _set(self, tops, leaves, of) -> None:
+        import numpy as np
+        used = np.unique(of)
+        self.tops, self.leaves, self.of = tops[used], leaves, np.searchsorted(used, of)
+        self.first = np.searchsorted(self.of, np.arange(len(used) + 1))  # a top's leaves: first[t] to first[t + 1]
+
+    def measure(self, counts: dict):
+        """Keep the leaves that have members and return their old numbers; ``counts``: of a leaf, its radius, its members'
+        largest distance from their top, and their number."""
+        import numpy as np
+        held = np.array(sorted(counts))
+        radius, far, size = (np.array([counts[c][i] for c in held.tolist()]) for i in range(3))
+        kept = self.tops
+        self._set(kept, self.leaves[held], self.of[held])
+        self.radius, self.size = radius, size.astype(int)
+        self.reach = np.maximum.reduceat(far, self.first[:-1])
+        return held
+
+    def nearest(self, v):
+        """Leaf, distance to it and distance to its top of every row of ``v`` (the first on ties)."""
+        import numpy as np
+        leaf, near, to_top = np.zeros(len(v), np.int64), np.zeros(len(v)), np.zeros(len(v))
+        for k in range(0, len(v), SLICE):
+            d = _distances(v[k:k + SLICE], self.tops, self.metric)
+            top = d.argmin(axis=1)
+            to_top[k:k + SLICE] = d[np.arange(len(d)), top]
+            for t in np.unique(top):
+                rows = k + np.flatnonzero(top == t)
+                a, z = self.first[t], self.first[t + 1]
+                for j in range(0, len(rows), SLICE):
+                    d2 = _distances(v[rows[j:j + SLICE]], self.leaves[a:z], self.metric)
+                    best = d2.argmin(axis=1)
+                    leaf[rows[j:j + SLICE]], near[rows[j:j + SLICE]] = best + a, d2[np.arange(len(d2)), best]
+        return leaf, near, to_top
+
+    def groups(self, most: int):
+        """Group and number of chunks of every leaf: neighbours under one top, up to ``most`` members together."""
+        import numpy as np
+        group, chunks, at, size = np.zeros(len(self.leaves), np.int64), np.ones(len(self.leaves), np.int64), -1, 0
+        for i, n in enumerate(self.size.tolist()):
+            if i == 0 or self.of[i] != self.of[i - 1] or size + n > most:
+                at, size = at + 1, 0
+            group[i], chunks[i], size = at, -(-n // most), size + n
+        return group, chunks
+
+    def within(self, v, bound, slack: float):
+        """(row, leaf) of every leaf that may hold a member within ``bound`` of the row."""
+        import numpy as np
+        rows, leaves = [], []
+        for k in range(0, len(v), SLICE):
+            x, most = v[k:k + SLICE], bound[k:k + SLICE] + slack
+            near = _distances(x, self.tops, self.metric) - self.reach[None, :] <= most[:, None]
+            for t in np.flatnonzero(near.any(axis=0)):
+                i = np.flatnonzero(near[:, t])
+                a, z = self.first[t], self.first[t + 1]
+                for j in range(a, z, SLICE):
+                    d = _distances(x[i], self.leaves[j:min(z, j + SLICE)], self.metric)
+                    r, c = np.nonzero(d - self.radius[None, j:min(z, j + SLICE)] <= most[i][:, None])
+                    rows.append(i[r] + k)
+                    leaves.append(c + j)
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *rows]), np.concatenate([empty, *leaves])
+
+
+def _slack(a, b) -> float:
+    """More than any rounding of distances of rows of this size."""
+    import numpy as np
+    return 1e-6 * (np.abs(a).max(initial=0.0) + np.abs(b).max(initial=0.0) + 1e-300) * np.sqrt(b.shape[1])
+
+
+def _place(df: DataFrame, balls: _Balls) -> DataFrame:
+    """Add ``leaf``, ``to_leaf`` and ``to_top`` to rows of id and v."""
+    shared = df.sparkSession.sparkContext.broadcast(balls)  # at most LEAVES rows
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        p = shared.value
         for batch in batches:
-            v = np.array(batch.column(at).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
-            cell, near = np.zeros(len(v), np.int64), np.zeros(len(v))
-            for k in range(0, len(v), SLICE):
-                for j in range(0, len(p), SLICE):
-                    d = _distances(v[k:k + SLICE], p[j:j + SLICE], metric)
-                    best = d.argmin(axis=1)
-                    low = d[np.arange(len(d)), best]
-                    better = (low < near[k:k + SLICE]) | (j == 0)
-                    cell[k:k + SLICE][better], near[k:k + SLICE][better] = best[better] + j, low[better]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(near)], names=[*batch.schema.names, "cell", "to_pivot"])
-
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{types}, cell long, to_pivot double")
-
-
-def _block_topk_fn(k: int, metric: str, exclude_self: bool):
-    """Top k of one (query block, reference chunk) pair: every candidate within rounding of the k-th
-    distance is measured exactly, then cut by (distance, rid)."""
+            v = np.array(batch.column(1).to_pylist(), dtype=float).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, shared.value.nearest(v))], names=["id", "v", "leaf", "to_leaf", "to_top"])
+
+    return df.select("id", "v").mapInArrow(run, "id long, v array<double>, leaf long, to_leaf double, to_top double")
+
+
+def _block_topk_fn(k: int, metric: str, exclude_self: bool, shared=None):
+    """Top k of one (query block, group of references) pair: every candidate within rounding of the k-th
+    distance is measured exactly, then cut by (distance, rid). With ``shared`` balls a leaf is compared with the
+    queries that it may matter to."""
     import numpy as np
     import pandas as pd
 
+    def compare(qv, qids, rv, rids, parts) -> None:
+        slack = 1e-7 * (np.abs(qv).max() + np.abs(rv).max() + 1e-300) * np.sqrt(qv.shape[1])
+        slices = _slices(len(qv), rv, metric)
+        for b in slices:
+            x, ids = qv[b:b + slices.step], qids[b:b + slices.step]
+            d = _distances(x, rv, metric)
+            if exclude_self:
+                d = np.where(ids[:, None] == rids[None, :], np.inf, d)
+            kk = min(k, d.shape[1])
+            edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
+            i, j = np.nonzero((d <= edge[:, None] + slack) & np.isfinite(d))
+            for s in range(0, len(i), 1 << 16):
+                gap = x[i[s:s + (1 << 16)]] - rv[j[s:s + (1 << 16)]]
+                d[i[s:s + (1 << 16)], j[s:s + (1 << 16)]] = np.sqrt((gap ** 2).sum(1)) if metric == "euclidean" else np.abs(gap).sum(1)
+            exact = d[i, j]
+            order = np.lexsort((rids[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
+            rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
+            keep = rank < k
+            parts.append(pd.DataFrame({"qid": ids[i[keep]], "rid": rids[j[keep]], "distance": exact[keep]}))
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         q, r = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-        parts = []
+        parts: list = []
         if len(q) and len(r):
             qv, rv = (np.stack(x["v"].to_numpy()).astype(float) for x in (q, r))
             qids, rids = q["id"].to_numpy(), r["id"].to_numpy()
-            slack = 1e-7 * (np.abs(qv).max() + np.abs(rv).max() + 1e-300) * np.sqrt(qv.shape[1])
-            slices = _slices(len(qv), rv, metric)
-            for b in slices:
-                x, ids = qv[b:b + slices.step], qids[b:b + slices.step]
-                d = _distances(x, rv, metric)
-                if exclude_self:
-                    d = np.where(ids[:, None] == rids[None, :], np.inf, d)
-                kk = min(k, d.shape[1])
-                edge = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                i, j = np.nonzero((d <= edge[:, None] + slack) & np.isfinite(d))
-                for s in range(0, len(i), 1 << 16):
-                    gap = x[i[s:s + (1 << 16)]] - rv[j[s:s + (1 << 16)]]
-                    d[i[s:s + (1 << 16)], j[s:s + (1 << 16)]] = np.sqrt((gap ** 2).sum(1)) if metric == "euclidean" else np.abs(gap).sum(1)
-                exact = d[i, j]
-                order = np.lexsort((rids[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                first = np.concatenate([[True], i[1:] != i[:-1]]) if len(i) else np.zeros(0, bool)
-                rank = np.arange(len(i)) - np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))
-                keep = rank < k
-                parts.append(pd.DataFrame({"qid": ids[i[keep]], "rid": rids[j[keep]], "distance": exact[keep]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                                            "distance": pd.Series([], dtype="float64")})
+            if shared is None:
+                compare(qv, qids, rv, rids, parts)
+            else:
+                balls, leaf, bound = shared.value, r["leaf"].to_numpy().astype(np.int64), q["bound"].to_numpy(dtype=float, na_value=np.inf)
+                slack = _slack(qv, rv)
+                for c in np.unique(leaf):
+                    d = np.concatenate([_distances(qv[j:j + SLICE], balls.leaves[c:c + 1], metric)[:, 0] for j in range(0, len(qv), SLICE)])
+                    near, own = d - balls.radius[c] <= bound + slack, leaf == c
+                    if near.any():
+                        compare(qv[near], qids[near], rv[own], rids[own], parts)
+        if not parts:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"), "distance": pd.Series([], dtype="float64")})
+        found = pd.concat(parts)
+        return found.sort_values(["qid", "distance", "rid"], kind="stable").groupby("qid", sort=False).head(k) if len(parts) > 1 else found
     return fn
 
 
@@ -138,70 +223,73 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, qid: str = "qid", rid:
         raise ValueError(f"unknown metric {metric}")
     q = queries.select(F.col(qid).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
     r = refs.select(F.col(rid).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null")
-    n = r.count()
     spark = queries.sparkSession
-    if not n:
-        return spark.createDataFrame([], f"{qid} long, {rid} long, distance double, nn_rank int")
-    # pivots: references picked by a hash of their id (a parameter of the speed, not of the result)
-    picked = r.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, n // (REF_CHUNK // 4)))).collect()
-    pivots = np.array([row["v"] for row in picked], dtype=float)
-    r = freeze(_nearest_pivot(r, "v", pivots, metric), "knn-refs")
-    q = freeze(_nearest_pivot(q, "v", pivots, metric), "knn-queries")
-    cells = r.groupBy("cell").agg(F.max("to_pivot").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # at most PIVOTS rows
-    radius = np.full(len(pivots), -np.inf)
-    chunks = {}
-    for row in cells:
-        radius[row["cell"]] = row["radius"]
-        chunks[row["cell"]] = -(-row["n"] // REF_CHUNK)
-    of_cell = F.create_map(*[F.lit(x) for pair in chunks.items() for x in pair])
-    rside = r.select("cell", F.pmod(F.xxhash64("id"), of_cell[F.col("cell")]).cast("int").alias("chunk"), F.lit(1).alias("_side"), "id", "v")
-
-    # blocks: queries of one cell, at most about QUERY_BLOCK of them
-    sizes = {row["cell"]: -(-row["count"] // QUERY_BLOCK) for row in q.groupBy("cell").count().collect()}  # at most PIVOTS rows
-    if not sizes:
-        return spark.createDataFrame([], f"{qid} long, {rid} long, distance double, nn_rank int")
-    blocks = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    q = q.withColumn("block", F.pmod(F.xxhash64("id"), blocks[F.col("cell")]).cast("int"))
-    schema, fn = "qid long, rid long, distance double", _block_topk_fn(k, metric, exclude_self)
-
-    def compare(wanted: DataFrame) -> DataFrame:
-        """wanted: home (cell and block of queries), visited cell, id, v of the queries."""
-        need = wanted.select("home", "block", "visit").distinct()
-        parts = F.explode(F.sequence(F.lit(0), of_cell[F.col("visit")] - 1)).alias("chunk")
-        qside = wanted.select("home", "block", "visit", "id", "v", parts).select("home", "block", "visit", "chunk", F.lit(0).alias("_side"), "id", "v")
-        rows = need.join(rside.withColumnRenamed("cell", "visit"), "visit").select("home", "block", "visit", "chunk", "_side", "id", "v")
+    size = r.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
+    nothing = spark.createDataFrame([], f"{qid} long, {rid} long, distance double, nn_rank int")
+    if not size["n"]:
+        return nothing
+    # references picked by a hash of their id are the pivots (a parameter of the speed, not of the result)
+    most = max(1, min(REF_CHUNK, NUMBERS // max(1, size["dims"])))
+    wanted = max(1, min(LEAVES, NUMBERS // max(1, size["dims"]), size["n"] // max(1, most // LEAVES_A_GROUP)))
+    picked = r.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    balls = _Balls(np.array([row["v"] for row in picked], dtype=float), metric)
+    r = freeze(_place(r, balls), "knn-refs")
+    held = balls.measure({row["leaf"]: (row["radius"], row["far"], row["n"]) for row in r.groupBy("leaf").agg(
+        F.max("to_leaf").alias("radius"), F.max("to_top").alias("far"), F.count(F.lit(1)).alias("n")).collect()})  # at most LEAVES rows
+    group, chunks = balls.groups(most)
+    shared = spark.sparkContext.broadcast(balls)
+    # at most LEAVES rows: the leaf's number among all, and among those with members
+    of_leaf = spark.createDataFrame([(int(o), i, int(g), int(c)) for i, (o, g, c) in enumerate(zip(held, group, chunks))], "old long, leaf long, group long, chunks int")
+    rside = freeze(r.withColumnRenamed("leaf", "old").join(F.broadcast(of_leaf), "old").select(
+        F.col("group").alias("visit"), F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"),
+        F.lit(1).alias("_side"), "id", "v", "leaf", F.lit(None).cast("double").alias("bound")), "knn-dealt")
+    lasts = spark.createDataFrame([(int(g), int(c) - 1) for g, c in {int(g): int(c) for g, c in zip(group, chunks)}.items()], "visit long, last int")
+
+    # blocks: queries of one group, as many as a task can hold, and no more than keep all cores busy
+    q = freeze(_place(q, balls), "knn-queries")
+    rows_a_block = max(1, min(QUERY_BLOCK, NUMBERS // max(1, size["dims"]), max(512, -(-q.count() // (2 * spark.sparkContext.defaultParallelism)))))
+    q = q.join(F.broadcast(of_leaf.drop("old", "chunks")), "leaf").select(F.col("group").alias("home"), "id", "v")
+    blocks = [(row["home"], -(-row["count"] // rows_a_block)) for row in q.groupBy("home").count().collect()]  # at most LEAVES rows
+    if not blocks:
+        return nothing
+    q = q.join(F.broadcast(spark.createDataFrame(blocks, "home long, blocks int")), "home").select(
+        "home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
+    schema = "qid long, rid long, distance double"
+
+    def compare(asked: DataFrame, fn) -> DataFrame:
+        """asked: home (group and block of queries), visited group, id, v and bound of the queries."""
+        need = asked.select("home", "block", "visit").distinct()
+        qside = asked.join(F.broadcast(lasts), "visit").select("home", "block", "visit", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("chunk"),
+                                                     F.lit(0).alias("_side"), "id", "v", F.lit(None).cast("long").alias("leaf"), "bound")
+        rows = need.join(rside, "visit").select(*qside.columns)
         return qside.unionByName(rows).groupBy("home", "block", "visit", "chunk").applyInPandas(fn, schema)
 
-    own = q.where(F.col("cell").isin(list(chunks)))
-    first = freeze(_top_k(compare(own.select(F.col("cell").alias("home"), "block", F.col("cell").alias("visit"), "id", "v")), k), "knn-first")
+    own = q.select("home", "block", F.col("home").alias("visit"), "id", "v", F.lit(None).cast("double").alias("bound"))
+    first = freeze(_top_k(compare(own, _block_topk_fn(k, metric, exclude_self)), k), "knn-first")
     bound = first.where(F.col("nn_rank") == k).select(F.col("qid").alias("id"), F.col("distance").alias("bound"))
-    asked = q.join(bound, "id", "left").select("cell", "block", "id", "v", "bound")
-    wanted = asked.mapInArrow(_cells_in_reach(spark, pivots, radius, metric),
-                              "home long, block int, id long, v array<double>, visit long").where(F.col("visit") != F.col("home"))
-    second = _top_k(first.drop("nn_rank").unionByName(compare(freeze(wanted, "knn-reach"))), k)
+    asked = q.join(bound, "id", "left").select("home", "block", "id", "v", "bound")
+    reached = asked.mapInArrow(_groups_in_reach(shared, group), "home long, block int, id long, v array<double>, bound double, visit long")
+    second = _top_k(first.drop("nn_rank").unionByName(compare(freeze(reached, "knn-reach"), _block_topk_fn(k, metric, exclude_self, shared))), k)
     return second.select(F.col("qid").alias(qid), F.col("rid").alias(rid), "distance", "nn_rank")
 
 
-def _cells_in_reach(spark, pivots, radius, metric: str):
-    """Per query, the cells that may hold one of its k nearest: d(q, pivot) - radius <= bound."""
-    shared = spark.sparkContext.broadcast((pivots, radius))  # at most PIVOTS rows
-
+def _groups_in_reach(shared, group):
+    """Per query, once each, the other groups with a leaf that may hold one of its k nearest."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        p, far = shared.value
+        balls = shared.value
         for whole in batches:
             for b in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(b, SLICE)
                 v = np.array(batch.column("v").to_pylist(), dtype=float).reshape(batch.num_rows, -1)
                 bound = np.array([np.inf if x is None else x for x in batch.column("bound").to_pylist()])
-                slack = 1e-6 * (np.abs(v).max() + np.abs(p).max() + 1e-300) * np.sqrt(v.shape[1])
-                for j in range(0, len(p), SLICE):
-                    d = _distances(v, p[j:j + SLICE], metric)
-                    i, c = np.nonzero((d - far[None, j:j + SLICE] <= bound[:, None] + slack) & np.isfinite(far[None, j:j + SLICE]))
-                    take = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([batch.column(x).take(take) for x in ("cell", "block", "id", "v")] + [pa.array(c + j)],
-                                                     names=["home", "block", "id", "v", "visit"])
+                i, leaf = balls.within(v, bound, _slack(v, balls.leaves))
+                pairs = np.unique(np.stack([i, group[leaf]], axis=1), axis=0)
+                pairs = pairs[pairs[:, 1] != batch.column("home").to_numpy()[pairs[:, 0]]]
+                take = pa.array(pairs[:, 0])
+                yield pa.RecordBatch.from_arrays([batch.column(x).take(take) for x in ("home", "block", "id", "v", "bound")] + [pa.array(pairs[:, 1])],
+                                                 names=["home", "block", "id", "v", "bound", "visit"])
     return run
 
 

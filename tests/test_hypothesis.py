@@ -93,3 +93,25 @@ def test_knn_ties_go_to_the_smallest_ids(spark):
     refs = spark.createDataFrame([(i, [1.0, 0.0]) for i in (4, 2, 3, 1)] + [(5, [9.0, 9.0])], "rid long, vec array<double>")
     q = spark.createDataFrame([(7, [0.0, 0.0])], "qid long, vec array<double>")
     assert [r["rid"] for r in sorted(nb.knn_topk(q, refs, 2).collect(), key=lambda r: r["nn_rank"])] == [1, 2]
+
+
+def test_shipped_copies_grow_less_than_the_references():
+    """Clusters: eight times the references reach fewer than twice as many groups a query."""
+    from tabeval.operators import neighbors as nb
+    def groups_a_query(n):
+        rng = np.random.default_rng(1)
+        centres = rng.normal(size=(40, 8)) * 4
+        refs = centres[rng.integers(0, 40, n)] + rng.normal(size=(n, 8)) * 0.3
+        balls = nb._Balls(refs[: n // 32], "euclidean")
+        leaf, near, top = balls.nearest(refs)
+        held = balls.measure({int(c): (near[leaf == c].max(), top[leaf == c].max(), int((leaf == c).sum())) for c in np.unique(leaf)})
+        assert (held[np.searchsorted(held, leaf)] == leaf).all() and balls.size.sum() == n
+        group, chunks = balls.groups(512)
+        asked = refs[rng.integers(0, n, 200)]
+        bound = np.sort(np.sqrt(((asked[:, None] - refs[None]) ** 2).sum(-1)), axis=1)[:, 5]
+        i, reached = balls.within(asked, bound, nb._slack(asked, balls.leaves))
+        d = np.sqrt(((asked[:, None] - balls.leaves[None]) ** 2).sum(-1))
+        assert set(zip(i, reached)) >= set(zip(*np.nonzero(d - balls.radius <= bound[:, None])))  # no leaf is missed
+        return len(set(zip(i, group[reached]))) / 200, group.max() + 1
+    (few, groups), (many, more) = groups_a_query(2000), groups_a_query(16000)
+    assert more >= 4 * groups and many < 2 * few + 1 and many < more / 4
