@@ -68,4 +68,6 @@ def test_query_learns_only_from_the_rest(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     held = [(marks[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in marks]
-    assert sum(a == b for a, b in held) / len(held) > 0.85
+    # most documents aren't toxic: predicting 0 for all would be right in most, so both kinds of error count
+    caught, found = sum(a == b == 1 for a, b in held), sum(b for _, b in held)
+    assert sum(a for a, _ in held) > 10 and caught / sum(a for a, _ in held) > 0.9 and caught / found > 0.9
