@@ -163,3 +163,19 @@ def test_even_quantiles_are_exact(spark):
         got.setdefault(r["column"], {})[r["i"]] = r["value"]
     assert [got["x"][i] for i in range(41)] == pytest.approx([float(q) for q in np.quantile(x, np.arange(41) / 40)], abs=1e-12)
     assert set(got["same"].values()) == {7.0} and len(got["same"]) == 41
+
+
+def test_outcomes_and_ids_of_any_name(spark):
+    """Names with dots in every role of splits, folds, resampling and the training flows."""
+    from tabeval.operators import sample as sp
+    from tabeval.operators import workflow as wf
+    df = spark.range(300).select(F.col("id").alias("row.id"), (F.col("id") % 7).cast("double").alias("x.1"), (F.col("id") % 11).cast("double").alias("z"),
+                                 ((F.col("id") % 3) == 0).cast("int").alias("pt.y"))
+    assert {r["split"]: r["count"] for r in sp.split_stratified(df, "pt.y", "row.id").groupBy("split").count().collect()} == {"test": 60, "train": 240}
+    assert {r["pt.y"]: r["count"] for r in sp.class_counts(df, "pt.y").collect()} == {0: 200, 1: 100}
+    assert sp.undersample(df, "pt.y", "row.id").count() == 200 and sp.oversample(df, "pt.y", "row.id").count() == 400
+    sizes = sp.kfold_stratified(df, "pt.y", "row.id", 3).groupBy("fold", F.col("`pt.y`")).count().collect()
+    assert sorted(r["count"] for r in sizes) == [33, 33, 34, 66, 67, 67]
+    assert sp.kfold(df, "row.id", 3).groupBy("fold").count().where("count <> 100").count() == 0
+    assert wf.train_test_flow(df, ["x.1", "z"], ["pt.y"], "row.id", {"lr": {}}, wf.Options()).count() == 300
+    assert wf.cross_validate_flow(df, ["x.1", "z"], "pt.y", "row.id", {"lr": {}}, {}, wf.Options(), k=3).where("split = 'test'").count() == 300
