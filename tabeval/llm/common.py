@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: rows of a narrow table in one file
-FILE_ROWS = 200_000
+#: rows of a narrow table in one file, and how many files are still few
+FILE_ROWS, FEW_FILES = 200_000, 4
 
 
 def freeze(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def freeze(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     files = None if rows is None else max(1, -(-rows // FILE_ROWS))
-    if files is not None and files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+    if files is not None and files <= FEW_FILES:
         df = df.repartition(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
