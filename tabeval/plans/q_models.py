@@ -59,7 +59,7 @@ for _name, _alg, _params in [
 @register("calibrate_sigmoid")
 def q_calibrate(spark, d):
     """Cross-fitted: every fold's scores are calibrated by a curve fitted on the other folds'."""
-    cal = wf.calibrate_cv(orders_features(spark, d), FEATS, "y", "row_id", "rf", {"n_estimators": 20, "max_depth": 4}, IMPUTED, k=5)
+    cal = wf.calibrate_cv(orders_features(spark, d), FEATS, "y", "row_id", "rf", {}, IMPUTED, k=5)
     return rounded(cal.groupBy("fold").agg(F.avg("calibrated").alias("mean_calibrated"), F.avg("y").alias("positive_rate")))
 
 
@@ -219,12 +219,12 @@ def _tune(spark, d, alg, options, **how):
 
 @register("tune_grid")
 def q_tune_grid(spark, d):
-    return rounded(_tune(spark, d, "dt", IMPUTED, grid={"max_depth": [2, 4, 6], "min_samples_leaf": [1, 4]}, strategy="grid", k=5))
+    return rounded(_tune(spark, d, "dt", IMPUTED, strategy="grid", k=10))
 
 
 @register("tune_random")
 def q_tune_random(spark, d):
-    return rounded(_tune(spark, d, "lr", STANDARD, strategy="random", n_iter=8, k=5, scoring="accuracy"))
+    return rounded(_tune(spark, d, "lr", STANDARD, strategy="random", n_iter=50, k=10, scoring="accuracy"))
 
 
 @register("cv_results_table")
