@@ -26,7 +26,6 @@ then compares most pairs, in blocks). Tasks stay bounded either way.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
