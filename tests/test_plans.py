@@ -78,9 +78,17 @@ def test_drop_frozen_removes_only_own_tables(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["threshold_table", "metrics_at_cutoff", "auc_delong_compare", "averaged_roc",
                                   "net_benefit_model", "kfold_stratified", "oversample", "profile_columns",
-                                  "select_kbest_f", "results_table", "bootstrap_auc_ci"])
+                                  "select_kbest_f", "results_table"])
 def test_evaluation_stays_in_the_jvm(spark, name):
     """No Python evaluation nodes: every per-row expression is codegen-able SQL."""
     p = plan_text(E.queries()[name](spark, SF))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
         assert node not in p, (name, node)
+
+
+def test_bootstrap_shuffles_cells_only(spark):
+    """Replicates are drawn behind the shuffle of the cells: no exchange holds a replicate, and the blocks are Arrow."""
+    p = plan_text(E.queries()["bootstrap_auc_ci"](spark, SF))
+    assert "MapInArrow" in p and "BatchEvalPython" not in p and "replicate" not in p
+    below = p[p.index("MapInArrow"):]
+    assert " AS _w#" in below[:below.index("Exchange")]  # the weights
