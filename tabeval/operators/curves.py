@@ -11,6 +11,7 @@ a curve is needed; each segment emits only the grid points it contains.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -278,19 +279,31 @@ def _macro_auc(sg: DataFrame, group: Sequence[str], cls: str, classes: Sequence[
 POISSON_BLOCK = 64
 
 
-def _poisson_count(count: Column, key: Column, seed: int) -> Column:
-    """Poisson(count) draw, hash-seeded by ``key``."""
-    from .sample import hash_uniform, poisson
+class _Draws:
+    """The weights of a cell of some rows in every replicate: hash-seeded by the cell's key, the replicate and the draw's number."""
 
-    def draws(n: Column, tag: str, mean: float) -> Column:
-        some = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0), lambda acc, i: acc + poisson(
-            hash_uniform(F.lit(f"{seed}:{tag}:"), key, F.lit(":"), i), mean))
-        return F.when(n > 0, some).otherwise(0)
-    return (draws(F.floor(count / POISSON_BLOCK).cast("long"), "b", float(POISSON_BLOCK))
-            + draws((count % POISSON_BLOCK).cast("long"), "p", 1.0)).cast("long")
+    def __init__(self, n_boot: int, seed: int):
+        from .sample import poisson_cdf
+        self.n_boot, self.replicates = n_boot, [b"%d:" % r for r in range(n_boot)]
+        self.kinds = [(b"%d:b:" % seed, np.array(poisson_cdf(float(POISSON_BLOCK)))), (b"%d:p:" % seed, np.array(poisson_cdf(1.0)))]
 
+    def of(self, key: str, count: int) -> np.ndarray:
+        weights = np.zeros(self.n_boot)
+        for (tag, cdf), n in zip(self.kinds, divmod(count, POISSON_BLOCK)):
+            starts = [hashlib.md5(tag + key.encode() + b":" + r) for r in self.replicates] if n else []
+            for i in range(1, n + 1):
+                last, digests = b"%d" % i, []
+                for start in starts:
+                    h = start.copy()
+                    h.update(last)
+                    digests.append(h.digest())
+                # the first 15 hex digits as a share of 2^60, then how many CDF values lie at or below it
+                bits = np.frombuffer(b"".join(digests), ">u8")[::2] >> np.uint64(4)
+                weights += np.searchsorted(cdf, bits.astype(float) / float(1 << 60), side="right")
+        return weights
 
-def _replicate_sums(n_boot: int):
+
+def _replicate_sums(n_boot: int, seed: int):
     """Per slice of cells (label order within a score doesn't matter), one row: its summed weights and its own part of
     the Mann-Whitney statistic, per replicate. Cells come sorted by slice and score, a block at a time."""
     schema = pa.schema([("_slice", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("pos", "neg", "own"))])
@@ -301,10 +314,10 @@ def _replicate_sums(n_boot: int):
         return pa.RecordBatch.from_pydict({"_slice": [key], "pos": [pos + tie_pos], "neg": [neg + tie_neg], "own": [own]}, schema=schema)
 
     def run(batches):
-        key, state = None, None
+        key, state, draws = None, None, _Draws(n_boot, seed)
         for batch in batches:
             slices, scores, labels = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            weights = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_boot).astype(float)
+            keys, counts = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             # runs of cells of one score in one slice: at most the two labels
             for k in range(batch.num_rows):
                 if slices[k] != key:
@@ -318,7 +331,7 @@ def _replicate_sums(n_boot: int):
                     neg += tie_neg
                     state[3], state[4], state[5] = np.zeros(n_boot), np.zeros(n_boot), scores[k]
                 at = 3 if labels[k] == 1 else 4
-                state[at] = state[at] + weights[k]
+                state[at] = state[at] + draws.of(keys[k], counts[k])
         if state is not None:
             yield row(key, state)
     return run
@@ -347,12 +360,12 @@ def bootstrap_auc_ci(df: DataFrame, group: Sequence[str], row_id: str, y: str =
     # a slice is one group's part of a range: numbered by a hash of both
     cut = cut.withColumn("_slice", F.xxhash64("_range", *names))
     where = checked(cut.select("_slice", "_range", *names).distinct(), name="slices")
-    dealt = cut.repartition("_slice").sortWithinPartitions("_slice", "score")
+    # a task per range: cells are small, so by their bytes most of them would be given to one task
+    dealt = cut.repartitionByRange(slices, "_range", *names).sortWithinPartitions("_slice", "score")
     text = F.concat_ws(":", *[F.col(n).cast("string") for n in names], F.col("score").cast("string"), F.col("_y").cast("string"))
-    weights = F.transform(F.sequence(F.lit(0), F.lit(n_boot - 1)), lambda r: _poisson_count(
-        F.col("_c"), F.concat(F.col("_key"), F.lit(":"), r.cast("string")), seed))
-    drawn = dealt.withColumn("_key", text).select("_slice", "score", "_y", weights.alias("_w"))
-    sums = drawn.mapInArrow(_replicate_sums(n_boot), "_slice long, pos array<double>, neg array<double>, own array<double>")
+    # _w: what the cell's weights are drawn from
+    sums = dealt.select("_slice", "score", "_y", text.alias("_w"), "_c").mapInArrow(
+        _replicate_sums(n_boot, seed), "_slice long, pos array<double>, neg array<double>, own array<double>")
     types = df.select(*[named(g).alias(n) for g, n in zip(group, names)]).schema.simpleString()[len("struct<"):-1]
 
     def percentiles(rows: pd.DataFrame) -> pd.DataFrame:
