@@ -6,7 +6,7 @@ hash-picked rows of the whole background table, each with a hash-seeded feature
 permutation; the permutation and its reverse are walked prefix by prefix (antithetic
 pair, 2(p+1) evaluations per pair). Masked features take the value of the paired
 background row. All masked inputs of all rows are scored at once; contributions are
-differences of consecutive outputs (a lag over p+1 rows), so the values plus the base
+differences of consecutive outputs, added up as signed sums of outputs, so the values plus the base
 value add up to the model output (efficiency).
 
 Any background row may be picked: rows are numbered by a distributed running count and
@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import inline_rows, named
@@ -42,24 +42,32 @@ def shapley_sampled(model: FoldModel, rows: DataFrame, features: Sequence[str],
     x = rows.select(named(row_id).alias("_rid"), *[named(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]) \
         .withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
     rid, m = F.col("_rid").cast("string"), F.col("_m").cast("string")
+    x = x.withColumn("_pos", F.pmod(hash_int(F.lit(f"{seed}:background:"), rid, F.lit(":"), m), F.lit(n)) + 1)
+    # both sides grow with the tables, and Spark's sizes don't know of the exploded permutations: never a broadcast
+    ex = x.join(numbered.hint("merge"), "_pos")
     keyed = F.array(*[F.struct(hash_int(F.lit(f"{seed}:"), rid, F.lit(":"), m, F.lit(f":{i}")).alias("h"), F.lit(i).alias("i")) for i in range(p)])
-    perm = F.transform(F.array_sort(keyed), lambda s: s["i"])
-    x = x.withColumn("_perm", perm).withColumn("_pos", F.pmod(hash_int(F.lit(f"{seed}:background:"), rid, F.lit(":"), m), F.lit(n)) + 1)
+    ex = ex.withColumn("_perm", F.transform(F.array_sort(keyed), lambda s: s["i"]))
     # place of every feature in the permutation, from 1
-    x = x.withColumn("_place", F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.array_position(F.col("_perm"), i).cast("int")))
-    ex = x.join(numbered, "_pos").withColumn("_dir", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p))))
+    ex = ex.withColumn("_place", F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: F.array_position(F.col("_perm"), i).cast("int")))
+    ex = ex.withColumn("_dir", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(p))))
     place = lambda i: F.when(F.col("_dir") == 0, F.col("_place")[i]).otherwise(p + 1 - F.col("_place")[i])
     masked = [F.when(place(i) <= F.col("_j"), F.col(f"_x{i}")).otherwise(F.col(f"_b{i}")).alias(f) for i, f in enumerate(features)]
-    moved = F.when(F.col("_dir") == 0, F.col("_j")).otherwise(p + 1 - F.col("_j"))  # place of the feature that step j adds
-    inputs = ex.select("_rid", "_m", "_dir", "_j", F.when(F.col("_j") > 0, F.element_at("_perm", moved.cast("int"))).alias("_fi"), *masked)
-    scored = model.score(inputs, ["_rid", "_m", "_dir", "_j", "_fi"])
+
+    def added(j: Column) -> Column:  # the feature that step j adds
+        return F.when((j > 0) & (j <= p), F.element_at("_perm", F.when((j < 1) | (j > p), 1).when(F.col("_dir") == 0, j).otherwise(p + 1 - j).cast("int")))
+    inputs = ex.select("_rid", added(F.col("_j")).alias("_fi"), added(F.col("_j") + 1).alias("_next"), *masked)
+    scored = model.score(inputs, ["_rid", "_fi", "_next"])
     scored = scored.withColumn("_f", F.col("pred").cast("double") if output == "prediction" else F.col("score"))
-    w = Window.partitionBy("_rid", "_m", "_dir").orderBy("_j")  # p + 1 rows
-    names = F.array(*[F.lit(f) for f in features])
-    steps = scored.withColumn("_c", F.col("_f") - F.lag("_f").over(w)).where(F.col("_j") > 0)
-    phi = steps.groupBy("_rid", F.element_at(names, F.col("_fi") + 1).alias("feature")).agg(F.avg("_c").alias("shap_value"))
-    base = scored.where(F.col("_j") == 0).groupBy("_rid").agg(F.avg("_f").alias("base"))
-    return phi.join(base, "_rid").withColumnRenamed("_rid", row_id)
+    # a step's contribution is its output less the one before: every output counts for the feature that its step has
+    # added and against the one that the next step adds, so outputs are only summed, most of them before the shuffle
+    signed = [F.sum(F.when(F.col("_fi") == i, F.col("_f")).when(F.col("_next") == i, -F.col("_f"))).alias(f"_s{i}") for i in range(p)]
+    first = F.when(F.col("_fi").isNull(), F.col("_f"))
+    sums = scored.groupBy("_rid").agg(*signed, F.avg(first).alias("base"), F.count(first).alias("_walks"))
+    # walks per copy of a row: copies of a row share its walks, so each of d copies adds a d-th part of a contribution
+    copies = F.col("_walks") / (2.0 * n_permutations)
+    phi = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"_s{i}") / F.col("_walks") / copies).alias("shap_value"))
+                              for i, f in enumerate(features)]))
+    return sums.select("_rid", phi.alias("_phi"), "base").select(F.col("_rid").alias(row_id), "_phi.feature", "_phi.shap_value", "base")
 
 
 def linear_shap(df: DataFrame, weights: dict[str, float], row_id: str) -> DataFrame:

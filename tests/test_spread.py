@@ -4,7 +4,9 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from tabeval.operators import attribute as at
 from tabeval.operators import curves as cv
+from tabeval.operators import workflow as wf
 from tabeval.operators.sample import poisson_cdf
 
 
@@ -31,3 +33,17 @@ def test_bootstrap_tasks_are_kept_apart(spark):
     physical = found[found.index("== Physical Plan =="):]
     below = physical[physical.index("MapInArrow"):]
     assert "REPARTITION_BY_NUM" in below.split("Exchange", 1)[1].split("\n", 1)[0]
+
+
+# ------------------------------------------------------------------ Shapley
+def test_shapley_broadcasts_nothing(spark):
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 ((F.col("id") % 7) > 3).cast("int").alias("y"))
+    model = wf.fit(df, ["a", "b"], "y", "row_id", "dt", {"max_depth": 3}, wf.Options(impute="mean"))
+    found = at.shapley_sampled(model, df.where("row_id < 20"), ["a", "b"], "row_id", df, output="score", n_permutations=4)
+    assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
+    values = {}
+    for r in found.collect():
+        values.setdefault(r.row_id, [r.base, {}])[1][r.feature] = r.shap_value
+    out = {r.row_id: r.score for r in model.score(df.where("row_id < 20"), ["row_id"]).collect()}
+    assert len(values) == 20 and all(set(v[1]) == {"a", "b"} and abs(v[0] + sum(v[1].values()) - out[k]) < 1e-12 for k, v in values.items())
