@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import inline_rows, named
+from . import batch as bt
 from . import evaluate as ev
 from .ordered import hash_rank
 from .sample import hash_int
@@ -112,13 +113,13 @@ def permutation_importance(model: FoldModel, df: DataFrame, features: Sequence[s
     paired = prefix_rank(base, "_rid").join(donors, "_pos").withColumn("_feature", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
     rows = paired.select("_feature", "_y", *[F.when(F.col("_feature") == i, F.col(f"_d{i}")).otherwise(F.col(f"_x{i}")).alias(f)
                                              for i, f in enumerate(features)])
-    preds = model.score(rows, ["_feature", F.col("_y").alias("y")])
-    aucs = ev.auc_table(ev.score_groups(preds, ["_feature"]), ["_feature"])
-    from .ordered import attach
-    b = aucs.where(F.col("_feature") == -1).select(F.col("auc").alias("baseline_auc"))
-    imp = attach(aucs.where(F.col("_feature") >= 0), b, [])
-    return imp.select(F.element_at(F.array(*[F.lit(f) for f in features]), F.col("_feature") + 1).alias("feature"),
-                      (F.col("baseline_auc") - F.col("auc")).alias("importance"), "baseline_auc")
+    preds = ev.clean_predictions(model.score(rows, ["_feature", F.col("_y").alias("y")]))
+    unshuffled = model.score(base.select(*[F.col(f"_x{i}").alias(f) for i, f in enumerate(features)]), [])
+    aucs = bt.auc_of_groups(preds, F.col("_feature") + 1, unshuffled, base.count())
+    if 0 not in aucs:
+        raise ValueError("no row has a label and a score")
+    found = [(f, None if aucs[0] is None or aucs.get(i) is None else aucs[0] - aucs[i], aucs[0]) for i, f in enumerate(features, 1) if i in aucs]
+    return df.sparkSession.createDataFrame(found, "feature string, importance double, baseline_auc double")
 
 
 def topk_features(importance: DataFrame, k: int = 10, value: str = "importance") -> DataFrame:

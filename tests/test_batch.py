@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabeval.operators import attribute as at
 from tabeval.operators import batch as bt
 from tabeval.operators import models as md
 from tabeval.operators import workflow as wf
@@ -93,3 +94,13 @@ def test_ranks_are_exact(monkeypatch, spark, range_rows):
         pos, neg = (np.array([s for h, t, s in rows if h == g and t == y]) for y in (1, 0))
         want[g] = None if not len(pos) or not len(neg) else float(((pos[:, None] > neg) + (pos[:, None] == neg) / 2).mean())
     assert set(got) == set(want) and got[4] is None and all(want[g] is None or abs(got[g] - want[g]) < 1e-12 for g in want)
+
+
+def test_importance_ranks_without_a_table_of_scores(monkeypatch, spark, frame):
+    """Every feature's copy of the rows is ranked in its tasks: no table of distinct scores is written."""
+    from tabeval.operators import ordered
+    written, write = [], ordered.freeze
+    monkeypatch.setattr(ordered, "freeze", lambda df, name="frozen": written.append(df.columns) or write(df, name))
+    found = at.permutation_importance(at.LinearScore({"a": 1.0, "b": 0.001, "c": 0.1}), frame.withColumn("row_id", F.col(md.ID)), ["a", "b", "c"], "row_id", "y")
+    got = {r.feature: r.importance for r in found.collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"] > got["b"] and not any("score" in c for c in written)
