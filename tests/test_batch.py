@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabeval.operators import attribute as at
 from tabeval.operators import batch as bt
 from tabeval.operators import models as md
+from tabeval.operators import neighbors as nb
 from tabeval.operators import workflow as wf
 
 
@@ -104,3 +105,17 @@ def test_importance_ranks_without_a_table_of_scores(monkeypatch, spark, frame):
     found = at.permutation_importance(at.LinearScore({"a": 1.0, "b": 0.001, "c": 0.1}), frame.withColumn("row_id", F.col(md.ID)), ["a", "b", "c"], "row_id", "y")
     got = {r.feature: r.importance for r in found.collect()}
     assert set(got) == {"a", "b", "c"} and got["a"] > got["b"] and not any("score" in c for c in written)
+
+
+def test_neighbours_ship_single_precision_where_it_is_exact(monkeypatch, spark):
+    shipped, write = {}, nb.freeze
+    monkeypatch.setattr(nb, "freeze", lambda df, name="frozen": shipped.update({name: df.schema["v"].dataType.simpleString()} if "v" in df.columns else {}) or write(df, name))
+    rng = np.random.default_rng(0)
+    exact, fine = rng.normal(size=(40, 3)).astype(np.float32).astype(float), rng.normal(size=(40, 3))
+    for points, kind in ((exact, "array<float>"), (fine, "array<double>")):
+        shipped.clear()
+        df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(points)], "id long, vec array<double>")
+        nn = nb.knn_topk(df.withColumnRenamed("id", "qid"), df.withColumnRenamed("id", "rid"), 2, exclude_self=True).collect()
+        assert shipped["knn-dealt"] == shipped["knn-reach"] == shipped["knn-refs"] == kind
+        d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) + np.diag([np.inf] * 40)
+        assert all(abs(r.distance - np.sort(d[r.qid])[r.nn_rank - 1]) < 1e-15 for r in nn) and len(nn) == 80
