@@ -411,13 +411,10 @@ u_{c} AS (SELECT x, CASE WHEN x - 1e-7 < (SELECT MIN(v) FROM q_{c}) THEN 0.0 WHE
 @register("quantile_transform", _quantile_sql())
 def q_quantile(spark, d):
     """The transform's normal values, shown as their probabilities (the normal CDF undoes its last step)."""
-    from ..functions.normal import upper_tail_nonneg_sql
+    from ..functions.normal import normal_cdf
     w = wide_lineitem(spark, d).select(*_SC)
     z = en.QuantileNormal().fit(w, _SC).transform(w.select(*[F.col(c).alias(f"{c}_raw") for c in _SC], *_SC))
-    z = z.select("*", *[F.abs(F.col(c)).alias(f"{c}_a") for c in _SC])
-    tails = z.select("*", *[F.expr(upper_tail_nonneg_sql(f"{c}_a")).alias(f"{c}_q") for c in _SC])
-    return rounded(tails.select(*[x for c in _SC for x in (
-        F.col(f"{c}_raw").alias(c), F.when(F.col(c) >= 0, 1.0 - F.col(f"{c}_q")).otherwise(F.col(f"{c}_q")).alias(f"{c}_u"))]))
+    return rounded(z.select(*[x for c in _SC for x in (F.col(f"{c}_raw").alias(c), normal_cdf(F.col(c)).alias(f"{c}_u"))]))
 
 
 # ------------------------------------------------------------- 2.6 profiling

@@ -119,3 +119,18 @@ def test_neighbours_ship_single_precision_where_it_is_exact(monkeypatch, spark):
         assert shipped["knn-dealt"] == shipped["knn-reach"] == shipped["knn-refs"] == kind
         d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)) + np.diag([np.inf] * 40)
         assert all(abs(r.distance - np.sort(d[r.qid])[r.nn_rank - 1]) < 1e-15 for r in nn) and len(nn) == 80
+
+
+def test_inverse_normal_evaluates_no_series(monkeypatch):
+    from statistics import NormalDist
+    from tabeval.functions import stats
+    monkeypatch.setattr(stats, "_upper_tail_vec", lambda a: pytest.fail("a series per value"))
+    p = np.concatenate([np.linspace(0.001, 0.999, 999), 10.0 ** -np.arange(3, 300, 7)])
+    assert np.allclose(stats.norm_ppf_vec(p), [NormalDist().inv_cdf(x) for x in p], rtol=1e-13, atol=1e-15)
+    assert stats.norm_ppf_vec(np.array([0.0, 0.5, 1.0])).tolist() == [-np.inf, 0.0, np.inf] and np.isnan(stats.norm_ppf_vec(np.array([np.nan]))).all()
+
+
+def test_quantile_query_has_no_series_in_its_plan(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["quantile_transform"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert len(plan) < 50_000 and "EXP(" not in plan.upper()
