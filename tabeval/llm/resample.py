@@ -98,7 +98,7 @@ class Ngrams:
 
     def blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
         """Text number, place, checksum at the end and bytes of each word, for blocks of words; the first
-        words of a block, as many as told, were in the last one too."""
+        words of a block, as many as told, were in the last one too: n, as a run of n words starts where the word before it ends."""
         held, size = [], 0
         tail = [np.zeros(0, np.int64)] * 4
         for number, text in enumerate(texts):
@@ -111,7 +111,7 @@ class Ngrams:
                 if size >= self.piece:
                     block = [np.concatenate([t, *new]) for t, new in zip(tail, zip(*held))]
                     yield *block, len(tail[0])
-                    tail, held, size = [x[-max(1, self.n - 1):] for x in block], [], 0
+                    tail, held, size = [x[-self.n:] for x in block], [], 0
         if held:
             yield *[np.concatenate([t, *new]) for t, new in zip(tail, zip(*held))], len(tail[0])
 
