@@ -46,6 +46,23 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean(run):
+    """``run`` over Arrow batches; freed memory goes back to the system when it ends. A Python worker is used again by later
+    stages, and what it once took would stay beside theirs."""
+    def run_and_give_back(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim is not None:
+            trim(0)
+    return run_and_give_back
+
+
 def id_remainder(key: Column, parts: int) -> Column:
     """crc32 of the key's text, modulo ``parts``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
@@ -79,7 +96,7 @@ def add_by_text(df: DataFrame, text: str, fields: str, make) -> DataFrame:
                 [c for i, c in enumerate(batch.columns) if i != at]
                 + [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, types, strict=True)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def packed(docs: DataFrame, text: str) -> DataFrame:

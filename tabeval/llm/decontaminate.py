@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import freeze, packed, small_batches, unpacked
+from .common import freeze, lean, packed, small_batches, unpacked
 
 #: consecutive words of an item that make a phrase
 WINDOW = 10
@@ -296,7 +296,7 @@ def _search(docs: DataFrame, phrases: Phrases, text: str, clean: bool) -> DataFr
             columns["_items"] = pa.array([sorted({*a, *s}) for a, s in zip(columns["_items"].to_pylist(), items[rows], strict=True)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import freeze, hold, packed, small_batches, unpacked
+from .common import freeze, hold, lean, packed, small_batches, unpacked
 from .decontaminate import FOLD
 
 SHINGLE = 5
@@ -191,7 +191,7 @@ def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                      pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(sets.view(np.int64)))],
                     names=["key", "hash", "size", "class", "n", "s0", "s1", "s2", "s3", "paths", "shingles"])
 
-    made = narrow.mapInArrow(make, f"key {kind}, hash long, size int, class binary, n int, s0 long, s1 long, s2 long, s3 long, paths array<long>, shingles array<long>")
+    made = narrow.mapInArrow(lean(make), f"key {kind}, hash long, size int, class binary, n int, s0 long, s1 long, s2 long, s3 long, paths array<long>, shingles array<long>")
     return freeze(made.withColumn("row", F.monotonically_increasing_id()), "sets")
 
 
@@ -260,7 +260,7 @@ def compare_buckets(rows: DataFrame, last: bool, tasks: int) -> DataFrame:
         nodes, roots = forest.star()
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["a", "b"])
 
-    return ordered.mapInArrow(run, BUCKET_SCHEMA)
+    return ordered.mapInArrow(lean(run), BUCKET_SCHEMA)
 
 
 def propose(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def extend(left: DataFrame, waiting: int, sets: DataFrame) -> DataFrame:
             new, source = chosen(shingles, sizes, paths.flatten().to_numpy().view(np.uint64), owner)
             yield pa.RecordBatch.from_arrays([pa.array(new.view(np.int64)), pa.array(node[owner[source]])], names=["path", "node"])
 
-    return joined.select("node", "shingles", "paths").mapInArrow(run, "path long, node long")
+    return joined.select("node", "shingles", "paths").mapInArrow(lean(run), "path long, node long")
 
 
 def exact(table: pa.Table, forest: graph.Forest):
