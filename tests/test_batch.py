@@ -82,6 +82,28 @@ def test_trees_of_all_depths_share_a_fit(monkeypatch, frame):
         assert [r[:4] for r in got] == [r[:4] for r in want] and max(abs(a[4] - b[4]) for a, b in zip(got, want)) < 1e-12
 
 
+@pytest.mark.parametrize("scoring", ["roc_auc", "accuracy"])
+def test_trees_of_a_search_grow_from_counted_cells(monkeypatch, spark, scoring):
+    """24,000 rows in 90 cells a label; few rows, many cells and deep trees are left to MLlib."""
+    i = F.col(md.ID)
+    rows = spark.range(24_000).select(F.col("id").alias(md.ID), (F.col("id") * 7919 % 6 * 0.5).alias("a"), (F.pmod(F.xxhash64("id"), F.lit(5)) * 1.0).alias("b"),
+                                      (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)) * 1.0).alias("c"))
+    odds = F.col("a") * 0.2 + (F.col("b") >= 2).cast("int") * 0.25 - F.col("c") * 0.05
+    rows = rows.withColumn("y", (F.pmod(F.xxhash64(i, F.lit(9)), F.lit(1000)) / 1000.0 < odds).cast("int"))
+    jobs = [(j, "dt", p, ["a", "b", "c"]) for j, p in enumerate(md.param_grid({"max_depth": [1, 3, 10], "min_samples_leaf": [1, 300]}))]
+    want = one_by_one(monkeypatch, rows, "y", jobs, 2, 1, scoring)
+    made = fits(monkeypatch)
+    got = sorted(wf.cross_scores(rows, "y", jobs, 2, 1, scoring), key=lambda r: r[:4])
+    assert not made
+    assert [r[:4] for r in got] == [r[:4] for r in want] and max(abs(a[4] - b[4]) for a, b in zip(got, want)) < 1e-12
+    wf.cross_scores(rows, "y", [(0, "dt", {"max_depth": 2}, ["a"]), (1, "dt", {"max_depth": 13}, ["a"])], 2, 1, scoring)
+    assert len(made) == 2  # both depths share the deep tree's fit, one per fold
+    for odd in (rows.limit(9_000), rows.withColumn("a", i * 1.0).withColumn("b", F.sin(md.ID))):
+        made.clear()
+        wf.cross_scores(odd, "y", jobs[:1], 2, 1, scoring)
+        assert len(made) == 2
+
+
 @pytest.mark.parametrize("range_rows", [1 << 30, 150])
 def test_ranks_are_exact(monkeypatch, spark, range_rows):
     monkeypatch.setattr(bt, "RANGE_ROWS", range_rows)
